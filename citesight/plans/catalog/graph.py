@@ -92,3 +92,262 @@ def f5(spark, sf):
     b = FE.citation_bursts(w, eps=1, min_weight=2)
     return b.select("id", "n_clusters", r6("noise_ratio").alias("noise_ratio"), "cluster",
                     r6("centroid").alias("centroid"), "n_members")
+
+
+# ------------------------------------------------------------------ neighbourhoods (G)
+from citesight.operators import labels as L  # noqa: E402
+from citesight.operators import neighbours as G  # noqa: E402
+
+
+def graph_corpus(spark, sf):
+    """Works with their embedding vector as feature ``emb``."""
+    w = fx.works(spark, sf)
+    e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("emb"))
+    return w.join(e, "vec_id")
+
+
+SPEC_EDGES = G.GraphSpec(t_end="2000-01-01", top_k=5)
+SPEC_TABLE = G.GraphSpec(t_start="1998-01-01", t_end="2000-01-01", top_k=3,
+                         predicate="cited_by_count >= 1 AND size(referenced_works) >= 5")
+
+_GC = W + """, corpus AS (
+  SELECT w.id, w.publication_date, w.referenced_works, w.topic_name, w.subfield_name, w.score, w.cited_by_count,
+         e.embedding AS emb
+  FROM works w JOIN embeddings e ON e.vec_id = w.vec_id
+  WHERE w.referenced_works IS NOT NULL AND w.publication_date < DATE '2000-01-01'{pred}),
+targets AS (SELECT * FROM corpus{tstart}),
+edges AS (SELECT id, topic_name, subfield_name, unnest(referenced_works) AS ref FROM targets),
+e2 AS (SELECT e.id, e.ref, e.topic_name, c.topic_name AS topic_name_referenced, c.score AS s, c.emb AS f,
+              CASE WHEN e.topic_name = c.topic_name THEN 0 WHEN e.subfield_name = c.subfield_name THEN 1 END AS priority,
+              e.topic_name = c.topic_name OR e.subfield_name = c.subfield_name AS cat_match
+       FROM edges e JOIN corpus c ON c.id = e.ref)
+"""
+GC_EDGES = _GC.format(pred="", tstart="")
+GC_TABLE = _GC.format(pred=" AND w.cited_by_count >= 1 AND len(w.referenced_works) >= 5",
+                      tstart=" WHERE publication_date >= DATE '1998-01-01'")
+
+
+@register("g1_citation_edges", GC_EDGES + """SELECT id, ref, topic_name, topic_name_referenced FROM e2""")
+def g1(spark, sf):
+    c = G.prepare_corpus(graph_corpus(spark, sf), SPEC_EDGES)
+    return G.citation_edges(c, SPEC_EDGES).select("id", "ref", "topic_name", "topic_name_referenced")
+
+
+@register("g2_category_match", GC_EDGES + """SELECT id, ref FROM e2 WHERE cat_match""")
+def g2(spark, sf):
+    c = G.prepare_corpus(graph_corpus(spark, sf), SPEC_EDGES)
+    return G.category_match(G.citation_edges(c, SPEC_EDGES), SPEC_EDGES.category_cols).select("id", "ref")
+
+
+@register("g3_topk_by_sort", GC_EDGES + """SELECT id, rank, ref FROM (
+  SELECT id, ref, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, ref) AS INTEGER) AS rank
+  FROM e2 WHERE cat_match) WHERE rank <= 5""")
+def g3(spark, sf):
+    c = G.prepare_corpus(graph_corpus(spark, sf), SPEC_EDGES)
+    e = G.category_match(G.citation_edges(c, SPEC_EDGES), SPEC_EDGES.category_cols)
+    nb = G.topk_by_sort(e, SPEC_EDGES)
+    return nb.select("id", F.posexplode("graph_ids").alias("rank", "ref")).withColumn("rank", F.col("rank") + 1)
+
+
+@register("g4_topk_by_category_priority", GC_EDGES + """SELECT id, rank, ref, priority FROM (
+  SELECT id, ref, priority, CAST(row_number() OVER (PARTITION BY id ORDER BY priority, s, ref) AS INTEGER) AS rank
+  FROM e2 WHERE cat_match) WHERE rank <= 5""")
+def g4(spark, sf):
+    c = G.prepare_corpus(graph_corpus(spark, sf), SPEC_EDGES)
+    e = G.category_match(G.citation_edges(c, SPEC_EDGES), SPEC_EDGES.category_cols)
+    e = e.withColumn("priority", G.category_priority(SPEC_EDGES.category_cols))
+    nb = G.topk_by_category_priority(e, SPEC_EDGES)
+    out = nb.select("id", F.posexplode("graph_ids").alias("rank", "ref")).withColumn("rank", F.col("rank") + 1)
+    pri = e.select("id", "ref", "priority").distinct()
+    return out.join(pri, ["id", "ref"])
+
+
+_G5_NB = GC_TABLE + """, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, s, ref) AS rank FROM e2 WHERE cat_match),
+nb AS (SELECT id, list(ref ORDER BY rank) AS graph_ids, list(f ORDER BY rank) AS graph_x
+       FROM ranked WHERE rank <= 3 GROUP BY id),
+tbl AS (SELECT t.id, t.publication_date, t.emb AS x, nb.graph_x, nb.graph_ids, [CAST(t.cited_by_count AS DOUBLE)] AS y
+        FROM targets t JOIN nb ON nb.id = t.id)
+"""
+
+
+def g5_table(spark, sf):
+    return G.neighbourhood_table(graph_corpus(spark, sf), SPEC_TABLE)
+
+
+@register("g5_neighbourhood_table", _G5_NB + """SELECT id, CAST(y[1] > 2 AS INTEGER) AS label,
+  CAST(len(graph_ids) AS INTEGER) AS n_neighbours, array_to_string(graph_ids, ',') AS graph_ids,
+  CAST(len(x) AS INTEGER) AS x_len, CAST(x[1] AS DOUBLE) AS x0, CAST(graph_x[1][1] AS DOUBLE) AS g0 FROM tbl""")
+def g5(spark, sf):
+    t = g5_table(spark, sf)
+    return t.select("id", L.label_threshold(F.col("y")[0], 2).alias("label"),
+                    F.size("graph_ids").alias("n_neighbours"),
+                    F.array_join(F.col("graph_ids").cast("array<string>"), ",").alias("graph_ids"),
+                    F.size("x").alias("x_len"), F.col("x")[0].cast("double").alias("x0"),
+                    F.col("graph_x")[0][0].cast("double").alias("g0"))
+
+
+@register("g6_rolling_category_topk", W + """, base AS (
+  SELECT w.id, w.topic_name, w.publication_date, w.score FROM works w),
+pruned AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_name, publication_date
+                                                     ORDER BY score DESC, id) AS r FROM base) WHERE r <= 3),
+keys AS (SELECT DISTINCT topic_name, publication_date AS kd FROM pruned),
+cand AS (SELECT k.topic_name, k.kd, p.id AS ref,
+                CAST(row_number() OVER (PARTITION BY k.topic_name, k.kd ORDER BY p.score DESC, p.id) AS INTEGER) AS rank
+         FROM keys k JOIN pruned p ON p.topic_name = k.topic_name
+          AND p.publication_date > k.kd - 30 AND p.publication_date <= k.kd)
+SELECT b.id, c.rank, c.ref FROM base b JOIN cand c ON c.topic_name = b.topic_name AND c.kd = b.publication_date
+WHERE c.rank <= 3""")
+def g6(spark, sf):
+    r = G.rolling_category_topk(graph_corpus(spark, sf), "topic_name", "publication_date", "score", "emb",
+                                top_k=3, period_days=30)
+    return r.select("id", F.posexplode("graph_ids").alias("rank", "ref")).withColumn("rank", F.col("rank") + 1)
+
+
+@register("g7_observed_max_lengths", _G5_NB + """SELECT CAST(max(len(x)) AS INTEGER) AS max_len,
+  CAST(max(len(graph_x)) AS INTEGER) AS graph_max_len FROM tbl""")
+def g7(spark, sf):
+    return G.observed_max_lengths(g5_table(spark, sf))
+
+
+WINDOW_YEARS = list(range(1996, 2002))
+
+
+def year_windows(spark, years):
+    rows = [(f"{y}-01-01", f"{y + 1}-01-01") for y in years]
+    return spark.createDataFrame(rows, "window_start string, window_end string").select(
+        F.col("window_start").cast("date").alias("window_start"), F.col("window_end").cast("date").alias("window_end"))
+
+
+_G8 = W + """, win AS (SELECT make_date(y, 1, 1) AS window_start, make_date(y + 1, 1, 1) AS window_end
+        FROM (SELECT unnest(range(1996, 2002)) AS y)),
+corpus AS (
+  SELECT w.id, w.publication_date, w.referenced_works, w.topic_name, w.subfield_name, w.score, w.cited_by_count,
+         e.embedding AS emb
+  FROM works w JOIN embeddings e ON e.vec_id = w.vec_id
+  WHERE w.referenced_works IS NOT NULL AND w.cited_by_count >= 1 AND len(w.referenced_works) >= 5),
+targets AS (SELECT c.*, win.window_start, win.window_end FROM corpus c JOIN win
+            ON c.publication_date >= win.window_start AND c.publication_date < win.window_end),
+edges AS (SELECT id, window_start, window_end, topic_name, subfield_name, unnest(referenced_works) AS ref FROM targets),
+e2 AS (SELECT e.id, e.window_start, e.ref, c.score AS s,
+              CASE WHEN e.topic_name = c.topic_name THEN 0 WHEN e.subfield_name = c.subfield_name THEN 1 END AS priority
+       FROM edges e JOIN corpus c ON c.id = e.ref
+       WHERE c.publication_date < e.window_end AND (e.topic_name = c.topic_name OR e.subfield_name = c.subfield_name)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id, window_start ORDER BY priority, s, ref) AS rank FROM e2)
+SELECT window_start, id, CAST(count(*) AS INTEGER) AS n_neighbours, string_agg(CAST(ref AS VARCHAR), ',' ORDER BY rank) AS graph_ids
+FROM ranked WHERE rank <= 3 GROUP BY window_start, id"""
+
+
+@register("g8_rewindow", _G8)
+def g8(spark, sf):
+    spec = G.GraphSpec(top_k=3, predicate="cited_by_count >= 1 AND size(referenced_works) >= 5")
+    r = G.rewindow(graph_corpus(spark, sf), spec, year_windows(spark, WINDOW_YEARS))
+    return r.select("window_start", "id", F.size("graph_ids").alias("n_neighbours"),
+                    F.array_join(F.col("graph_ids").cast("array<string>"), ",").alias("graph_ids"))
+
+
+# ------------------------------------------------------------------ labels (L)
+BOUNDS = [1, 3, 6, 10]
+WEIGHTS = [0.5, 1.0, 2.0, 4.0, 8.0]
+
+
+@register("l1_label_nonzero", W + "SELECT id, CASE WHEN cited_by_count = 0 THEN 0 ELSE 1 END AS label FROM works")
+def l1(spark, sf):
+    return fx.works(spark, sf).select("id", L.label_nonzero("cited_by_count").alias("label"))
+
+
+@register("l2_label_threshold", W + "SELECT id, CAST(cited_by_count > 2 AS INTEGER) AS label FROM works")
+def l2(spark, sf):
+    return fx.works(spark, sf).select("id", L.label_threshold("cited_by_count", 2).alias("label"))
+
+
+@register("l3_label_log", W + "SELECT id, round(ln(cited_by_count + 1), 6) AS label FROM works")
+def l3(spark, sf):
+    return fx.works(spark, sf).select("id", r6(L.label_log("cited_by_count")).alias("label"))
+
+
+_ORD = "CAST((cited_by_count >= 1)::INT + (cited_by_count >= 3)::INT + (cited_by_count >= 6)::INT + (cited_by_count >= 10)::INT AS INTEGER)"
+
+
+@register("l4_label_ordinal", W + f"SELECT id, cited_by_count AS y_orig, {_ORD} AS label FROM works")
+def l4(spark, sf):
+    return fx.works(spark, sf).select("id", F.col("cited_by_count").alias("y_orig"),
+                                      L.label_ordinal("cited_by_count", BOUNDS).alias("label"))
+
+
+@register("l5_class_weight", W + f"SELECT id, CAST(([0.5, 1.0, 2.0, 4.0, 8.0])[{_ORD} + 1] AS DOUBLE) AS weight FROM works")
+def l5(spark, sf):
+    w = fx.works(spark, sf).withColumn("label", L.label_ordinal("cited_by_count", BOUNDS))
+    return w.select("id", L.class_weight("label", WEIGHTS).alias("weight"))
+
+
+_PADDED = W + """, padded AS (SELECT id, CASE WHEN len(referenced_works) >= 8 THEN referenced_works[1:8]
+                                    ELSE list_resize(referenced_works, 8, 0) END AS x
+                   FROM works WHERE referenced_works IS NOT NULL)
+"""
+
+
+@register("l6_pad_truncate", _PADDED + """SELECT id, CAST(pos - 1 AS INTEGER) AS pos, value FROM (
+  SELECT id, unnest(x) AS value, unnest(range(1, 9)) AS pos FROM padded)""")
+def l6(spark, sf):
+    w = fx.works(spark, sf).where(F.col("referenced_works").isNotNull())
+    return w.select("id", F.posexplode(L.pad_truncate("referenced_works", 8, 0)).alias("pos", "value"))
+
+
+@register("l7_pad_mask", _PADDED + """SELECT id, CAST(pos - 1 AS INTEGER) AS pos, value <> 0 AS mask FROM (
+  SELECT id, unnest(x) AS value, unnest(range(1, 9)) AS pos FROM padded)""")
+def l7(spark, sf):
+    w = fx.works(spark, sf).where(F.col("referenced_works").isNotNull())
+    w = w.select("id", L.pad_mask(L.pad_truncate("referenced_works", 8, 0), 0).alias("m"))
+    return w.select("id", F.posexplode("m").alias("pos", "mask"))
+
+
+@register("l8_neighbour_pad_mask", _G5_NB + """, m AS (SELECT id, len(graph_x) AS n FROM tbl)
+SELECT id, CAST(p AS INTEGER) AS pos, CAST(p < least(n, 3) AS INTEGER) AS mask, CASE WHEN p < n THEN 1 ELSE 0 END AS real_vec
+FROM m, (SELECT unnest(range(0, 3)) AS p)""")
+def l8(spark, sf):
+    t = g5_table(spark, sf)
+    gx, mask = L.neighbour_pad_mask("graph_x", top_k=3, graph_max_len=3, dim=64)
+    t = t.select("id", gx.alias("gx"), mask.alias("mask"))
+    z = t.select("id", F.posexplode(F.arrays_zip("gx", "mask")).alias("pos", "s"))
+    return z.select("id", "pos", F.col("s.mask").alias("mask"),
+                    F.when(F.aggregate(F.col("s.gx"), F.lit(0.0), lambda a, v: a + F.abs(v)) > 0, 1)
+                    .otherwise(0).alias("real_vec"))
+
+
+_SPAN = W + """, s AS (SELECT id, referenced_works AS l, len(referenced_works) AS n,
+              (id * 7919 + 7) % (greatest(len(referenced_works) - 1 - 1, 0) + 1) AS off
+            FROM works WHERE referenced_works IS NOT NULL),
+s2 AS (SELECT *, greatest(off - 4, 0) AS st FROM s)
+"""
+
+
+def _pad_sql(e: str, n: int, left: bool = False) -> str:
+    if left:
+        return f"CASE WHEN len({e}) < {n} THEN list_concat(list_resize([0], {n} - len({e}), 0), {e}) ELSE {e} END"
+    return f"CASE WHEN len({e}) < {n} THEN list_resize({e}, {n}, 0) ELSE {e} END"
+
+
+_XS = "l[st + 1:off]"
+_YS = "l[st + 2:least(off + 1, n)]"
+
+
+@register("l9_span_split_forward", _SPAN + f"""SELECT id, array_to_string({_pad_sql(_XS, 4)}, ',') AS x,
+  array_to_string({_pad_sql(_YS, 4)}, ',') AS y FROM s2""")
+def l9(spark, sf):
+    w = fx.works(spark, sf).where(F.col("referenced_works").isNotNull())
+    x, y = L.span_split_forward("referenced_works", "id", max_len=4, n_forward=1, seed=7)
+    return w.select("id", F.array_join(x.cast("array<string>"), ",").alias("x"),
+                    F.array_join(y.cast("array<string>"), ",").alias("y"))
+
+
+_YB = "l[greatest(off - 2, 0) + 1:least(off + 1, n)]"
+
+
+@register("l10_span_split_both", _SPAN + f"""SELECT id, array_to_string({_pad_sql(_XS, 4, left=True)}, ',') AS x,
+  array_to_string({_pad_sql(_YB, 3)}, ',') AS y FROM s2""")
+def l10(spark, sf):
+    w = fx.works(spark, sf).where(F.col("referenced_works").isNotNull())
+    x, y = L.span_split_both("referenced_works", "id", max_len=4, n_forward=1, n_backward=2, seed=7)
+    return w.select("id", F.array_join(x.cast("array<string>"), ",").alias("x"),
+                    F.array_join(y.cast("array<string>"), ",").alias("y"))
