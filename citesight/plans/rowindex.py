@@ -17,7 +17,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citesight.session import shuffle_partitions
+from citesight.session import ensure_checkpoint_dir, shuffle_partitions
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder (reliable, cuts lineage).
+
+    Used where two branches of a plan must see the same partition ids: a
+    range exchange samples its bounds from rows whose order after a shuffle
+    is not fixed, so recomputing it may move rows between partitions.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _cols(cs) -> list[Column]:
@@ -28,17 +39,17 @@ def with_row_index(df: DataFrame, order_cols: Sequence, name: str = "idx",
                    num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = global 0-based position by ``order_cols``.
 
-    ``order_cols`` must be a total order (end it with a unique key); then the
-    result is deterministic and survives task re-execution. The explicit
-    partition count keeps AQE from coalescing the range exchange, so
-    ``spark_partition_id`` means the same in both branches of the plan.
+    ``order_cols`` must be a total order (end it with a unique key). The
+    tagged frame is pinned (checkpointed) so both branches of the plan see
+    the same partition ids; the explicit partition count keeps AQE from
+    coalescing the range exchange.
     """
     n = num_partitions or shuffle_partitions(df.sparkSession)
     oc = _cols(order_cols)
     s = df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
     pid = F.spark_partition_id()
-    t = s.select("*", pid.alias("_pid"),
-                 (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_lid"))
+    t = pin(s.select("*", pid.alias("_pid"),
+                     (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_lid")))
     counts = t.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # at most `n` rows: one per range partition
     offs = counts.select("_pid", F.coalesce(
@@ -61,7 +72,7 @@ def cumulative_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str]
     gc = list(group_cols)
     oc = _cols(order_cols)
     s = df.repartitionByRange(n, *_cols(gc), *oc)
-    t = s.withColumn("_pid", F.spark_partition_id())
+    t = pin(s.withColumn("_pid", F.spark_partition_id()))
     w_local = (Window.partitionBy("_pid", *gc).orderBy(*oc)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = t.select("*", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in sum_cols])
