@@ -89,3 +89,149 @@ def p10(spark, sf):
 @register("p10_length_feature_text", """SELECT doc_id, CAST(length(text) AS INTEGER) AS text_len FROM documents""")
 def p10t(spark, sf):
     return P.length_feature(fx.documents(spark, sf), ["text"]).select("doc_id", "text_len")
+
+
+# ---------------------------------------------------------------- sources and sinks (S)
+from citesight.operators import describe as D  # noqa: E402
+from citesight.operators import sampling as B  # noqa: E402
+from citesight.sources import io as S  # noqa: E402
+
+_IDX = W + """, ix AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx, count(*) OVER () AS n FROM works)
+"""
+
+
+@register("s1_scan_corpus", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def s1(spark, sf):
+    return S.scan_corpus(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
+@register("s2_ordered_chunks", _IDX + """SELECT id, CAST(least(floor(idx / greatest(ceil(n / 7), 1)), 6) AS INTEGER) AS part FROM ix""")
+def s2(spark, sf):
+    return S.ordered_chunks(fx.works(spark, sf).select("id"), ["id"], 7)
+
+
+@register("s3_chunks_by_rows", _IDX + "SELECT id, CAST(floor(idx / 2000) AS INTEGER) AS part FROM ix")
+def s3(spark, sf):
+    return S.chunks_by_rows(fx.works(spark, sf).select("id"), ["id"], 2000)
+
+
+@register("s4_write_chunks", _IDX + """SELECT id, topic_name, CAST(least(floor(idx / greatest(ceil(n / 7), 1)), 6) AS INTEGER) AS part
+FROM ix JOIN works USING (id)""")
+def s4(spark, sf):
+    w = fx.works(spark, sf).select("id", "topic_name")
+    path = S.write_chunks(S.ordered_chunks(w, ["id"], 7), S.scratch_path(spark, "chunks"))
+    return spark.read.parquet(path).select("id", "topic_name", "part")
+
+
+@register("s5_written_counts", _IDX + """SELECT CAST(least(floor(idx / greatest(ceil(n / 7), 1)), 6) AS INTEGER) AS part,
+  count(*) AS rows FROM ix GROUP BY 1""")
+def s5(spark, sf):
+    w = fx.works(spark, sf).select("id")
+    path = S.write_chunks(S.ordered_chunks(w, ["id"], 7), S.scratch_path(spark, "chunks"))
+    return S.written_counts(spark, path)
+
+
+@register("s6_dry_run_head", W + "SELECT id, publication_date FROM works ORDER BY id LIMIT 50")
+def s6(spark, sf):
+    return S.dry_run_head(fx.works(spark, sf).select("id", "publication_date"), 50)
+
+
+@register("s7_json_sink", W + "SELECT id, topic_name, score FROM works ORDER BY id LIMIT 500")
+def s7(spark, sf):
+    head = S.dry_run_head(fx.works(spark, sf).select("id", "topic_name", "score"), 500)
+    path = S.json_sink(head, S.scratch_path(spark, "json"))
+    return spark.read.schema("id long, topic_name string, score double").json(path)
+
+
+@register("s7_params_json")
+def s7p(spark, sf):
+    # run parameters as one JSON row, next to the counts they describe
+    p = S.params_frame(spark, {"sf_dir": sf, "chunks": 7, "compression": "zstd", "level": 1})
+    n = fx.works(spark, sf).agg(F.count(F.lit(1)).alias("rows"))
+    return p.crossJoin(n)
+
+
+@register("s8_stage_table", W + "SELECT id, cited_by_count FROM works WHERE referenced_works IS NOT NULL")
+def s8(spark, sf):
+    t = fx.works(spark, sf).where(F.col("referenced_works").isNotNull()).select("id", "cited_by_count")
+    return S.stage_table(t)
+
+
+@register("s9_export_predictions", fx.with_views("scored_windows") + """SELECT make_date(w, 1, 1) AS window_start,
+  count(*) AS rows FROM scored_windows GROUP BY w""")
+def s9(spark, sf):
+    p = fx.scored_windows(spark, sf).withColumn("window_start", F.make_date("w", F.lit(1), F.lit(1)))
+    path = S.export_predictions(p, S.scratch_path(spark, "pred"))
+    r = spark.read.parquet(path)
+    return r.groupBy(F.col("window_start").cast("date").alias("window_start")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ---------------------------------------------------------------- sampling (B)
+@register("b1_sample_n")
+def b1(spark, sf):
+    return B.sample_n(fx.works(spark, sf).select("id", "score"), 500, seed=42)
+
+
+@register("b2_head_n", W + "SELECT id, score FROM works ORDER BY id LIMIT 1000")
+def b2(spark, sf):
+    return B.head_n(fx.works(spark, sf).select("id", "score"), 1000)
+
+
+@register("b3_sample_uniform_replace")
+def b3(spark, sf):
+    return B.sample_uniform_replace(fx.works(spark, sf).select("id", "score"), 2000, seed=7)
+
+
+_B4 = W + """, st AS (SELECT min(CAST(score AS DOUBLE)) AS mn, max(CAST(score AS DOUBLE)) AS mx FROM works),
+b AS (SELECT id, CAST(CASE WHEN mx - mn = 0 THEN 0 ELSE least(greatest(CAST(trunc((score - mn) / (mx - mn) * 100) AS BIGINT), 0), 99) END AS INTEGER) AS bin
+      FROM works, st),
+c AS (SELECT bin, count(*) AS c FROM b GROUP BY bin)
+"""
+
+
+@register("b4_inverse_freq_weights", _B4 + "SELECT b.id, b.bin, 1.0 / (c.c + 1e-6) AS weight FROM b JOIN c USING (bin)")
+def b4(spark, sf):
+    return B.inverse_freq_weights(fx.works(spark, sf).select("id", "score"), "score", 100).select("id", "bin", "weight")
+
+
+@register("b5_sample_weighted_replace")
+def b5(spark, sf):
+    binned = B.inverse_freq_weights(fx.works(spark, sf).select("id", "score"), "score", 100)
+    return B.sample_weighted_replace(binned, 5000, seed=11)
+
+
+# ---------------------------------------------------------------- describe (D)
+BUCKETS = [0, 1, 2, 4, 8, 16, 100]
+_BK = W + """, bk AS (SELECT CAST(i - 1 AS INTEGER) AS bucket, b[i] || '-' || b[i + 1] AS label, CAST(b[i] AS DOUBLE) AS lo,
+                CAST(b[i + 1] AS DOUBLE) AS hi FROM (SELECT [0, 1, 2, 4, 8, 16, 100] AS b), range(1, 7) t(i)),
+cnt AS (SELECT bk.bucket, bk.label, bk.lo, bk.hi, count(w.id) AS count FROM bk
+        LEFT JOIN works w ON w.cited_by_count >= bk.lo AND w.cited_by_count < bk.hi GROUP BY ALL)
+"""
+
+
+@register("d1_bucket_counts", _BK + "SELECT * FROM cnt")
+def d1(spark, sf):
+    return D.bucket_counts(fx.works(spark, sf), "cited_by_count", BUCKETS)
+
+
+@register("d2_bucket_proportions", _BK + """SELECT label, count, count * 100.0 / sum(count) OVER () AS pct FROM cnt""")
+def d2(spark, sf):
+    return D.bucket_proportions(D.bucket_counts(fx.works(spark, sf), "cited_by_count", BUCKETS)).select(
+        "label", "count", "pct")
+
+
+@register("d3_balance_weights", _BK + """SELECT label, CASE WHEN count = 0 THEN CAST('nan' AS DOUBLE)
+  ELSE sum(count) OVER () / (count(*) OVER () * count) END AS weight FROM cnt""")
+def d3(spark, sf):
+    return D.balance_weights(D.bucket_counts(fx.works(spark, sf), "cited_by_count", BUCKETS)).select("label", "weight")
+
+
+@register("d4_describe_column", W + """SELECT count(score) AS count, CAST(count_if(score IS NULL) AS BIGINT) AS null_count,
+  round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, min(score) AS min,
+  round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.5), 6) AS p50,
+  round(quantile_cont(score, 0.75), 6) AS p75, max(score) AS max FROM works""")
+def d4(spark, sf):
+    from citesight.functions.columns import r6
+    d = D.describe_column(fx.works(spark, sf), "score")
+    return d.select("count", "null_count", r6("mean").alias("mean"), r6("std").alias("std"), "min",
+                    r6("p25").alias("p25"), r6("p50").alias("p50"), r6("p75").alias("p75"), "max")
