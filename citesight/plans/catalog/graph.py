@@ -351,3 +351,47 @@ def l10(spark, sf):
     x, y = L.span_split_both("referenced_works", "id", max_len=4, n_forward=1, n_backward=2, seed=7)
     return w.select("id", F.array_join(x.cast("array<string>"), ",").alias("x"),
                     F.array_join(y.cast("array<string>"), ",").alias("y"))
+
+
+# ------------------------------------------------------------------ models (M), rows-only
+from citesight.operators import model as M  # noqa: E402
+from citesight.sources import io as S  # noqa: E402
+
+SPEC_TRAIN = G.GraphSpec(t_start="1996-01-01", t_end="1999-01-01", top_k=3,
+                         predicate="cited_by_count >= 1 AND size(referenced_works) >= 5")
+SPEC_VAL = G.GraphSpec(t_start="1999-01-01", t_end="2000-01-01", top_k=3,
+                       predicate="cited_by_count >= 1 AND size(referenced_works) >= 5")
+
+
+def _labelled(spark, sf, spec):
+    t = G.neighbourhood_table(graph_corpus(spark, sf), spec)
+    t = t.withColumn("label", L.label_threshold(F.col("y")[0], 2).cast("double"))
+    # class-balance weights: total / (classes * class count), one grouped count joined back
+    cnt = t.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
+    tot = cnt.agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_k"))
+    w = cnt.crossJoin(tot).select("label", (F.col("_t") / (F.col("_k") * F.col("_c"))).alias("weight"))
+    # staged in the shared folder: the optimizer's passes read it, not the join plan
+    return S.stage_table(t.join(F.broadcast(w), "label"))
+
+
+@register("m1_train_window")
+def m1(spark, sf):
+    train = _labelled(spark, sf, SPEC_TRAIN)
+    model = M.train_window(train)
+    scored = M.score_batch(model, train, keep=("id", "label"))
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("examples"), F.avg("prob").alias("mean_prob"))
+
+
+@register("m2_score_batch")
+def m2(spark, sf):
+    model = M.train_window(_labelled(spark, sf, SPEC_TRAIN))
+    return M.score_batch(model, _labelled(spark, sf, SPEC_VAL), keep=("id", "label"))
+
+
+@register("m3_save_load_model")
+def m3(spark, sf):
+    model = M.train_window(_labelled(spark, sf, SPEC_TRAIN))
+    root = S.scratch_path(spark, "models")
+    M.save_model(model, root, "run0", 1)
+    back = M.load_model(root, "run0", 1)
+    return M.score_batch(back, _labelled(spark, sf, SPEC_VAL), keep=("id", "label"))

@@ -93,3 +93,99 @@ def c7(spark, sf):
     before = fx.documents(spark, sf)
     after = C.clean_text(before, [C.CleanSpec("text", level=5, min_len=100)], phrases=PHRASES)
     return C.drop_report(before, after, ["text", "language"])
+
+
+# ---------------------------------------------------------------- tokens (K)
+from citesight.operators import tokens as K  # noqa: E402
+
+_SPLIT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_VOCAB = f"""WITH toks AS (SELECT doc_id, unnest({_SPLIT}) AS token, unnest(range(1, len({_SPLIT}) + 1)) AS pos FROM documents),
+vc AS (SELECT token, count(*) AS count FROM toks GROUP BY token),
+vocab AS (SELECT token, count, row_number() OVER (ORDER BY count DESC, token) - 1 + 4 AS token_id FROM vc),
+tid AS (SELECT t.doc_id, t.pos, v.token_id FROM toks t JOIN vocab v USING (token)),
+dtok AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN [] ELSE
+           list_concat([1], coalesce((SELECT list(token_id ORDER BY pos) FROM tid WHERE tid.doc_id = d.doc_id), []), [2]) END AS toks
+         FROM documents d)
+"""
+
+
+def _vocab(spark, sf):
+    return K.build_vocab(fx.documents(spark, sf), "text")
+
+
+def _tokens(spark, sf):
+    d = fx.documents(spark, sf)
+    return K.tokenise(d, "doc_id", "text", _vocab(spark, sf))
+
+
+@register("k1_build_vocab", _VOCAB + "SELECT token, count, token_id FROM vocab")
+def k1(spark, sf):
+    return _vocab(spark, sf)
+
+
+@register("k2_tokenise", _VOCAB + """SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens,
+  md5(array_to_string(toks, ',')) AS tokens_md5 FROM dtok""")
+def k2(spark, sf):
+    t = _tokens(spark, sf)
+    return t.select("doc_id", F.size("text_tokens").alias("n_tokens"),
+                    F.md5(F.array_join(F.col("text_tokens").cast("array<string>"), ",")).alias("tokens_md5"))
+
+
+@register("k3_assemble_text", """SELECT doc_id, md5('<s>' || text || '</s><s>' || source || '</s>') AS to_embed_md5
+FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
+def k3(spark, sf):
+    d = K.assemble_text(fx.documents(spark, sf), ["text", "source"])
+    return d.select("doc_id", F.md5("to_embed").alias("to_embed_md5"))
+
+
+@register("k4_embed_batch")
+def k4(spark, sf):
+    d = K.assemble_text(fx.documents(spark, sf), ["text"])
+    e = K.embed_batch(d, "to_embed", "embedding", dim=64)
+    return e.select("doc_id", F.size("embedding").alias("dim"),
+                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)), 4).alias("norm"))
+
+
+def token_vectors(spark, sf):
+    """Token id -> vector of ``embeddings`` row ``token_id % rows`` (the token vector table of K5)."""
+    e = fx.table(spark, sf, "embeddings")
+    n = e.agg(F.count(F.lit(1)).alias("_n"))
+    v = _vocab(spark, sf).select("token_id")
+    specials = spark.createDataFrame([(i,) for i in range(len(K.SPECIALS))], "token_id long")
+    ids = v.unionByName(specials).crossJoin(F.broadcast(n))
+    return ids.join(e, (F.col("token_id") % F.col("_n")) == e.vec_id).select("token_id", F.col("embedding").alias("vec"))
+
+
+@register("k5_mean_pool", _VOCAB + """, n AS (SELECT count(*) AS n FROM embeddings),
+tk AS (SELECT doc_id, unnest(toks) AS token_id FROM dtok),
+tv AS (SELECT tk.doc_id, e.embedding FROM tk, n JOIN embeddings e ON e.vec_id = tk.token_id % n.n WHERE tk.token_id <> 0),
+dims AS (SELECT doc_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS dim FROM tv)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS value FROM dims GROUP BY doc_id, dim""")
+def k5(spark, sf):
+    t = _tokens(spark, sf)
+    m = K.mean_pool(t, "doc_id", "text_tokens", token_vectors(spark, sf), dim=64)
+    return m.select("doc_id", F.posexplode("mean_vec").alias("dim", "value")).select(
+        "doc_id", "dim", F.round("value", 6).alias("value"))
+
+
+# ---------------------------------------------------------------- streaming
+from citesight.sources import io as S  # noqa: E402
+from citesight.streaming import stream as ST  # noqa: E402
+
+
+def stream_transform(d):
+    d = d.withColumnRenamed("lang", "language")
+    d = C.null_boilerplate(C.lowercase(d, "text"), "text", PHRASES)
+    d = C.mark_foreign(d, "text")
+    return d.select("doc_id", "language", F.col("text").isNull().alias("text_is_null"))
+
+
+@register("stream_clean_documents", f"""SELECT doc_id,
+  CASE WHEN {_contains_sql(_L1, C.FOREIGN_MARKERS)} THEN 'unknown' ELSE lang END AS language,
+  ({_L1}) IS NULL AS text_is_null FROM documents""")
+def stream_clean(spark, sf):
+    schema = fx.table(spark, sf, "documents").schema
+    src = ST.parquet_stream(spark, sf, schema, glob="documents.parquet")
+    sink, ck = S.scratch_path(spark, "stream-sink"), S.scratch_path(spark, "stream-ckpt")
+    ST.run_to_parquet(src, stream_transform, sink, ck)
+    return spark.read.parquet(sink)
