@@ -82,33 +82,37 @@ def citation_bursts(df: DataFrame, id_col: str = "id", values_col: str = "counts
     pts = df.select(id_col, F.explode(F.arrays_zip(F.col(values_col).alias("v"),
                                                    F.col(weights_col).alias("w"))).alias("p"))
     pts = pts.select(id_col, F.col("p.v").cast("long").alias("v"), F.col("p.w").cast("double").alias("w"))
+    # one hash partitioning by work; every step below is a window or aggregate on it (no self-join)
     by_v = Window.partitionBy(id_col).orderBy("v")
+    upto = by_v.rowsBetween(Window.unboundedPreceding, 0)
+    before = by_v.rowsBetween(Window.unboundedPreceding, -1)
+    after = by_v.rowsBetween(0, Window.unboundedFollowing)
     reach = int(eps)  # series values are whole years
-    pts = pts.withColumn("_near", F.sum("w").over(by_v.rangeBetween(-reach, reach)))
-    pts = pts.withColumn("core", F.col("_near") >= min_weight)
-    # cluster ids over core points: a new cluster when the gap to the previous core exceeds eps
-    cores = pts.where("core").select(id_col, "v")
-    prev = F.lag("v").over(Window.partitionBy(id_col).orderBy("v"))
-    cores = cores.withColumn("_new", F.when(prev.isNull() | (F.col("v") - prev > eps), 1).otherwise(0))
-    cores = cores.withColumn("cid", F.sum("_new").over(
-        Window.partitionBy(id_col).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    pts = pts.join(cores.select(id_col, "v", "cid"), [id_col, "v"], "left")
-    core_s = F.when(F.col("core"), F.struct(F.col("v").alias("cv"), F.col("cid").alias("cc")))
-    left = F.last(core_s, ignorenulls=True).over(by_v.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(core_s, ignorenulls=True).over(by_v.rowsBetween(0, Window.unboundedFollowing))
-    pts = pts.withColumn("_l", left).withColumn("_r", right)
-    label = (F.when(F.col("core"), F.col("cid"))
-             .when(F.col("_l").isNotNull() & (F.col("v") - F.col("_l.cv") <= eps), F.col("_l.cc"))
-             .when(F.col("_r").isNotNull() & (F.col("_r.cv") - F.col("v") <= eps), F.col("_r.cc")))
-    pts = pts.withColumn("cluster", label)
-    per_work = pts.groupBy(id_col).agg(
-        F.max("cluster").alias("_maxc"),
-        F.sum("w").alias("_tw"),
-        F.sum(F.when(F.col("cluster").isNull(), F.col("w")).otherwise(0.0)).alias("_nw"))
-    per_work = per_work.select(
-        id_col, F.coalesce(F.col("_maxc") + 1, F.lit(0)).alias("n_clusters"),
-        F.when(F.col("_tw") > 0, F.col("_nw") / F.col("_tw")).otherwise(F.lit(0.0)).alias("noise_ratio"))
-    per_cluster = pts.where(F.col("cluster").isNotNull()).groupBy(id_col, "cluster").agg(
-        (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("centroid"),
-        F.count(F.lit(1)).alias("n_members"))
-    return per_work.join(per_cluster, id_col, "left")
+    pts = pts.withColumn("core", F.sum("w").over(by_v.rangeBetween(-reach, reach)) >= min_weight)
+    core_v = F.when(F.col("core"), F.col("v"))
+    pts = pts.withColumn("_pcv", F.last(core_v, ignorenulls=True).over(before))
+    pts = pts.withColumn("_new", F.when(F.col("core") & (F.col("_pcv").isNull() | (F.col("v") - F.col("_pcv") > eps)),
+                                        1).otherwise(0))
+    # running cluster count: for a core its cluster id + 1; for any point the id + 1 of the last core on its left
+    pts = pts.withColumn("_run", F.sum("_new").over(upto))
+    pts = pts.withColumns({"_lv": F.last(core_v, ignorenulls=True).over(upto),
+                           "_rv": F.first(core_v, ignorenulls=True).over(after),
+                           "_rc": F.first(F.when(F.col("core"), F.col("_run") - 1), ignorenulls=True).over(after)})
+    label = (F.when(F.col("core"), F.col("_run") - 1)
+             .when(F.col("_lv").isNotNull() & (F.col("v") - F.col("_lv") <= eps), F.col("_run") - 1)
+             .when(F.col("_rv").isNotNull() & (F.col("_rv") - F.col("v") <= eps), F.col("_rc")))
+    pts = pts.withColumn("cluster", label.cast("long"))
+    per = pts.groupBy(id_col, "cluster").agg(F.sum("w").alias("_sw"), F.sum(F.col("v") * F.col("w")).alias("_svw"),
+                                             F.count(F.lit(1)).alias("n_members"))
+    by_id = Window.partitionBy(id_col)
+    per = per.withColumns({
+        "n_clusters": F.coalesce(F.max("cluster").over(by_id) + 1, F.lit(0)).cast("long"),
+        "_tw": F.sum("_sw").over(by_id),
+        "_nw": F.sum(F.when(F.col("cluster").isNull(), F.col("_sw")).otherwise(0.0)).over(by_id)})
+    per = per.where(F.col("cluster").isNotNull() | (F.col("n_clusters") == 0))
+    return per.select(
+        id_col, "n_clusters",
+        F.when(F.col("_tw") > 0, F.col("_nw") / F.col("_tw")).otherwise(F.lit(0.0)).alias("noise_ratio"),
+        "cluster",
+        F.when(F.col("cluster").isNotNull(), F.col("_svw") / F.col("_sw")).alias("centroid"),
+        F.when(F.col("cluster").isNotNull(), F.col("n_members")).alias("n_members"))
