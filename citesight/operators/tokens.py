@@ -2,9 +2,11 @@
 
 The vocabulary is a corpus job (split, explode, count with map-side
 combine). Tokenising joins each token to the vocabulary: documents are first
-hash-partitioned by id, so exploding, the (broadcast, size-bounded) vocabulary
-lookup and regrouping by id all stay inside that partitioning: the text is
-shuffled once, the tokens never.
+hash-partitioned by id; with a size-capped vocabulary the lookup is a
+broadcast and exploding, lookup and regrouping by id stay inside that
+partitioning (the text is shuffled once, the tokens never). Without a cap the
+lookup is the hot-key split join: frequent words (Zipf) are broadcast, the
+long tail is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citesight.plans.joins import hot_from_counts, split_hot_join
 from citesight.plans.rowindex import with_row_index
 from citesight.session import shuffle_partitions
 
@@ -50,8 +53,12 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, out: s
     toks = docs.select(id_col, F.posexplode(words(text_col)).alias("pos", "token"))
     v = vocab.select("token", "token_id")
     if vocab_max_size is not None and vocab_max_size <= BROADCAST_VOCAB_ROWS:
-        v = F.broadcast(v)  # bounded by the vocabulary size cap
-    j = toks.join(v, "token", "left")
+        j = toks.join(F.broadcast(v), "token", "left")  # bounded by the vocabulary size cap
+    else:
+        # word frequencies are Zipf-shaped: frequent words (known from the vocabulary counts)
+        # are split off and broadcast
+        hot = hot_from_counts(vocab, "token") if "count" in vocab.columns else None
+        j = split_hot_join(toks, v, "token", how="left", hot=hot)
     ids = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
         "pos", F.coalesce("token_id", F.lit(unk)).alias("tid")))).alias("_t"))
     ids = ids.select(id_col, F.concat(F.array(F.lit(bos).cast("long")),
@@ -109,20 +116,23 @@ def embed_batch(df: DataFrame, text_col: str, out: str | None = None, encoder_fa
 
 
 def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame, dim: int,
-              pad: int = PAD, vectors_max_rows: int | None = None) -> DataFrame:
+              pad: int = PAD, vectors_max_rows: int | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """K5: masked mean of token vectors per row (pad excluded, denominator clamped at 1e-9:
     a row without real tokens gets the zero vector).
 
     ``vectors``: (token_id, vec array<float>). The mean is ``Summarizer.mean``
-    (a JVM aggregate with partial aggregation), grouped by row id.
+    (a JVM aggregate with partial aggregation), grouped by row id. ``vocab``
+    (token_id, count) names the frequent tokens for the skew split.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     t = tokens.select(id_col, F.explode(tokens_col).alias("token_id")).where(F.col("token_id") != pad)
     v = vectors.select("token_id", array_to_vector("vec").alias("v"))
     if vectors_max_rows is not None and vectors_max_rows <= BROADCAST_VOCAB_ROWS:
-        v = F.broadcast(v)
-    j = t.join(v, "token_id")
+        j = t.join(F.broadcast(v), "token_id")
+    else:
+        hot = hot_from_counts(vocab, "token_id") if vocab is not None else None
+        j = split_hot_join(t, v, "token_id", hot=hot)
     m = j.groupBy(id_col).agg(Summarizer.mean(F.col("v")).alias("m"))
     m = m.select(id_col, vector_to_array("m", "float64").alias("mean_vec"))
     zero = F.array_repeat(F.lit(0.0).cast("double"), dim)

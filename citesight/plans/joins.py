@@ -27,12 +27,27 @@ def hot_keys(left: DataFrame, key: str, partitions: int | None = None,
             .select(key))
 
 
+def hot_from_counts(counts: DataFrame, key: str, count_col: str = "count", partitions: int | None = None,
+                    min_rows: int = 10_000) -> DataFrame:
+    """Hot keys from a table that already knows each key's frequency (e.g. a vocabulary)."""
+    p = partitions or shuffle_partitions(counts.sparkSession)
+    total = counts.agg(F.sum(count_col).alias("_total"))
+    return (counts.crossJoin(F.broadcast(total))
+            .where((F.col(count_col) * (2 * p) > F.col("_total")) & (F.col(count_col) >= min_rows))
+            .select(key))
+
+
 def split_hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
-                   partitions: int | None = None, min_rows: int = 10_000) -> DataFrame:
-    """``left JOIN right USING (key)`` where ``right`` is unique on ``key``."""
+                   partitions: int | None = None, min_rows: int = 10_000,
+                   hot: DataFrame | None = None) -> DataFrame:
+    """``left JOIN right USING (key)`` where ``right`` is unique on ``key``.
+
+    ``hot``: the hot keys when already known (at most ``2 * partitions`` rows);
+    otherwise they are counted on ``left``.
+    """
     if how not in ("inner", "left"):
         raise ValueError("split_hot_join supports inner and left joins")
-    hot = F.broadcast(hot_keys(left, key, partitions, min_rows))  # <= 2 * partitions rows
+    hot = F.broadcast(hot if hot is not None else hot_keys(left, key, partitions, min_rows))
     right_hot = right.join(hot, key, "left_semi")                  # <= 2 * partitions rows
     left_hot = left.join(hot, key, "left_semi")
     left_cold = left.join(hot, key, "left_anti")
