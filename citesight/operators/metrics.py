@@ -117,6 +117,19 @@ def average_precision(df: DataFrame, y="y", score="prob", group_cols=None) -> Da
         *g, F.when(F.col("P") > 0, F.col("_s") / F.col("P")).alias("average_precision"))
 
 
+def rank_metrics(df: DataFrame, y="y", score="prob", group_cols=None) -> DataFrame:
+    """E6 + E7 from one score curve (one running-sum pass): ``roc_auc``, ``average_precision``."""
+    g = _g(group_cols)
+    c = _curve(df, y, score, g)
+    below = F.col("neg_cum") - F.col("neg")
+    prec = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
+    a = c.groupBy(*g).agg(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("_num"),
+                          F.sum(F.col("pos") * prec).alias("_s"), F.max("P").alias("P"), F.max("N").alias("N"))
+    return a.select(*g, F.when((F.col("P") > 0) & (F.col("N") > 0),
+                               F.col("_num") / (F.col("P") * F.col("N")).cast("double")).alias("roc_auc"),
+                    F.when(F.col("P") > 0, F.col("_s") / F.col("P")).alias("average_precision"))
+
+
 def roc_curve(df: DataFrame, y="y", score="prob", group_cols=None) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, plus the (inf, 0, 0) start."""
     g = _g(group_cols)
@@ -444,8 +457,7 @@ def binary_metric_rows(df: DataFrame, group_cols: Sequence[str], y="y", score="p
     n = df.groupBy(*g).agg(F.count(F.lit(1)).alias("examples"),
                            F.avg(F.abs(col(y) - col(score))).alias("MAE"))
     parts = [n,
-             roc_auc(df, y, score, g),
-             average_precision(df, y, score, g).withColumnRenamed("average_precision", "PR_AUC"),
+             rank_metrics(df, y, score, g).withColumnRenamed("average_precision", "PR_AUC"),
              confusion_at(df, 0.5, y, score, g).select(*g, F.col("balanced_accuracy").alias("balanced_accuracy:50"),
                                                        F.col("f1").alias("F1:50"),
                                                        F.col("recall").alias("recall:50"),
