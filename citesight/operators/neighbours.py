@@ -184,7 +184,9 @@ def rolling_category_topk(corpus: DataFrame, category_col: str, time_col: str, s
     g = [category_col, "_kday"]
     ranked = _topk(j, g, [F.col("_s").desc(), F.col("ref").asc()], top_k)
     nb = _collect(ranked, g, False).withColumnRenamed("_kday", "_day")
-    return base.join(nb, [category_col, "_day"]).select(id_col, category_col, time_col, "graph_ids", "graph_x")
+    # many works share one (category, day): a crowded day is split off and broadcast
+    return split_hot_join(base, nb, [category_col, "_day"]).select(id_col, category_col, time_col,
+                                                                    "graph_ids", "graph_x")
 
 
 def rewindow(corpus: DataFrame, spec: GraphSpec, windows: DataFrame, by_priority: bool = True) -> DataFrame:

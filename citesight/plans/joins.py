@@ -16,15 +16,20 @@ from pyspark.sql import functions as F
 from citesight.session import shuffle_partitions
 
 
-def hot_keys(left: DataFrame, key: str, partitions: int | None = None,
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def hot_keys(left: DataFrame, key, partitions: int | None = None,
              min_rows: int = 10_000) -> DataFrame:
     """Keys of ``left`` holding more than half a fair partition (and at least ``min_rows``)."""
     p = partitions or shuffle_partitions(left.sparkSession)
-    per_key = left.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"))  # partial aggregation map-side
+    k = _keys(key)
+    per_key = left.groupBy(*k).agg(F.count(F.lit(1)).alias("_cnt"))  # partial aggregation map-side
     total = left.agg(F.count(F.lit(1)).alias("_total"))
     return (per_key.crossJoin(F.broadcast(total))
             .where((F.col("_cnt") * (2 * p) > F.col("_total")) & (F.col("_cnt") >= min_rows))
-            .select(key))
+            .select(*k))
 
 
 def hot_from_counts(counts: DataFrame, key: str, count_col: str = "count", partitions: int | None = None,
@@ -37,16 +42,17 @@ def hot_from_counts(counts: DataFrame, key: str, count_col: str = "count", parti
             .select(key))
 
 
-def split_hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
+def split_hot_join(left: DataFrame, right: DataFrame, key, how: str = "inner",
                    partitions: int | None = None, min_rows: int = 10_000,
                    hot: DataFrame | None = None) -> DataFrame:
-    """``left JOIN right USING (key)`` where ``right`` is unique on ``key``.
+    """``left JOIN right USING (key)`` where ``right`` is unique on ``key`` (a column or a list).
 
     ``hot``: the hot keys when already known (at most ``2 * partitions`` rows);
     otherwise they are counted on ``left``.
     """
     if how not in ("inner", "left"):
         raise ValueError("split_hot_join supports inner and left joins")
+    key = _keys(key)
     hot = F.broadcast(hot if hot is not None else hot_keys(left, key, partitions, min_rows))
     right_hot = right.join(hot, key, "left_semi")                  # <= 2 * partitions rows
     left_hot = left.join(hot, key, "left_semi")
