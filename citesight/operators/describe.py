@@ -45,12 +45,19 @@ def balance_weights(counts: DataFrame) -> DataFrame:
     return j.withColumn("weight", w).drop("_total", "_nb")
 
 
-def describe_column(df: DataFrame, col: str) -> DataFrame:
-    """Count, null count, mean, std, min, 25/50/75 % (linear, exact by position), max."""
+def describe_column(df: DataFrame, col: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Count, null count, mean, std, min, 25/50/75 % (linear, exact by position), max.
+
+    ``approx=True`` takes the percentiles from one ``percentile_approx`` sketch instead
+    (one pass, bounded memory, rank error about 1/accuracy)."""
     v = F.col(col).cast("double")
     base = df.agg(F.count(v).alias("count"), F.count_if(v.isNull()).alias("null_count"),
                   F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                  F.min(v).alias("min"), F.max(v).alias("max"))
+                  F.min(v).alias("min"), F.max(v).alias("max"),
+                  *([F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_pq")] if approx else []))
+    if approx:
+        return base.select("count", "null_count", "mean", "std", "min", F.col("_pq")[0].alias("p25"),
+                           F.col("_pq")[1].alias("p50"), F.col("_pq")[2].alias("p75"), "max")
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75]).agg(
         *[F.max(F.when(F.col("q") == x, F.col("value"))).alias(n) for x, n in
           [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]])

@@ -355,13 +355,17 @@ def norm_entropy(df: DataFrame, probs="probs", group_cols=None) -> DataFrame:
 
 
 # ----------------------------------------------------------------- tables behind plots
-def value_histogram(df: DataFrame, value: str, bins: int | str = "auto", group_cols=None) -> DataFrame:
+def value_histogram(df: DataFrame, value: str, bins: int | str = "auto", group_cols=None,
+                    log_scale: bool = False) -> DataFrame:
     """Histogram table (bin, lo, hi, count) with equal-width bins between min and max.
 
     ``bins="auto"``: the smaller width of Sturges and Freedman-Diaconis (exact
     quartiles by position), as numpy does; only global (ungrouped) for auto.
+    ``log_scale``: the histogram of ``ln(v + 1)``.
     """
     g = _g(group_cols)
+    if log_scale:  # histogram of ln(v + 1)
+        df = df.withColumn(value, F.log1p(F.col(value).cast("double")))
     v = F.col(value).cast("double")
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(v))
     st = clean.groupBy(*g).agg(F.min(v).alias("_min"), F.max(v).alias("_max"), F.count(F.lit(1)).alias("_n"))

@@ -44,6 +44,16 @@ def score_batch(model: PipelineModel, table: DataFrame, keep: Sequence[str] = ("
                       F.col("prediction").cast("int").alias("pred"))
 
 
+def score_with(df: DataFrame, model_factory, input_cols: Sequence[str], out: str = "prob",
+               batch_size: int = 256) -> DataFrame:
+    """M2 for a foreign model: ``model_factory()`` returns ``(*numpy inputs) -> numpy scores``,
+    loaded once per Python worker, fed Arrow batches."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import DoubleType
+    udf = predict_batch_udf(model_factory, return_type=DoubleType(), batch_size=batch_size)
+    return df.withColumn(out, udf(*[F.col(c) for c in input_cols]))
+
+
 def save_model(model: PipelineModel, root: str, run_id: str, epoch: int) -> str:
     """M3: save under ``root/run_id/epoch``."""
     path = f"{root.rstrip('/')}/{run_id}/{epoch}"

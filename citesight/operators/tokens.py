@@ -11,7 +11,9 @@ long tail is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +71,19 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, out: s
                           .otherwise(F.coalesce(F.col(out), F.array(F.lit(bos).cast("long"), F.lit(eos).cast("long")))))
 
 
+def tokenise_with(df: DataFrame, text_col: str, tokenizer_factory: Callable, out: str | None = None) -> DataFrame:
+    """K2 with a caller-supplied tokenizer: ``tokenizer_factory()`` returns ``str -> list[int]``;
+    it is built once per task and applied to Arrow batches (null text -> empty list)."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<bigint>")
+    def tok_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tok = tokenizer_factory()  # once per task, reused for every Arrow batch
+        for b in batches:
+            yield b.map(lambda t: [] if t is None else [int(x) for x in tok(str(t))])
+    return df.withColumn(out or f"{text_col}_tokens", tok_udf(F.col(text_col)))
+
+
 def assemble_text(df: DataFrame, cols: Sequence[str], out: str = "to_embed", bos: str = "<s>",
                   eos: str = "</s>") -> DataFrame:
     """K3: ``bos c1 eos bos c2 ... eos``; rows with a null input dropped."""

@@ -87,9 +87,13 @@ def params_frame(spark: SparkSession, params: dict) -> DataFrame:
     return spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "params string")
 
 
-def stage_table(df: DataFrame, path: str | None = None, in_memory: bool = False) -> DataFrame:
+def stage_table(df: DataFrame, path: str | None = None, in_memory: bool | None = False,
+                max_mem_rows: int = 1_000_000) -> DataFrame:
     """Materialise a training table: in memory (spilling to disk), or written to the shared folder
-    and read back (survives executor loss, cuts lineage)."""
+    and read back (survives executor loss, cuts lineage). ``in_memory=None`` decides by row count:
+    up to ``max_mem_rows`` rows stay in memory (one count, a scalar)."""
+    if in_memory is None:
+        in_memory = df.count() <= max_mem_rows
     if in_memory:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession

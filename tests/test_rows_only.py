@@ -63,3 +63,39 @@ def test_model_train_score_save_load(spark, tmp_path):
     back = M.load_model(str(tmp_path), "run", 3)
     s2 = {r.id: r.prob for r in M.score_batch(back, t).collect()}
     assert s == s2 and path.endswith("/run/3")
+
+
+def test_tokenise_with_caller_tokenizer(spark):
+    df = spark.createDataFrame([(1, "ab c"), (2, None)], "id long, t string")
+
+    def factory():
+        return lambda s: [len(w) for w in s.split()]
+    r = {x.id: x.t_tokens for x in K.tokenise_with(df, "t", factory).collect()}
+    assert r == {1: [2, 1], 2: []}
+
+
+def test_score_with_foreign_model(spark):
+    def factory():
+        def predict(x):
+            return x * 0.5
+        return predict
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0)], "id long, v double")
+    r = {x.id: x.prob for x in M.score_with(df, factory, ["v"]).collect()}
+    assert r == {1: 1.0, 2: 2.0}
+
+
+def test_describe_approx_close_to_exact(spark):
+    from citesight.operators import describe as D
+    df = spark.range(0, 1001).selectExpr("cast(id as double) as v")
+    e = D.describe_column(df, "v").collect()[0]
+    a = D.describe_column(df, "v", approx=True).collect()[0]
+    assert e.p50 == 500.0 and abs(a.p50 - 500.0) <= 1.0
+
+
+def test_length_feature_rejects_other_types(spark):
+    import pytest
+
+    from citesight.operators import filters as P
+    df = spark.createDataFrame([(1, 2.0)], "id long, v double")
+    with pytest.raises(TypeError):
+        P.length_feature(df, ["v"])
