@@ -27,3 +27,13 @@ def safe_div(a, b) -> Column:
 
 def array_sum(c, zero=0.0) -> Column:
     return F.aggregate(col(c), F.lit(zero).cast("double"), lambda acc, x: acc + x)
+
+
+def with_scalars(df, one_row, cols=None):
+    """Attach the columns of a one-row aggregate as scalar subqueries.
+
+    Each is evaluated once (Spark merges them into one subquery) and inlined
+    as a value: no join, nothing broadcast but the value itself.
+    """
+    cols = list(cols or one_row.columns)
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in cols])

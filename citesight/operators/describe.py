@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesight.plans.rowindex import exact_quantiles
+from citesight.functions.columns import with_scalars
 
 
 def _label(a, b) -> str:
@@ -31,7 +32,7 @@ def bucket_counts(df: DataFrame, col: str, boundaries: Sequence[float]) -> DataF
 def bucket_proportions(counts: DataFrame) -> DataFrame:
     """Share of rows in percent (``pct``) and rounded to one place (null when no rows)."""
     tot = counts.agg(F.sum("count").alias("_total"))
-    j = counts.crossJoin(F.broadcast(tot))
+    j = with_scalars(counts, tot)
     pct = F.try_divide(F.col("count") * 100.0, F.col("_total"))
     return j.withColumns({"pct": pct, "proportion": F.round(pct, 1)}).drop("_total")
 
@@ -39,7 +40,7 @@ def bucket_proportions(counts: DataFrame) -> DataFrame:
 def balance_weights(counts: DataFrame) -> DataFrame:
     """D3: ``total / (n_buckets * count)``, NaN for an empty bucket."""
     tot = counts.agg(F.sum("count").alias("_total"), F.count(F.lit(1)).alias("_nb"))
-    j = counts.crossJoin(F.broadcast(tot))
+    j = with_scalars(counts, tot)
     w = F.when(F.col("count") == 0, F.lit(float("nan"))).otherwise(
         F.col("_total") / (F.col("_nb") * F.col("count")).cast("double"))
     return j.withColumn("weight", w).drop("_total", "_nb")
@@ -61,4 +62,4 @@ def describe_column(df: DataFrame, col: str, approx: bool = False, accuracy: int
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75]).agg(
         *[F.max(F.when(F.col("q") == x, F.col("value"))).alias(n) for x, n in
           [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]])
-    return base.crossJoin(q).select("count", "null_count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return with_scalars(base, q).select("count", "null_count", "mean", "std", "min", "p25", "p50", "p75", "max")

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citesight.functions.columns import col
+from citesight.functions.columns import col, with_scalars
 from citesight.plans.rowindex import cumulative_sums, exact_quantiles
 
 
@@ -103,7 +103,7 @@ def _curve(df: DataFrame, y, score, g: list[str]) -> DataFrame:
     pts = _points(df, y, score, g)
     totals = pts.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     # one row per group: bounded by the number of groups
-    j = pts.join(F.broadcast(totals), g) if g else pts.crossJoin(F.broadcast(totals))
+    j = pts.join(F.broadcast(totals), g) if g else with_scalars(pts, totals)
     return j.withColumns({"tp": F.col("P") - F.col("pos_cum") + F.col("pos"),
                           "fp": F.col("N") - F.col("neg_cum") + F.col("neg")})
 
@@ -232,10 +232,10 @@ def roc_auc_ovo(df: DataFrame, probs="probs", y="y", group_cols=None, weighted:
     pairs weighted by their share of rows (or plain mean)."""
     g = _g(group_cols)
     classes = df.select(*g, F.col(y).cast("int").alias("b")).distinct()  # bounded by the class count
-    rows = df.select(*g, F.col(y).cast("int").alias("a"), F.col(probs).alias("_p"))
-    # each row of class a meets every other present class b
-    pairs = rows.join(F.broadcast(classes), g, "inner") if g else rows.crossJoin(F.broadcast(classes))
-    pairs = pairs.where(F.col("a") != F.col("b"))
+    # each row of class a meets every other class b of its probability vector that occurs in y
+    rows = df.select(*g, F.col(y).cast("int").alias("a"), F.col(probs).alias("_p"),
+                     F.explode(F.sequence(F.lit(0), F.size(probs) - 1)).alias("b"))
+    pairs = rows.join(F.broadcast(classes), [*g, "b"], "left_semi").where(F.col("a") != F.col("b"))
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     # direction d scores the pair with p[d]; the row is positive when its class is d
     rec = pairs.select(*g, lo.alias("lo"), hi.alias("hi"), "a", "b", "_p").select(
@@ -249,7 +249,7 @@ def roc_auc_ovo(df: DataFrame, probs="probs", y="y", group_cols=None, weighted:
     tot = n_cls.groupBy(*g).agg(F.sum("n").alias("total"))
     pr = (pair.join(n_cls.withColumnRenamed("c", "lo").withColumnRenamed("n", "n_lo"), [*g, "lo"])
           .join(n_cls.withColumnRenamed("c", "hi").withColumnRenamed("n", "n_hi"), [*g, "hi"]))
-    pr = pr.join(tot, g) if g else pr.crossJoin(tot)
+    pr = pr.join(F.broadcast(tot), g) if g else with_scalars(pr, tot)
     prev = (F.col("n_lo") + F.col("n_hi")) / F.col("total")
     if weighted:
         return pr.groupBy(*g).agg((F.sum(F.col("pair_auc") * prev) / F.sum(prev)).alias("roc_auc_ovo"))
@@ -375,7 +375,7 @@ def value_histogram(df: DataFrame, value: str, bins: int | str = "auto", group_c
         q = exact_quantiles(clean, value, [0.25, 0.75]).agg(
             (F.max(F.when(F.col("q") == 0.75, F.col("value"))) - F.max(F.when(F.col("q") == 0.25, F.col("value"))))
             .alias("_iqr"))
-        st = st.crossJoin(q)
+        st = with_scalars(st, q)
         rng = F.col("_max") - F.col("_min")
         sturges = rng / (F.log2(F.col("_n").cast("double")) + 1.0)
         fd = 2.0 * F.col("_iqr") * F.pow(F.col("_n").cast("double"), -1.0 / 3.0)
@@ -384,7 +384,7 @@ def value_histogram(df: DataFrame, value: str, bins: int | str = "auto", group_c
         st = st.withColumn("_nb", nb.cast("int"))
     else:
         st = st.withColumn("_nb", F.lit(int(bins)))
-    j = clean.join(F.broadcast(st), g) if g else clean.crossJoin(F.broadcast(st))
+    j = clean.join(F.broadcast(st), g) if g else with_scalars(clean, st)
     rng = F.col("_max") - F.col("_min")
     b = F.when(rng > 0, F.least(F.floor((v - F.col("_min")) / rng * F.col("_nb")), F.col("_nb") - 1)).otherwise(0)
     counts = j.groupBy(*g, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -402,7 +402,7 @@ def prob_histogram_by_class(df: DataFrame, y="y", score="prob", n_bins: int = 40
     g = _g(group_cols)
     s = F.col(score).cast("double")
     st = df.groupBy(*g).agg(F.min(s).alias("_min"), F.max(s).alias("_max"), F.count(F.lit(1)).alias("_n"))
-    j = df.join(F.broadcast(st), g) if g else df.crossJoin(F.broadcast(st))
+    j = df.join(F.broadcast(st), g) if g else with_scalars(df, st)
     rng = F.col("_max") - F.col("_min")
     b = F.when(rng > 0, F.least(F.floor((s - F.col("_min")) / rng * n_bins), F.lit(n_bins - 1))).otherwise(0)
     c = j.groupBy(*g, F.col(y).alias("cls"), b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -471,7 +471,7 @@ def binary_metric_rows(df: DataFrame, group_cols: Sequence[str], y="y", score="p
                                                     F.col("recall").alias("recall:best_acc"))]
     wide = parts[0]
     for p in parts[1:]:
-        wide = wide.join(p, g, "left") if g else wide.crossJoin(p)
+        wide = wide.join(p, g, "left") if g else with_scalars(wide, p)
     names = [c for c in wide.columns if c not in g and c != "examples"]
     rows = metric_rows(wide, g, names, "examples", prefix)
     ex = wide.select(*g, F.lit("examples").alias("metric"), F.col("examples").cast("double").alias("score"),

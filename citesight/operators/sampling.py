@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesight.plans.rowindex import with_row_index
+from citesight.functions.columns import with_scalars
 
 TAKE_ORDERED_MAX = 100_000
 _U53 = float(2 ** 53)
@@ -45,9 +46,10 @@ def sample_uniform_replace(df: DataFrame, n: int, seed: int = 0, order_cols: Seq
     """``n`` uniform draws with replacement: draw i picks position
     ``floor(u_i * rows)`` of the ordered table (equi-join on the position)."""
     spark = df.sparkSession
-    ix = with_row_index(df, order_cols, "_pos")
-    total = df.agg(F.count(F.lit(1)).alias("_rows"))
-    draws = spark.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total))
+    ix = with_row_index(df, order_cols, "_pos", total_name="_rows")
+    total = ix.agg(F.max("_rows").alias("_rows"))  # read off the pinned index, no pass over the input
+    ix = ix.drop("_rows")
+    draws = with_scalars(spark.range(n).withColumnRenamed("id", "draw"), total)
     draws = draws.select("draw", F.floor(_uniform(F.col("draw"), seed=seed) * F.col("_rows")).cast("long").alias("_pos"))
     return draws.join(ix, "_pos").drop("_pos")
 
@@ -58,7 +60,7 @@ def inverse_freq_weights(df: DataFrame, col: str, n_bins: int = 100, out_bin: st
     when min = max); row weight ``1 / (bin count + 1e-6)``."""
     v = F.col(col).cast("double")
     st = df.agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"))
-    j = df.crossJoin(F.broadcast(st))  # one row
+    j = with_scalars(df, st)
     rng = F.col("_mx") - F.col("_mn")
     b = F.when(rng == 0, F.lit(0)).otherwise(
         F.least(F.greatest(((v - F.col("_mn")) / rng * n_bins).cast("long"), F.lit(0)), F.lit(n_bins - 1)))
@@ -87,7 +89,7 @@ def sample_weighted_replace(binned: DataFrame, n: int | None = None, seed: int =
     if n is None:
         n = binned.count()  # a scalar; the draws themselves are generated in parallel
     draws = spark.range(n)
-    draws = draws.withColumnRenamed("id", "draw").crossJoin(F.broadcast(tot))
+    draws = with_scalars(draws.withColumnRenamed("id", "draw"), tot)
     draws = draws.withColumns({"_u1": _uniform(F.col("draw"), F.lit(1), seed=seed) * F.col("_M"),
                                "_u2": _uniform(F.col("draw"), F.lit(2), seed=seed)})
     b = F.broadcast(bins.select(bin_col, "_cnt", "_mlo", "_mhi", "_start"))

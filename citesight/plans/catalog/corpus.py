@@ -95,6 +95,7 @@ def p10t(spark, sf):
 from citesight.operators import describe as D  # noqa: E402
 from citesight.operators import sampling as B  # noqa: E402
 from citesight.sources import io as S  # noqa: E402
+from citesight.functions.columns import with_scalars
 
 _IDX = W + """, ix AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx, count(*) OVER () AS n FROM works)
 """
@@ -148,7 +149,7 @@ def s7p(spark, sf):
     # run parameters as one JSON row, next to the counts they describe
     p = S.params_frame(spark, {"sf_dir": sf, "chunks": 7, "compression": "zstd", "level": 1})
     n = fx.works(spark, sf).agg(F.count(F.lit(1)).alias("rows"))
-    return p.crossJoin(n)
+    return with_scalars(p, n)
 
 
 @register("s8_stage_table", W + "SELECT id, cited_by_count FROM works WHERE referenced_works IS NOT NULL")

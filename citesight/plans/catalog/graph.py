@@ -356,6 +356,7 @@ def l10(spark, sf):
 # ------------------------------------------------------------------ models (M), rows-only
 from citesight.operators import model as M  # noqa: E402
 from citesight.sources import io as S  # noqa: E402
+from citesight.functions.columns import with_scalars
 
 SPEC_TRAIN = G.GraphSpec(t_start="1996-01-01", t_end="1999-01-01", top_k=3,
                          predicate="cited_by_count >= 1 AND size(referenced_works) >= 5")
@@ -369,7 +370,7 @@ def _labelled(spark, sf, spec):
     # class-balance weights: total / (classes * class count), one grouped count joined back
     cnt = t.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
     tot = cnt.agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    w = cnt.crossJoin(tot).select("label", (F.col("_t") / (F.col("_k") * F.col("_c"))).alias("weight"))
+    w = with_scalars(cnt, tot).select("label", (F.col("_t") / (F.col("_k") * F.col("_c"))).alias("weight"))
     # staged in the shared folder: the optimizer's passes read it, not the join plan
     return S.stage_table(t.join(F.broadcast(w), "label"))
 

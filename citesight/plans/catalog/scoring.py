@@ -10,6 +10,7 @@ from citesight.operators import metrics as E
 from citesight.plans.catalog import sqlgen as Q
 from citesight.plans.registry import register
 from citesight.sources import fixtures as fx
+from citesight.functions.columns import with_scalars
 
 SW = fx.with_views("scored_windows")
 S = fx.with_views("scored")
@@ -56,7 +57,7 @@ def e1(spark, sf):
 def e2(spark, sf):
     a = E.mae(fx.regressed(spark, sf)).select(r6("mae").alias("mae_regression"))
     b = E.mae(fx.scored(spark, sf), "y", "prob").select(r6("mae").alias("mae_probability"))
-    return a.crossJoin(b)
+    return with_scalars(a, b)
 
 
 @register("e3_wape", RG + "SELECT round(100 * sum(abs(y - pred)) / sum(y), 6) AS wape FROM regressed")

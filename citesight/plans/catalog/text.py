@@ -152,7 +152,7 @@ def token_vectors(spark, sf):
     n = e.agg(F.count(F.lit(1)).alias("_n"))
     v = _vocab(spark, sf).select("token_id")
     specials = spark.createDataFrame([(i,) for i in range(len(K.SPECIALS))], "token_id long")
-    ids = v.unionByName(specials).crossJoin(F.broadcast(n))
+    ids = with_scalars(v.unionByName(specials), n)
     return ids.join(e, (F.col("token_id") % F.col("_n")) == e.vec_id).select("token_id", F.col("embedding").alias("vec"))
 
 
@@ -171,6 +171,7 @@ def k5(spark, sf):
 # ---------------------------------------------------------------- streaming
 from citesight.sources import io as S  # noqa: E402
 from citesight.streaming import stream as ST  # noqa: E402
+from citesight.functions.columns import with_scalars
 
 
 def stream_transform(d):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesight.session import shuffle_partitions
+from citesight.functions.columns import with_scalars
 
 
 def _keys(key) -> list[str]:
@@ -27,7 +28,7 @@ def hot_keys(left: DataFrame, key, partitions: int | None = None,
     k = _keys(key)
     per_key = left.groupBy(*k).agg(F.count(F.lit(1)).alias("_cnt"))  # partial aggregation map-side
     total = left.agg(F.count(F.lit(1)).alias("_total"))
-    return (per_key.crossJoin(F.broadcast(total))
+    return (with_scalars(per_key, total)
             .where((F.col("_cnt") * (2 * p) > F.col("_total")) & (F.col("_cnt") >= min_rows))
             .select(*k))
 
@@ -37,7 +38,7 @@ def hot_from_counts(counts: DataFrame, key: str, count_col: str = "count", parti
     """Hot keys from a table that already knows each key's frequency (e.g. a vocabulary)."""
     p = partitions or shuffle_partitions(counts.sparkSession)
     total = counts.agg(F.sum(count_col).alias("_total"))
-    return (counts.crossJoin(F.broadcast(total))
+    return (with_scalars(counts, total)
             .where((F.col(count_col) * (2 * p) > F.col("_total")) & (F.col(count_col) >= min_rows))
             .select(key))
 

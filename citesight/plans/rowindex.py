@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesight.session import ensure_checkpoint_dir, shuffle_partitions
+from citesight.functions.columns import with_scalars
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -36,13 +37,14 @@ def _cols(cs) -> list[Column]:
 
 
 def with_row_index(df: DataFrame, order_cols: Sequence, name: str = "idx",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, total_name: str | None = None) -> DataFrame:
     """Add ``name`` = global 0-based position by ``order_cols``.
 
     ``order_cols`` must be a total order (end it with a unique key). The
     tagged frame is pinned (checkpointed) so both branches of the plan see
     the same partition ids; the explicit partition count keeps AQE from
-    coalescing the range exchange.
+    coalescing the range exchange. ``total_name`` adds the row count, read off the
+    per-partition table (no extra pass over the data).
     """
     n = num_partitions or shuffle_partitions(df.sparkSession)
     oc = _cols(order_cols)
@@ -54,9 +56,10 @@ def with_row_index(df: DataFrame, order_cols: Sequence, name: str = "idx",
     # at most `n` rows: one per range partition
     offs = counts.select("_pid", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
+        F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    extra = [F.col("_total").alias(total_name)] if total_name else []
     return (t.join(F.broadcast(offs), "_pid")
-            .select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_lid")).alias(name)))
+            .select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_lid")).alias(name), *extra))
 
 
 def cumulative_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
@@ -95,10 +98,10 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
     vals = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
     ranked = with_row_index(vals.select(F.col(col).cast("double").alias("_v"), tie.alias("_tie")),
-                            ["_v", "_tie"], name="_i")
-    n = vals.agg(F.count(F.lit(1)).alias("_cnt"))
+                            ["_v", "_tie"], name="_i", total_name="_cnt")
+    n = ranked.agg(F.coalesce(F.max("_cnt"), F.lit(0)).alias("_cnt"))
     qdf = spark.createDataFrame([(float(q),) for q in qs], "q double")
-    pos = qdf.crossJoin(n).select(
+    pos = with_scalars(qdf, n).select(
         "q", "_cnt", (F.col("q") * (F.col("_cnt") - 1)).alias("_pos"))
     pos = pos.select("q", "_cnt", "_pos", F.floor("_pos").alias("_lo"), F.ceil("_pos").alias("_hi"))
     need = (pos.select(F.col("_lo").alias("_i")).union(pos.select(F.col("_hi").alias("_i")))

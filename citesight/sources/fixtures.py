@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from citesight.functions.columns import with_scalars
 
 # Fixed values of the synthetic citation rule: order k cites order k - d for
 # each d below when that order is strictly older. One equi-join on the unique
@@ -50,7 +51,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders.join(customer, orders.o_custkey == customer.c_custkey)
     w = (o.join(refs, o.o_orderkey == refs.id, "left").drop("id")
          .join(series, o.o_orderkey == series.id, "left").drop("id")
-         .crossJoin(F.broadcast(n_vec)).crossJoin(F.broadcast(n_doc)))
+         .transform(lambda d: with_scalars(with_scalars(d, n_vec), n_doc)))
     return w.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderdate").cast("date").alias("publication_date"),

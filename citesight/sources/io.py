@@ -36,9 +36,9 @@ def ordered_chunks(df: DataFrame, order_cols: Sequence, n_chunks: int = 1, part:
                    keep_index: bool = False) -> DataFrame:
     """``part = idx // ceil(n / N)`` clipped to ``[0, N - 1]`` by the global order ``order_cols``."""
     n_chunks = max(int(n_chunks), 1)
-    ix = with_row_index(df, order_cols, "_idx")
+    ix = with_row_index(df, order_cols, "_idx", total_name="_n")
     size = F.greatest(F.ceil(F.col("_n") / F.lit(n_chunks)), F.lit(1))
-    out = ix.crossJoin(F.broadcast(_count(df))).withColumn(
+    out = ix.withColumn(
         part, F.least(F.greatest(F.floor(F.col("_idx") / size), F.lit(0)), F.lit(n_chunks - 1)).cast("int"))
     out = out.drop("_n")
     return out if keep_index else out.drop("_idx")
