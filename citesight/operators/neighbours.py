@@ -59,10 +59,12 @@ def prepare_corpus(df: DataFrame, spec: GraphSpec) -> DataFrame:
 
 
 def citation_edges(corpus: DataFrame, spec: GraphSpec, targets: DataFrame | None = None,
-                   extra_target_cols: Sequence[str] = ()) -> DataFrame:
+                   extra_target_cols: Sequence[str] = (), with_features: bool = False) -> DataFrame:
     """G1: one row per (citing work, reference) whose both ends are in ``corpus``.
 
     Right-hand columns get the ``_referenced`` suffix; duplicate references are kept.
+    Edges are light by default (ids, categories, sort keys): the neighbour
+    feature is fetched only for the top-k survivors (``attach_features``).
     """
     t = corpus if targets is None else targets
     left = t.select(spec.id_col, *extra_target_cols, *spec.category_cols,
@@ -71,10 +73,24 @@ def citation_edges(corpus: DataFrame, spec: GraphSpec, targets: DataFrame | None
                           *[F.col(c).alias(c + SUFFIX) for c in dict.fromkeys([*spec.category_cols,
                                                                                *spec.sort_cols,
                                                                                spec.time_col])],
-                          F.col(spec.feature_col).alias("feature" + SUFFIX))
+                          *([F.col(spec.feature_col).alias("feature" + SUFFIX)] if with_features else []))
     return split_hot_join(left, right, "ref")
 
 
+def attach_features(ranked: DataFrame, corpus: DataFrame, spec: GraphSpec) -> DataFrame:
+    """Late materialisation: the neighbour feature for the (at most k per target) kept edges.
+
+    The kept side is at most k rows per target, so a popular neighbour holds
+    at most one row per target that keeps it; AQE's skew-join split handles a
+    neighbour kept by a large share of targets (counting hot keys here would
+    recompute the whole ranking).
+    """
+    if "feature" + SUFFIX in ranked.columns:
+        return ranked
+    feats = corpus.select(F.col(spec.id_col).alias("ref"), F.col(spec.feature_col).alias("feature" + SUFFIX))
+    return ranked.join(feats, "ref")
+
+
 def category_match(edges: DataFrame, category_cols: Sequence[str]) -> DataFrame:
     """Keep an edge when any category is equal at both ends."""
     cond = F.lit(False)
@@ -94,6 +110,8 @@ def _topk(edges: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
 
 
 def _collect(ranked: DataFrame, group_cols: Sequence[str], flatten: bool) -> DataFrame:
+    if "feature" + SUFFIX not in ranked.columns:
+        ranked = ranked.withColumn("feature" + SUFFIX, F.lit(None))
     agg = ranked.groupBy(*group_cols).agg(F.array_sort(F.collect_list(
         F.struct("rank", "ref", F.col("feature" + SUFFIX).alias("f")))).alias("_nb"))
     feats = F.transform("_nb", lambda s: s["f"])
@@ -102,16 +120,22 @@ def _collect(ranked: DataFrame, group_cols: Sequence[str], flatten: bool) -> Dat
                       (F.flatten(feats) if flatten else feats).alias("graph_x"))
 
 
-def topk_by_sort(edges: DataFrame, spec: GraphSpec, group_cols: Sequence[str] | None = None) -> DataFrame:
+def topk_by_sort(edges: DataFrame, spec: GraphSpec, group_cols: Sequence[str] | None = None,
+                 corpus: DataFrame | None = None) -> DataFrame:
     """Per citing work the ``top_k`` neighbours by the neighbour's sort columns
-    (descending), then neighbour id; their features in that order."""
+    (descending), then neighbour id; their features in that order (fetched from
+    ``corpus`` for the survivors when the edges are light)."""
     g = list(group_cols or [spec.id_col])
     order = [F.col(c + SUFFIX).desc() for c in spec.sort_cols] + [F.col("ref").asc()]
-    return _collect(_topk(edges, g, order, spec.top_k), g, spec.flatten_features)
+    ranked = _topk(edges, g, order, spec.top_k)
+    if corpus is not None:
+        ranked = attach_features(ranked.select(*g, "rank", "ref"), corpus, spec)
+    return _collect(ranked, g, spec.flatten_features)
 
 
 def topk_by_category_priority(edges: DataFrame, spec: GraphSpec,
-                              group_cols: Sequence[str] | None = None) -> DataFrame:
+                              group_cols: Sequence[str] | None = None,
+                              corpus: DataFrame | None = None) -> DataFrame:
     """rank = first matching category, then the neighbour's sort columns
     (ascending unless ``sort_descending``), then neighbour id; keep ``top_k``."""
     g = list(group_cols or [spec.id_col])
@@ -119,6 +143,8 @@ def topk_by_category_priority(edges: DataFrame, spec: GraphSpec,
     sc = [F.col(c + SUFFIX).desc() if spec.sort_descending else F.col(c + SUFFIX).asc() for c in spec.sort_cols]
     ranked = _topk(edges.withColumn("priority", pri), g, [F.col("priority").asc(), *sc, F.col("ref").asc()],
                    spec.top_k)
+    if corpus is not None:
+        ranked = attach_features(ranked.select(*g, "rank", "ref"), corpus, spec)
     return _collect(ranked, g, spec.flatten_features)
 
 
@@ -138,7 +164,8 @@ def neighbourhood_table(corpus: DataFrame, spec: GraphSpec, by_priority: bool =
         # t_start only cuts targets; pushing it before the explode keeps history as neighbours
         t = t.where(F.col(spec.time_col) >= F.lit(spec.t_start))
     edges = category_match(citation_edges(c, spec, t), spec.category_cols)
-    nb = topk_by_category_priority(edges, spec) if by_priority else topk_by_sort(edges, spec)
+    nb = (topk_by_category_priority(edges, spec, corpus=c) if by_priority
+          else topk_by_sort(edges, spec, corpus=c))
     types = {f.name: f.dataType for f in c.schema.fields}
     out = t.join(nb, spec.id_col, "inner").select(
         spec.id_col, spec.time_col, _concat(spec.x_cols, types).alias("x"), "graph_x", "graph_ids",
@@ -204,7 +231,8 @@ def rewindow(corpus: DataFrame, spec: GraphSpec, windows: DataFrame, by_priority
     edges = edges.where(F.col(tcol + SUFFIX) < F.col("window_end"))
     edges = category_match(edges, spec.category_cols)
     g = [spec.id_col, "window_start"]
-    nb = (topk_by_category_priority(edges, spec, g) if by_priority else topk_by_sort(edges, spec, g))
+    nb = (topk_by_category_priority(edges, spec, g, corpus=c) if by_priority
+          else topk_by_sort(edges, spec, g, corpus=c))
     types = {f.name: f.dataType for f in c.schema.fields}
     out = t.join(nb, g, "inner").select(
         "window_start", "window_end", spec.id_col, tcol, _concat(spec.x_cols, types).alias("x"),
