@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesight.functions.columns import list_len
-from citesight.plans.joins import split_hot_join
+from citesight.plans.joins import hot_from_counts, split_hot_join
 
 SUFFIX = "_referenced"
 
@@ -43,6 +43,8 @@ class GraphSpec:
     graph_max_len: int | None = None
     flatten_features: bool = False      # token lists: concatenate; vectors: keep a list of vectors
     required: Sequence[str] = field(default_factory=tuple)
+    hot_count_col: str | None = "cited_by_count"  # in-degree column naming hot cited works, if present
+    hot_min_rows: int = 10_000                     # a key is split off only above this many edges
 
 
 def prepare_corpus(df: DataFrame, spec: GraphSpec) -> DataFrame:
@@ -50,7 +52,8 @@ def prepare_corpus(df: DataFrame, spec: GraphSpec) -> DataFrame:
     used = list(dict.fromkeys([spec.id_col, spec.refs_col, spec.time_col, *spec.category_cols,
                                *spec.sort_cols, spec.feature_col, *spec.x_cols, *spec.y_cols,
                                *spec.required]))
-    df = df.select(*used).dropna(how="any", subset=used)
+    extra = [spec.hot_count_col] if spec.hot_count_col in df.columns and spec.hot_count_col not in used else []
+    df = df.select(*used, *extra).dropna(how="any", subset=used)
     if spec.predicate is not None:
         df = df.where(F.expr(spec.predicate) if isinstance(spec.predicate, str) else spec.predicate)
     if spec.t_end is not None:
@@ -74,7 +77,12 @@ def citation_edges(corpus: DataFrame, spec: GraphSpec, targets: DataFrame | None
                                                                                *spec.sort_cols,
                                                                                spec.time_col])],
                           *([F.col(spec.feature_col).alias("feature" + SUFFIX)] if with_features else []))
-    return split_hot_join(left, right, "ref")
+    hot = None
+    if spec.hot_count_col and spec.hot_count_col in corpus.columns:
+        # the in-degree is already a column: hot cited works without counting the edges
+        hot = hot_from_counts(corpus.select(F.col(spec.id_col).alias("ref"), spec.hot_count_col),
+                              "ref", spec.hot_count_col, min_rows=spec.hot_min_rows)
+    return split_hot_join(left, right, "ref", hot=hot, min_rows=spec.hot_min_rows)
 
 
 def attach_features(ranked: DataFrame, corpus: DataFrame, spec: GraphSpec) -> DataFrame:

@@ -84,3 +84,19 @@ def test_rolling_window_right_closed(spark):
     assert r[1] == [1]
     assert r[3] == [2, 3]          # (Jan 1, Jan 31]: 1 is out
     assert r[4] == [2, 3]          # (Jan 3, Feb 2]
+
+
+def test_hot_cited_work_same_result_when_split(spark):
+    # work 0 is cited by every other work (a third of all edges and more)
+    rows = [(0, d(1990), [], "a", "x", 0.5, [0.0], 300)]
+    rows += [(i, d(1991), [0, i - 1] if i > 1 else [0], "a" if i % 2 else "b", "x", float(i % 7), [float(i)], 1)
+             for i in range(1, 300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = G.GraphSpec(top_k=2, hot_min_rows=10**9)
+    split = G.GraphSpec(top_k=2, hot_min_rows=1)
+    a = sorted((r.id, tuple(r.graph_ids)) for r in G.neighbourhood_table(df, plain).collect())
+    b = sorted((r.id, tuple(r.graph_ids)) for r in G.neighbourhood_table(df, split).collect())
+    assert a == b and len(a) == 299
+    for no_count in (G.GraphSpec(top_k=2, hot_min_rows=1, hot_count_col=None),):
+        c = sorted((r.id, tuple(r.graph_ids)) for r in G.neighbourhood_table(df, no_count).collect())
+        assert c == a
