@@ -213,12 +213,13 @@ def rolling_category_topk(corpus: DataFrame, category_col: str, time_col: str, s
     keys = keys.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_lo") + 1) / period_days),
                                                       F.floor(F.col("_hi") / period_days))))
     cand = pruned.select(category_col, F.col(id_col).alias("ref"), F.col("_day").alias("_cday"),
-                         F.col(sort_col).alias("_s"), F.col(feature_col).alias("feature" + SUFFIX),
-                         F.floor(F.col("_day") / period_days).alias("_b"))
+                         F.col(sort_col).alias("_s"), F.floor(F.col("_day") / period_days).alias("_b"))
     j = keys.join(cand, [category_col, "_b"]).where((F.col("_cday") > F.col("_lo")) & (F.col("_cday") <= F.col("_hi")))
     g = [category_col, "_kday"]
-    ranked = _topk(j, g, [F.col("_s").desc(), F.col("ref").asc()], top_k)
-    nb = _collect(ranked, g, False).withColumnRenamed("_kday", "_day")
+    ranked = _topk(j, g, [F.col("_s").desc(), F.col("ref").asc()], top_k).select(*g, "rank", "ref")
+    # features only for the kept k per (category, day), not for every candidate in the window
+    feats = base.select(F.col(id_col).alias("ref"), F.col(feature_col).alias("feature" + SUFFIX))
+    nb = _collect(ranked.join(feats, "ref"), g, False).withColumnRenamed("_kday", "_day")
     # many works share one (category, day): a crowded day is split off and broadcast
     return split_hot_join(base, nb, [category_col, "_day"]).select(id_col, category_col, time_col,
                                                                     "graph_ids", "graph_x")
