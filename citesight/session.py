@@ -64,7 +64,7 @@ def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes:
     Aims at about ``target_partition_bytes`` per shuffle partition (spill-friendly
     on a few-GB executor core), never fewer partitions than three waves of
     cores, and lets AQE coalesce small ones and split skewed ones.
-    Example: 100 TB on 1000 executors x 8 cores -> 400,000 shuffle partitions.
+    Example: 100 TB on 1000 executors x 8 cores -> 409,600 shuffle partitions.
     """
     parts = max(3 * total_cores, -(-int(input_bytes) // target_partition_bytes))
     return {
