@@ -21,14 +21,6 @@ def r6(c) -> Column:
     return F.round(col(c).cast("double"), 6)
 
 
-def safe_div(a, b) -> Column:
-    return F.try_divide(col(a).cast("double"), col(b).cast("double"))
-
-
-def array_sum(c, zero=0.0) -> Column:
-    return F.aggregate(col(c), F.lit(zero).cast("double"), lambda acc, x: acc + x)
-
-
 def with_scalars(df, one_row, cols=None):
     """Attach the columns of a one-row aggregate as scalar subqueries.
 

@@ -24,10 +24,6 @@ def _round_all(df, keep=()):
                        and f.name not in keep else F.col(f.name) for f in df.schema.fields])
 
 
-def _r(cols, src=""):
-    return ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in cols)
-
-
 # ---------------------------------------------------------------- E1-E5
 _NAN = SW + """, sn AS (SELECT id, w, y, CASE WHEN y = 0 AND prob > 0.7 THEN CAST('nan' AS DOUBLE) ELSE prob END AS prob
   FROM scored_windows)

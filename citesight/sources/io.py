@@ -28,10 +28,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/citesight-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("_n"))
-
-
 def ordered_chunks(df: DataFrame, order_cols: Sequence, n_chunks: int = 1, part: str = "part",
                    keep_index: bool = False) -> DataFrame:
     """``part = idx // ceil(n / N)`` clipped to ``[0, N - 1]`` by the global order ``order_cols``."""
