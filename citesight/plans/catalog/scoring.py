@@ -47,7 +47,7 @@ def e1(spark, sf):
     return rep.join(kept, "w", "left").select("w", "rows", "prob_nan", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-@register("e2_mae", RG + S + "" if False else fx.with_views("regressed", "scored") + """SELECT
+@register("e2_mae", fx.with_views("regressed", "scored") + """SELECT
   (SELECT round(avg(abs(y - pred)), 6) FROM regressed) AS mae_regression,
   (SELECT round(avg(abs(y - prob)), 6) FROM scored) AS mae_probability""")
 def e2(spark, sf):

@@ -51,10 +51,9 @@ st AS (SELECT greatest(avg(length(text)) - 3 * stddev_samp(length(text)), 50.0)
 SELECT doc_id, NOT (length(text) < lo OR length(text) > hi) AS kept FROM t, st"""
 
 
-@register("c4_length_outliers", _C4.replace("WITH ", "WITH ", 1))
+@register("c4_length_outliers", _C4)
 def c4(spark, sf):
-    d = fx.documents(spark, sf).withColumn("_orig", F.col("text"))
-    d = C.length_outliers(d, "text", min_len=50, upper=True)
+    d = C.length_outliers(fx.documents(spark, sf), "text", min_len=50, upper=True)
     return d.select("doc_id", F.col("text").isNotNull().alias("kept"))
 
 
