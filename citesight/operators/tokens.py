@@ -27,6 +27,7 @@ PAD, BOS, EOS, UNK = 0, 1, 2, 3
 SPECIALS = ["<pad>", "<bos>", "<eos>", "<unk>"]
 SPLIT_PATTERN = "[^\\p{L}\\p{N}]+"
 BROADCAST_VOCAB_ROWS = 2_000_000
+BROADCAST_VECTOR_BYTES = 512 << 20
 
 
 def words(text) -> Column:
@@ -143,7 +144,9 @@ def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFram
     from pyspark.ml.stat import Summarizer
     t = tokens.select(id_col, F.explode(tokens_col).alias("token_id")).where(F.col("token_id") != pad)
     v = vectors.select("token_id", array_to_vector("vec").alias("v"))
-    if vectors_max_rows is not None and vectors_max_rows <= BROADCAST_VOCAB_ROWS:
+    if vectors_max_rows is not None and vectors_max_rows * dim * 4 <= BROADCAST_VECTOR_BYTES:
+        # proven bound (rows cap x width): tokens stay in their document's partition, so the
+        # per-document mean needs no shuffle of vectors
         j = t.join(F.broadcast(v), "token_id")
     else:
         hot = hot_from_counts(vocab, "token_id") if vocab is not None else None

@@ -166,7 +166,8 @@ dims AS (SELECT doc_id, unnest(embedding) AS v, unnest(range(0, len(embedding)))
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS value FROM dims GROUP BY doc_id, dim""")
 def k5(spark, sf):
     t = _tokens(spark, sf)
-    m = K.mean_pool(t, "doc_id", "text_tokens", token_vectors(spark, sf), dim=64, vocab=_vocab(spark, sf))
+    m = K.mean_pool(t, "doc_id", "text_tokens", token_vectors(spark, sf), dim=64, vocab=_vocab(spark, sf),
+                    vectors_max_rows=VOCAB_CAP)
     return m.select("doc_id", F.posexplode("mean_vec").alias("dim", "value")).select(
         "doc_id", "dim", F.round("value", 6).alias("value"))
 
