@@ -143,6 +143,9 @@ def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFram
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     t = tokens.select(id_col, F.explode(tokens_col).alias("token_id")).where(F.col("token_id") != pad)
+    # repeated words of a document carry one vector with a weight (grouping stays in the
+    # document's partition)
+    t = t.groupBy(id_col, "token_id").agg(F.count(F.lit(1)).cast("double").alias("_w"))
     v = vectors.select("token_id", array_to_vector("vec").alias("v"))
     if vectors_max_rows is not None and vectors_max_rows * dim * 4 <= BROADCAST_VECTOR_BYTES:
         # proven bound (rows cap x width): tokens stay in their document's partition, so the
@@ -151,7 +154,7 @@ def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFram
     else:
         hot = hot_from_counts(vocab, "token_id") if vocab is not None else None
         j = split_hot_join(t, v, "token_id", hot=hot)
-    m = j.groupBy(id_col).agg(Summarizer.mean(F.col("v")).alias("m"))
+    m = j.groupBy(id_col).agg(Summarizer.mean(F.col("v"), F.col("_w")).alias("m"))
     m = m.select(id_col, vector_to_array("m", "float64").alias("mean_vec"))
     zero = F.array_repeat(F.lit(0.0).cast("double"), dim)
     return tokens.select(id_col).join(m, id_col, "left").select(
