@@ -88,3 +88,19 @@ def test_sliding_windows_leap_day(spark):
 def test_wasserstein_identical_is_zero(spark):
     df = spark.createDataFrame([([0.2, 0.8], [0.2, 0.8])], "probs array<double>, target array<double>")
     assert E.wasserstein(df).collect()[0][0] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_nan_scores_are_guarded_and_skipped(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, float("nan")), (0, 0.2), (1, float("nan"))], "y int, prob double")
+    rep = E.nan_report(df, ["prob"]).collect()[0]
+    assert rep.rows == 4 and rep.prob_nan == 2
+    assert E.nan_guard(df, ["prob"]).count() == 2
+    assert E.roc_auc(df).collect()[0].roc_auc == 1.0          # NaN rows do not enter the curve
+
+
+def test_describe_all_null_column(spark):
+    from citesight.operators import describe as D
+    df = spark.createDataFrame([(1, None), (2, None)], "id long, v double")
+    r = D.describe_column(df, "v").collect()[0]
+    assert r["count"] == 0 and r.null_count == 2
+    assert r.mean is None and r.p50 is None and r["min"] is None
