@@ -2,11 +2,11 @@
 
 The vocabulary is a corpus job (split, explode, count with map-side
 combine). Tokenising joins each token to the vocabulary: documents are first
-hash-partitioned by id; with a size-capped vocabulary the lookup is a
-broadcast and exploding, lookup and regrouping by id stay inside that
-partitioning (the text is shuffled once, the tokens never). Without a cap the
-lookup is the hot-key split join: frequent words (Zipf) are broadcast, the
-long tail is shuffled.
+hash-partitioned by id; when the vocabulary's checked size (its cap, or one
+count) is under the broadcast bound, the lookup is a broadcast and exploding,
+lookup and regrouping by id stay inside that partitioning (the text is
+shuffled once, the tokens never). Beyond the bound the lookup is the hot-key
+split join: frequent words (Zipf) are broadcast, the long tail is shuffled.
 """
 
 from __future__ import annotations
@@ -55,8 +55,10 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, out: s
     docs = df.repartition(n, id_col)
     toks = docs.select(id_col, F.posexplode(words(text_col)).alias("pos", "token"))
     v = vocab.select("token", "token_id")
-    if vocab_max_size is not None and vocab_max_size <= BROADCAST_VOCAB_ROWS:
-        j = toks.join(F.broadcast(v), "token", "left")  # bounded by the vocabulary size cap
+    # size check: the cap when the caller set one, else one scalar count of the vocabulary
+    n_vocab = vocab_max_size if vocab_max_size is not None else vocab.count()
+    if n_vocab <= BROADCAST_VOCAB_ROWS:
+        j = toks.join(F.broadcast(v), "token", "left")  # checked size bound
     else:
         # word frequencies are Zipf-shaped: frequent words (known from the vocabulary counts)
         # are split off and broadcast
@@ -147,8 +149,9 @@ def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFram
     # document's partition)
     t = t.groupBy(id_col, "token_id").agg(F.count(F.lit(1)).cast("double").alias("_w"))
     v = vectors.select("token_id", array_to_vector("vec").alias("v"))
-    if vectors_max_rows is not None and vectors_max_rows * dim * 4 <= BROADCAST_VECTOR_BYTES:
-        # proven bound (rows cap x width): tokens stay in their document's partition, so the
+    n_vec = vectors_max_rows if vectors_max_rows is not None else vectors.count()
+    if n_vec * dim * 4 <= BROADCAST_VECTOR_BYTES:
+        # checked bound (rows x width): tokens stay in their document's partition, so the
         # per-document mean needs no shuffle of vectors
         j = t.join(F.broadcast(v), "token_id")
     else:

@@ -100,8 +100,7 @@ from citesight.operators import tokens as K  # noqa: E402
 _SPLIT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _VOCAB = f"""WITH toks AS (SELECT doc_id, unnest({_SPLIT}) AS token, unnest(range(1, len({_SPLIT}) + 1)) AS pos FROM documents),
 vc AS (SELECT token, count(*) AS count FROM toks GROUP BY token),
-vocab AS (SELECT * FROM (SELECT token, count, row_number() OVER (ORDER BY count DESC, token) - 1 + 4 AS token_id FROM vc)
-          WHERE token_id < 1048576),
+vocab AS (SELECT token, count, row_number() OVER (ORDER BY count DESC, token) - 1 + 4 AS token_id FROM vc),
 tid AS (SELECT t.doc_id, t.pos, coalesce(v.token_id, 3) AS token_id FROM toks t LEFT JOIN vocab v USING (token)),
 dtok AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN [] ELSE
            list_concat([1], coalesce((SELECT list(token_id ORDER BY pos) FROM tid WHERE tid.doc_id = d.doc_id), []), [2]) END AS toks
@@ -109,16 +108,14 @@ dtok AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN [] ELSE
 """
 
 
-VOCAB_CAP = 1 << 20  # vocabulary size cap (ids 0..cap-1, reserved ids included): bounds the lookup broadcast
-
-
 def _vocab(spark, sf):
-    return K.build_vocab(fx.documents(spark, sf), "text", max_size=VOCAB_CAP)
+    # the whole vocabulary: no size cap, every word keeps its own id
+    return K.build_vocab(fx.documents(spark, sf), "text")
 
 
 def _tokens(spark, sf):
     d = fx.documents(spark, sf)
-    return K.tokenise(d, "doc_id", "text", _vocab(spark, sf), vocab_max_size=VOCAB_CAP)
+    return K.tokenise(d, "doc_id", "text", _vocab(spark, sf))
 
 
 @register("k1_build_vocab", _VOCAB + "SELECT token, count, token_id FROM vocab")
@@ -166,8 +163,7 @@ dims AS (SELECT doc_id, unnest(embedding) AS v, unnest(range(0, len(embedding)))
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS value FROM dims GROUP BY doc_id, dim""")
 def k5(spark, sf):
     t = _tokens(spark, sf)
-    m = K.mean_pool(t, "doc_id", "text_tokens", token_vectors(spark, sf), dim=64, vocab=_vocab(spark, sf),
-                    vectors_max_rows=VOCAB_CAP)
+    m = K.mean_pool(t, "doc_id", "text_tokens", token_vectors(spark, sf), dim=64, vocab=_vocab(spark, sf))
     return m.select("doc_id", F.posexplode("mean_vec").alias("dim", "value")).select(
         "doc_id", "dim", F.round("value", 6).alias("value"))
 
