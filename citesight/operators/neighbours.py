@@ -197,7 +197,9 @@ def rolling_category_topk(corpus: DataFrame, category_col: str, time_col: str, s
     among works of that category dated in ``(t + offset, t + offset + period]``.
 
     Day-level pre-prune (``row_number <= k`` per category and day) bounds the
-    candidates by calendar x categories x k; the interval join is an equi-join
+    candidates by calendar x categories x k. It is exact: window membership
+    depends only on the day, so a work outside its day's top k has k better
+    works (same order, ties by id) in every window that contains it; the interval join is an equi-join
     on (category, period bucket) plus a range check, so it never pairs rows
     of a hot category beyond two buckets.
     """
