@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citesight.functions.columns import list_len
+
 
 def time_window(df: DataFrame, col: str, start=None, end=None) -> DataFrame:
     """Half-open ``[start, end)``; either side optional."""
@@ -52,13 +54,14 @@ def user_predicate(df: DataFrame, predicate: Column | str | None) -> DataFrame:
 def cited_and_referencing(df: DataFrame, min_cited: int = 1, min_refs: int = 5,
                           cited_col: str = "cited_by_count", refs_col: str = "referenced_works") -> DataFrame:
     """``cited_by_count >= min_cited AND len(referenced_works) >= min_refs``."""
-    return df.where((F.col(cited_col) >= min_cited) & (F.size(refs_col) >= min_refs))
+    return df.where((F.col(cited_col) >= min_cited) & (list_len(refs_col) >= min_refs))
 
 
 def total_length(cols: Sequence[str]) -> Column:
+    """Summed element count; a null list counts 0 (whatever the legacy ``size(null)`` setting)."""
     out = F.lit(0)
     for c in cols:
-        out = out + F.coalesce(F.size(c), F.lit(0))
+        out = out + F.coalesce(list_len(c), F.lit(0))
     return out
 
 
@@ -88,7 +91,7 @@ def length_feature(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         if isinstance(t, T.StringType):
             new[f"{c}_len"] = F.length(c)
         elif isinstance(t, T.ArrayType):
-            new[f"{c}_len"] = F.size(c)
+            new[f"{c}_len"] = list_len(c)
         else:
             raise TypeError(f"Len operation not supported for {t.simpleString()}")
     return df.withColumns(new)
