@@ -100,3 +100,15 @@ def test_hot_cited_work_same_result_when_split(spark):
     for no_count in (G.GraphSpec(top_k=2, hot_min_rows=1, hot_count_col=None),):
         c = sorted((r.id, tuple(r.graph_ids)) for r in G.neighbourhood_table(df, no_count).collect())
         assert c == a
+
+
+def test_salted_left_join_keeps_unmatched_and_hot_rows(spark):
+    # key 1 holds 60 % of the left rows (hot, salted); key 99 has no right row
+    left = spark.range(0, 1000).select(
+        F.when(F.col("id") < 600, 1).when(F.col("id") < 610, 99).otherwise(F.col("id")).alias("k"),
+        F.col("id").alias("v"))
+    right = spark.range(0, 1000).where("id <> 99").select(F.col("id").alias("k"), (F.col("id") + 5).alias("w"))
+    got = sorted(tuple(r) for r in split_hot_join(left, right, "k", how="left", min_rows=10).collect())
+    want = sorted(tuple(r) for r in left.join(right, "k", "left").collect())
+    assert got == want and len(got) == 1000
+    assert sum(1 for k, _, w in got if k == 99 and w is None) == 10
