@@ -104,3 +104,18 @@ def test_describe_all_null_column(spark):
     r = D.describe_column(df, "v").collect()[0]
     assert r["count"] == 0 and r.null_count == 2
     assert r.mean is None and r.p50 is None and r["min"] is None
+
+
+def test_roc_and_pr_curves_match_brute_force(spark):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.3), (1, 0.1)]
+    df = spark.createDataFrame(rows, "y int, prob double").repartition(3)
+    P = sum(y for y, _ in rows)
+    N = len(rows) - P
+    roc = {r.threshold: (r.fpr, r.tpr) for r in E.roc_curve(df).collect()}
+    pr = {r.threshold: (r.recall, r.precision, r.chance_level) for r in E.pr_curve(df).collect()}
+    assert roc[float("inf")] == (0.0, 0.0)
+    for t in sorted({p for _, p in rows}):
+        tp = sum(1 for y, p in rows if p >= t and y == 1)
+        fp = sum(1 for y, p in rows if p >= t and y == 0)
+        assert roc[t] == (fp / N, tp / P)
+        assert pr[t] == (tp / P, tp / (tp + fp), P / len(rows))
