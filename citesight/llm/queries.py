@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesight.llm import chat, decontaminate, host_rules, oracles, sharding, url_filter
+from citesight.llm import (chat, chunk_dedup, decontaminate, host_rules, oracles, packing, sharding, simhash,
+                           suffix_dedup, toxicity, url_filter)
 from citesight.llm.common import table, with_rid
 from citesight.plans.registry import register
 
@@ -20,6 +21,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+@register("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op4_host_rules", oracles.OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(table(spark, sf_dir, "documents"))
@@ -30,6 +36,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@register("op9_chunk_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_dedup.deduplicate(docs, added=("n_bytes", "n_removed", "n_spans"))
+
+
 #: The conversation that the contract adds, as (role, text) by turn; fixed values.
 PLANTED = (("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]"))
 
