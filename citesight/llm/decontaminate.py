@@ -74,6 +74,12 @@ def _whole(w: Column, place: Column, size: int) -> Column:
             .bitwiseAND(F.lit(~PLACE)).bitwiseOR(place.cast("long")))
 
 
+def _wholes(w: Column, size: int) -> Column:
+    """Packed hash of every run of ``size`` words."""
+    places = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: _whole(w, i, size))
+
+
 def windows(items: DataFrame, window: int = 13) -> DataFrame:
     """Distinct windows: (mark, back, win, items); ``back`` words lie before the fingerprint."""
     base = items.select("item_id", words(F.col("text")).alias("w"))
@@ -107,10 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share
                        words(F.col("text")).alias("w"))
     marked = _fingerprints(base, window)
     lists = [F.array_distinct("mins")]
-    for n in sorted(info["short"]):
-        lists.append(F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n))
-                                 .otherwise(F.array().cast("array<int>")),
-                                 lambda i, n=n: _whole(F.col("w"), i, n)))
+    lists += [_wholes(F.col("w"), n) for n in sorted(info["short"])]
     found = None
     for b in range(blocks):
         # the null mark stands for the document itself, once
