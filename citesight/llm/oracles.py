@@ -85,10 +85,10 @@ g{ORDER} AS (SELECT gram, coalesce(sum((NOT held AND label = 'allow')::INT), 0)
 f AS (SELECT * FROM rows_ JOIN sc USING (rid)),
 bins AS (SELECT greatest(least(floor(score * 100), {BINS}), -{BINS}) AS bin, sum((label = 'allow')::INT) AS a,
     sum((label = 'block')::INT) AS r FROM f WHERE held AND label IS NOT NULL GROUP BY 1),
-cum AS (SELECT bin, sum(a) OVER w * sum(r) OVER () - sum(r) OVER w * sum(a) OVER () AS gain,
+cum AS (SELECT coalesce((bin + lead(bin) OVER w + 1) / 200.0, bin / 100.0) AS cut, sum(a) OVER w * sum(r) OVER () - sum(r) OVER w * sum(a) OVER () AS gain,
     sum(a) OVER () AS aa, sum(r) OVER () AS rr FROM bins WINDOW w AS (ORDER BY bin DESC)),
-cut AS (SELECT coalesce((SELECT bin / 100.0 FROM cum WHERE aa > 0 AND rr > 0
-    ORDER BY gain DESC, abs(bin), bin DESC LIMIT 1), 0) AS cut)
+cut AS (SELECT coalesce((SELECT cut FROM cum WHERE aa > 0 AND rr > 0
+    ORDER BY gain DESC, abs(cut), cut DESC LIMIT 1), 0) AS cut)
 SELECT page_id, host, path, rule, coalesce(label, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict,
     round(score, 6) AS score FROM f, cut""")
     return ",\n".join(sql)

@@ -1,7 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word features.
 
 Features of a text are its words, word pairs and pairs that skip a word,
-lower-cased and hashed to ``2**BITS`` places; a feature counts once per text.
+lower-cased and hashed to ``2**BITS`` places, words to the lower half and
+pairs, which are many and rare, to the upper half with value ``PAIR_VALUE``
+instead of 1; a feature counts once per text.
 FTRL-proximal keeps a gradient sum and a squared-gradient sum per place, which
 gives each its own learning rate, and its L1 term leaves a weight at exactly
 zero until the evidence for it exceeds ``L1``. The model is therefore a short
@@ -35,7 +37,8 @@ from citesight.llm.common import columns, fresh
 from citesight.llm.hashing import joined, mix, portions, slice_hashes
 
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 0.6, 1.0, 1.0, 1.0
+PAIR_VALUE = 0.3
 #: At most so many labelled rows train the model.
 SAMPLE_ROWS = 16_000
 PORTION_BYTES = 1 << 21
@@ -43,6 +46,7 @@ PORTION_BYTES = 1 << 21
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _CODE = mix(np.arange(1, 257, dtype=np.uint64))
+PAIRS = 1 << (BITS - 1)
 _PAIR, _SKIP = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -59,7 +63,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         same = doc[gap:] == doc[:-gap] if len(doc) > gap else np.zeros(0, bool)
         docs.append(doc[gap:][same])
         hashes.append((mix(h[:-gap] + salt) + h[gap:])[same] if len(same) else h[:0])
-    return np.concatenate(docs), (mix(np.concatenate(hashes)) >> np.uint64(64 - BITS)).astype(np.int64)
+    places = (mix(np.concatenate(hashes)) >> np.uint64(65 - BITS)).astype(np.int64)
+    places[len(h):] += PAIRS
+    return np.concatenate(docs), places
 
 
 def _portions(texts) -> Iterator[list[str]]:
@@ -81,8 +87,12 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ["turn", "toxic", "places"])
 
 
+def values(places: np.ndarray) -> np.ndarray:
+    return np.where((places >= PAIRS) & (places < 1 << BITS), PAIR_VALUE, 1.0)
+
+
 class Ftrl:
-    """Per-coordinate FTRL-proximal for binary features."""
+    """Per-coordinate FTRL-proximal for features that are present with their value, or absent."""
 
     def __init__(self, size: int, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> None:
         self.z, self.n = np.zeros(size), np.zeros(size)
@@ -93,9 +103,9 @@ class Ftrl:
         shrunk = np.sign(z) * np.maximum(np.abs(z) - self.l1, 0.0)
         return -shrunk / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
 
-    def learn(self, at: np.ndarray, y: int) -> None:
+    def learn(self, at: np.ndarray, value: np.ndarray, y: int) -> None:
         w = self.weights(at)
-        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+        g = (1.0 / (1.0 + np.exp(-np.clip(w @ value, -30, 30))) - y) * value
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -106,7 +116,8 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for t in batches:
         for places, toxic in zip(t["places"], t["toxic"]):
             seen = True
-            model.learn(np.append(places, bias), toxic)
+            at = np.append(places, bias)
+            model.learn(at, values(at), toxic)
     if seen:
         w = model.weights(np.arange(bias + 1))
         held = np.union1d(np.flatnonzero(w), [bias])
@@ -132,7 +143,7 @@ def score(docs: DataFrame, model: pd.DataFrame, keep: list[str], name: str = "sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, weight = weights.value
         dense = np.zeros((1 << BITS) + 1)
-        dense[place] = weight
+        dense[place] = weight * values(place)
         for batch in batches:
             scores = [np.zeros(0)]
             for texts in _portions(batch.column("text").to_pylist()):

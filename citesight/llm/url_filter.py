@@ -9,8 +9,9 @@ successors gives ``(count + t * lower order) / (n + t)``, a context never
 seen passes on to the next shorter one, and below order 0 lies the uniform
 distribution. The score is the mean over a URL's characters of the
 difference of the log probabilities. The cut is calibrated on labelled URLs
-that the counts have not seen (``calibration_share``): the hundredth that
-maximises accepted plus rejected rates, nearest to 0 among equals.
+that the counts have not seen (three sixteenths, by hash): the middle of the
+gap between hundredths that maximises accepted plus rejected rates, nearest to
+0 among equals.
 
 Counts are taken over all labelled rows with map-side combine. Probabilities
 are worked out once per distinct gram, order by order; a join key there has
@@ -92,13 +93,16 @@ def _cut(scored: DataFrame) -> DataFrame:
     bins = scored.groupBy(at.alias("bin")).agg(F.sum((F.col("label") == "allow").cast("long")).alias("a"),
                                                F.sum((F.col("label") == "block").cast("long")).alias("r"))
     every, above = Window.partitionBy(), Window.orderBy(F.desc("bin"))
-    bins = bins.select("bin", F.sum("a").over(above).alias("a_above"), F.sum("r").over(above).alias("r_above"),
+    # a cut at a bin does the same as any above the next lower bin held: take the middle
+    lower = F.lead("bin").over(above)
+    bins = bins.select("bin", (F.coalesce((F.col("bin") + lower + 1) / 200.0, F.col("bin") / 100.0)).alias("cut"),
+                       F.sum("a").over(above).alias("a_above"), F.sum("r").over(above).alias("r_above"),
                        F.sum("a").over(every).alias("a_all"), F.sum("r").over(every).alias("r_all"))
     gain = F.when((F.col("a_all") > 0) & (F.col("r_all") > 0),
                   F.col("a_above") * F.col("r_all") - F.col("r_above") * F.col("a_all"))
-    best = bins.select(F.struct(gain.alias("gain"), (-F.abs("bin")).alias("near"), "bin").alias("s")).where(
+    best = bins.select(F.struct(gain.alias("gain"), (-F.abs("cut")).alias("near"), "cut").alias("s")).where(
         F.col("s.gain").isNotNull())
-    return best.agg(F.coalesce(F.max("s")["bin"] / 100.0, F.lit(0.0)).alias("cut"))
+    return best.agg(F.coalesce(F.max("s")["cut"], F.lit(0.0)).alias("cut"))
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, order: int = ORDER) -> DataFrame:
