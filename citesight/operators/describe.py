@@ -30,11 +30,11 @@ def bucket_counts(df: DataFrame, col: str, boundaries: Sequence[float]) -> DataF
 
 
 def bucket_proportions(counts: DataFrame) -> DataFrame:
-    """Share of rows in percent (``pct``) and rounded to one place (null when no rows)."""
+    """Share of rows in percent (``pct``) and rounded half to even to one place (null when no rows)."""
     tot = counts.agg(F.sum("count").alias("_total"))
     j = with_scalars(counts, tot)
     pct = F.try_divide(F.col("count") * 100.0, F.col("_total"))
-    return j.withColumns({"pct": pct, "proportion": F.round(pct, 1)}).drop("_total")
+    return j.withColumns({"pct": pct, "proportion": F.bround(pct, 1)}).drop("_total")
 
 
 def balance_weights(counts: DataFrame) -> DataFrame:
@@ -46,20 +46,39 @@ def balance_weights(counts: DataFrame) -> DataFrame:
     return j.withColumn("weight", w).drop("_total", "_nb")
 
 
-def describe_column(df: DataFrame, col: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Count, null count, mean, std, min, 25/50/75 % (linear, exact by position), max.
+def describe_column(df: DataFrame, col: str, approx: bool = False, accuracy: int = 10000,
+                    interpolation: str = "linear") -> DataFrame:
+    """Count, null and NaN count, mean, std, min, 25/50/75 % (exact by position), max.
 
+    NaN is counted apart and enters no other figure. ``interpolation`` is ``linear`` or ``nearest``.
     ``approx=True`` takes the percentiles from one ``percentile_approx`` sketch instead
     (one pass, bounded memory, rank error about 1/accuracy)."""
-    v = F.col(col).cast("double")
-    base = df.agg(F.count(v).alias("count"), F.count_if(v.isNull()).alias("null_count"),
+    raw = F.col(col).cast("double")
+    v = F.when(~F.isnan(raw), raw)
+    base = df.agg(F.count(v).alias("count"), F.count_if(raw.isNull()).alias("null_count"),
+                  F.count_if(F.isnan(raw)).alias("nan_count"),
                   F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
                   F.min(v).alias("min"), F.max(v).alias("max"),
                   *([F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_pq")] if approx else []))
     if approx:
-        return base.select("count", "null_count", "mean", "std", "min", F.col("_pq")[0].alias("p25"),
+        return base.select("count", "null_count", "nan_count", "mean", "std", "min", F.col("_pq")[0].alias("p25"),
                            F.col("_pq")[1].alias("p50"), F.col("_pq")[2].alias("p75"), "max")
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75]).agg(
-        *[F.max(F.when(F.col("q") == x, F.col("value"))).alias(n) for x, n in
-          [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]])
-    return with_scalars(base, q).select("count", "null_count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], interpolation).withColumnsRenamed(
+        {"q0": "p25", "q1": "p50", "q2": "p75"})
+    return with_scalars(base, q).select("count", "null_count", "nan_count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def describe_columns(df: DataFrame, cols: Sequence[str], time_col: str | None = None, start=None, end=None,
+                     interpolation: str = "linear") -> DataFrame:
+    """Describe job: one row per column of ``cols`` over the rows dated in ``[start, end)``.
+
+    The plain figures of all columns come from one pass; the quartiles read one column each.
+    """
+    from citesight.operators.filters import time_window
+    if time_col is not None:
+        df = time_window(df, time_col, start, end)
+    parts = [describe_column(df, c, interpolation=interpolation).select(F.lit(c).alias("column"), "*") for c in cols]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

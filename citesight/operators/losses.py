@@ -53,9 +53,10 @@ def l1(df: DataFrame, y="y", p="pred", group_cols=None) -> DataFrame:
 
 
 def hetero_mae(df: DataFrame, y="y", p="pred", sigma="sigma", group_cols=None) -> DataFrame:
-    """mean(|y - p| / sigma + ln sigma)."""
+    """mean(|y - p| / sigma + ln sigma) over the rows with a positive sigma."""
+    s = F.when(col(sigma) > 0, col(sigma))
     return df.groupBy(*_g(group_cols)).agg(
-        F.avg(F.abs(col(y) - col(p)) / col(sigma) + F.log(col(sigma))).alias("hetero_mae"))
+        F.avg(F.abs(col(y) - col(p)) / s + F.log(s)).alias("hetero_mae"))
 
 
 def smooth_one_hot(y, n: int, scale) -> Column:

@@ -168,8 +168,11 @@ def _binary_scores(tp, fp, tn, fn) -> dict[str, Column]:
 
 
 def confusion_at(df: DataFrame, theta: float = 0.5, y="y", score="prob", group_cols=None) -> DataFrame:
-    """Predicted positive when ``score > theta``; balanced accuracy, F1, precision, recall."""
+    """Predicted positive when ``score > theta``; balanced accuracy, F1, precision, recall.
+
+    Rows without a score (NaN or null) are left out: Spark orders NaN above all numbers."""
     g = _g(group_cols)
+    df = nan_guard(df, [score]) if isinstance(score, str) else df
     p, t = col(score) > theta, col(y) == 1
     a = df.groupBy(*g).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"),
                            F.count_if(~p & ~t).alias("tn"), F.count_if(~p & t).alias("fn"))
@@ -181,9 +184,11 @@ def best_threshold(df: DataFrame, y="y", score="prob", group_cols=None,
                    thetas: Sequence[float] | None = None) -> DataFrame:
     """Best balanced accuracy over ``thetas`` (first on ties), its theta, precision and recall.
 
-    All thresholds are counted in one aggregate (four counts each), then unpivoted.
+    All thresholds are counted in one aggregate (four counts each), then unpivoted. Rows without a
+    score (NaN or null) are left out.
     """
     g = _g(group_cols)
+    df = nan_guard(df, [score]) if isinstance(score, str) else df
     # fixed values: 20 thresholds from 0.25 (inclusive) to 0.75 (exclusive)
     th = list(thetas) if thetas is not None else [i * 0.025 + 0.25 for i in range(20)]
     t = col(y) == 1
@@ -349,9 +354,11 @@ def row_entropy(probs) -> Column:
 
 
 def norm_entropy(df: DataFrame, probs="probs", group_cols=None) -> DataFrame:
-    """Mean entropy / ln(number of classes)."""
+    """Mean entropy / ln(number of classes); 0 for a single class, which leaves nothing open."""
+    n = F.size(col(probs))
     return df.groupBy(*_g(group_cols)).agg(
-        F.avg(row_entropy(probs) / F.log(F.size(col(probs)).cast("double"))).alias("norm_entropy"))
+        F.avg(F.when(n == 1, F.lit(0.0)).when(n > 1, F.try_divide(row_entropy(probs), F.log(n.cast("double")))))
+        .alias("norm_entropy"))
 
 
 # ----------------------------------------------------------------- tables behind plots
@@ -372,9 +379,7 @@ def value_histogram(df: DataFrame, value: str, bins: int | str = "auto", group_c
     if bins == "auto":
         if g:
             raise ValueError("auto bins are global")
-        q = exact_quantiles(clean, value, [0.25, 0.75]).agg(
-            (F.max(F.when(F.col("q") == 0.75, F.col("value"))) - F.max(F.when(F.col("q") == 0.25, F.col("value"))))
-            .alias("_iqr"))
+        q = exact_quantiles(clean, value, [0.25, 0.75]).select((F.col("q1") - F.col("q0")).alias("_iqr"))
         st = with_scalars(st, q)
         rng = F.col("_max") - F.col("_min")
         sturges = rng / (F.log2(F.col("_n").cast("double")) + 1.0)
@@ -411,11 +416,13 @@ def prob_histogram_by_class(df: DataFrame, y="y", score="prob", n_bins: int = 40
 
 
 def residuals(df: DataFrame, y="y", p="pred", sigma="sigma") -> DataFrame:
-    """Residual, standardised residual, absolute and absolute normalised error, 3-sigma band."""
+    """Residual, standardised residual, absolute and absolute normalised error, 3-sigma band.
+
+    A sigma of zero has no standardised errors: they are null."""
     r = col(y) - col(p)
     return df.withColumns({
-        "residual": r, "std_residual": r / col(sigma), "abs_error": F.abs(r),
-        "abs_norm_error": F.abs(r) / col(sigma),
+        "residual": r, "std_residual": F.try_divide(r, col(sigma)), "abs_error": F.abs(r),
+        "abs_norm_error": F.try_divide(F.abs(r), col(sigma)),
         "band_lo": col(p) - col(sigma) * 3, "band_hi": col(p) + col(sigma) * 3})
 
 
@@ -444,10 +451,14 @@ def metric_rows(df: DataFrame, group_cols: Sequence[str], metric_cols: Sequence[
 
 
 def aggregate_metrics(rows: DataFrame, group_cols=None) -> DataFrame:
-    """Weight-averaged score per metric, rounded to 6; NaN/null metrics dropped."""
+    """Weight-averaged score per metric, rounded to 6.
+
+    A NaN or null score adds nothing to the sum but keeps its weight in the denominator; a metric
+    that has no score at all is dropped."""
     g = _g(group_cols)
-    a = rows.groupBy(*g, "metric").agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("score"))
-    return a.where(F.col("score").isNotNull() & ~F.isnan("score")).select(*g, "metric", F.round("score", 6).alias("score"))
+    score = F.when(~F.isnan("score"), F.col("score"))
+    a = rows.groupBy(*g, "metric").agg(F.try_divide(F.sum(score * F.col("weight")), F.sum("weight")).alias("score"))
+    return a.where(F.col("score").isNotNull()).select(*g, "metric", F.round("score", 6).alias("score"))
 
 
 def metric_report(agg: DataFrame, metrics: Sequence[str], group_cols: Sequence[str]) -> DataFrame:
@@ -456,8 +467,13 @@ def metric_report(agg: DataFrame, metrics: Sequence[str], group_cols: Sequence[s
 
 
 def binary_metric_rows(df: DataFrame, group_cols: Sequence[str], y="y", score="prob", prefix="val_") -> DataFrame:
-    """All binary-classifier metrics of one prediction table as metric rows, one plan."""
+    """All binary-classifier metrics of one prediction table as metric rows, one plan.
+
+    Rows without a score are guarded out once (E1); ``nan_scores`` reports how many there were."""
     g = list(group_cols)
+    unscored = df.groupBy(*g).agg(F.count_if(F.col(score).isNull() | F.isnan(F.col(score).cast("double")))
+                                  .cast("double").alias("score"))
+    df = nan_guard(df, [score])
     n = df.groupBy(*g).agg(F.count(F.lit(1)).alias("examples"),
                            F.avg(F.abs(col(y) - col(score))).alias("MAE"))
     parts = [n,
@@ -476,7 +492,8 @@ def binary_metric_rows(df: DataFrame, group_cols: Sequence[str], y="y", score="p
     rows = metric_rows(wide, g, names, "examples", prefix)
     ex = wide.select(*g, F.lit("examples").alias("metric"), F.col("examples").cast("double").alias("score"),
                      F.lit(1.0).alias("weight"))
-    return rows.unionByName(ex)
+    gone = unscored.select(*g, F.lit("nan_scores").alias("metric"), "score", F.lit(1.0).alias("weight"))
+    return rows.unionByName(ex).unionByName(gone)
 
 
 BINARY_METRICS = ["MAE", "roc_auc", "PR_AUC", "balanced_accuracy:50", "F1:50", "recall:50", "precision:50",
@@ -509,16 +526,35 @@ def sliding_windows(spark, start: str, end: str | None, every: int = 1, unit: st
     return w.select(ws.alias("window_start"), we.alias("window_end")).where(F.col("window_start") < F.col("window_end"))
 
 
-def assign_windows(df: DataFrame, windows: DataFrame, date_col: str = "d") -> DataFrame:
-    """Each row to its window by a broadcast range join (the window table is small)."""
-    return df.join(F.broadcast(windows), (F.col(date_col) >= F.col("window_start")) &
-                   (F.col(date_col) < F.col("window_end")))
+def assign_windows(df: DataFrame, start: str, end: str | None = None, every: int = 1, unit: str = "year",
+                   date_col: str = "d") -> DataFrame:
+    """Each row with the ``window_start`` and ``window_end`` of its window in ``sliding_windows``.
+
+    Windows do not overlap, so a row's window number follows from its date by arithmetic: no join.
+    Rows before ``start`` or from the end on are dropped.
+    """
+    d, s = F.col(date_col), F.lit(start).cast("date")
+    months = {"year": 12 * every, "month": every}.get(unit)
+    if end is None:
+        df = with_scalars(df, df.agg(F.date_add(F.max(date_col), 1).alias("_end")))
+    else:
+        df = df.withColumn("_end", F.lit(end).cast("date"))
+    if months is None:
+        k = F.floor(F.datediff(d, s) / every).cast("int")
+        first, last = F.date_add(s, k * every), F.date_add(s, (k + 1) * every)
+    else:
+        # whole months since the start; the start's day may fall on an earlier day in a short month
+        whole = (F.year(d) - F.year(s)) * 12 + F.month(d) - F.month(s)
+        whole = whole - F.when(F.add_months(s, whole) > d, 1).otherwise(0)
+        k = F.floor(whole / months).cast("int")
+        first, last = F.add_months(s, k * months), F.add_months(s, (k + 1) * months)
+    return (df.where((d >= s) & (d < F.col("_end")))
+            .withColumns({"window_start": first, "window_end": F.least(last, F.col("_end"))}).drop("_end"))
 
 
 def sliding_eval(df: DataFrame, start: str, end: str | None = None, every: int = 1, unit: str = "year",
                  date_col: str = "d", y="y", score="prob") -> DataFrame:
     """Binary metrics and ``examples`` per sliding window, one plan for all windows."""
-    wins = sliding_windows(df.sparkSession, start, end, every, unit, df, date_col)
-    rows = binary_metric_rows(assign_windows(df, wins, date_col), ["window_start"], y, score, prefix="")
+    rows = binary_metric_rows(assign_windows(df, start, end, every, unit, date_col), ["window_start"], y, score, prefix="")
     agg = aggregate_metrics(rows, ["window_start"])
-    return metric_report(agg, BINARY_METRICS + ["examples"], ["window_start"])
+    return metric_report(agg, BINARY_METRICS + ["examples", "nan_scores"], ["window_start"])

@@ -3,7 +3,9 @@
 Plan shape of the neighbourhood table (G1-G5): the targets (citing works,
 already cut to ``[t_start, t_end)``) explode their reference lists; the
 edge list joins the neighbour table on the cited id (hot cited works are
-split off and broadcast, see ``plans.joins``); the category filter and the
+salted, see ``plans.joins``). Ids, references, categories and sort keys are
+staged once as a light corpus and read by every branch; feature vectors are
+read for kept neighbours and final targets only. The category filter and the
 priority are plain expressions; the per-target top-k is ``row_number <= k``,
 which Catalyst turns into a partial ``WindowGroupLimit`` on both sides of
 the shuffle, so no target carries more than k candidates per task across
@@ -18,7 +20,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citesight.operators.metrics import assign_windows
 from citesight.plans.joins import hot_from_counts, split_hot_join
+from citesight.sources.io import stage_table
 
 SUFFIX = "_referenced"
 
@@ -43,7 +47,8 @@ class GraphSpec:
     flatten_features: bool = False      # token lists: concatenate; vectors: keep a list of vectors
     required: Sequence[str] = field(default_factory=tuple)
     hot_count_col: str | None = "cited_by_count"  # in-degree column naming hot cited works, if present
-    hot_min_rows: int = 10_000                     # a key is split off only above this many edges
+    hot_min_rows: int = 10_000                     # a key is salted only above this many edges
+    hot_partitions: int | None = None              # fair share = edges / partitions (session's by default)
 
 
 def prepare_corpus(df: DataFrame, spec: GraphSpec) -> DataFrame:
@@ -76,26 +81,38 @@ def citation_edges(corpus: DataFrame, spec: GraphSpec, targets: DataFrame | None
                                                                                *spec.sort_cols,
                                                                                spec.time_col])],
                           *([F.col(spec.feature_col).alias("feature" + SUFFIX)] if with_features else []))
-    hot = None
-    if spec.hot_count_col and spec.hot_count_col in corpus.columns:
-        # the in-degree is already a column: hot cited works without counting the edges
-        hot = hot_from_counts(corpus.select(F.col(spec.id_col).alias("ref"), spec.hot_count_col),
-                              "ref", spec.hot_count_col, min_rows=spec.hot_min_rows)
-    return split_hot_join(left, right, "ref", hot=hot, min_rows=spec.hot_min_rows)
+    # targets cut to a window have their own popular works: count them on their edges
+    hot = in_degree_hot(corpus, spec) if targets is None else None
+    return split_hot_join(left, right, "ref", hot=hot, partitions=spec.hot_partitions, min_rows=spec.hot_min_rows)
+
+
+def in_degree_hot(corpus: DataFrame, spec: GraphSpec) -> DataFrame | None:
+    """Hot cited works from the in-degree column, without counting edges; None without the column."""
+    if not spec.hot_count_col or spec.hot_count_col not in corpus.columns:
+        return None
+    return hot_from_counts(corpus.select(F.col(spec.id_col).alias("ref"), spec.hot_count_col), "ref",
+                           spec.hot_count_col, partitions=spec.hot_partitions, min_rows=spec.hot_min_rows)
 
 
 def attach_features(ranked: DataFrame, corpus: DataFrame, spec: GraphSpec) -> DataFrame:
     """Late materialisation: the neighbour feature for the (at most k per target) kept edges.
 
-    The kept side is at most k rows per target, so a popular neighbour holds
-    at most one row per target that keeps it; AQE's skew-join split handles a
-    neighbour kept by a large share of targets (counting hot keys here would
-    recompute the whole ranking).
+    A neighbour kept by a large share of targets holds at most its in-degree
+    of them; works with a hot in-degree are salted before their vector widens
+    the rows.
     """
     if "feature" + SUFFIX in ranked.columns:
         return ranked
     feats = corpus.select(F.col(spec.id_col).alias("ref"), F.col(spec.feature_col).alias("feature" + SUFFIX))
-    return ranked.join(feats, "ref")
+    return split_hot_join(ranked, feats, "ref", hot=in_degree_hot(corpus, spec), partitions=spec.hot_partitions,
+                          min_rows=spec.hot_min_rows)
+
+
+def light_corpus(corpus: DataFrame, spec: GraphSpec) -> DataFrame:
+    """The narrow columns of a prepared corpus, staged in the shared folder and read by every branch."""
+    cols = dict.fromkeys([spec.id_col, spec.refs_col, spec.time_col, *spec.category_cols, *spec.sort_cols])
+    extra = [spec.hot_count_col] if spec.hot_count_col in corpus.columns else []
+    return stage_table(corpus.select(*dict.fromkeys([*cols, *extra])))
 
 
 def category_match(edges: DataFrame, category_cols: Sequence[str]) -> DataFrame:
@@ -166,17 +183,33 @@ def neighbourhood_table(corpus: DataFrame, spec: GraphSpec, by_priority: bool =
     """``(id, x, graph_x, graph_ids, y)`` for targets in ``[t_start, t_end)`` with
     at least one neighbour; neighbours come from the whole corpus before ``t_end``."""
     c = prepare_corpus(corpus, spec)
-    t = c if targets is None else targets
-    if spec.t_start is not None:
+    light = light_corpus(c, spec)
+
+    def cut(df):
         # t_start only cuts targets; pushing it before the explode keeps history as neighbours
-        t = t.where(F.col(spec.time_col) >= F.lit(spec.t_start))
-    edges = category_match(citation_edges(c, spec, t), spec.category_cols)
-    nb = (topk_by_category_priority(edges, spec, corpus=c) if by_priority
-          else topk_by_sort(edges, spec, corpus=c))
+        return df if spec.t_start is None else df.where(F.col(spec.time_col) >= F.lit(spec.t_start))
+    t = cut(c if targets is None else targets)
+    own = None if targets is None and spec.t_start is None else cut(light if targets is None else targets)
+    nb = _neighbours(c, light, spec, by_priority, own)
+    return _rows(t.join(nb, spec.id_col, "inner"), c, spec, [spec.id_col, spec.time_col])
+
+
+def _neighbours(c: DataFrame, light: DataFrame, spec: GraphSpec, by_priority: bool, targets: DataFrame | None,
+                extra: Sequence[str] = (), keep: Column | None = None) -> DataFrame:
+    """Kept neighbours with their features, ranked on the light corpus."""
+    edges = citation_edges(light, spec, targets, extra_target_cols=extra)
+    edges = category_match(edges if keep is None else edges.where(keep), spec.category_cols)
+    g = [spec.id_col, *[x for x in extra if x == "window_start"]]
+    feats = c.select(spec.id_col, spec.feature_col, *([spec.hot_count_col] if spec.hot_count_col in c.columns else []))
+    topk = topk_by_category_priority if by_priority else topk_by_sort
+    return topk(edges, spec, g, corpus=feats)
+
+
+def _rows(joined: DataFrame, c: DataFrame, spec: GraphSpec, keep: Sequence[str]) -> DataFrame:
+    """The table's columns and its null and length limits."""
     types = {f.name: f.dataType for f in c.schema.fields}
-    out = t.join(nb, spec.id_col, "inner").select(
-        spec.id_col, spec.time_col, _concat(spec.x_cols, types).alias("x"), "graph_x", "graph_ids",
-        _concat(spec.y_cols, types).alias("y"))
+    out = joined.select(*keep, _concat(spec.x_cols, types).alias("x"), "graph_x", "graph_ids",
+                        _concat(spec.y_cols, types).alias("y"))
     out = out.dropna(how="any", subset=["graph_x", "x", "y"]).where(F.size("graph_x") >= 1)
     if spec.max_len is not None:
         out = out.where(F.size("x") <= spec.max_len)
@@ -205,7 +238,7 @@ def rolling_category_topk(corpus: DataFrame, category_col: str, time_col: str, s
     """
     off = -period_days if offset_days is None else offset_days
     day = F.datediff(F.col(time_col), F.lit("1970-01-01"))
-    base = corpus.select(id_col, category_col, time_col, sort_col, feature_col).withColumn("_day", day)
+    base = stage_table(corpus.select(id_col, category_col, time_col, sort_col).withColumn("_day", day))
     w = Window.partitionBy(category_col, "_day").orderBy(F.col(sort_col).desc(), F.col(id_col).asc())
     pruned = base.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
     keys = pruned.select(category_col, "_day").distinct()
@@ -219,32 +252,27 @@ def rolling_category_topk(corpus: DataFrame, category_col: str, time_col: str, s
     g = [category_col, "_kday"]
     ranked = _topk(j, g, [F.col("_s").desc(), F.col("ref").asc()], top_k).select(*g, "rank", "ref")
     # features only for the kept k per (category, day), not for every candidate in the window
-    feats = base.select(F.col(id_col).alias("ref"), F.col(feature_col).alias("feature" + SUFFIX))
-    nb = _collect(ranked.join(feats, "ref"), g, False).withColumnRenamed("_kday", "_day")
-    # many works share one (category, day): a crowded day is split off and broadcast
-    return split_hot_join(base, nb, [category_col, "_day"]).select(id_col, category_col, time_col,
-                                                                    "graph_ids", "graph_x")
+    feats = corpus.select(F.col(id_col).alias("ref"), F.col(feature_col).alias("feature" + SUFFIX))
+    nb = _collect(split_hot_join(ranked, feats, "ref"), g, False).withColumnRenamed("_kday", "_day")
+    # many works share one (category, day): a crowded day is salted by the works' ids
+    works = base.select(id_col, category_col, time_col, "_day")
+    return split_hot_join(works, nb, [category_col, "_day"], hash_cols=[id_col]).select(
+        id_col, category_col, time_col, "graph_ids", "graph_x")
 
 
-def rewindow(corpus: DataFrame, spec: GraphSpec, windows: DataFrame, by_priority: bool = True) -> DataFrame:
-    """G1-G5 for many ``[window_start, window_end)`` windows in one plan.
+def rewindow(corpus: DataFrame, spec: GraphSpec, start: str, end: str | None = None, every: int = 1,
+             unit: str = "year", by_priority: bool = True) -> DataFrame:
+    """G1-G5 for all windows ``[start + i * every unit, ...)`` up to ``end`` (by default the latest
+    date plus one day) in one plan.
 
-    ``windows`` is the small window table (one row per window, bounded by the
-    caller's date range); each target lands in its window by a broadcast range
-    join, and an edge is kept only when the neighbour is older than that
-    window's end.
+    A target's window follows from its date by arithmetic; an edge is kept only when the neighbour is
+    older than that window's end. The length limits are those of G5.
     """
     c = prepare_corpus(corpus, spec)
+    light = light_corpus(c, spec)
     tcol = spec.time_col
-    t = c.join(F.broadcast(windows), (F.col(tcol) >= F.col("window_start")) & (F.col(tcol) < F.col("window_end")))
-    edges = citation_edges(c, spec, t, extra_target_cols=["window_start", "window_end"])
-    edges = edges.where(F.col(tcol + SUFFIX) < F.col("window_end"))
-    edges = category_match(edges, spec.category_cols)
-    g = [spec.id_col, "window_start"]
-    nb = (topk_by_category_priority(edges, spec, g, corpus=c) if by_priority
-          else topk_by_sort(edges, spec, g, corpus=c))
-    types = {f.name: f.dataType for f in c.schema.fields}
-    out = t.join(nb, g, "inner").select(
-        "window_start", "window_end", spec.id_col, tcol, _concat(spec.x_cols, types).alias("x"),
-        "graph_x", "graph_ids", _concat(spec.y_cols, types).alias("y"))
-    return out.dropna(how="any", subset=["graph_x", "x", "y"])
\ No newline at end of file
+    extra = ["window_start", "window_end"]
+    own = assign_windows(light, start, end, every, unit, tcol)
+    nb = _neighbours(c, light, spec, by_priority, own, extra, F.col(tcol + SUFFIX) < F.col("window_end"))
+    nb = nb.join(own.select(spec.id_col, *extra), [spec.id_col, "window_start"])
+    return _rows(nb.join(c, spec.id_col), c, spec, [*extra, spec.id_col, tcol])

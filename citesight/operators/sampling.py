@@ -1,7 +1,9 @@
 """Sampling (B1-B5): reproducible, hash-seeded, fully distributed.
 
-Random draws come from ``xxhash64(draw, seed)``: the same seed gives the same
-sample whatever the partitioning, and a re-executed task draws the same rows.
+Random draws come from the MD5 of draw and seed, which any engine can repeat: the
+same seed gives the same sample whatever the partitioning, and a re-executed task
+draws the same rows. Heads and samples of any size take the row-index path, so no
+task holds more than its share of them.
 """
 
 from __future__ import annotations
@@ -11,35 +13,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citesight.plans.joins import split_hot_join
 from citesight.plans.rowindex import with_row_index
 from citesight.functions.columns import with_scalars
 
-TAKE_ORDERED_MAX = 100_000
-_U53 = float(2 ** 53)
+_U52 = float(2 ** 52)
+
+
+def _digest(*cols, seed: int = 0):
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols],
+                             F.lit(str(seed))))
 
 
 def _uniform(*cols, seed: int = 0):
-    """Uniform [0, 1) from a hash of ``cols`` and ``seed``."""
-    h = F.xxhash64(*cols, F.lit(seed))
-    return F.shiftright(h, 11).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / _U53
+    """Uniform [0, 1) from the first 13 hex digits of the digest."""
+    return F.conv(F.substring(_digest(*cols, seed=seed), 1, 13), 16, 10).cast("double") / _U52
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
-    """B1: exactly ``min(n, rows)`` rows without replacement, by hash rank.
-
-    Small ``n``: per-task top-n then merge (TakeOrdered). Large ``n``: global
-    position by the same hash order, then a filter (no single-task limit).
-    """
-    order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
-    if n <= TAKE_ORDERED_MAX:
-        return df.orderBy(*order).limit(n)
-    ix = with_row_index(df.withColumn("_h", order[0]), ["_h", key], "_i")
+    """B1: exactly ``min(n, rows)`` rows without replacement: the first ``n`` positions in hash order."""
+    ix = with_row_index(df.withColumn("_h", _digest(key, seed=seed)), ["_h", key], "_i")
     return ix.where(F.col("_i") < n).drop("_h", "_i")
 
 
 def head_n(df: DataFrame, n: int, order_cols: Sequence = ("id",)) -> DataFrame:
     """B2: first ``n`` rows by ``order_cols``."""
-    return df.orderBy(*order_cols).limit(n)
+    return with_row_index(df, order_cols, "_i").where(F.col("_i") < n).drop("_i")
 
 
 def sample_uniform_replace(df: DataFrame, n: int, seed: int = 0, order_cols: Sequence = ("id",)) -> DataFrame:
@@ -57,8 +56,10 @@ def sample_uniform_replace(df: DataFrame, n: int, seed: int = 0, order_cols: Seq
 def inverse_freq_weights(df: DataFrame, col: str, n_bins: int = 100, out_bin: str = "bin",
                          out_weight: str = "weight") -> DataFrame:
     """Uniform-width bins between min and max (max clipped into the last bin, one bin
-    when min = max); row weight ``1 / (bin count + 1e-6)``."""
+    when min = max); row weight ``1 / (bin count + 1e-6)``. Rows without a value have no bin and
+    are dropped."""
     v = F.col(col).cast("double")
+    df = df.where(F.col(col).isNotNull() & ~F.isnan(v))
     st = df.agg(F.min(v).alias("_mn"), F.max(v).alias("_mx"))
     j = with_scalars(df, st)
     rng = F.col("_mx") - F.col("_mn")
@@ -84,7 +85,11 @@ def sample_weighted_replace(binned: DataFrame, n: int | None = None, seed: int =
     w_all = Window.orderBy(bin_col).rowsBetween(Window.unboundedPreceding, 0)  # over <= n_bins rows
     bins = bins.select(bin_col, "_cnt", (F.col("_cnt") * F.col("_w")).alias("_mass"))
     bins = bins.withColumns({"_mhi": F.sum("_mass").over(w_all), "_chi": F.sum("_cnt").over(w_all)})
-    bins = bins.withColumns({"_mlo": F.col("_mhi") - F.col("_mass"), "_start": F.col("_chi") - F.col("_cnt")})
+    # a bin begins exactly where the one before it ends; the last one is open above
+    w_bins = Window.orderBy(bin_col)
+    bins = bins.withColumns({"_mlo": F.coalesce(F.lag("_mhi").over(w_bins), F.lit(0.0)),
+                             "_mtop": F.when(F.lead("_mhi").over(w_bins).isNull(), F.lit(float("inf"))).otherwise(F.col("_mhi")),
+                             "_start": F.col("_chi") - F.col("_cnt")})
     tot = bins.agg(F.max("_mhi").alias("_M"), F.sum("_cnt").alias("_N"))
     if n is None:
         n = binned.count()  # a scalar; the draws themselves are generated in parallel
@@ -92,8 +97,9 @@ def sample_weighted_replace(binned: DataFrame, n: int | None = None, seed: int =
     draws = with_scalars(draws.withColumnRenamed("id", "draw"), tot)
     draws = draws.withColumns({"_u1": _uniform(F.col("draw"), F.lit(1), seed=seed) * F.col("_M"),
                                "_u2": _uniform(F.col("draw"), F.lit(2), seed=seed)})
-    b = F.broadcast(bins.select(bin_col, "_cnt", "_mlo", "_mhi", "_start"))
-    d = draws.join(b, (F.col("_u1") >= F.col("_mlo")) & (F.col("_u1") < F.col("_mhi")))
+    b = F.broadcast(bins.select(bin_col, "_cnt", "_mlo", "_mtop", "_start"))
+    d = draws.join(b, (F.col("_u1") >= F.col("_mlo")) & (F.col("_u1") < F.col("_mtop")))
     d = d.select("draw", (F.col("_start") + F.floor(F.col("_u2") * F.col("_cnt"))).cast("long").alias("_pos"))
     ix = with_row_index(binned, [bin_col, key], "_pos")
-    return d.join(ix, "_pos").drop("_pos")
+    # a row alone in its bin is drawn as often as a full bin: its draws are salted
+    return split_hot_join(d, ix, "_pos").drop("_pos")

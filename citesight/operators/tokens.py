@@ -1,12 +1,11 @@
 """Tokens and embeddings (K1-K5).
 
 The vocabulary is a corpus job (split, explode, count with map-side
-combine). Tokenising joins each token to the vocabulary: documents are first
-hash-partitioned by id; when the vocabulary's checked size (its cap, or one
-count) is under the broadcast bound, the lookup is a broadcast and exploding,
-lookup and regrouping by id stay inside that partitioning (the text is
-shuffled once, the tokens never). Beyond the bound the lookup is the hot-key
-split join: frequent words (Zipf) are broadcast, the long tail is shuffled.
+combine). Tokenising joins each token to the vocabulary. Documents are
+hash-partitioned by a key of id and text; where the vocabulary's counted bytes
+are under the broadcast bound, exploding, lookup and regrouping stay inside
+that partitioning and tokens are never shuffled. Beyond the bound the lookup
+is the salted join: frequent words (Zipf) are spread over salts.
 """
 
 from __future__ import annotations
@@ -26,8 +25,11 @@ from citesight.session import shuffle_partitions
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 SPECIALS = ["<pad>", "<bos>", "<eos>", "<unk>"]
 SPLIT_PATTERN = "[^\\p{L}\\p{N}]+"
-BROADCAST_VOCAB_ROWS = 2_000_000
+#: Largest tables that are broadcast, by their counted bytes in memory.
+BROADCAST_VOCAB_BYTES = 256 << 20
 BROADCAST_VECTOR_BYTES = 512 << 20
+#: Bytes a hash-map entry takes besides its values.
+ENTRY_BYTES = 48
 
 
 def words(text) -> Column:
@@ -36,40 +38,43 @@ def words(text) -> Column:
     return F.filter(F.split(F.lower(t), SPLIT_PATTERN), lambda w: w != "")
 
 
-def build_vocab(df: DataFrame, text_col: str, min_count: int = 1, max_size: int | None = None) -> DataFrame:
-    """K1: (token, count, token_id); ids after the reserved ones, by count desc then token."""
+def build_vocab(df: DataFrame, text_col: str) -> DataFrame:
+    """K1: (token, count, token_id) of every word; ids after the reserved ones, by count desc then token."""
     counts = (df.select(F.explode(words(text_col)).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-              .where(F.col("count") >= min_count))
+              .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     ix = with_row_index(counts, [F.col("count").desc(), F.col("token").asc()], "_i")
-    if max_size is not None:
-        ix = ix.where(F.col("_i") < max_size - len(SPECIALS))
     return ix.select("token", "count", (F.col("_i") + len(SPECIALS)).alias("token_id"))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Key of id and text: rows of one key have the same tokens, rows without an id too."""
+    return F.concat_ws("|", F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("-")),
+                       F.md5(F.col(text_col).cast("binary")))
+
+
 def tokenise(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, out: str | None = None,
-             vocab_max_size: int | None = None, bos: int = BOS, eos: int = EOS, unk: int = UNK) -> DataFrame:
-    """K2: ``{col}_tokens`` = [bos] + ids + [eos]; unknown words get ``unk``; null text gives an empty list."""
+             bos: int = BOS, eos: int = EOS, unk: int = UNK,
+             broadcast_bytes: int = BROADCAST_VOCAB_BYTES) -> DataFrame:
+    """K2: ``{col}_tokens`` = [bos] + ids + [eos]; unknown words get ``unk``; null text gives an empty
+    list. Rows without an id, and rows that repeat one, keep their own tokens."""
     out = out or f"{text_col}_tokens"
     n = shuffle_partitions(df.sparkSession)
-    docs = df.repartition(n, id_col)
-    toks = docs.select(id_col, F.posexplode(words(text_col)).alias("pos", "token"))
+    docs = df.withColumn("_key", row_key(id_col, text_col)).repartition(n, "_key")
+    once = docs.where(F.col(text_col).isNotNull()).select("_key", text_col).dropDuplicates(["_key"])
+    toks = once.select("_key", F.posexplode(words(text_col)).alias("pos", "token"))
     v = vocab.select("token", "token_id")
-    # size check: the cap when the caller set one, else one scalar count of the vocabulary
-    n_vocab = vocab_max_size if vocab_max_size is not None else vocab.count()
-    if n_vocab <= BROADCAST_VOCAB_ROWS:
-        j = toks.join(F.broadcast(v), "token", "left")  # checked size bound
+    size = vocab.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0  # one number
+    if size <= broadcast_bytes:
+        j = toks.join(F.broadcast(v), "token", "left")
     else:
-        # word frequencies are Zipf-shaped: frequent words (known from the vocabulary counts)
-        # are split off and broadcast
         hot = hot_from_counts(vocab, "token") if "count" in vocab.columns else None
         j = split_hot_join(toks, v, "token", how="left", hot=hot)
-    ids = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
+    ids = j.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(
         "pos", F.coalesce("token_id", F.lit(unk)).alias("tid")))).alias("_t"))
-    ids = ids.select(id_col, F.concat(F.array(F.lit(bos).cast("long")),
+    ids = ids.select("_key", F.concat(F.array(F.lit(bos).cast("long")),
                                       F.transform("_t", lambda s: s["tid"]),
                                       F.array(F.lit(eos).cast("long"))).alias(out))
-    res = docs.join(ids, id_col, "left")
+    res = docs.join(ids, "_key", "left").drop("_key")
     return res.withColumn(out, F.when(F.col(text_col).isNull(), F.array().cast("array<bigint>"))
                           .otherwise(F.coalesce(F.col(out), F.array(F.lit(bos).cast("long"), F.lit(eos).cast("long")))))
 
@@ -94,47 +99,47 @@ def assemble_text(df: DataFrame, cols: Sequence[str], out: str = "to_embed", bos
         out, F.concat(F.lit(bos), F.concat_ws(eos + bos, *[F.col(c) for c in cols]), F.lit(eos)))
 
 
-def hashing_encoder_factory(dim: int = 64) -> Callable:
-    """Default K4 encoder: signed feature hashing of the word tokens, L2-normalised.
+def embed_hashed(df: DataFrame, text_col: str, out: str | None = None, dim: int = 64) -> DataFrame:
+    """K4: signed feature hashing of the words into ``dim`` places, L2-normalised; built-in functions only.
 
-    Returns a ``predict_batch_udf`` factory: the model is built once per
-    Python worker and applied to Arrow batches.
+    A word's place and sign come from its MD5. Each distinct text is worked out once (words are
+    summed per text and place, map-side first); its vector returns by a join that salts texts held
+    by many rows. A null text, or one without words, has the zero vector.
     """
-    def make():
-        import re
-
-        import numpy as np
-        import xxhash
-        pat = re.compile(r"[^\w]+|_", re.UNICODE)
-
-        def predict(texts):
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for r, t in enumerate(texts):
-                if t is None:
-                    continue
-                for w in pat.split(str(t).lower()):
-                    if not w:
-                        continue
-                    h = xxhash.xxh64_intdigest(w)
-                    out[r, h % dim] += 1.0 if (h >> 63) == 0 else -1.0
-            norm = np.linalg.norm(out, axis=1, keepdims=True)
-            return out / np.maximum(norm, 1e-9)
-        return predict
-    return make
+    out = out or f"{text_col}_embedding"
+    keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    texts = keyed.groupBy("_key").agg(F.first(text_col, ignorenulls=True).alias("_text"), F.count(F.lit(1)).alias("_n"))
+    digest = F.md5(F.col("w").cast("binary"))
+    place = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim).cast("int")
+    sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
+    sums = (texts.select("_key", "_n", F.explode_outer(words("_text")).alias("w"))
+            .select("_key", "_n", place.alias("p"), sign.alias("s"))
+            .groupBy("_key", "_n", "p").agg(F.sum(F.when(F.col("p").isNotNull(), F.col("s"))).alias("s")))
+    rows = sums.groupBy("_key", "_n").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "s")))).alias("m"),
+        F.sqrt(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0))).alias("norm"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
+        F.try_element_at("m", i), F.lit(0.0)) / F.greatest("norm", F.lit(1e-9)))
+    vectors = rows.select("_key", "_n", vec.alias(out))
+    met = split_hot_join(keyed, vectors.select("_key", out), "_key", "left", hot=hot_from_counts(vectors, "_key", "_n"))
+    return met.drop("_key")
 
 
 def embed_batch(df: DataFrame, text_col: str, out: str | None = None, encoder_factory: Callable | None = None,
                 dim: int = 64, batch_size: int = 256) -> DataFrame:
-    """K4: batched encoder over text into a fixed-width float vector (Arrow batches per worker)."""
+    """K4: a fixed-width vector per text. Without a model of the caller's, ``embed_hashed``; a model
+    (``encoder_factory()`` returns ``texts -> vectors``) runs in Arrow batches, one per worker."""
+    if encoder_factory is None:
+        return embed_hashed(df, text_col, out, dim)
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, FloatType
-    factory = encoder_factory or hashing_encoder_factory(dim)
-    udf = predict_batch_udf(factory, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    udf = predict_batch_udf(encoder_factory, return_type=ArrayType(FloatType()), batch_size=batch_size)
     return df.withColumn(out or f"{text_col}_embedding", udf(F.col(text_col)))
 
 
 def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame, dim: int,
-              pad: int = PAD, vectors_max_rows: int | None = None, vocab: DataFrame | None = None) -> DataFrame:
+              pad: int = PAD, vocab: DataFrame | None = None,
+              broadcast_bytes: int = BROADCAST_VECTOR_BYTES) -> DataFrame:
     """K5: masked mean of token vectors per row (pad excluded, denominator clamped at 1e-9:
     a row without real tokens gets the zero vector).
 
@@ -149,10 +154,9 @@ def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFram
     # document's partition)
     t = t.groupBy(id_col, "token_id").agg(F.count(F.lit(1)).cast("double").alias("_w"))
     v = vectors.select("token_id", array_to_vector("vec").alias("v"))
-    n_vec = vectors_max_rows if vectors_max_rows is not None else vectors.count()
-    if n_vec * dim * 4 <= BROADCAST_VECTOR_BYTES:
-        # checked bound (rows x width): tokens stay in their document's partition, so the
-        # per-document mean needs no shuffle of vectors
+    if vectors.count() * (dim * 8 + ENTRY_BYTES) <= broadcast_bytes:
+        # counted bytes (vectors are doubles by now): tokens stay in their document's partition, so
+        # the per-document mean needs no shuffle of vectors
         j = t.join(F.broadcast(v), "token_id")
     else:
         hot = hot_from_counts(vocab, "token_id") if vocab is not None else None

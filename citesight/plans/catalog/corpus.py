@@ -137,17 +137,17 @@ def s6(spark, sf):
     return S.dry_run_head(fx.works(spark, sf).select("id", "publication_date"), 50)
 
 
-@register("s7_json_sink", W + "SELECT id, topic_name, score FROM works ORDER BY id LIMIT 500")
+@register("s7_json_sink", W + "SELECT id, topic_name, score FROM works")
 def s7(spark, sf):
-    head = S.dry_run_head(fx.works(spark, sf).select("id", "topic_name", "score"), 500)
-    path = S.json_sink(head, S.scratch_path(spark, "json"))
+    path = S.json_sink(fx.works(spark, sf).select("id", "topic_name", "score"), S.scratch_path(spark, "json"))
     return spark.read.schema("id long, topic_name string, score double").json(path)
 
 
-@register("s7_params_json")
+@register("s7_params_json", W + """SELECT '{"chunks": "7", "compression": "zstd", "level": "1"}' AS params,
+  (SELECT count(*) FROM works) AS rows""")
 def s7p(spark, sf):
     # run parameters as one JSON row, next to the counts they describe
-    p = S.params_frame(spark, {"sf_dir": sf, "chunks": 7, "compression": "zstd", "level": 1})
+    p = S.params_frame(spark, {"chunks": 7, "compression": "zstd", "level": 1})
     n = fx.works(spark, sf).agg(F.count(F.lit(1)).alias("rows"))
     return with_scalars(p, n)
 
@@ -168,7 +168,10 @@ def s9(spark, sf):
 
 
 # ---------------------------------------------------------------- sampling (B)
-@register("b1_sample_n")
+_DRAW = "CAST(CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+
+
+@register("b1_sample_n", W + "SELECT id, score FROM works ORDER BY md5(id || '|42'), id LIMIT 500")
 def b1(spark, sf):
     return B.sample_n(fx.works(spark, sf).select("id", "score"), 500, seed=42)
 
@@ -178,7 +181,10 @@ def b2(spark, sf):
     return B.head_n(fx.works(spark, sf).select("id", "score"), 1000)
 
 
-@register("b3_sample_uniform_replace")
+@register("b3_sample_uniform_replace", W + f""", ix AS (SELECT id, score, row_number() OVER (ORDER BY id) - 1 AS pos FROM works),
+dr AS (SELECT draw, CAST(floor({_DRAW.format("draw || '|7'")} * (SELECT count(*) FROM works)) AS BIGINT) AS pos
+       FROM range(0, 2000) t(draw))
+SELECT draw, id, score FROM dr JOIN ix USING (pos)""")
 def b3(spark, sf):
     return B.sample_uniform_replace(fx.works(spark, sf).select("id", "score"), 2000, seed=7)
 
@@ -195,7 +201,17 @@ def b4(spark, sf):
     return B.inverse_freq_weights(fx.works(spark, sf).select("id", "score"), "score", 100).select("id", "bin", "weight")
 
 
-@register("b5_sample_weighted_replace")
+@register("b5_sample_weighted_replace", _B4 + f""", bw AS (SELECT b.id, b.bin, w.score, 1.0 / (c.c + 1e-6) AS weight
+        FROM b JOIN c USING (bin) JOIN works w USING (id)),
+ix AS (SELECT *, row_number() OVER (ORDER BY bin, id) - 1 AS pos FROM bw),
+bins AS (SELECT bin, count(*) AS cnt, count(*) * any_value(weight) AS mass, min(pos) AS start FROM ix GROUP BY bin),
+cum AS (SELECT *, sum(mass) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS mhi FROM bins),
+edge AS (SELECT bin, cnt, start, coalesce(lag(mhi) OVER (ORDER BY bin), 0) AS mlo,
+                CASE WHEN lead(mhi) OVER (ORDER BY bin) IS NULL THEN CAST('inf' AS DOUBLE) ELSE mhi END AS mtop FROM cum),
+dr AS (SELECT draw, {_DRAW.format("draw || '|1|11'")} * (SELECT max(mhi) FROM cum) AS u1, {_DRAW.format("draw || '|2|11'")} AS u2
+       FROM range(0, 5000) t(draw)),
+pk AS (SELECT draw, CAST(start + floor(u2 * cnt) AS BIGINT) AS pos FROM dr JOIN edge ON u1 >= mlo AND u1 < mtop)
+SELECT pk.draw, ix.id, ix.score, ix.bin, ix.weight FROM pk JOIN ix USING (pos)""")
 def b5(spark, sf):
     binned = B.inverse_freq_weights(fx.works(spark, sf).select("id", "score"), "score", 100)
     return B.sample_weighted_replace(binned, 5000, seed=11)
@@ -215,10 +231,11 @@ def d1(spark, sf):
     return D.bucket_counts(fx.works(spark, sf), "cited_by_count", BUCKETS)
 
 
-@register("d2_bucket_proportions", _BK + """SELECT label, count, count * 100.0 / sum(count) OVER () AS pct FROM cnt""")
+@register("d2_bucket_proportions", _BK + """SELECT label, count, count * 100.0 / sum(count) OVER () AS pct,
+  round_even(count * 100.0 / sum(count) OVER (), 1) AS proportion FROM cnt""")
 def d2(spark, sf):
     return D.bucket_proportions(D.bucket_counts(fx.works(spark, sf), "cited_by_count", BUCKETS)).select(
-        "label", "count", "pct")
+        "label", "count", "pct", "proportion")
 
 
 @register("d3_balance_weights", _BK + """SELECT label, CASE WHEN count = 0 THEN CAST('nan' AS DOUBLE)
@@ -228,11 +245,29 @@ def d3(spark, sf):
 
 
 @register("d4_describe_column", W + """SELECT count(score) AS count, CAST(count_if(score IS NULL) AS BIGINT) AS null_count,
+  CAST(count_if(isnan(score)) AS BIGINT) AS nan_count,
   round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, min(score) AS min,
   round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.5), 6) AS p50,
   round(quantile_cont(score, 0.75), 6) AS p75, max(score) AS max FROM works""")
 def d4(spark, sf):
     from citesight.functions.columns import r6
     d = D.describe_column(fx.works(spark, sf), "score")
-    return d.select("count", "null_count", r6("mean").alias("mean"), r6("std").alias("std"), "min",
+    return d.select("count", "null_count", "nan_count", r6("mean").alias("mean"), r6("std").alias("std"), "min",
+                    r6("p25").alias("p25"), r6("p50").alias("p50"), r6("p75").alias("p75"), "max")
+
+
+_DESC = """SELECT '{c}' AS "column", count({c}) AS count, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count,
+  CAST(0 AS BIGINT) AS nan_count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+  CAST(min({c}) AS DOUBLE) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+  round(quantile_cont({c}, 0.75), 6) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM ww"""
+
+
+@register("d5_describe_job", W + ", ww AS (SELECT * FROM works WHERE publication_date >= DATE '1996-01-01' "
+          "AND publication_date < DATE '2000-01-01' AND cited_by_count >= 1 AND len(referenced_works) >= 5)\n"
+          + " UNION ALL ".join(_DESC.format(c=c) for c in ("score", "cited_by_count", "field_id")))
+def d5(spark, sf):
+    from citesight.functions.columns import r6
+    w = P.cited_and_referencing(fx.works(spark, sf))
+    d = D.describe_columns(w, ["score", "cited_by_count", "field_id"], "publication_date", "1996-01-01", "2000-01-01")
+    return d.select("column", "count", "null_count", "nan_count", r6("mean").alias("mean"), r6("std").alias("std"), "min",
                     r6("p25").alias("p25"), r6("p50").alias("p50"), r6("p75").alias("p75"), "max")

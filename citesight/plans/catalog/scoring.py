@@ -118,18 +118,21 @@ def e9(spark, sf):
 
 
 # ---------------------------------------------------------------- E10-E11 thresholds
-@register("e10_confusion_at_half", SW + f"""SELECT w, tp, fp, tn, fn, round(balanced_accuracy, 6) AS balanced_accuracy,
+_GUARDED = _NAN + ", sg AS (SELECT * FROM sn WHERE NOT isnan(prob))"
+
+
+@register("e10_confusion_at_half", _GUARDED + f"""SELECT w, tp, fp, tn, fn, round(balanced_accuracy, 6) AS balanced_accuracy,
   round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1
-FROM (SELECT w, tp, fp, tn, fn, {Q.scores_cols()} FROM ({Q.counts_sql('scored_windows', ['w'])}))""")
+FROM (SELECT w, tp, fp, tn, fn, {Q.scores_cols()} FROM ({Q.counts_sql('sg', ['w'])}))""")
 def e10(spark, sf):
-    return _round_all(E.confusion_at(fx.scored_windows(spark, sf), 0.5, group_cols=["w"]))
+    return _round_all(E.confusion_at(_with_nan(spark, sf), 0.5, group_cols=["w"]))
 
 
-@register("e11_best_threshold", SW + "," + Q.best_sql("bt", "scored_windows", ["w"]) + """
+@register("e11_best_threshold", _GUARDED + "," + Q.best_sql("bt", "sg", ["w"]) + """
 SELECT w, round(best_accuracy, 6) AS best_accuracy, round(best_accuracy_theta, 6) AS best_accuracy_theta,
        round(precision, 6) AS precision, round(recall, 6) AS recall FROM bt""")
 def e11(spark, sf):
-    return _round_all(E.best_threshold(fx.scored_windows(spark, sf), group_cols=["w"]))
+    return _round_all(E.best_threshold(_with_nan(spark, sf), group_cols=["w"]))
 
 
 # ---------------------------------------------------------------- E12-E19 multi-class
@@ -285,8 +288,8 @@ def e24(spark, sf):
     return _round_all(E.prob_histogram_by_class(fx.scored_windows(spark, sf)))
 
 
-@register("e25_residuals", RG + """SELECT id, y - pred AS residual, (y - pred) / sigma AS std_residual,
-  abs(y - pred) AS abs_error, abs(y - pred) / sigma AS abs_norm_error,
+@register("e25_residuals", RG + """SELECT id, y - pred AS residual, (y - pred) / nullif(sigma, 0) AS std_residual,
+  abs(y - pred) AS abs_error, abs(y - pred) / nullif(sigma, 0) AS abs_norm_error,
   pred - sigma * 3 AS band_lo, pred + sigma * 3 AS band_hi FROM regressed""")
 def e25(spark, sf):
     # row-wise arithmetic: identical IEEE operations in both engines, compared unrounded
@@ -304,26 +307,27 @@ def e26(spark, sf):
 
 
 # ---------------------------------------------------------------- E27-E29 store, report, windows
-_WIDE_W = SW + "," + Q.binary_wide_sql("scored_windows", ["w"]) + ",\n" + Q.metric_rows_sql(["w"]) + "\n"
+_WIDE_W = _GUARDED + "," + Q.binary_wide_sql("sg", ["w"]) + ",\n" + Q.metric_rows_sql(["w"]) + "\n"
 
 
 @register("e27_aggregate_metrics", _WIDE_W + """SELECT metric, round(sum(score * weight) / sum(weight), 6) AS score
 FROM mrows GROUP BY metric HAVING sum(score * weight) / sum(weight) IS NOT NULL""")
 def e27(spark, sf):
-    rows = E.binary_metric_rows(fx.scored_windows(spark, sf), ["w"], prefix="")
-    return E.aggregate_metrics(rows.where(F.col("metric") != "examples"))
+    rows = E.binary_metric_rows(_with_nan(spark, sf), ["w"], prefix="")
+    return E.aggregate_metrics(rows.where(~F.col("metric").isin("examples", "nan_scores")))
 
 
 _PIV = ", ".join(f'round(max(CASE WHEN metric = \'{m}\' THEN score END), 6) AS "{m}"' for m in Q.BINARY_METRICS)
 
 
-@register("e28_metric_report", _WIDE_W + f"""SELECT w, {_PIV}, max(examples) AS examples FROM (
+@register("e28_metric_report", _WIDE_W + f"""SELECT w, {_PIV}, max(examples) AS examples,
+  (SELECT CAST(count_if(isnan(prob)) AS DOUBLE) FROM sn WHERE sn.w = q.w) AS nan_scores FROM (
   SELECT m.w, m.metric, sum(m.score * m.weight) / sum(m.weight) AS score, any_value(wd.examples) AS examples
-  FROM mrows m JOIN wide wd ON wd.w = m.w GROUP BY m.w, m.metric) GROUP BY w""")
+  FROM mrows m JOIN wide wd ON wd.w = m.w GROUP BY m.w, m.metric) q GROUP BY w""")
 def e28(spark, sf):
-    rows = E.binary_metric_rows(fx.scored_windows(spark, sf), ["w"], prefix="")
+    rows = E.binary_metric_rows(_with_nan(spark, sf), ["w"], prefix="")
     agg = E.aggregate_metrics(rows, ["w"])
-    return E.metric_report(agg, E.BINARY_METRICS + ["examples"], ["w"])
+    return E.metric_report(agg, E.BINARY_METRICS + ["examples", "nan_scores"], ["w"])
 
 
 _WIN = SW + """, lim AS (SELECT max(d) + 1 AS e FROM scored_windows),
@@ -334,7 +338,8 @@ sw AS (SELECT s.*, win.window_start FROM scored_windows s JOIN win ON s.d >= win
 """ + Q.binary_wide_sql("sw", ["window_start"]) + ",\n" + Q.metric_rows_sql(["window_start"]) + "\n"
 
 
-@register("e29_sliding_eval", _WIN + f"""SELECT window_start, {_PIV}, max(examples) AS examples FROM (
+@register("e29_sliding_eval", _WIN + f"""SELECT window_start, {_PIV}, max(examples) AS examples,
+  CAST(0 AS DOUBLE) AS nan_scores FROM (
   SELECT m.window_start, m.metric, sum(m.score * m.weight) / sum(m.weight) AS score, any_value(wd.examples) AS examples
   FROM mrows m JOIN wide wd ON wd.window_start = m.window_start GROUP BY m.window_start, m.metric) GROUP BY window_start""")
 def e29(spark, sf):
@@ -361,7 +366,7 @@ def o3(spark, sf):
     return _round_all(O.l1(fx.regressed(spark, sf)))
 
 
-@register("o4_hetero_mae", RG + "SELECT round(avg(abs(y - pred) / sigma + ln(sigma)), 6) AS hetero_mae FROM regressed")
+@register("o4_hetero_mae", RG + "SELECT round(avg(abs(y - pred) / sigma + ln(sigma)), 6) AS hetero_mae FROM regressed WHERE sigma > 0")
 def o4(spark, sf):
     return _round_all(O.hetero_mae(fx.regressed(spark, sf)))
 

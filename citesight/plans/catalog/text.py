@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citesight.operators import clean as C
 from citesight.plans.registry import register
+from citesight.functions.columns import r6
 from citesight.sources import fixtures as fx
 
 D = fx.with_views("docs")
@@ -113,9 +114,8 @@ def _vocab(spark, sf):
     return K.build_vocab(fx.documents(spark, sf), "text")
 
 
-def _tokens(spark, sf):
-    d = fx.documents(spark, sf)
-    return K.tokenise(d, "doc_id", "text", _vocab(spark, sf))
+def _tokens(spark, sf, vocab):
+    return K.tokenise(fx.documents(spark, sf), "doc_id", "text", vocab)
 
 
 @register("k1_build_vocab", _VOCAB + "SELECT token, count, token_id FROM vocab")
@@ -126,7 +126,7 @@ def k1(spark, sf):
 @register("k2_tokenise", _VOCAB + """SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens,
   md5(array_to_string(toks, ',')) AS tokens_md5 FROM dtok""")
 def k2(spark, sf):
-    t = _tokens(spark, sf)
+    t = _tokens(spark, sf, _vocab(spark, sf))
     return t.select("doc_id", F.size("text_tokens").alias("n_tokens"),
                     F.md5(F.array_join(F.col("text_tokens").cast("array<string>"), ",")).alias("tokens_md5"))
 
@@ -138,19 +138,26 @@ def k3(spark, sf):
     return d.select("doc_id", F.md5("to_embed").alias("to_embed_md5"))
 
 
-@register("k4_embed_batch")
+@register("k4_embed_batch", f"""WITH w AS (SELECT doc_id, unnest({_SPLIT.replace('text', "'<s>' || text || '</s>'")}) AS token
+  FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 64 AS dim,
+             CASE WHEN substr(md5(token), 9, 1) < '8' THEN 1 ELSE -1 END AS s FROM w),
+v AS (SELECT doc_id, dim, sum(s) AS s FROM h GROUP BY doc_id, dim),
+n AS (SELECT doc_id, sqrt(sum(s * s)) AS nrm FROM v GROUP BY doc_id)
+SELECT d.doc_id, CAST(r.dim AS INTEGER) AS dim, round(coalesce(v.s, 0) / greatest(coalesce(n.nrm, 0), 1e-9), 6) AS value
+FROM documents d CROSS JOIN range(0, 64) r(dim) LEFT JOIN v ON v.doc_id = d.doc_id AND v.dim = r.dim
+LEFT JOIN n ON n.doc_id = d.doc_id WHERE d.text IS NOT NULL""")
 def k4(spark, sf):
     d = K.assemble_text(fx.documents(spark, sf), ["text"])
     e = K.embed_batch(d, "to_embed", "embedding", dim=64)
-    return e.select("doc_id", F.size("embedding").alias("dim"),
-                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)), 4).alias("norm"))
+    return e.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select("doc_id", "dim", r6("value").alias("value"))
 
 
-def token_vectors(spark, sf):
+def token_vectors(spark, sf, vocab):
     """Token id -> vector of ``embeddings`` row ``token_id % rows`` (the token vector table of K5)."""
     e = fx.table(spark, sf, "embeddings")
     n = e.agg(F.count(F.lit(1)).alias("_n"))
-    v = _vocab(spark, sf).select("token_id")
+    v = vocab.select("token_id")
     specials = spark.createDataFrame([(i,) for i in range(len(K.SPECIALS))], "token_id long")
     ids = with_scalars(v.unionByName(specials), n)
     return ids.join(e, (F.col("token_id") % F.col("_n")) == e.vec_id).select("token_id", F.col("embedding").alias("vec"))
@@ -162,8 +169,9 @@ tv AS (SELECT tk.doc_id, e.embedding FROM tk, n JOIN embeddings e ON e.vec_id =
 dims AS (SELECT doc_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS dim FROM tv)
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS value FROM dims GROUP BY doc_id, dim""")
 def k5(spark, sf):
-    t = _tokens(spark, sf)
-    m = K.mean_pool(t, "doc_id", "text_tokens", token_vectors(spark, sf), dim=64, vocab=_vocab(spark, sf))
+    v = _vocab(spark, sf)
+    t = _tokens(spark, sf, v)
+    m = K.mean_pool(t, "doc_id", "text_tokens", token_vectors(spark, sf, v), dim=64, vocab=v)
     return m.select("doc_id", F.posexplode("mean_vec").alias("dim", "value")).select(
         "doc_id", "dim", F.round("value", 6).alias("value"))
 

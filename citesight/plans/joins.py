@@ -52,18 +52,19 @@ def hot_from_counts(counts: DataFrame, key: str, count_col: str = "count", parti
 
 def split_hot_join(left: DataFrame, right: DataFrame, key, how: str = "inner",
                    partitions: int | None = None, min_rows: int = 10_000,
-                   hot: DataFrame | None = None) -> DataFrame:
+                   hot: DataFrame | None = None, hash_cols: list[str] | None = None) -> DataFrame:
     """``left JOIN right USING (key)`` where ``right`` is unique on ``key`` (a column or a list).
 
     ``hot``: (key, _salts) when already known (at most ``2 * partitions`` rows);
-    otherwise counted on ``left``.
+    otherwise counted on ``left``. ``hash_cols``: the left columns that spread a hot key's rows
+    (all by default; name the narrow ones, a unique id will do).
     """
     if how not in ("inner", "left"):
         raise ValueError("split_hot_join supports inner and left joins")
     key = _keys(key)
     hot = F.broadcast((hot if hot is not None else hot_keys(left, key, partitions, min_rows))
                       .select(*key, "_salts"))
-    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
+    row_hash = F.xxhash64(*[F.col(c) for c in hash_cols or left.columns])
     lft = left.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(row_hash, F.col("_salts")))
     ).drop("_salts")

@@ -25,4 +25,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from citesight.plans.catalog import corpus, graph, scoring, text  # noqa: F401
+    from citesight.plans.catalog import corpus, graph, jobs, scoring, text  # noqa: F401

@@ -2,7 +2,7 @@
 
 * ``with_row_index``: 0-based position of every row in a total order.
 * ``cumulative_sums``: running sums in an order, optionally per group.
-* ``exact_quantiles``: linear-interpolated quantiles by position.
+* ``exact_quantiles``: quantiles by position.
 
 All three range-partition the data (sampling-based bounds, so a hot key is
 split by the tie-breaking columns), work inside each partition, and add
@@ -12,6 +12,7 @@ partitions (times the number of groups), which is the only broadcast.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,14 +23,16 @@ from citesight.functions.columns import with_scalars
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable, cuts lineage).
+    """Write ``df`` as compressed Parquet into the shared checkpoint folder and read it back.
 
-    Used where two branches of a plan must see the same partition ids: a
+    Survives a lost executor, cuts lineage, and later reads take only the columns they use. Used where two branches of a plan must see the same partition ids: a
     range exchange samples its bounds from rows whose order after a shuffle
     is not fixed, so recomputing it may move rows between partitions.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pinned-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _cols(cs) -> list[Column]:
@@ -41,7 +44,7 @@ def with_row_index(df: DataFrame, order_cols: Sequence, name: str = "idx",
     """Add ``name`` = global 0-based position by ``order_cols``.
 
     ``order_cols`` must be a total order (end it with a unique key). The
-    tagged frame is pinned (checkpointed) so both branches of the plan see
+    tagged frame is pinned (written and read back) so both branches of the plan see
     the same partition ids; the explicit partition count keeps AQE from
     coalescing the range exchange. ``total_name`` adds the row count, read off the
     per-partition table (no extra pass over the data).
@@ -88,28 +91,34 @@ def cumulative_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str]
                       *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in sum_cols])
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
-    """One row per q: (q, value) with linear interpolation between ranks.
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], interpolation: str = "linear") -> DataFrame:
+    """One row with a column ``q0, q1, ...`` per entry of ``qs``: exact quantiles by position.
 
-    Equal values are split across partitions by a hash of the whole row, so a
-    value holding a third of the rows does not land in one task.
+    Reads only ``col``. Rows collapse to (value, count) with map-side combine, so
+    a value held by a third of the rows is one row; running counts then give the
+    value at each position. ``linear`` interpolates between the two nearest
+    positions, ``nearest`` takes the value at the rounded position. NaN and null
+    are left out; without values all quantiles are null.
     """
-    spark = df.sparkSession
-    vals = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    ranked = with_row_index(vals.select(F.col(col).cast("double").alias("_v"), tie.alias("_tie")),
-                            ["_v", "_tie"], name="_i", total_name="_cnt")
-    n = ranked.agg(F.coalesce(F.max("_cnt"), F.lit(0)).alias("_cnt"))
-    qdf = spark.createDataFrame([(float(q),) for q in qs], "q double")
-    pos = with_scalars(qdf, n).select(
-        "q", "_cnt", (F.col("q") * (F.col("_cnt") - 1)).alias("_pos"))
-    pos = pos.select("q", "_cnt", "_pos", F.floor("_pos").alias("_lo"), F.ceil("_pos").alias("_hi"))
-    need = (pos.select(F.col("_lo").alias("_i")).union(pos.select(F.col("_hi").alias("_i")))
-            .distinct())
-    # at most 2 * len(qs) rows on both sides of the final joins
-    picked = ranked.join(F.broadcast(need), "_i").select("_i", "_v")
-    lo = picked.select(F.col("_i").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = picked.select(F.col("_i").alias("_hi"), F.col("_v").alias("_vhi"))
-    j = pos.join(lo, "_lo", "left").join(hi, "_hi", "left")
-    return j.select("q", F.when(F.col("_cnt") == 0, F.lit(None).cast("double")).otherwise(
-        F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_lo"))).alias("value"))
+    if interpolation not in ("linear", "nearest"):
+        raise ValueError(f"unknown interpolation {interpolation}")
+    v = F.col(col).cast("double")
+    counts = (df.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+              .groupBy("_v").agg(F.count(F.lit(1)).alias("_n")))
+    runs = cumulative_sums(counts, ["_v"], ["_n"])
+    runs = with_scalars(runs, runs.agg(F.coalesce(F.max("_n_cum"), F.lit(0)).alias("_total")))
+
+    def at(pos: Column) -> Column:
+        return F.max(F.when((F.col("_n_cum") - F.col("_n") <= pos) & (pos < F.col("_n_cum")), F.col("_v")))
+
+    found, names = [], []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("_total") - 1)
+        if interpolation == "nearest":
+            found.append(at(F.round(pos)).alias(f"q{i}"))
+        else:
+            found += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}"), F.max(pos).alias(f"_pos{i}")]
+            part = F.col(f"_pos{i}") - F.floor(f"_pos{i}")
+            names.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).alias(f"q{i}"))
+    one = runs.agg(*found)
+    return one.select(*names) if names else one

@@ -39,8 +39,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    On a cluster ``spark.checkpoint.dir`` is set and used as is. Only when it is
-    unset (tests, local runs) a private folder is created.
+    On a cluster ``spark.checkpoint.dir`` is set and used as is. Only on a
+    ``local`` master (tests, local runs) a private folder is created when it is
+    unset; anywhere else other executors would not see such a folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -48,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
     path = tempfile.mkdtemp(prefix="citesight-ckpt-")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)

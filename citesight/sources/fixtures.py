@@ -15,6 +15,9 @@ from citesight.functions.columns import with_scalars
 # order key per offset: no pairs within a customer, no hot key.
 CITATION_OFFSETS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
 
+#: Classes of the scored multi-class fixture.
+CLASSES = 10
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +40,11 @@ def citation_fixture_edges(orders: DataFrame) -> DataFrame:
                       F.col("o_orderdate").cast("date").alias("d"))
     cand = o.select("id", "d", F.explode(F.array(*[F.lit(x) for x in CITATION_OFFSETS])).alias("off"))
     cand = cand.select("id", "d", (F.col("id") - F.col("off")).alias("ref"))
+    # every third work also cites the oldest one: a hub that holds far more than a fair share of edges
+    hub = o.agg(F.min(F.struct("d", "id"))["id"].alias("hub"))
+    third = with_scalars(o.where(F.col("id") % 3 == 0), hub)
+    third = third.where(~(F.col("id") - F.col("hub")).isin(*CITATION_OFFSETS))
+    cand = cand.unionByName(third.select("id", "d", F.col("hub").alias("ref")))
     tgt = o.select(F.col("id").alias("ref"), F.col("d").alias("ref_d"))
     return (cand.join(tgt, "ref").where(F.col("ref_d") < F.col("d"))
             .select("id", "ref", F.col("d").alias("citing_date")))
@@ -106,12 +114,15 @@ def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    terms = F.transform(F.slice("embedding", 1, 10), lambda v: F.abs(v).cast("double"))
-    e = e.select(F.col("vec_id").alias("id"), F.col("label").alias("y"), terms.alias("e"))
-    total = e["e"][0]
-    for i in range(1, 10):
-        total = total + e["e"][i]
-    return e.select("id", "y", F.transform("e", lambda v: v / total).alias("probs"))
+    # class c gathers the magnitudes of all entries whose index ends in c
+    size = F.transform("embedding", lambda v: F.abs(v).cast("double"))
+    e = e.select(F.col("vec_id").alias("id"), F.col("label").alias("y"), size.alias("m"))
+    folded = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda c: F.aggregate(
+        F.filter("m", lambda v, i: i % CLASSES == c), F.lit(0.0), lambda a, v: a + v))
+    e = e.select("id", "y", folded.alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
+    return e.select("id", "y", total.alias("t"), "e").select(
+        "id", "y", F.transform("e", lambda v: v / F.col("t")).alias("probs"))
 
 
 def regressed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +132,9 @@ def regressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
                     F.col("l_extendedprice").alias("y"),
                     (F.col("l_quantity") * F.col("p_retailprice")).alias("pred"),
-                    (F.lit(100.0) + F.col("l_quantity") * 5).alias("sigma"))
+                    # the seventh line of an order has no spread
+                    F.when(F.col("l_linenumber") == 7, F.lit(0.0))
+                    .otherwise(F.lit(100.0) + F.col("l_quantity") * 5).alias("sigma"))
 
 
 # ---------------------------------------------------------------- SQL twins
@@ -134,7 +147,11 @@ VIEW_SQL = {
   CROSS JOIN (SELECT unnest([{_OFFSETS_SQL}]) AS off) v
   JOIN (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders) b
     ON b.id = a.id - v.off
-  WHERE b.d < a.d)""",
+  WHERE b.d < a.d
+  UNION ALL
+  SELECT a.o_orderkey, h.id, CAST(a.o_orderdate AS DATE)
+  FROM orders a, (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders ORDER BY 2, 1 LIMIT 1) h
+  WHERE a.o_orderkey % 3 = 0 AND a.o_orderkey - h.id NOT IN ({_OFFSETS_SQL}) AND h.d < CAST(a.o_orderdate AS DATE))""",
     "works": """refs AS (SELECT id, list(ref ORDER BY ref) AS referenced_works FROM citations GROUP BY id),
 cites AS (SELECT ref AS id, CAST(year(citing_date) AS INTEGER) AS y, count(*) AS n FROM citations GROUP BY 1, 2),
 series AS (
@@ -164,12 +181,14 @@ works AS (
          CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
          o_totalprice / (o_totalprice + 200000.0) AS prob FROM orders)""",
     "scored_multi": """scored_multi AS (
-  SELECT id, y, list_transform(e, lambda v: v / (e[1]+e[2]+e[3]+e[4]+e[5]+e[6]+e[7]+e[8]+e[9]+e[10])) AS probs
-  FROM (SELECT vec_id AS id, label AS y,
-               list_transform(embedding[1:10], lambda v: CAST(abs(v) AS DOUBLE)) AS e FROM embeddings))""",
+  SELECT id, y, list_transform(e, lambda v: v / t) AS probs FROM (SELECT id, y, e, list_sum(e) AS t FROM (
+    SELECT id, y, list_transform(range(0, 10), lambda c: list_sum(list_filter(m, lambda v, i: (i - 1) % 10 = c))) AS e
+    FROM (SELECT vec_id AS id, label AS y, list_transform(embedding, lambda v: CAST(abs(v) AS DOUBLE)) AS m
+          FROM embeddings))))""",
     "regressed": """regressed AS (
   SELECT l_orderkey * 8 + l_linenumber AS id, l_extendedprice AS y,
-         l_quantity * p_retailprice AS pred, 100.0 + l_quantity * 5 AS sigma
+         l_quantity * p_retailprice AS pred,
+         CASE WHEN l_linenumber = 7 THEN 0.0 ELSE 100.0 + l_quantity * 5 END AS sigma
   FROM lineitem JOIN part ON p_partkey = l_partkey)""",
 }
 

@@ -67,8 +67,8 @@ def written_counts(spark: SparkSession, path: str, part: str = "part") -> DataFr
 
 
 def dry_run_head(df: DataFrame, n: int = 500, order_cols: Sequence = ("id",)) -> DataFrame:
-    """The first ``n`` rows by ``order_cols`` (top-n per task, then merge)."""
-    return df.orderBy(*order_cols).limit(n)
+    """The first ``n`` rows by ``order_cols``, by global position."""
+    return with_row_index(df, order_cols, "_idx").where(F.col("_idx") < n).drop("_idx")
 
 
 def json_sink(df: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -83,13 +83,9 @@ def params_frame(spark: SparkSession, params: dict) -> DataFrame:
     return spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "params string")
 
 
-def stage_table(df: DataFrame, path: str | None = None, in_memory: bool | None = False,
-                max_mem_rows: int = 1_000_000) -> DataFrame:
-    """Materialise a training table: in memory (spilling to disk), or written to the shared folder
-    and read back (survives executor loss, cuts lineage). ``in_memory=None`` decides by row count:
-    up to ``max_mem_rows`` rows stay in memory (one count, a scalar)."""
-    if in_memory is None:
-        in_memory = df.count() <= max_mem_rows
+def stage_table(df: DataFrame, path: str | None = None, in_memory: bool = False) -> DataFrame:
+    """Materialise a training table: written to the shared folder and read back (survives executor
+    loss, cuts lineage), or, if the caller says so, kept in memory (spilling to disk)."""
     if in_memory:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession

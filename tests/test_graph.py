@@ -68,13 +68,27 @@ def test_split_hot_join_equals_plain_join(spark):
 
 
 def test_rewindow_edges_stop_at_window_end(spark):
-    wins = spark.createDataFrame([(d(1995), d(1996)), (d(1996), d(1997))], "window_start date, window_end date")
     spec = G.GraphSpec(top_k=5)
-    r = {(x.window_start.year, x.id): x.graph_ids for x in G.rewindow(corpus(spark), spec, wins).collect()}
+    r = {(x.window_start.year, x.id): x.graph_ids
+         for x in G.rewindow(corpus(spark), spec, "1995-01-01", "1997-01-01").collect()}
     assert r[(1995, 4)] == [1, 2, 3, 3]
     assert r[(1996, 5)] == [4]
 
 
+def test_rewindow_keeps_the_length_limits_of_the_table(spark):
+    spec = G.GraphSpec(top_k=5, max_len=1, graph_max_len=1)
+    one = {x.id for x in G.neighbourhood_table(corpus(spark), spec).collect()}
+    many = {x.id for x in G.rewindow(corpus(spark), spec, "1990-01-01").collect()}
+    assert many == one | {5} and 4 not in many  # 5 cites 6, which is not older than its window
+
+
+def test_salted_feature_fetch_changes_nothing(spark):
+    plain = G.GraphSpec(top_k=5, hot_count_col=None)
+    salted = G.GraphSpec(top_k=5, hot_partitions=50, hot_min_rows=1)
+    a = sorted(str(r) for r in G.neighbourhood_table(corpus(spark), plain).collect())
+    assert sorted(str(r) for r in G.neighbourhood_table(corpus(spark), salted).collect()) == a
+
+
 def test_rolling_window_right_closed(spark):
     rows = [(1, d(2000, 1, 1), "a", 1.0, [1.0]), (2, d(2000, 1, 5), "a", 3.0, [2.0]),
             (3, d(2000, 1, 31), "a", 2.0, [3.0]), (4, d(2000, 2, 2), "a", 0.5, [4.0])]

@@ -21,13 +21,24 @@ def test_write_chunks_layout_and_zstd(spark, tmp_path):
     assert counts == {0: 34, 1: 34, 2: 32}
 
 
-def test_stage_table_by_row_count(spark):
+def test_stage_table_where_the_caller_says(spark):
     df = spark.range(10)
-    assert S.stage_table(df, in_memory=None, max_mem_rows=100).is_cached
-    staged = S.stage_table(df, in_memory=None, max_mem_rows=5)
+    assert S.stage_table(df, in_memory=True).is_cached
+    staged = S.stage_table(df)
     assert not staged.is_cached and staged.count() == 10
 
 
+def test_no_private_checkpoint_folder_off_local():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from citesight.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
 def test_json_sink_and_params(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "id long, s string")
     path = S.json_sink(df, str(tmp_path / "j"))

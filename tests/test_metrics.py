@@ -5,6 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from citesight.operators import describe as D
+from citesight.operators import losses as O
 from citesight.operators import metrics as E
 
 
@@ -85,6 +87,40 @@ def test_sliding_windows_leap_day(spark):
     assert str(w[-1].window_end) == "2026-06-01"
 
 
+@pytest.mark.parametrize("start, every, unit", [("2024-02-29", 1, "year"), ("2023-10-31", 1, "month"),
+                                                ("2023-12-30", 2, "month"), ("2024-01-03", 13, "day")])
+def test_window_by_arithmetic_equals_the_window_table(spark, start, every, unit):
+    days = spark.range(900).select(F.date_add(F.lit("2023-12-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    wins = E.sliding_windows(spark, start, "2026-03-05", every, unit)
+    want = days.join(wins, (F.col("d") >= F.col("window_start")) & (F.col("d") < F.col("window_end")))
+    got = E.assign_windows(days, start, "2026-03-05", every, unit)
+    cols = ["d", "window_start", "window_end"]
+    assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+
+
+def test_odd_values_have_defined_results(spark):
+    one = spark.createDataFrame([([1.0],)], "probs array<double>")
+    assert E.norm_entropy(one).first().norm_entropy == 0.0
+    zero = spark.createDataFrame([(1.0, 3.0, 0.0), (1.0, 3.0, 2.0)], "y double, pred double, sigma double")
+    got = sorted(E.residuals(zero).select("sigma", "std_residual", "abs_norm_error").collect())
+    assert [tuple(r) for r in got] == [(0.0, None, None), (2.0, -1.0, 1.0)]
+    assert O.hetero_mae(zero).first().hetero_mae == pytest.approx(1.0 + math.log(2.0))
+    rows = spark.createDataFrame([("a", 0.5, 2.0), ("a", float("nan"), 1.0), ("a", None, 1.0), ("b", float("nan"), 1.0)],
+                                 "metric string, score double, weight double")
+    assert [tuple(r) for r in E.aggregate_metrics(rows).collect()] == [("a", 0.25)]
+    nan = spark.createDataFrame([(1, 0.9), (0, float("nan")), (0, 0.1)], "y int, prob double")
+    assert (E.confusion_at(nan).first().fp, E.best_threshold(nan).first().precision) == (0, 1.0)
+
+
+def test_quantiles_and_ties_of_describe(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("nan"),), (None,)], "v double")
+    r = D.describe_column(df, "v").first()
+    assert (r["count"], r.null_count, r.nan_count, r.p25, r.p50, r.max) == (3, 1, 1, 1.5, 2.0, 4.0)
+    assert D.describe_column(df, "v", interpolation="nearest").first().p25 in (1.0, 2.0)
+    counts = spark.createDataFrame([(49,), (351,)], "count long")
+    assert sorted(r.proportion for r in D.bucket_proportions(counts).collect()) == [12.2, 87.8]
+
+
 def test_wasserstein_identical_is_zero(spark):
     df = spark.createDataFrame([([0.2, 0.8], [0.2, 0.8])], "probs array<double>, target array<double>")
     assert E.wasserstein(df).collect()[0][0] == pytest.approx(0.0, abs=1e-12)

@@ -28,8 +28,16 @@ def test_cumulative_sums_grouped(spark):
 
 def test_exact_quantiles_linear(spark):
     df = spark.range(1, 11).selectExpr("cast(id as double) as v")
-    q = {r.q: r.value for r in exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0]).collect()}
-    assert q == {0.0: 1.0, 0.25: 3.25, 0.5: 5.5, 1.0: 10.0}
+    assert tuple(exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0]).first()) == (1.0, 3.25, 5.5, 10.0)
+    assert tuple(exact_quantiles(df.where("v > 99"), "v", [0.5]).first()) == (None,)
+
+
+def test_describe_reads_only_its_column(spark):
+    from citesight.operators import describe as D
+    df = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    text = plan(D.describe_column(df, "l_quantity"))
+    scans = [x for x in text.splitlines() if "FileScan" in x and "lineitem" in x]
+    assert scans and all("l_orderkey" not in x for x in scans)
 
 
 def test_chunks_do_not_depend_on_partitions(spark):

@@ -37,6 +37,28 @@ def test_weighted_replace_default_n_is_rows(spark):
     assert B.sample_weighted_replace(B.inverse_freq_weights(df, "v"), seed=1).count() == 70
 
 
+def test_null_targets_have_no_bin(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, None), (3, float("nan")), (4, 10.0)], "id long, v double")
+    assert {r.id for r in B.inverse_freq_weights(df, "v").collect()} == {1, 4}
+
+
+def test_every_draw_finds_a_bin_and_a_lone_row_keeps_its_draws(spark):
+    df = spark.createDataFrame([(i, 0.01 * i) for i in range(500)] + [(999, 1000.0)], "id long, v double")
+    draws = B.sample_weighted_replace(B.inverse_freq_weights(df, "v"), 3000, seed=3).collect()
+    assert len(draws) == 3000 == len({r.draw for r in draws})
+    assert 1300 < sum(r.id == 999 for r in draws) < 1700
+
+
+def test_tokens_of_rows_without_or_with_equal_ids(spark):
+    df = spark.createDataFrame([(None, "b a"), (None, "a"), (1, "a b"), (1, "a b"), (1, "b"), (2, None)], "id long, t string")
+    v = K.build_vocab(df, "t")
+    for bound in (0, K.BROADCAST_VOCAB_BYTES):
+        got = sorted((str(r.id), r.t or "", r.t_tokens) for r in K.tokenise(df, "id", "t", v, broadcast_bytes=bound).collect())
+        ids = {r.token: r.token_id for r in v.collect()}
+        assert got == sorted((str(i), t or "", [1, *[ids[w] for w in t.split()], 2] if t else []) for i, t in
+                             [(None, "b a"), (None, "a"), (1, "a b"), (1, "a b"), (1, "b"), (2, None)])
+
+
 def test_embed_batch_shape_and_norm(spark):
     df = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, None)], "id long, t string")
     e = {r.id: r.e for r in K.embed_batch(df, "t", "e", dim=16).collect()}
@@ -48,9 +70,10 @@ def test_embed_batch_shape_and_norm(spark):
 def test_mean_pool_matches_brute_force(spark):
     toks = spark.createDataFrame([(1, [1, 5, 5, 0]), (2, [0, 0])], "id long, toks array<long>")
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (5, [3.0, 2.0])], "token_id long, vec array<float>")
-    r = {x.id: x.mean_vec for x in K.mean_pool(toks, "id", "toks", vec, dim=2).collect()}
-    assert r[1] == [7.0 / 3, 4.0 / 3]
-    assert r[2] == [0.0, 0.0]
+    for bound in (0, K.BROADCAST_VECTOR_BYTES):
+        r = {x.id: x.mean_vec for x in K.mean_pool(toks, "id", "toks", vec, dim=2, broadcast_bytes=bound).collect()}
+        assert all(math.isclose(a, b) for a, b in zip(r[1], [7.0 / 3, 4.0 / 3]))
+        assert r[2] == [0.0, 0.0]
 
 
 def test_model_train_score_save_load(spark, tmp_path):
