@@ -2,10 +2,11 @@
 
 A document is its token ids and a closing id. One longer than ``CAPACITY`` is
 cut into full pieces, of which the first may be shorter; full pieces are
-sequences of their own. The others are packed: with ``N[g]`` the number of
-open sequences that have ``g`` tokens left, a piece goes where the sum of
-``N[g]**2`` ends up smallest, be it an open sequence or a new one, which
-keeps the gaps varied and so keeps a fitting gap for what follows.
+sequences of their own. The others are packed by falling length: with
+``N[g]`` the number of open sequences that have ``g`` tokens left, a piece
+goes to the open sequence where the sum of ``N[g]**2`` ends up smallest, which
+keeps the gaps varied and so keeps a fitting gap for what follows. A new
+sequence is opened only when no open one has room.
 
 The rule looks at one piece after another but only at counts per gap, so
 pieces are dealt by a row hash into groups of about ``GROUP_ROWS`` documents,
@@ -22,7 +23,7 @@ tokenizer whole.
 
 Cases: null and empty texts are the closing id alone; repeated rows are
 packed each; an empty table gives no rows. Ties between equal sums fall to
-the smallest gap, then to a new sequence.
+the smallest gap.
 """
 
 from __future__ import annotations
@@ -190,8 +191,7 @@ def sum_of_squares(sizes, capacity: int) -> tuple[list[int], list[int]]:
         change[1:] += 2 * count[1:capacity - size] + 1
         change[left == 0] = far
         best = int(change.argmin()) if len(change) else -1
-        fresh = 2 * count[capacity - size] + 1 if size < capacity else 0
-        if best >= 0 and left[best] and change[best] <= fresh:
+        if best >= 0 and left[best]:
             gap = size + best
             seq = waiting[gap].pop()
             count[gap] -= 1
