@@ -72,11 +72,13 @@ def describe_columns(df: DataFrame, cols: Sequence[str], time_col: str | None =
                      interpolation: str = "linear") -> DataFrame:
     """Describe job: one row per column of ``cols`` over the rows dated in ``[start, end)``.
 
-    The plain figures of all columns come from one pass; the quartiles read one column each.
+    The described columns are staged in one pass over the corpus; each description reads its own.
     """
     from citesight.operators.filters import time_window
+    from citesight.sources.io import stage_table
     if time_col is not None:
         df = time_window(df, time_col, start, end)
+    df = stage_table(df.select(*dict.fromkeys(cols)))
     parts = [describe_column(df, c, interpolation=interpolation).select(F.lit(c).alias("column"), "*") for c in cols]
     out = parts[0]
     for p in parts[1:]:

@@ -4,10 +4,11 @@
 * ``cumulative_sums``: running sums in an order, optionally per group.
 * ``exact_quantiles``: quantiles by position.
 
-All three range-partition the data (sampling-based bounds, so a hot key is
-split by the tie-breaking columns), work inside each partition, and add
-per-partition offsets from a table whose size is bounded by the number of
-partitions (times the number of groups), which is the only broadcast.
+The index range-partitions the data (sampling-based bounds, so a hot key is
+split by the tie-breaking columns); running sums and quantiles cut it at
+approximate quantiles. Both work inside each part and add offsets from a table
+whose size is bounded by the number of partitions plus the number of groups,
+which is broadcast.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from citesight.session import ensure_checkpoint_dir, shuffle_partitions
 from citesight.functions.columns import with_scalars
 
 
+#: Most buckets that one group's running sums are cut into.
+MAX_BUCKETS = 4096
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` as compressed Parquet into the shared checkpoint folder and read it back.
 
@@ -70,23 +75,36 @@ def cumulative_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str]
                     num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` by ``order_cols`` within ``group_cols``.
 
-    For few groups (windows x classes): range partitioning spreads one group
-    over all tasks; the offsets table has at most partitions + groups rows.
+    Each group is cut into buckets of its first order column (a number), as many as its share of the
+    rows allows, at most ``MAX_BUCKETS``: the cuts are approximate quantiles, found in one aggregate.
+    Rows are shuffled once, by (group, bucket); running sums inside a bucket get the totals of the
+    buckets before it. Cuts and totals are broadcast: at most partitions + groups entries each.
     ``order_cols`` must be a total order within a group.
     """
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    gc = list(group_cols)
-    oc = _cols(order_cols)
-    s = df.repartitionByRange(n, *_cols(gc), *oc)
-    t = pin(s.withColumn("_pid", F.spark_partition_id()))
-    w_local = (Window.partitionBy("_pid", *gc).orderBy(*oc)
+    gc, oc = list(group_cols), _cols(order_cols)
+    b = max(2, min(n, MAX_BUCKETS))
+    d = df.withColumn("_ord", oc[0].cast("double"))
+    cuts = d.groupBy(*gc).agg(F.percentile_approx("_ord", [i / b for i in range(1, b)], 10 * b).alias("_all"),
+                              F.count(F.lit(1)).alias("_n"))
+    cuts = with_scalars(cuts, cuts.agg(F.sum("_n").alias("_total")))
+    step = F.ceil(F.lit(b) / F.greatest(F.ceil(F.col("_n") * F.lit(b) / F.col("_total")), F.lit(1)))
+    cuts = cuts.withColumn("_step", step).select(
+        *gc, F.array_distinct(F.filter("_all", lambda v, i: (i + 1) % F.col("_step") == 0)).alias("_cuts"))
+    t = d.join(F.broadcast(cuts), gc) if gc else with_scalars(d, cuts)
+    # binary search: how many cuts lie below the value
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(b.bit_length()))])
+    bucket = F.aggregate(steps, F.lit(0), lambda at, s: F.when(
+        (at + s <= F.size("_cuts")) & (F.get("_cuts", at + s - 1) < F.col("_ord")), at + s).otherwise(at))
+    t = t.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
+    w_local = (Window.partitionBy(*gc, "_bucket").orderBy(*oc)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = t.select("*", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in sum_cols])
-    totals = t.groupBy("_pid", *gc).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    w_off = Window.partitionBy(*gc).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("_pid", *gc, *[
+    local = t.select(*df.columns, "_bucket", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in sum_cols])
+    totals = t.groupBy(*gc, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    w_off = Window.partitionBy(*gc).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_bucket", *gc, *[
         F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    out = local.join(F.broadcast(offs), ["_pid", *gc])
+    out = local.join(F.broadcast(offs), ["_bucket", *gc])
     return out.select(*[F.col(c) for c in df.columns],
                       *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in sum_cols])
 

@@ -26,6 +26,32 @@ def test_cumulative_sums_grouped(spark):
         assert x.v_cum == x.o // 3 + 1
 
 
+@pytest.mark.parametrize("parts", [1, 8, 200])
+def test_cumulative_sums_of_uneven_groups(spark, parts):
+    import random
+    rng = random.Random(parts)
+    rows = [("big", rng.choice([rng.random(), rng.random() * 1e-6]), rng.randint(0, 5)) for _ in range(3000)]
+    rows += [("small", float(i), i) for i in range(20)] + [("one", -1.0, 4)]
+    rows = list({(g, o): (g, o, v) for g, o, v in rows}.values())
+    df = spark.createDataFrame(rows, "g string, o double, v long")
+    want, total = {}, {}
+    for g, o, v in sorted(rows):
+        total[g] = total.get(g, 0) + v
+        want[g, o] = total[g]
+    got = cumulative_sums(df, ["o"], ["v"], ["g"], num_partitions=parts).collect()
+    assert {(r.g, r.o): r.v_cum for r in got} == want and len(got) == len(rows)
+    alone = cumulative_sums(df.where("g = 'big'"), ["o"], ["v"], num_partitions=parts).collect()
+    assert all(want[r.g, r.o] == r.v_cum for r in alone)
+
+
+def test_running_sums_shuffle_their_rows_once(spark):
+    df = spark.read.parquet(f"{SF001}/lineitem.parquet").selectExpr("l_extendedprice as o", "1 as v", "l_linenumber as g")
+    text = plan(cumulative_sums(df, ["o"], ["v"], ["g"]))
+    rows = [x for x in text.splitlines() if "Exchange hashpartitioning(g" in x and "_bucket" in x]
+    assert len(rows) == 2  # the rows themselves, and the totals of the buckets
+    assert "rangepartitioning" not in text
+
+
 def test_exact_quantiles_linear(spark):
     df = spark.range(1, 11).selectExpr("cast(id as double) as v")
     assert tuple(exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0]).first()) == (1.0, 3.25, 5.5, 10.0)
