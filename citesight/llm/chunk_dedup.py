@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citesight.llm.common import columns, fresh, join_by_counts, stage, with_rid
-from citesight.llm.hashing import mix
+from citesight.llm.hashing import bounded, mix
 
 GEAR_BITS, CUT_BITS = 16, 5
 MIN_CHUNK, MAX_CHUNK = 12, 256
@@ -82,7 +82,7 @@ def chunk_ends(data: np.ndarray) -> list[int]:
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest_of = xxhash.xxh3_64_intdigest
-    for batch in batches:
+    for batch in bounded(batches):
         for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
             raw = (text or "").encode()
             if not raw:
@@ -140,7 +140,7 @@ def runs(parts, min_run: int = MIN_RUN) -> list[tuple[int, int]]:
 
 def _cut(keep: list[str], added: tuple[str, ...], min_run: int, parts_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             texts, sizes, removed, spans = [], [], [], []
             parts = batch.column(parts_name)
             begins = parts.flatten().field("start").to_numpy(zero_copy_only=False)

@@ -1,4 +1,4 @@
-"""Vectorised polynomial hashes of many slices of one buffer.
+"""Vectorised polynomial hashes of many slices of one buffer, and batches of bounded size.
 
 With ``S[i]`` the sum of ``code[j] * BASE**j`` for ``j < i`` (mod 2**64), the
 hash of a slice is ``(S[end] - S[start]) * BASE**-start``: one running sum
@@ -8,6 +8,7 @@ serves every slice, and equal slices hash alike wherever they lie.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX_A = np.uint64(0xD6E8FEB86659FD93)
@@ -55,15 +56,15 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\0".join([*texts, b""]), np.uint8), at
 
 
-def portions(values, size, limit: int):
-    """Cut a list into runs of at most about ``limit`` total ``size``; single larger values stand alone."""
-    run, total = [], 0
-    for v in values:
-        n = size(v)
-        if run and total + n > limit:
-            yield run
-            run, total = [], 0
-        run.append(v)
-        total += n
-    if run:
-        yield run
+def bounded(batches, column: str = "text", limit: int = 1 << 19):
+    """Cut record batches into slices of at most about ``limit`` bytes of ``column``.
+
+    A task works on one slice at a time, so its memory follows the slice (or one longer text), not the
+    batch. Every batch gives at least one slice.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        share = (np.cumsum(sizes) - sizes) // limit
+        cuts = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)

@@ -39,12 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesight.llm.common import stage, with_rid
-from citesight.llm.hashing import mix, portions, slice_hashes
+from citesight.llm.hashing import bounded, mix, slice_hashes
 
 CAPACITY, CLOSING_ID, GROUP_ROWS = 1024, 2, 32_768
-PORTION_CHARS = 1 << 20
 #: Distinct pre-tokens a worker remembers before it starts afresh.
-MEMORY = 1 << 20
+MEMORY = 3 << 17
 #: Characters below are tabled; texts with others go through the tokenizer whole.
 TABLED = 0x2100
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
@@ -163,15 +162,14 @@ def token_rows(path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID
     """Arrow function: rid, doc_id, n (ids with the closing one) and the checksum of each piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in bounded(batches):
             sizes, sums = [], []
-            for texts in portions([t or "" for t in batch.column("text").to_pylist()], len, PORTION_CHARS):
-                for ids in encoder.encode(texts):
-                    ids = np.append(ids, np.uint32(closing_id)).astype("<u4")
-                    cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                    raw = memoryview(ids.tobytes())
-                    sizes.append(len(ids))
-                    sums.append([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(cuts, cuts[1:])])
+            for ids in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
+                ids = np.append(ids, np.uint32(closing_id)).astype("<u4")
+                cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
+                raw = memoryview(ids.tobytes())
+                sizes.append(len(ids))
+                sums.append([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(cuts, cuts[1:])])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rid"), batch.column("doc_id"), pa.array(sizes, pa.int64()),
                  pa.array(sums, pa.list_(pa.int64()))], ["rid", "doc_id", "n", "sums"])

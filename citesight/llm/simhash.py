@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesight.llm.common import columns, drop_rows, fresh, join_by_counts, stage, with_rid
+from citesight.llm.hashing import bounded
 
 WORDS, MAX_BITS, SEED = 3, 3, 42
 SEGMENT, HALF = 4, 8
@@ -63,7 +64,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def fingerprints(rows: DataFrame, keep: list[str], words: int = WORDS) -> DataFrame:
     """``keep`` plus ``fp``, the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(fps.view(np.int64))], [*keep, "fp"])
 

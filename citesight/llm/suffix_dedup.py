@@ -44,11 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesight.llm.common import join_by_counts, stage, with_rid
-from citesight.llm.hashing import POWERS, mix, slice_hashes
+from citesight.llm.hashing import POWERS, bounded, mix, slice_hashes
 
 LENGTH, SPREAD, GRAM = 200, 137, 8
 SHARED = LENGTH - SPREAD + 1
-HOT_CONTEXTS = 50_000
+HOT_CONTEXTS = 16_384
 #: String starts of a long text that are anchored at a time; contexts sorted at a time.
 BLOCK, BATCH = 1 << 20, 4_096
 _CODE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -83,7 +83,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(c) for c in zip(*held)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    for batch in batches:
+    for batch in bounded(batches):
         held, rows = [], 0
         for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
             raw = (text or "").encode()
@@ -230,7 +230,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches):
         rows = []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             raw = (text or "").encode()
@@ -252,7 +252,7 @@ def _merged(spans: list[dict]) -> list[list[int]]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches):
         sizes, removed, counts, digests = [], [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             raw = (text or "").encode()

@@ -13,7 +13,7 @@ collected and broadcast to the scoring tasks.
 Training takes labelled rows only: at most ``sample_rows`` of them, those of
 smallest id hash, so their number does not grow with the table. Their features
 are made where the texts lie; one task then runs the learner over the bounded
-stream of feature lists. Scoring is one pass over all whole texts, in portions
+stream of feature lists. Scoring is one pass over all whole texts, in slices
 of bounded size; nothing is shuffled.
 
 Cases: null and empty texts have no features and score the bias; a document
@@ -34,14 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citesight.llm.common import columns, fresh
-from citesight.llm.hashing import joined, mix, portions, slice_hashes
+from citesight.llm.hashing import bounded, joined, mix, slice_hashes
 
 BITS = 20
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 1.0, 1.0
 PAIR_VALUE = 0.3
 #: At most so many labelled rows train the model.
 SAMPLE_ROWS = 16_000
-PORTION_BYTES = 1 << 21
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -68,23 +67,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), places
 
 
-def _portions(texts) -> Iterator[list[str]]:
-    return portions([t or "" for t in texts], len, PORTION_BYTES)
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in batch.column("text").to_pylist()]
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done = 0
-        for texts in _portions(batch.column("text").to_pylist()):
-            doc, place = features(texts)
-            keys = np.unique((doc << BITS) | place)
-            ends = np.searchsorted(keys >> BITS, np.arange(len(texts) + 1))
-            own = batch.slice(done, len(texts))
-            done += len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [own.column("turn"), own.column("toxic"),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys & ((1 << BITS) - 1), pa.int32()))],
-                ["turn", "toxic", "places"])
+    for batch in bounded(batches):
+        doc, place = features(_texts(batch))
+        keys = np.unique((doc << BITS) | place)
+        ends = np.searchsorted(keys >> BITS, np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("turn"), batch.column("toxic"),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys & ((1 << BITS) - 1), pa.int32()))],
+            ["turn", "toxic", "places"])
 
 
 def values(places: np.ndarray) -> np.ndarray:
@@ -111,17 +106,19 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model, bias, seen = Ftrl((1 << BITS) + 1), 1 << BITS, False
-    for t in batches:
-        for places, toxic in zip(t["places"], t["toxic"]):
+    for batch in batches:
+        lists = batch.column("places")
+        places, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        for a, b, toxic in zip([0, *ends], ends, batch.column("toxic").to_pylist()):
             seen = True
-            at = np.append(places, bias)
+            at = np.append(places[a:b], bias)
             model.learn(at, values(at), toxic)
     if seen:
         w = model.weights(np.arange(bias + 1))
         held = np.union1d(np.flatnonzero(w), [bias])
-        yield pd.DataFrame({"place": held, "weight": w[held]})
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(w[held])], ["place", "weight"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> pd.DataFrame:
@@ -132,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("turn", "toxic", "text")
     made = rows.mapInArrow(_feature_rows, "turn long, toxic int, places array<int>")
     return (made.repartition(1).sortWithinPartitions("turn", "places")
-            .mapInPandas(_learn, "place long, weight double").toPandas())
+            .mapInArrow(_learn, "place long, weight double").toPandas())
 
 
 def score(docs: DataFrame, model: pd.DataFrame, keep: list[str], name: str = "score") -> DataFrame:
@@ -144,16 +141,13 @@ def score(docs: DataFrame, model: pd.DataFrame, keep: list[str], name: str = "sc
         place, weight = weights.value
         dense = np.zeros((1 << BITS) + 1)
         dense[place] = weight * values(place)
-        for batch in batches:
-            scores = [np.zeros(0)]
-            for texts in _portions(batch.column("text").to_pylist()):
-                doc, at = features(texts)
-                live = np.flatnonzero(dense[at])
-                once = np.unique((doc[live] << BITS) | at[live])
-                total = np.bincount(once >> BITS, dense[once & ((1 << BITS) - 1)], len(texts)) + dense[1 << BITS]
-                scores.append(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))) if len(place) else np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(np.concatenate(scores))], [*keep, name])
+        for batch in bounded(batches):
+            doc, at = features(_texts(batch))
+            live = np.flatnonzero(dense[at])
+            once = np.unique((doc[live] << BITS) | at[live])
+            total = np.bincount(once >> BITS, dense[once & ((1 << BITS) - 1)], batch.num_rows) + dense[1 << BITS]
+            scores = 1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))) if len(place) else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores)], [*keep, name])
 
     rows = docs.select(*columns(dict.fromkeys([*keep, "text"])))
     schema = T.StructType([*[f for f in rows.schema.fields if f.name in keep], T.StructField(name, T.DoubleType())])

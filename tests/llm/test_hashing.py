@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from citesight.llm import hashing as H
 
@@ -15,8 +16,14 @@ def test_equal_slices_hash_alike_and_others_differ():
     assert len(set(by.values())) == len(by)
 
 
-def test_joined_and_portions():
+def test_joined():
     data, at = H.joined([b"ab", b"", b"c"])
     assert bytes(data) == b"ab\0\0c\0" and at.tolist() == [0, 3, 4, 6]
-    assert list(H.portions(["aa", "b", "cccc", "d"], len, 3)) == [["aa", "b"], ["cccc"], ["d"]]
-    assert list(H.portions([], len, 3)) == []
+
+
+def test_bounded_slices_keep_all_rows_in_order():
+    texts = ["aa", None, "b", "cccccccc", "", "d", "ee", "f"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "n": pa.array(range(8))})
+    parts = list(H.bounded([batch, batch.slice(0, 0)], limit=4))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert max(sum(len(t or "") for t in p.column("text").to_pylist()) for p in parts) <= 11 and len(parts) > 3
