@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,14 +48,26 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+#: Plan nodes that pass on the physical place of a file's rows, each row once.
+_SCAN_NODES = {"Relation", "Project", "Filter", "Repartition", "SubqueryAlias"}
+
+
+def _is_plain_scan(df: DataFrame) -> bool:
+    lines = [x for x in df._jdf.queryExecution().analyzed().toString().splitlines() if x.strip()]
+    names = [re.match(r"[\s:+\-|]*(\w*)", x)[1] for x in lines]
+    return set(names) <= _SCAN_NODES and names.count("Relation") == 1 and lines[-1].endswith(" parquet")
+
+
 def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
-    """Number the physical rows.
+    """Number the physical rows, to tell apart rows that repeat an id or are equal in all columns.
 
-    The number is scan partition and place in it, so it is the same on every
-    pass and every retry over the same files; it tells apart rows that repeat
-    an id or are equal in all columns.
+    For a scan of Parquet files the number is a hash of the file's path plus the row's place in the
+    file: the same on every pass and every retry, however the files are split among executors. Any
+    other frame is written once with its numbers.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    if _is_plain_scan(df):
+        return df.withColumn(name, F.shiftright(F.xxhash64("_metadata.file_path"), 1) + F.col("_metadata.row_index"))
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
 
 
 def ascii_lower(text: Column) -> Column:

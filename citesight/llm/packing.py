@@ -229,8 +229,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_id: int =
          group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     # ids travel as strings: pandas would turn whole numbers with a null into floats
-    rows = with_rid(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
-    made = stage(rows.mapInArrow(token_rows(path, capacity, closing_id),
+    rows = with_rid(docs.select("doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    made = stage(rows.select("rid", "doc_id", "text").mapInArrow(token_rows(path, capacity, closing_id),
                                  "rid long, doc_id string, n long, sums array<long>"), "tokens")
     parts = max(1, -(-made.count() // group_rows))
     made = made.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(parts)))

@@ -27,3 +27,18 @@ def test_bounded_slices_keep_all_rows_in_order():
     parts = list(H.bounded([batch, batch.slice(0, 0)], limit=4))
     assert [t for p in parts for t in p.column("text").to_pylist()] == texts
     assert max(sum(len(t or "") for t in p.column("text").to_pylist()) for p in parts) <= 11 and len(parts) > 3
+
+
+def test_row_numbers_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    from citesight.llm.common import with_rid
+    path = str(tmp_path / "t")
+    spark.range(5000).selectExpr("id % 7 as doc_id", "'x' as text").repartition(3).write.parquet(path)
+    whole = with_rid(spark.read.parquet(path)).select("rid").collect()
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    split = with_rid(spark.read.parquet(path).select("doc_id")).select("rid").collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert sorted(whole) == sorted(split) and len(set(whole)) == 5000
+    doubled = spark.read.parquet(path)
+    doubled = with_rid(doubled.union(doubled))
+    assert doubled.select("rid").distinct().count() == 10_000
