@@ -43,15 +43,19 @@ def f3(spark, sf):
     return FE.attach_citers(w, s).select("id", "cited_by_count", "n_cited_by", "missing")
 
 
-@register("f4_citation_delays", _RC + """SELECT w.id,
+@register("f4_citation_delays", _RC + """, yr AS (SELECT id, year(cited_by_date) AS y, count(*) AS n FROM rc GROUP BY 1, 2),
+dl AS (SELECT yr.id, string_agg((y - year(w.publication_date)) || ':' || n, ',' ORDER BY y) AS deltas
+       FROM yr JOIN works w ON w.id = yr.id GROUP BY yr.id)
+SELECT w.id, dl.deltas,
   CAST(year(s.first_cited_date) - year(w.publication_date) AS INTEGER) AS cited_by_delta_years_first,
   CAST(s.first_cited_date - w.publication_date AS INTEGER) AS cited_by_delta_days_first,
   CAST(s.n_years AS INTEGER) AS n_years
-FROM works w JOIN summ s ON s.id = w.id""")
+FROM works w JOIN summ s ON s.id = w.id JOIN dl ON dl.id = w.id""")
 def f4(spark, sf):
     out = FE.engineer(fx.works(spark, sf))
-    return out.select("id", "cited_by_delta_years_first", "cited_by_delta_days_first",
-                      list_len("cited_by_delta_years").alias("n_years"))
+    deltas = F.transform("cited_by_delta_years", lambda s: F.concat_ws(":", s["delta"].cast("string"), s["n"].cast("string")))
+    return out.select("id", F.array_join(deltas, ",").alias("deltas"), "cited_by_delta_years_first",
+                      "cited_by_delta_days_first", list_len("cited_by_delta_years").alias("n_years"))
 
 
 _F5 = W + """, pts AS (
