@@ -66,7 +66,8 @@ def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
     other frame is written once with its numbers.
     """
     if _is_plain_scan(df):
-        return df.withColumn(name, F.shiftright(F.xxhash64("_metadata.file_path"), 1) + F.col("_metadata.row_index"))
+        place = df.metadataColumn("_metadata")  # found also beside a column of that name
+        return df.withColumn(name, F.shiftright(F.xxhash64(place["file_path"]), 1) + place["row_index"])
     return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
 
 

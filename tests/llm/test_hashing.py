@@ -32,7 +32,7 @@ def test_bounded_slices_keep_all_rows_in_order():
 def test_row_numbers_do_not_depend_on_how_files_are_split(spark, tmp_path):
     from citesight.llm.common import with_rid
     path = str(tmp_path / "t")
-    spark.range(5000).selectExpr("id % 7 as doc_id", "'x' as text").repartition(3).write.parquet(path)
+    spark.range(5000).selectExpr("id % 7 as doc_id", "'x' as text", "1 as _metadata").repartition(3).write.parquet(path)
     whole = with_rid(spark.read.parquet(path)).select("rid").collect()
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
