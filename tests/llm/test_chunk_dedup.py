@@ -101,3 +101,49 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
     assert sum(passage in got[i] for i, _ in holding) == 1
     lost = [len(t) - len(got[i]) for i, t in holding]
     assert sorted(lost)[1] > 0.5 * len(passage) and PASSAGE
+
+
+def short_prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 5))) for _ in range(n))
+
+
+def pairs_of(rng, n, words):
+    """Passages of so many words, each in two documents with different neighbours."""
+    passages = [short_prose(rng, words) for _ in range(n)]
+    rows = [(2 * i + k, f"{short_prose(rng, 30)} {p} {short_prose(rng, 30)}") for i, p in enumerate(passages) for k in (0, 1)]
+    return passages, rows
+
+
+def test_passages_of_fifty_short_words_go(spark):
+    passages, rows = pairs_of(random.Random(5), 150, 55)
+    texts = dict(rows)
+    docs = docs_of(spark, rows).coalesce(1)
+    got = {r.doc_id: r for r in C.deduplicate(docs, added=("bytes_", "removed_", "spans_")).collect()}
+    for i, p in enumerate(passages):
+        lost = [got[2 * i + k].removed_ for k in (0, 1)]
+        assert min(lost) == 0 and max(lost) <= len(p.encode()) + 2 * 8  # neighbours may agree by a letter or a space
+        ends = [set(zip([0, *e], e)) for e in map(ends_of, (texts[2 * i].encode(), texts[2 * i + 1].encode()))]
+        chunks = [{texts[2 * i + k].encode()[a:b] for a, b in ends[k]} for k in (0, 1)]
+        assert max(lost) > 0 or not chunks[0] & chunks[1]
+    assert sum(got[2 * i].removed_ + got[2 * i + 1].removed_ == 0 for i in range(len(passages))) <= 2
+    # places of kept occurrences shuffled instead of broadcast
+    again = C.deduplicate(docs, added=("bytes_", "removed_", "spans_"), broadcast_rows=0).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got.values()))
+
+
+def test_passages_inside_one_text_go_and_phrases_stay(spark):
+    rng = random.Random(6)
+    rows, phrases, sizes = [], [], []
+    for i in range(60):
+        p = short_prose(rng, 55)
+        sizes.append(len(p.encode()))
+        rows.append((i, " ".join([short_prose(rng, 30), p, short_prose(rng, 30), p, short_prose(rng, 30)])))
+    for i in range(60):
+        p = short_prose(rng, 20)
+        phrases += [(100 + 2 * i + k, f"{short_prose(rng, 30)} {p} {short_prose(rng, 30)}") for k in (0, 1)]
+    got = {r.doc_id: r for r in C.deduplicate(docs_of(spark, rows + phrases), added=("bytes_", "removed_", "spans_")).collect()}
+    for (i, t), n in zip(rows, sizes):
+        raw, ends = t.encode(), ends_of(t.encode())
+        chunks = [raw[x:y] for x, y in zip([0, *ends], ends)]
+        assert got[i].removed_ <= n + 16 and (got[i].removed_ > 0 or len(set(chunks)) == len(chunks))
+    assert all(got[i].text == t for i, t in phrases)
