@@ -10,11 +10,11 @@ zero until the evidence for it exceeds ``L1``. The model is therefore a short
 list of non-zero weights (at most ``2**BITS``, whatever the input), which is
 collected and broadcast to the scoring tasks.
 
-Training takes labelled rows only: at most ``sample_rows`` of them, those of
-smallest id hash, so their number does not grow with the table. Their features
+Training takes labels with a document only: at most ``sample_rows`` of them,
+those of smallest id hash, so their number does not grow with the table. Their features
 are made where the texts lie; one task then runs the learner over the bounded
 stream of feature lists. Scoring is one pass over all whole texts, in slices
-of bounded size; nothing is shuffled.
+of bounded size; only ids are shuffled, to find the labels with a document.
 
 Cases: null and empty texts have no features and score the bias; a document
 labelled twice takes its larger label; labels without a document or without a
@@ -124,6 +124,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> pd.DataFrame:
     """(place, weight) of the non-zero weights, the bias at place ``2**BITS``; empty without labels."""
     sample = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+              .join(docs.select("doc_id"), "doc_id", "left_semi")
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
               .withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(sample_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("turn", "toxic", "text")

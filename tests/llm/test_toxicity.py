@@ -53,6 +53,14 @@ def test_sample_is_bounded_and_keeps_columns(spark, labelled):
     assert kept.count() == len(rows) + len(ODD) - 100
 
 
+def test_labels_without_a_document_take_no_place_in_the_sample(spark, labelled):
+    rows, labels = labelled
+    docs = docs_of(spark, rows)
+    absent = spark.range(10_000, 60_000).select(X.F.col("id").alias("doc_id"), X.F.lit(0).alias("toxic"))
+    got, want = (X.train(docs, t, sample_rows=50) for t in (labels.unionByName(absent), labels))
+    assert len(want) > 1 and got.equals(want)
+
+
 def test_no_labels_and_empty(spark, labelled):
     none = labelled[1].where("false")
     assert {r.score for r in X.toxicity(docs_of(spark, ODD), none).collect()} == {0.0}
