@@ -111,3 +111,30 @@ SELECT conv_id, count(*) AS n_turns,
     CAST(sum(12 + length(head) + 1 + length(body) + 11) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+_CRC32 = ("xor(list_reduce([4294967295] || flatten(list_transform(string_split({0}, ''), "
+          "lambda s: list_transform(range(8), lambda j: (ascii(s) >> j) & 1))), "
+          "lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)")
+OP11 = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+    FROM conversations WHERE conv_id IS NOT NULL),
+lens AS (SELECT c, max(p) AS n FROM t GROUP BY c),
+convs AS (SELECT l.c, l.c - ((l.c % 5) + 5) % 5 AS base, {_CRC32.format("CAST(l.c AS VARCHAR)")} % 9 AS h FROM lens l),
+given AS (SELECT convs.*, least(h, coalesce(n, 0)) AS taken FROM convs LEFT JOIN lens ON lens.c = base),
+b AS (SELECT g.c, t.p, r, x FROM given g JOIN t ON t.c = g.base AND t.p <= h
+    UNION ALL SELECT t.c, t.p - h + taken, r, x FROM given g JOIN t ON t.c = g.c AND t.p > h),
+s AS (SELECT c, p, x, md5(CAST(list(sha256(strlen(r) || ':' || r || x)) OVER (PARTITION BY c ORDER BY p) AS VARCHAR)) AS k FROM b
+    UNION ALL SELECT c, 0, '', '' FROM lens),
+nodes AS (SELECT p, k, min(c) AS rep, count(*) AS n, any_value(strlen(x)) AS bytes FROM s GROUP BY p, k),
+up AS (SELECT nodes.*, s.k AS up FROM nodes LEFT JOIN s ON s.c = rep AND s.p = nodes.p - 1),
+kids AS (SELECT p - 1 AS p, up AS k, count(*) AS m FROM up WHERE p > 0 GROUP BY 1, 2),
+v AS (SELECT up.*, coalesce(m, 0) AS m FROM up LEFT JOIN kids USING (p, k)),
+sums AS (SELECT s.p, s.k, sum((m = 0)::INT) AS leaves, sum((n - 1) * bytes) AS saved
+    FROM v JOIN s ON s.c = rep AND s.p <= v.p GROUP BY 1, 2),
+ends AS (SELECT p, k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS e
+    FROM s JOIN (SELECT c, max(p) AS p FROM s GROUP BY c) USING (c, p) GROUP BY p, k)
+SELECT v.rep AS conv_id, CAST(v.p AS BIGINT) AS depth, pa.rep AS parent_conv_id, v.n AS n_convs, v.m AS n_children,
+    CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM v JOIN sums USING (p, k) LEFT JOIN ends USING (p, k) LEFT JOIN nodes pa ON pa.p = v.p - 1 AND pa.k = v.up
+"""

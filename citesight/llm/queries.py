@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesight.llm import (chat, chunk_dedup, decontaminate, host_rules, oracles, packing, sharding, simhash,
+from citesight.llm import (chat, chunk_dedup, decontaminate, host_rules, oracles, packing, prefix_trie, sharding, simhash,
                            suffix_dedup, toxicity, url_filter)
 from citesight.llm.common import table, with_rid
 from citesight.plans.registry import register
@@ -85,3 +85,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.char_length("loss").cast("long").alias("loss_chars"),
                        F.sha2(F.col("loss"), 256).alias("loss_sha256"),
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@register("op11_prefix_trie", oracles.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
