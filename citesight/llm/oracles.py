@@ -138,3 +138,29 @@ SELECT v.rep AS conv_id, CAST(v.p AS BIGINT) AS depth, pa.rep AS parent_conv_id,
     CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
 FROM v JOIN sums USING (p, k) LEFT JOIN ends USING (p, k) LEFT JOIN nodes pa ON pa.p = v.p - 1 AND pa.k = v.up
 """
+
+
+def _op13(rounds: int = 10, k: int = 8) -> str:
+    near = ("SELECT vec_id, v, list(c ORDER BY d, c)[1] AS c, min(d) AS d FROM (SELECT rid, vec_id, v, c, "
+            "list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d "
+            "FROM ints, c{0}) GROUP BY rid, vec_id, v")
+    sql = [f"""
+WITH kept AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ints AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(e, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM kept),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM
+    (SELECT sha256('3:' || vec_id) AS h, v FROM ints ORDER BY h, v LIMIT {k}))"""]
+    for r in range(rounds):
+        sql.append(f"""n{r} AS MATERIALIZED ({near.format(r)}),
+c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(t.m, o.m) AS m FROM c{r} o LEFT JOIN (SELECT c, list(q ORDER BY i) AS m FROM (
+    SELECT c, i, (s - ((s % n) + n) % n) // n AS q FROM (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM
+        (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM n{r}) GROUP BY c, i)) GROUP BY c) t USING (c))""")
+    sql.append(f"""n AS MATERIALIZED ({near.format(rounds)})
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM n JOIN c{rounds} USING (c)""")
+    return ",\n".join(sql)
+
+
+OP13 = _op13()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesight.llm import (chat, chunk_dedup, decontaminate, host_rules, oracles, packing, prefix_trie, sharding, simhash,
-                           suffix_dedup, toxicity, url_filter)
+from citesight.llm import (chat, chunk_dedup, decontaminate, host_rules, license_scan, oracles, packing,
+                           prefix_trie, sharding, simhash, suffix_dedup, toxicity, url_filter, zone_clusters)
 from citesight.llm.common import table, with_rid
 from citesight.plans.registry import register
 
@@ -90,3 +90,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_prefix_trie", oracles.OP11)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@register("op12_license_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op13_centroid_clusters", oracles.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_clusters.cluster(table(spark, sf_dir, "embeddings"))
