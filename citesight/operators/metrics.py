@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesight.functions.columns import col, with_scalars
-from citesight.plans.rowindex import cumulative_sums, exact_quantiles
+from citesight.plans.joins import null_safe_join
+from citesight.plans.rowindex import cumulative_sums, exact_quantiles, pin, with_next
 
 
 def _g(group_cols) -> list[str]:
@@ -79,86 +80,111 @@ def argmax_class(probs) -> Column:
 
 
 # ----------------------------------------------------------------- binary rank metrics
-def roc_auc(df: DataFrame, y="y", score="prob", group_cols=None) -> DataFrame:
-    """Area under the ROC curve, ties count one half; null with one class."""
-    g = _g(group_cols)
-    pts = _points(df, y, score, g)
-    below = F.col("neg_cum") - F.col("neg")
-    return pts.groupBy(*g).agg(
-        F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("_num"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N")).select(
-        *g, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                   F.col("_num") / (F.col("P") * F.col("N")).cast("double")).alias("roc_auc"))
+def _counted(score: Column) -> Column:
+    return score.isNotNull() & ~F.isnan(score.cast("double"))
 
 
-def _points(df: DataFrame, y, score, g: list[str]) -> DataFrame:
-    pts = df.where(col(score).isNotNull() & ~F.isnan(col(score))).groupBy(*g, col(score).alias("score")).agg(
-        F.sum(F.when(col(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
-        F.sum(F.when(col(y) == 1, 0).otherwise(1)).cast("long").alias("neg"))
-    return cumulative_sums(pts, ["score"], ["pos", "neg"], g)
+def _raw_points(df: DataFrame, y, score, g: list[str]) -> DataFrame:
+    """Distinct scores of each group with their positives and negatives, staged once."""
+    return pin(df.where(_counted(col(score))).groupBy(*g, col(score).alias("score")).agg(
+        F.count_if(col(y) == 1).alias("pos"), F.count_if(~(col(y) == 1) | col(y).isNull()).alias("neg")))
 
 
-def _curve(df: DataFrame, y, score, g: list[str]) -> DataFrame:
-    """Per distinct score: TP and FP of ``score >= t`` plus group totals."""
-    pts = _points(df, y, score, g)
-    totals = pts.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    # one row per group: bounded by the number of groups
-    j = pts.join(F.broadcast(totals), g) if g else with_scalars(pts, totals)
-    return j.withColumns({"tp": F.col("P") - F.col("pos_cum") + F.col("pos"),
-                          "fp": F.col("N") - F.col("neg_cum") + F.col("neg")})
+def _ranked(raw: DataFrame, g: list[str]) -> DataFrame:
+    """The points with TP and FP of ``score >= t``: running sums from the highest score down."""
+    t = cumulative_sums(raw.withColumn("_down", -F.col("score").cast("double")), ["_down"], ["pos", "neg"], g)
+    return t.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp"}).drop("_down")
 
 
-def average_precision(df: DataFrame, y="y", score="prob", group_cols=None) -> DataFrame:
-    """Sum over distinct scores (descending) of (R_n - R_n-1) * P_n; null without positives."""
-    g = _g(group_cols)
-    c = _curve(df, y, score, g)
-    prec = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
-    return c.groupBy(*g).agg(F.sum(F.col("pos") * prec).alias("_s"), F.max("P").alias("P")).select(
-        *g, F.when(F.col("P") > 0, F.col("_s") / F.col("P")).alias("average_precision"))
+def _points(df: DataFrame, y, score, g: list[str]) -> DataFrame:
+    return _ranked(_raw_points(df, y, score, g), g)
+
+
+def _with_totals(pts: DataFrame, raw: DataFrame, g: list[str]) -> DataFrame:
+    """P and N of the group beside each point."""
+    totals = raw.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return null_safe_join(pts, totals, g) if g else with_scalars(pts, totals)
 
 
 def rank_metrics(df: DataFrame, y="y", score="prob", group_cols=None) -> DataFrame:
-    """E6 + E7 from one score curve (one running-sum pass): ``roc_auc``, ``average_precision``."""
+    """E6 + E7 from one score curve (one running-sum pass): ``roc_auc``, ``average_precision``.
+
+    The area counts, per positive, the negatives below it and half of those that tie."""
     g = _g(group_cols)
-    c = _curve(df, y, score, g)
-    below = F.col("neg_cum") - F.col("neg")
     prec = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
-    a = c.groupBy(*g).agg(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("_num"),
-                          F.sum(F.col("pos") * prec).alias("_s"), F.max("P").alias("P"), F.max("N").alias("N"))
-    return a.select(*g, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                               F.col("_num") / (F.col("P") * F.col("N")).cast("double")).alias("roc_auc"),
+    a = _points(df, y, score, g).groupBy(*g).agg(
+        F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2.0)).alias("_above"),
+        F.sum(F.col("pos") * prec).alias("_s"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    pairs = F.col("P").cast("double") * F.col("N")
+    return a.select(*g, F.when((F.col("P") > 0) & (F.col("N") > 0), (pairs - F.col("_above")) / pairs).alias("roc_auc"),
                     F.when(F.col("P") > 0, F.col("_s") / F.col("P")).alias("average_precision"))
 
 
-def roc_curve(df: DataFrame, y="y", score="prob", group_cols=None) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, plus the (inf, 0, 0) start."""
-    g = _g(group_cols)
-    c = _curve(df, y, score, g)
-    pts = c.select(*g, F.col("score").alias("threshold"),
-                   F.try_divide(F.col("fp").cast("double"), F.col("N")).alias("fpr"),
-                   F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("tpr"))
-    start = c.select(*g).distinct().select(*g, F.lit(float("inf")).alias("threshold"),
-                                           F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return pts.unionByName(start)
+def roc_auc(df: DataFrame, y="y", score="prob", group_cols=None) -> DataFrame:
+    """Area under the ROC curve, ties count one half; null with one class."""
+    return rank_metrics(df, y, score, group_cols).drop("average_precision")
+
+
+def average_precision(df: DataFrame, y="y", score="prob", group_cols=None) -> DataFrame:
+    """Sum over distinct scores (descending) of (R_n - R_n-1) * P_n; null without positives."""
+    return rank_metrics(df, y, score, group_cols).drop("roc_auc")
 
 
-def pr_curve(df: DataFrame, y="y", score="prob", group_cols=None) -> DataFrame:
-    """(threshold, recall, precision) at every distinct score, and the chance level (prevalence)."""
+def _thinned(pts: DataFrame, g: list[str], keep: Column) -> DataFrame:
+    """Points that ``keep`` holds for, and the first and the last of each group.
+
+    ``keep`` sees a point's ``pos`` and ``neg`` and those of the next lower score as ``next_pos`` and
+    ``next_neg``, also where the next point lies in another bucket of a large group."""
+    n = with_next(pts.withColumn("_down", -F.col("score").cast("double")), ["_down"], ["pos", "neg"], g)
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    return n.where(first | F.col("next_pos").isNull() | keep).drop("_down", "next_pos", "next_neg")
+
+
+def roc_curve(df: DataFrame, y="y", score="prob", group_cols=None, drop_collinear: bool = False) -> DataFrame:
+    """(threshold, fpr, tpr) at every distinct score, plus the (inf, 0, 0) start.
+
+    ``drop_collinear`` leaves out the points on a straight line between their neighbours; the curve
+    and its area stay the same, and its rows follow its corners, not the number of scores."""
+    g = _g(group_cols)
+    raw = _raw_points(df, y, score, g)
+    c = _ranked(raw, g)
+    if drop_collinear:
+        c = _thinned(pin(c), g, F.col("pos") * F.col("next_neg") != F.col("neg") * F.col("next_pos"))
+    pts = _with_totals(c, raw, g).select(
+        *g, F.col("score").cast("double").alias("threshold"), F.try_divide(F.col("fp").cast("double"), F.col("N")).alias("fpr"),
+        F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("tpr"))
+    start = raw.select(*g).distinct().select(*g, F.lit(float("inf")).alias("threshold"),
+                                             F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return pts.unionByName(start if g else start.limit(1))
+
+
+def pr_curve(df: DataFrame, y="y", score="prob", group_cols=None, drop_intermediate: bool = False) -> DataFrame:
+    """(threshold, recall, precision) at every distinct score, and the chance level (prevalence).
+
+    ``drop_intermediate`` leaves out the points inside a run of equal recall, of which only the ends
+    show (the run is a vertical line)."""
     g = _g(group_cols)
-    c = _curve(df, y, score, g)
-    return c.select(*g, F.col("score").alias("threshold"),
-                    F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("recall"),
-                    F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")).alias("precision"),
-                    (F.col("P") / (F.col("P") + F.col("N"))).alias("chance_level"))
+    raw = _raw_points(df, y, score, g)
+    c = _ranked(raw, g)
+    if drop_intermediate:
+        c = _thinned(pin(c), g, (F.col("pos") > 0) | (F.col("next_pos") > 0))
+    return _with_totals(c, raw, g).select(
+        *g, F.col("score").cast("double").alias("threshold"), F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("recall"),
+        F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")).alias("precision"),
+        (F.col("P") / (F.col("P") + F.col("N"))).alias("chance_level"))
 
 
 # ----------------------------------------------------------------- thresholded binary
+#: 20 thresholds from 0.25 (inclusive) to 0.75 (exclusive).
+THETAS = [i * 0.025 + 0.25 for i in range(20)]
+
+
 def _binary_scores(tp, fp, tn, fn) -> dict[str, Column]:
     pos, neg = tp + fn, tn + fp
     rec_pos = F.when(pos > 0, tp / pos.cast("double"))
     rec_neg = F.when(neg > 0, tn / neg.cast("double"))
     n_cls = F.when(pos > 0, 1).otherwise(0) + F.when(neg > 0, 1).otherwise(0)
-    bacc = (F.coalesce(rec_pos, F.lit(0.0)) + F.coalesce(rec_neg, F.lit(0.0))) / n_cls
+    bacc = F.try_divide(F.coalesce(rec_pos, F.lit(0.0)) + F.coalesce(rec_neg, F.lit(0.0)), n_cls)
     return {
         "balanced_accuracy": bacc,
         "precision": _div0(tp, tp + fp),
@@ -167,48 +193,50 @@ def _binary_scores(tp, fp, tn, fn) -> dict[str, Column]:
     }
 
 
+def _confusion_aggs(theta: float, y, score, tag: str = "") -> list[Column]:
+    """Four counts at a threshold (positive when ``score > theta``), over rows that have a score.
+
+    Spark orders NaN above all numbers, so rows without a score are left out by name."""
+    ok, p, t = _counted(col(score)), col(score) > F.lit(theta), F.coalesce(col(y) == 1, F.lit(False))
+    return [F.count_if(ok & p & t).alias(f"tp{tag}"), F.count_if(ok & p & ~t).alias(f"fp{tag}"),
+            F.count_if(ok & ~p & ~t).alias(f"tn{tag}"), F.count_if(ok & ~p & t).alias(f"fn{tag}")]
+
+
+def _scores_at(tag: str = "") -> dict[str, Column]:
+    return _binary_scores(*[F.col(f"{x}{tag}") for x in ("tp", "fp", "tn", "fn")])
+
+
+def _best(thetas: Sequence[float]) -> Column:
+    """Struct of the best threshold from the counts tagged ``_0``, ``_1``, ...: first on ties."""
+    rows = []
+    for i, v in enumerate(thetas):
+        s = _scores_at(f"_{i}")
+        rows.append(F.struct(s["balanced_accuracy"].alias("acc"), F.lit(-i).alias("i"), F.lit(v).alias("theta"),
+                             s["precision"].alias("precision"), s["recall"].alias("recall")))
+    return F.array_max(F.array(*rows))
+
+
 def confusion_at(df: DataFrame, theta: float = 0.5, y="y", score="prob", group_cols=None) -> DataFrame:
     """Predicted positive when ``score > theta``; balanced accuracy, F1, precision, recall.
 
-    Rows without a score (NaN or null) are left out: Spark orders NaN above all numbers."""
+    Rows without a score (NaN or null) are left out."""
     g = _g(group_cols)
-    df = nan_guard(df, [score]) if isinstance(score, str) else df
-    p, t = col(score) > theta, col(y) == 1
-    a = df.groupBy(*g).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"),
-                           F.count_if(~p & ~t).alias("tn"), F.count_if(~p & t).alias("fn"))
-    s = _binary_scores(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))
-    return a.select(*g, "tp", "fp", "tn", "fn", *[v.alias(k) for k, v in s.items()])
+    a = df.where(_counted(col(score))).groupBy(*g).agg(*_confusion_aggs(theta, y, score))
+    return a.select(*g, "tp", "fp", "tn", "fn", *[v.alias(k) for k, v in _scores_at().items()])
 
 
 def best_threshold(df: DataFrame, y="y", score="prob", group_cols=None,
                    thetas: Sequence[float] | None = None) -> DataFrame:
     """Best balanced accuracy over ``thetas`` (first on ties), its theta, precision and recall.
 
-    All thresholds are counted in one aggregate (four counts each), then unpivoted. Rows without a
-    score (NaN or null) are left out.
+    All thresholds are counted in one aggregate (four counts each) and compared in its row. Rows
+    without a score (NaN or null) are left out.
     """
-    g = _g(group_cols)
-    df = nan_guard(df, [score]) if isinstance(score, str) else df
-    # fixed values: 20 thresholds from 0.25 (inclusive) to 0.75 (exclusive)
-    th = list(thetas) if thetas is not None else [i * 0.025 + 0.25 for i in range(20)]
-    t = col(y) == 1
-    aggs = []
-    for i, v in enumerate(th):
-        p = col(score) > F.lit(v)
-        aggs += [F.count_if(p & t).alias(f"tp{i}"), F.count_if(p & ~t).alias(f"fp{i}"),
-                 F.count_if(~p & ~t).alias(f"tn{i}"), F.count_if(~p & t).alias(f"fn{i}")]
-    a = df.groupBy(*g).agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("theta"),
-                                        F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"),
-                                        F.col(f"tn{i}").alias("tn"), F.col(f"fn{i}").alias("fn"))
-                               for i, v in enumerate(th)]))
-    u = a.select(*g, rows.alias("s")).select(*g, "s.*")
-    s = _binary_scores(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))
-    u = u.select(*g, "i", "theta", *[v.alias(k) for k, v in s.items()])
-    w = Window.partitionBy(*g).orderBy(F.col("balanced_accuracy").desc(), F.col("i").asc())
-    best = u.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return best.select(*g, F.col("balanced_accuracy").alias("best_accuracy"),
-                       F.col("theta").alias("best_accuracy_theta"), "precision", "recall")
+    g, th = _g(group_cols), list(THETAS if thetas is None else thetas)
+    a = df.where(_counted(col(score))).groupBy(*g).agg(
+        *[c for i, v in enumerate(th) for c in _confusion_aggs(v, y, score, f"_{i}")])
+    return a.select(*g, _best(th).alias("b")).select(
+        *g, F.col("b.acc").alias("best_accuracy"), F.col("b.theta").alias("best_accuracy_theta"), "b.precision", "b.recall")
 
 
 # ----------------------------------------------------------------- multi-class
@@ -466,34 +494,42 @@ def metric_report(agg: DataFrame, metrics: Sequence[str], group_cols: Sequence[s
     return agg.groupBy(*group_cols).pivot("metric", list(metrics)).agg(F.first("score"))
 
 
+def binary_wide(df: DataFrame, group_cols: Sequence[str], y="y", score="prob") -> DataFrame:
+    """All binary-classifier metrics of one prediction table, one row per group.
+
+    Counts, MAE, the confusion at one half, the 20 thresholds and the rows without a score are one
+    aggregate; only the rank metrics need their own (the score curve, staged once)."""
+    g = list(group_cols)
+    ok = _counted(col(score))
+    a = df.groupBy(*g).agg(
+        F.count_if(ok).alias("examples"), F.count_if(~ok).cast("double").alias("nan_scores"),
+        F.avg(F.when(ok, F.abs(col(y) - col(score)))).alias("MAE"), *_confusion_aggs(0.5, y, score),
+        *[c for i, v in enumerate(THETAS) for c in _confusion_aggs(v, y, score, f"_{i}")])
+    half = _scores_at()
+    one = a.select(*g, "examples", "nan_scores", "MAE", half["balanced_accuracy"].alias("balanced_accuracy:50"),
+                   half["f1"].alias("F1:50"), half["recall"].alias("recall:50"), half["precision"].alias("precision:50"),
+                   _best(THETAS).alias("b"))
+    one = one.select(*[c for c in one.columns if c != "b"], F.col("b.acc").alias("best_accuracy"),
+                     F.col("b.theta").alias("best_accuracy_theta"), F.col("b.precision").alias("precision:best_acc"),
+                     F.col("b.recall").alias("recall:best_acc"))
+    rank = rank_metrics(df, y, score, g).withColumnRenamed("average_precision", "PR_AUC")
+    return null_safe_join(one, rank, g, "left") if g else with_scalars(one, rank)
+
+
 def binary_metric_rows(df: DataFrame, group_cols: Sequence[str], y="y", score="prob", prefix="val_") -> DataFrame:
-    """All binary-classifier metrics of one prediction table as metric rows, one plan.
+    """The metrics of ``binary_wide`` as metric rows.
 
-    Rows without a score are guarded out once (E1); ``nan_scores`` reports how many there were."""
+    Rows without a score are guarded out (E1); ``nan_scores`` reports how many there were, also for a
+    group that has no others."""
     g = list(group_cols)
-    unscored = df.groupBy(*g).agg(F.count_if(F.col(score).isNull() | F.isnan(F.col(score).cast("double")))
-                                  .cast("double").alias("score"))
-    df = nan_guard(df, [score])
-    n = df.groupBy(*g).agg(F.count(F.lit(1)).alias("examples"),
-                           F.avg(F.abs(col(y) - col(score))).alias("MAE"))
-    parts = [n,
-             rank_metrics(df, y, score, g).withColumnRenamed("average_precision", "PR_AUC"),
-             confusion_at(df, 0.5, y, score, g).select(*g, F.col("balanced_accuracy").alias("balanced_accuracy:50"),
-                                                       F.col("f1").alias("F1:50"),
-                                                       F.col("recall").alias("recall:50"),
-                                                       F.col("precision").alias("precision:50")),
-             best_threshold(df, y, score, g).select(*g, "best_accuracy", "best_accuracy_theta",
-                                                    F.col("precision").alias("precision:best_acc"),
-                                                    F.col("recall").alias("recall:best_acc"))]
-    wide = parts[0]
-    for p in parts[1:]:
-        wide = wide.join(p, g, "left") if g else with_scalars(wide, p)
-    names = [c for c in wide.columns if c not in g and c != "examples"]
-    rows = metric_rows(wide, g, names, "examples", prefix)
-    ex = wide.select(*g, F.lit("examples").alias("metric"), F.col("examples").cast("double").alias("score"),
-                     F.lit(1.0).alias("weight"))
-    gone = unscored.select(*g, F.lit("nan_scores").alias("metric"), "score", F.lit(1.0).alias("weight"))
-    return rows.unionByName(ex).unionByName(gone)
+    wide = binary_wide(df, g, y, score)
+    some = F.col("examples") > 0
+    cells = [F.struct(F.lit(prefix + m).alias("metric"), F.when(some, F.col(f"`{m}`").cast("double")).alias("score"),
+                      F.col("examples").cast("double").alias("weight")) for m in BINARY_METRICS]
+    cells += [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score"), F.lit(1.0).alias("weight"))
+              for m in ("examples", "nan_scores")]
+    rows = wide.select(*g, "examples", F.explode(F.array(*cells)).alias("s"))
+    return rows.where(some | (F.col("s.metric") == "nan_scores")).select(*g, "s.metric", "s.score", "s.weight")
 
 
 BINARY_METRICS = ["MAE", "roc_auc", "PR_AUC", "balanced_accuracy:50", "F1:50", "recall:50", "precision:50",
@@ -527,16 +563,17 @@ def sliding_windows(spark, start: str, end: str | None, every: int = 1, unit: st
 
 
 def assign_windows(df: DataFrame, start: str, end: str | None = None, every: int = 1, unit: str = "year",
-                   date_col: str = "d") -> DataFrame:
+                   date_col: str = "d", dates: DataFrame | None = None) -> DataFrame:
     """Each row with the ``window_start`` and ``window_end`` of its window in ``sliding_windows``.
 
     Windows do not overlap, so a row's window number follows from its date by arithmetic: no join.
-    Rows before ``start`` or from the end on are dropped.
+    Rows before ``start`` or from the end on are dropped. ``dates``: a cheaper frame with the same dates,
+    to find the end in.
     """
     d, s = F.col(date_col), F.lit(start).cast("date")
     months = {"year": 12 * every, "month": every}.get(unit)
     if end is None:
-        df = with_scalars(df, df.agg(F.date_add(F.max(date_col), 1).alias("_end")))
+        df = with_scalars(df, (df if dates is None else dates).agg(F.date_add(F.max(date_col), 1).alias("_end")))
     else:
         df = df.withColumn("_end", F.lit(end).cast("date"))
     if months is None:

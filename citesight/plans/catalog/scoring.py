@@ -117,6 +117,26 @@ def e9(spark, sf):
     return _round_all(E.pr_curve(fx.scored(spark, sf)))
 
 
+_NEXT = """, nx AS (SELECT *, lead(pos) OVER w AS np, lead(neg) OVER w AS nn, row_number() OVER w AS r FROM pt
+  WINDOW w AS (PARTITION BY w ORDER BY score DESC))
+"""
+
+
+@register("e8_roc_curve_corners", SW + "," + Q.points_sql("pt", "scored_windows", ["w"]) + _NEXT + """
+SELECT w, round(score, 6) AS threshold, round(fp / N, 6) AS fpr, round(tp / P, 6) AS tpr FROM nx
+WHERE r = 1 OR np IS NULL OR pos * nn <> neg * np
+UNION ALL SELECT DISTINCT w, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM pt""")
+def e8c(spark, sf):
+    return _round_all(E.roc_curve(fx.scored_windows(spark, sf), group_cols=["w"], drop_collinear=True))
+
+
+@register("e9_pr_curve_ends", SW + "," + Q.points_sql("pt", "scored_windows", ["w"]) + _NEXT + """
+SELECT w, round(score, 6) AS threshold, round(tp / P, 6) AS recall, round(tp / (tp + fp), 6) AS precision,
+       round(P / (P + N), 6) AS chance_level FROM nx WHERE r = 1 OR np IS NULL OR pos > 0 OR np > 0""")
+def e9c(spark, sf):
+    return _round_all(E.pr_curve(fx.scored_windows(spark, sf), group_cols=["w"], drop_intermediate=True))
+
+
 # ---------------------------------------------------------------- E10-E11 thresholds
 _GUARDED = _NAN + ", sg AS (SELECT * FROM sn WHERE NOT isnan(prob))"
 

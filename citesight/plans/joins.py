@@ -24,6 +24,17 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """``left JOIN right USING (keys)`` in which a null key meets a null key."""
+    keys = _keys(keys)
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    out = left.join(renamed, same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_right_{k}" for k in keys])
+
+
 def _salted(counts: DataFrame, keys: list[str], count_col: str, total_col: str, p: int,
             min_rows: int) -> DataFrame:
     hot = counts.where((F.col(count_col) * (2 * p) > F.col(total_col)) & (F.col(count_col) >= min_rows))

@@ -1,14 +1,13 @@
 """Global order without a one-partition window.
 
 * ``with_row_index``: 0-based position of every row in a total order.
-* ``cumulative_sums``: running sums in an order, optionally per group.
+* ``cumulative_sums``, ``with_next``: running sums and the following row in an order, optionally per group.
 * ``exact_quantiles``: quantiles by position.
 
 The index range-partitions the data (sampling-based bounds, so a hot key is
-split by the tie-breaking columns); running sums and quantiles cut it at
-approximate quantiles. Both work inside each part and add offsets from a table
-whose size is bounded by the number of partitions plus the number of groups,
-which is broadcast.
+split by the tie-breaking columns); running sums and quantiles cut groups above
+a fair share at approximate quantiles. Both work inside each part and add
+offsets from a broadcast table with a row per part.
 """
 
 from __future__ import annotations
@@ -21,10 +20,13 @@ from pyspark.sql import functions as F
 
 from citesight.session import ensure_checkpoint_dir, shuffle_partitions
 from citesight.functions.columns import with_scalars
+from citesight.plans.joins import null_safe_join
 
 
 #: Most buckets that one group's running sums are cut into.
 MAX_BUCKETS = 4096
+#: A group of so many rows or fewer is never cut.
+SPLIT_ROWS = 10_000
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -70,43 +72,79 @@ def with_row_index(df: DataFrame, order_cols: Sequence, name: str = "idx",
             .select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_lid")).alias(name), *extra))
 
 
-def cumulative_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
-                    group_cols: Sequence[str] = (), suffix: str = "_cum",
-                    num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` by ``order_cols`` within ``group_cols``.
+def _bucketed(df: DataFrame, order_cols: Sequence, gc: list[str], n: int, split_rows: int) -> tuple[DataFrame, bool]:
+    """``df`` with ``_bucket``: ascending parts of each large group by its first order column (a number).
 
-    Each group is cut into buckets of its first order column (a number), as many as its share of the
-    rows allows, at most ``MAX_BUCKETS``: the cuts are approximate quantiles, found in one aggregate.
-    Rows are shuffled once, by (group, bucket); running sums inside a bucket get the totals of the
-    buckets before it. Cuts and totals are broadcast: at most partitions + groups entries each.
-    ``order_cols`` must be a total order within a group.
+    Only groups of more than a fair share of the rows (and ``split_rows``) are cut, at approximate
+    quantiles: at most ``n`` groups, so cuts and sketches are few however many groups there are. The
+    second value tells whether any group was cut. ``df`` is read up to three times: stage a costly one.
     """
-    n = num_partitions or shuffle_partitions(df.sparkSession)
-    gc, oc = list(group_cols), _cols(order_cols)
     b = max(2, min(n, MAX_BUCKETS))
-    d = df.withColumn("_ord", oc[0].cast("double"))
-    cuts = d.groupBy(*gc).agg(F.percentile_approx("_ord", [i / b for i in range(1, b)], 10 * b).alias("_all"),
-                              F.count(F.lit(1)).alias("_n"))
-    cuts = with_scalars(cuts, cuts.agg(F.sum("_n").alias("_total")))
-    step = F.ceil(F.lit(b) / F.greatest(F.ceil(F.col("_n") * F.lit(b) / F.col("_total")), F.lit(1)))
-    cuts = cuts.withColumn("_step", step).select(
-        *gc, F.array_distinct(F.filter("_all", lambda v, i: (i + 1) % F.col("_step") == 0)).alias("_cuts"))
-    t = d.join(F.broadcast(cuts), gc) if gc else with_scalars(d, cuts)
+    counts = df.groupBy(*gc).agg(F.count(F.lit(1)).alias("_n"))
+    counts = with_scalars(counts, df.agg(F.count(F.lit(1)).alias("_total")))
+    hot = pin(counts.where((F.col("_n") * b > F.col("_total")) & (F.col("_n") > split_rows)))  # fewer than b rows
+    if hot.isEmpty():
+        return df.withColumn("_bucket", F.lit(0)), False
+    d = df.withColumn("_ord", _cols(order_cols)[0].cast("double"))
+    large = null_safe_join(d, F.broadcast(hot.select(*gc)), gc, "left_semi") if gc else d
+    cuts = large.groupBy(*gc).agg(
+        F.array_distinct(F.percentile_approx("_ord", [i / b for i in range(1, b)], 10 * b)).alias("_cuts"))
+    t = null_safe_join(d, F.broadcast(cuts), gc, "left") if gc else with_scalars(d, cuts)
     # binary search: how many cuts lie below the value
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(b.bit_length()))])
     bucket = F.aggregate(steps, F.lit(0), lambda at, s: F.when(
         (at + s <= F.size("_cuts")) & (F.get("_cuts", at + s - 1) < F.col("_ord")), at + s).otherwise(at))
-    t = t.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
-    w_local = (Window.partitionBy(*gc, "_bucket").orderBy(*oc)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = t.select(*df.columns, "_bucket", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in sum_cols])
+    return t.select(*df.columns, F.when(F.col("_cuts").isNull(), 0).otherwise(F.coalesce(bucket, F.lit(0))).alias("_bucket")), True
+
+
+def _attach(t: DataFrame, per_bucket: DataFrame, gc: list[str]) -> DataFrame:
+    """Left join of a small table with a row per bucket of the groups that were cut."""
+    return null_safe_join(t, F.broadcast(per_bucket), [*gc, "_bucket"], "left")
+
+
+def cumulative_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
+                    group_cols: Sequence[str] = (), suffix: str = "_cum",
+                    num_partitions: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` by ``order_cols`` within ``group_cols``.
+
+    Groups within a fair share of the rows are summed by a plain window. Larger ones (fewer than the
+    partitions) are cut into buckets of their first order column; rows are shuffled once, by (group,
+    bucket), and get the totals of the buckets before theirs, broadcast with a row per cut bucket.
+    ``order_cols`` must be a total order within a group; a null group is a group.
+    """
+    gc, oc = list(group_cols), _cols(order_cols)
+    t, cut = _bucketed(df, oc, gc, num_partitions or shuffle_partitions(df.sparkSession), split_rows)
+    w = Window.partitionBy(*gc, "_bucket").orderBy(*oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = t.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in sum_cols])
+    if not cut:
+        return local.select(*df.columns, *[F.col(f"_l_{c}").alias(f"{c}{suffix}") for c in sum_cols])
     totals = t.groupBy(*gc, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*gc).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("_bucket", *gc, *[
-        F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    out = local.join(F.broadcast(offs), ["_bucket", *gc])
-    return out.select(*[F.col(c) for c in df.columns],
-                      *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in sum_cols])
+    # buckets after the first exist in cut groups only
+    offs = totals.select("_bucket", *gc, *[F.sum(f"_t_{c}").over(w_off).alias(f"_o_{c}") for c in sum_cols]).where("_bucket > 0")
+    out = _attach(local, offs, gc)
+    return out.select(*df.columns, *[(F.coalesce(f"_o_{c}", F.lit(0)) + F.col(f"_l_{c}")).alias(f"{c}{suffix}")
+                                     for c in sum_cols])
+
+
+def with_next(df: DataFrame, order_cols: Sequence, cols: Sequence[str], group_cols: Sequence[str] = (),
+              prefix: str = "next_", num_partitions: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``cols`` of the following row by ``order_cols`` within ``group_cols``; null on the last row.
+
+    Cut like the running sums: the last row of a bucket takes the first row of the next bucket that
+    has rows. A followed row is told from a last one by the struct, so nulls in ``cols`` are kept.
+    """
+    gc, oc = list(group_cols), _cols(order_cols)
+    t, cut = _bucketed(df, oc, gc, num_partitions or shuffle_partitions(df.sparkSession), split_rows)
+    row = F.struct(*cols)
+    t = t.withColumn("_row", row)
+    local = t.withColumn("_next", F.lead("_row").over(Window.partitionBy(*gc, "_bucket").orderBy(*oc)))
+    if cut:
+        first = t.groupBy(*gc, "_bucket").agg(F.min_by("_row", F.struct(*oc)).alias("_first"))
+        after = F.lead("_first").over(Window.partitionBy(*gc).orderBy("_bucket")).alias("_after")
+        border = first.select(*gc, "_bucket", after).where("_after IS NOT NULL")  # rows of cut groups only
+        local = _attach(local, border, gc).withColumn("_next", F.coalesce("_next", "_after"))
+    return local.select(*df.columns, *[F.col(f"_next.{c}").alias(prefix + c) for c in cols])
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], interpolation: str = "linear") -> DataFrame:
@@ -123,7 +161,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], interpolation:
     v = F.col(col).cast("double")
     counts = (df.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
               .groupBy("_v").agg(F.count(F.lit(1)).alias("_n")))
-    runs = cumulative_sums(counts, ["_v"], ["_n"])
+    runs = cumulative_sums(pin(counts), ["_v"], ["_n"])
     runs = with_scalars(runs, runs.agg(F.coalesce(F.max("_n_cum"), F.lit(0)).alias("_total")))
 
     def at(pos: Column) -> Column:

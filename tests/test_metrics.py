@@ -155,3 +155,52 @@ def test_roc_and_pr_curves_match_brute_force(spark):
         fp = sum(1 for y, p in rows if p >= t and y == 0)
         assert roc[t] == (fp / N, tp / P)
         assert pr[t] == (tp / P, tp / (tp + fp), P / len(rows))
+
+
+def _area(rows):
+    pts = sorted((r.fpr, r.tpr) for r in rows)
+    return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(pts, pts[1:]))
+
+
+@pytest.mark.parametrize("split", [5, 10_000])
+def test_thinned_curves_keep_area_and_corners(spark, monkeypatch, split):
+    import random
+
+    from citesight.plans import rowindex
+    rng = random.Random(8)
+    # runs of equal labels make straight lines; a low bound cuts the large group into buckets
+    rows = [(g, int((i // 7) % 3 == 0), round(rng.random(), 3) if g else i / 300) for g in (0, 1, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, y int, prob double")
+    for f in ("cumulative_sums", "with_next"):
+        own = getattr(rowindex, f)
+        monkeypatch.setattr(E, f, lambda *a, own=own, **k: own(*a, split_rows=split, **k))
+    full, thin = E.roc_curve(df, group_cols=["g"]).collect(), E.roc_curve(df, group_cols=["g"], drop_collinear=True).collect()
+    pr, ends = E.pr_curve(df, group_cols=["g"]).collect(), E.pr_curve(df, group_cols=["g"], drop_intermediate=True).collect()
+    auc = {r.g: r.roc_auc for r in E.roc_auc(df, group_cols=["g"]).collect()}
+    for g in (0, 1, None):
+        a, b = [r for r in full if r.g == g], [r for r in thin if r.g == g]
+        assert set(b) < set(a) and math.isclose(_area(a), _area(b)) and math.isclose(_area(b), auc[g])
+        assert max(r.tpr for r in b) == 1.0 and min(r.fpr for r in b) == 0.0
+        c, d = [r for r in pr if r.g == g], [r for r in ends if r.g == g]
+        assert set(d) < set(c) and {r.recall for r in c} == {r.recall for r in d}
+    assert len([r for r in thin if r.g == 0]) < 0.5 * len([r for r in full if r.g == 0])
+
+
+def test_metrics_of_a_null_group_and_of_rows_without_scores(spark):
+    nan = float("nan")
+    rows = [(None, 1, 0.9), (None, 0, 0.2), (None, 0, None), (1, 1, nan), (1, 0, None), (2, 1, 0.8), (2, 1, nan)]
+    df = spark.createDataFrame(rows, "g int, y int, prob double")
+    assert {r.g: r.roc_auc for r in E.roc_auc(df, group_cols=["g"]).collect()} == {None: 1.0, 2: None}
+    rep = E.metric_report(E.aggregate_metrics(E.binary_metric_rows(df, ["g"], prefix=""), ["g"]),
+                          E.BINARY_METRICS + ["examples", "nan_scores"], ["g"])
+    got = {r.g: r.asDict() for r in rep.collect()}
+    assert (got[None]["roc_auc"], got[None]["PR_AUC"], got[None]["examples"], got[None]["nan_scores"]) == (1.0, 1.0, 2.0, 1.0)
+    assert (got[1]["MAE"], got[1]["examples"], got[1]["nan_scores"]) == (None, None, 2.0)
+    assert got[2]["best_accuracy"] == 1.0 and got[2]["nan_scores"] == 1.0
+
+
+def test_all_binary_metrics_take_one_aggregate_over_the_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").selectExpr(
+        "o_orderdate as g", "cast(o_orderstatus = 'F' as int) as y", "o_totalprice / 1e6 as prob")
+    text = E.binary_wide(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") == 2  # the rows once, the staged score curve once

@@ -2,7 +2,7 @@
 
 import pytest
 
-from citesight.plans.rowindex import cumulative_sums, exact_quantiles, with_row_index
+from citesight.plans.rowindex import cumulative_sums, exact_quantiles, with_next, with_row_index
 from citesight.sources import io as S
 
 from conftest import SF001
@@ -31,22 +31,30 @@ def test_cumulative_sums_of_uneven_groups(spark, parts):
     import random
     rng = random.Random(parts)
     rows = [("big", rng.choice([rng.random(), rng.random() * 1e-6]), rng.randint(0, 5)) for _ in range(3000)]
-    rows += [("small", float(i), i) for i in range(20)] + [("one", -1.0, 4)]
+    rows += [("small", float(i), i) for i in range(20)] + [("one", -1.0, 4), (None, 2.0, 1), (None, 3.0, 2)]
     rows = list({(g, o): (g, o, v) for g, o, v in rows}.values())
     df = spark.createDataFrame(rows, "g string, o double, v long")
     want, total = {}, {}
-    for g, o, v in sorted(rows):
+    after, last = {}, {}
+    for g, o, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
         total[g] = total.get(g, 0) + v
         want[g, o] = total[g]
-    got = cumulative_sums(df, ["o"], ["v"], ["g"], num_partitions=parts).collect()
-    assert {(r.g, r.o): r.v_cum for r in got} == want and len(got) == len(rows)
-    alone = cumulative_sums(df.where("g = 'big'"), ["o"], ["v"], num_partitions=parts).collect()
-    assert all(want[r.g, r.o] == r.v_cum for r in alone)
+        if g in last:
+            after[g, last[g]] = v
+        last[g] = o
+    for split in (0, 10_000):  # cut into buckets, and by a plain window
+        got = cumulative_sums(df, ["o"], ["v"], ["g"], num_partitions=parts, split_rows=split).collect()
+        assert {(r.g, r.o): r.v_cum for r in got} == want and len(got) == len(rows)
+        alone = cumulative_sums(df.where("g = 'big'"), ["o"], ["v"], num_partitions=parts, split_rows=split).collect()
+        assert all(want[r.g, r.o] == r.v_cum for r in alone)
+        got = with_next(df, ["o"], ["v"], ["g"], num_partitions=parts, split_rows=split).collect()
+        assert {(r.g, r.o): r.next_v for r in got if r.next_v is not None} == after and len(got) == len(rows)
 
 
 def test_running_sums_shuffle_their_rows_once(spark):
     df = spark.read.parquet(f"{SF001}/lineitem.parquet").selectExpr("l_extendedprice as o", "1 as v", "l_linenumber as g")
-    text = plan(cumulative_sums(df, ["o"], ["v"], ["g"]))
+    assert plan(cumulative_sums(df, ["o"], ["v"], ["g"])).count("Exchange") == 1  # no group above 10,000 rows
+    text = plan(cumulative_sums(df, ["o"], ["v"], ["g"], split_rows=0))
     rows = [x for x in text.splitlines() if "Exchange hashpartitioning(g" in x and "_bucket" in x]
     assert len(rows) == 2  # the rows themselves, and the totals of the buckets
     assert "rangepartitioning" not in text
