@@ -193,49 +193,71 @@ def _binary_scores(tp, fp, tn, fn) -> dict[str, Column]:
     }
 
 
-def _confusion_aggs(theta: float, y, score, tag: str = "") -> list[Column]:
-    """Four counts at a threshold (positive when ``score > theta``), over rows that have a score.
+def _labelled(y) -> Column:
+    return F.coalesce(col(y) == 1, F.lit(False))
 
-    Spark orders NaN above all numbers, so rows without a score are left out by name."""
-    ok, p, t = _counted(col(score)), col(score) > F.lit(theta), F.coalesce(col(y) == 1, F.lit(False))
-    return [F.count_if(ok & p & t).alias(f"tp{tag}"), F.count_if(ok & p & ~t).alias(f"fp{tag}"),
-            F.count_if(ok & ~p & ~t).alias(f"tn{tag}"), F.count_if(ok & ~p & t).alias(f"fn{tag}")]
 
+def _cell(score, thetas: Sequence[float]) -> Column:
+    """How many of the ascending ``thetas`` the score exceeds."""
+    out = F.when(~_counted(col(score)), None)
+    for i in range(len(thetas), 0, -1):
+        out = out.when(col(score) > F.lit(thetas[i - 1]), i)
+    return out.otherwise(0)
 
-def _scores_at(tag: str = "") -> dict[str, Column]:
-    return _binary_scores(*[F.col(f"{x}{tag}") for x in ("tp", "fp", "tn", "fn")])
 
+def _cells(df: DataFrame, g: list[str], y, score, thetas: Sequence[float], more: Sequence[Column] = (),
+           sums: Sequence[str] = ()) -> DataFrame:
+    """One row per group: ``cells`` (a score above exactly ``at`` thetas, its positives and negatives), P, N.
 
-def _best(thetas: Sequence[float]) -> Column:
-    """Struct of the best threshold from the counts tagged ``_0``, ``_1``, ...: first on ties."""
-    rows = []
-    for i, v in enumerate(thetas):
-        s = _scores_at(f"_{i}")
-        rows.append(F.struct(s["balanced_accuracy"].alias("acc"), F.lit(-i).alias("i"), F.lit(v).alias("theta"),
-                             s["precision"].alias("precision"), s["recall"].alias("recall")))
-    return F.array_max(F.array(*rows))
+    Rows are counted by (group, cell) with map-side combine, so a row costs one addition however many
+    thresholds there are; the confusion at a threshold adds up the cells above it. ``more`` are further
+    aggregates of the first step, whose ``sums`` are added up in the second."""
+    t = _labelled(y)
+    ok = _counted(col(score))
+    a = df.withColumn("_at", _cell(score, thetas)).groupBy(*g, "_at").agg(
+        F.count_if(ok & t).alias("pos"), F.count_if(ok & ~t).alias("neg"), *more)
+    return a.groupBy(*g).agg(F.collect_list(F.struct(F.col("_at").alias("at"), "pos", "neg")).alias("cells"),
+                             F.sum("pos").alias("P"), F.sum("neg").alias("N"), *[F.sum(c).alias(c) for c in sums])
+
+
+def _best(thetas: Sequence[float], order: Sequence[int]) -> Column:
+    """Struct of the best of the ascending ``thetas`` from ``cells``, P and N: the first by ``order`` on ties."""
+    def above(i, c):
+        return F.aggregate(F.filter("cells", lambda x: x["at"] > i), F.lit(0).cast("long"), lambda acc, x: acc + x[c])
+
+    def score(th):
+        tp, fp = above(th["i"], "pos"), above(th["i"], "neg")
+        s = _binary_scores(tp, fp, F.col("N") - fp, F.col("P") - tp)
+        return F.struct(s["balanced_accuracy"].alias("acc"), (-th["nr"]).alias("nr"), th["theta"].alias("theta"),
+                        s["precision"].alias("precision"), s["recall"].alias("recall"))
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("nr"), F.lit(v).alias("theta"))
+                     for i, (v, n) in enumerate(zip(thetas, order))])
+    return F.array_max(F.transform(rows, score))
 
 
 def confusion_at(df: DataFrame, theta: float = 0.5, y="y", score="prob", group_cols=None) -> DataFrame:
     """Predicted positive when ``score > theta``; balanced accuracy, F1, precision, recall.
 
-    Rows without a score (NaN or null) are left out."""
+    Rows without a score (NaN or null) are left out: Spark orders NaN above all numbers."""
     g = _g(group_cols)
-    a = df.where(_counted(col(score))).groupBy(*g).agg(*_confusion_aggs(theta, y, score))
-    return a.select(*g, "tp", "fp", "tn", "fn", *[v.alias(k) for k, v in _scores_at().items()])
+    p, t = col(score) > F.lit(theta), _labelled(y)
+    a = df.where(_counted(col(score))).groupBy(*g).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"),
+                                                       F.count_if(~p & ~t).alias("tn"), F.count_if(~p & t).alias("fn"))
+    s = _binary_scores(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))
+    return a.select(*g, "tp", "fp", "tn", "fn", *[v.alias(k) for k, v in s.items()])
 
 
 def best_threshold(df: DataFrame, y="y", score="prob", group_cols=None,
                    thetas: Sequence[float] | None = None) -> DataFrame:
     """Best balanced accuracy over ``thetas`` (first on ties), its theta, precision and recall.
 
-    All thresholds are counted in one aggregate (four counts each) and compared in its row. Rows
-    without a score (NaN or null) are left out.
+    Rows without a score (NaN or null) are left out.
     """
     g, th = _g(group_cols), list(THETAS if thetas is None else thetas)
-    a = df.where(_counted(col(score))).groupBy(*g).agg(
-        *[c for i, v in enumerate(th) for c in _confusion_aggs(v, y, score, f"_{i}")])
-    return a.select(*g, _best(th).alias("b")).select(
+    order = sorted(range(len(th)), key=lambda i: th[i])
+    th = [th[i] for i in order]
+    a = _cells(df.where(_counted(col(score))), g, y, score, th)
+    return a.select(*g, _best(th, order).alias("b")).select(
         *g, F.col("b.acc").alias("best_accuracy"), F.col("b.theta").alias("best_accuracy_theta"), "b.precision", "b.recall")
 
 
@@ -498,18 +520,19 @@ def binary_wide(df: DataFrame, group_cols: Sequence[str], y="y", score="prob") -
     """All binary-classifier metrics of one prediction table, one row per group.
 
     Counts, MAE, the confusion at one half, the 20 thresholds and the rows without a score are one
-    aggregate; only the rank metrics need their own (the score curve, staged once)."""
+    aggregate over the rows; only the rank metrics need their own (the score curve, staged once)."""
     g = list(group_cols)
-    ok = _counted(col(score))
-    a = df.groupBy(*g).agg(
-        F.count_if(ok).alias("examples"), F.count_if(~ok).cast("double").alias("nan_scores"),
-        F.avg(F.when(ok, F.abs(col(y) - col(score)))).alias("MAE"), *_confusion_aggs(0.5, y, score),
-        *[c for i, v in enumerate(THETAS) for c in _confusion_aggs(v, y, score, f"_{i}")])
-    half = _scores_at()
-    one = a.select(*g, "examples", "nan_scores", "MAE", half["balanced_accuracy"].alias("balanced_accuracy:50"),
+    ok, t, p = _counted(col(score)), _labelled(y), col(score) > 0.5
+    a = _cells(df, g, y, score, THETAS, [
+        F.count_if(~ok).alias("gone"), F.sum(F.when(ok, F.abs(col(y) - col(score)))).alias("err"),
+        F.count_if(ok & p & t).alias("tp"), F.count_if(ok & p & ~t).alias("fp")], ["gone", "err", "tp", "fp"])
+    half = _binary_scores(F.col("tp"), F.col("fp"), F.col("N") - F.col("fp"), F.col("P") - F.col("tp"))
+    n = F.col("P") + F.col("N")
+    one = a.select(*g, n.alias("examples"), F.col("gone").cast("double").alias("nan_scores"),
+                   F.try_divide(F.col("err"), n).alias("MAE"), half["balanced_accuracy"].alias("balanced_accuracy:50"),
                    half["f1"].alias("F1:50"), half["recall"].alias("recall:50"), half["precision"].alias("precision:50"),
-                   _best(THETAS).alias("b"))
-    one = one.select(*[c for c in one.columns if c != "b"], F.col("b.acc").alias("best_accuracy"),
+                   _best(THETAS, range(len(THETAS))).alias("b"))
+    one = one.select(*[f"`{c}`" for c in one.columns if c != "b"], F.col("b.acc").alias("best_accuracy"),
                      F.col("b.theta").alias("best_accuracy_theta"), F.col("b.precision").alias("precision:best_acc"),
                      F.col("b.recall").alias("recall:best_acc"))
     rank = rank_metrics(df, y, score, g).withColumnRenamed("average_precision", "PR_AUC")
@@ -591,7 +614,11 @@ def assign_windows(df: DataFrame, start: str, end: str | None = None, every: int
 
 def sliding_eval(df: DataFrame, start: str, end: str | None = None, every: int = 1, unit: str = "year",
                  date_col: str = "d", y="y", score="prob") -> DataFrame:
-    """Binary metrics and ``examples`` per sliding window, one plan for all windows."""
-    rows = binary_metric_rows(assign_windows(df, start, end, every, unit, date_col), ["window_start"], y, score, prefix="")
-    agg = aggregate_metrics(rows, ["window_start"])
-    return metric_report(agg, BINARY_METRICS + ["examples", "nan_scores"], ["window_start"])
+    """Binary metrics and ``examples`` per sliding window, one plan for all windows.
+
+    Each metric has one value per window, so the report (E27, E28) is the rounded row itself."""
+    wide = binary_wide(assign_windows(df, start, end, every, unit, date_col), ["window_start"], y, score)
+    some = F.col("examples") > 0
+    return wide.select("window_start", *[
+        F.round(F.when(some & ~F.isnan(f"`{m}`"), F.col(f"`{m}`").cast("double")), 6).alias(m) for m in BINARY_METRICS],
+        F.when(some, F.col("examples").cast("double")).alias("examples"), F.col("nan_scores"))

@@ -223,43 +223,110 @@ def observed_max_lengths(table: DataFrame) -> DataFrame:
     return table.agg(F.max(F.size("x")).alias("max_len"), F.max(F.size("graph_x")).alias("graph_max_len"))
 
 
-def rolling_category_topk(corpus: DataFrame, category_col: str, time_col: str, sort_col: str,
-                          feature_col: str, top_k: int, period_days: int, offset_days: int | None = None,
-                          id_col: str = "id") -> DataFrame:
-    """Per (category, date) the ``top_k`` works by ``sort_col`` (descending, then id)
-    among works of that category dated in ``(t + offset, t + offset + period]``.
-
-    Day-level pre-prune (``row_number <= k`` per category and day) bounds the
-    candidates by calendar x categories x k. It is exact: window membership
-    depends only on the day, so a work outside its day's top k has k better
-    works (same order, ties by id) in every window that contains it; the interval join is an equi-join
-    on (category, period bucket) plus a range check, so it never pairs rows
-    of a hot category beyond two buckets.
+def _merge_lists(lists: Column, k: int) -> Column:
+    """The ``k`` best entries (s, ref) of some k-lists: largest ``s`` first, nulls last, then smallest ref."""
+    def before(x, y):
+        return (F.when(x["s"].isNull() & y["s"].isNull(), 0).when(x["s"].isNull(), 1).when(y["s"].isNull(), -1)
+                .when(x["s"] > y["s"], -1).when(x["s"] < y["s"], 1).otherwise(0))
+
+    def order(x, y):
+        b = before(x, y)
+        return F.when(b != 0, b).when(x["ref"] < y["ref"], -1).when(x["ref"] > y["ref"], 1).otherwise(0)
+    return F.slice(F.array_sort(F.flatten(lists), order), 1, k)
+
+
+def _running_lists(days: Column, k: int, kind: str) -> Column:
+    """For each day of a block the k-list of all days up to it."""
+    return F.aggregate(days, F.array().cast(f"array<{kind}>"), lambda acc, d: F.concat(acc, F.array(
+        _merge_lists(F.filter(F.array(F.get(acc, F.size(acc) - 1), d["best"]), lambda x: x.isNotNull()), k))))
+
+
+def rolling_lists(base: DataFrame, category_col: str, sort_col: str, id_col: str, top_k: int, period_days: int,
+                  offset_days: int) -> DataFrame:
+    """(category, _day, rank, ref): the ``top_k`` works of the category in ``(_day + offset, _day + offset + period]``.
+
+    Day lists first: the top k of each (category, day), which loses nothing, as a window holds whole
+    days. The calendar is cut into blocks of ``period`` days; a window is the end of one block and the
+    beginning of the next (or one whole block). Each block folds its at most ``period`` day lists into
+    a k-list up to every day and one from every day on, so a window merges two k-lists, whatever
+    lies in it. Blocks and windows meet as one row per (category, block) each.
     """
-    off = -period_days if offset_days is None else offset_days
-    day = F.datediff(F.col(time_col), F.lit("1970-01-01"))
-    base = stage_table(corpus.select(id_col, category_col, time_col, sort_col).withColumn("_day", day))
-    w = Window.partitionBy(category_col, "_day").orderBy(F.col(sort_col).desc(), F.col(id_col).asc())
+    w = Window.partitionBy(category_col, "_day").orderBy(F.col(sort_col).desc_nulls_last(), F.col(id_col).asc())
     pruned = base.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
-    keys = pruned.select(category_col, "_day").distinct()
-    keys = keys.select(category_col, F.col("_day").alias("_kday"),
-                       (F.col("_day") + off).alias("_lo"), (F.col("_day") + off + period_days).alias("_hi"))
-    keys = keys.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_lo") + 1) / period_days),
-                                                      F.floor(F.col("_hi") / period_days))))
-    cand = pruned.select(category_col, F.col(id_col).alias("ref"), F.col("_day").alias("_cday"),
-                         F.col(sort_col).alias("_s"), F.floor(F.col("_day") / period_days).alias("_b"))
-    j = keys.join(cand, [category_col, "_b"]).where((F.col("_cday") > F.col("_lo")) & (F.col("_cday") <= F.col("_hi")))
-    g = [category_col, "_kday"]
-    ranked = _topk(j, g, [F.col("_s").desc(), F.col("ref").asc()], top_k).select(*g, "rank", "ref")
+    entry = F.struct(F.col(sort_col).alias("s"), F.col(id_col).alias("ref"))
+    days = pruned.groupBy(category_col, "_day").agg(F.collect_list(entry).alias("best"))  # k entries
+    days = stage_table(days.withColumn("best", _merge_lists(F.array("best"), top_k)))
+    kind = days.schema["best"].dataType.simpleString()
+
+    def block(day: Column) -> Column:
+        return F.floor(day / period_days)
+    first, last = F.col("_day") + offset_days + 1, F.col("_day") + offset_days + period_days
+    ends = F.struct(last.alias("at"), F.lit(True).alias("head"))
+    asked = days.select(category_col, "_day", F.explode(F.when(block(first) == block(last), F.array(ends)).otherwise(
+        F.array(ends, F.struct(first.alias("at"), F.lit(False).alias("head"))))).alias("q"))
+    asked = asked.groupBy(category_col, block(F.col("q.at")).alias("_b")).agg(
+        F.collect_list(F.struct("_day", "q.at", "q.head")).alias("asked"))
+    held = days.groupBy(category_col, block(F.col("_day")).alias("_b")).agg(
+        F.array_sort(F.collect_list(F.struct("_day", "best"))).alias("days"))
+    held = held.select(category_col, "_b", F.transform("days", lambda d: d["_day"]).alias("at"),
+                       _running_lists(F.col("days"), top_k, kind).alias("heads"),
+                       F.reverse(_running_lists(F.reverse("days"), top_k, kind)).alias("tails"))
+
+    def answer(q):
+        # days up to the window's end, or days before its beginning
+        n = F.size(F.filter("at", lambda d: F.when(q["head"], d <= q["at"]).otherwise(d < q["at"])))
+        return F.struct(q["_day"].alias("_day"),
+                        F.when(q["head"], F.get("heads", n - 1)).otherwise(F.get("tails", n)).alias("best"))
+    got = asked.join(held, [category_col, "_b"]).select(
+        category_col, F.explode(F.transform("asked", answer)).alias("a")).select(category_col, "a.*")
+    got = got.where("best IS NOT NULL").groupBy(category_col, "_day").agg(F.collect_list("best").alias("lists"))
+    got = got.select(category_col, "_day", F.posexplode(_merge_lists(F.col("lists"), top_k)).alias("rank", "e"))
+    return got.select(category_col, "_day", (F.col("rank") + 1).alias("rank"), F.col("e.ref").alias("ref"))
+
+
+def _rolling(corpus: DataFrame, category_col: str, time_col: str, sort_col: str, feature_col: str, top_k: int,
+             period_days: int, offset_days: int | None, id_col: str, flatten: bool) -> tuple[DataFrame, DataFrame]:
+    """(the works' keys with ``_day``, neighbours with features per (category, _day))."""
+    day = F.datediff(F.col(time_col), F.lit("1970-01-01"))
+    base = stage_table(corpus.select(id_col, category_col, time_col, sort_col).withColumn("_day", day)
+                       .dropna(subset=[category_col, "_day"]))
+    ranked = stage_table(rolling_lists(base, category_col, sort_col, id_col, top_k, period_days,
+                                       -period_days if offset_days is None else offset_days))
     # features only for the kept k per (category, day), not for every candidate in the window
     feats = corpus.select(F.col(id_col).alias("ref"), F.col(feature_col).alias("feature" + SUFFIX))
-    nb = _collect(split_hot_join(ranked, feats, "ref"), g, False).withColumnRenamed("_kday", "_day")
+    return base, _collect(split_hot_join(ranked, feats, "ref"), [category_col, "_day"], flatten)
+
+
+def rolling_category_topk(corpus: DataFrame, category_col: str, time_col: str, sort_col: str,
+                          feature_col: str, top_k: int, period_days: int, offset_days: int | None = None,
+                          id_col: str = "id") -> DataFrame:
+    """Per (category, date) the ``top_k`` works by ``sort_col`` (descending, then id)
+    among works of that category dated in ``(t + offset, t + offset + period]`` (see ``rolling_lists``).
+
+    The offset is ``-period`` by default and may have either sign. Works without category or date
+    take no part."""
+    base, nb = _rolling(corpus, category_col, time_col, sort_col, feature_col, top_k, period_days, offset_days, id_col, False)
     # many works share one (category, day): a crowded day is salted by the works' ids
     works = base.select(id_col, category_col, time_col, "_day")
     return split_hot_join(works, nb, [category_col, "_day"], hash_cols=[id_col]).select(
         id_col, category_col, time_col, "graph_ids", "graph_x")
 
 
+def rolling_table(corpus: DataFrame, spec: GraphSpec, period_days: int, offset_days: int | None = None) -> DataFrame:
+    """G6 as a training table: ``(id, date, x, graph_x, graph_ids, y)`` of works from ``t_start`` on.
+
+    First category and sort column of ``spec``; nulls, predicate and ``t_end`` hold for works and
+    neighbours, ``t_start`` and the length limits for the works alone. Works without a neighbour are
+    left out."""
+    c = prepare_corpus(corpus, spec)
+    cat = spec.category_cols[0]
+    _, nb = _rolling(c, cat, spec.time_col, spec.sort_cols[0], spec.feature_col, spec.top_k, period_days, offset_days,
+                     spec.id_col, spec.flatten_features)
+    own = c if spec.t_start is None else c.where(F.col(spec.time_col) >= F.lit(spec.t_start))
+    own = own.withColumn("_day", F.datediff(F.col(spec.time_col), F.lit("1970-01-01")))
+    return _rows(split_hot_join(own, nb, [cat, "_day"], hash_cols=[spec.id_col]), c, spec, [spec.id_col, spec.time_col])
+
+
 def rewindow(corpus: DataFrame, spec: GraphSpec, start: str, end: str | None = None, every: int = 1,
              unit: str = "year", by_priority: bool = True) -> DataFrame:
     """G1-G5 for all windows ``[start + i * every unit, ...)`` up to ``end`` (by default the latest
@@ -274,5 +341,6 @@ def rewindow(corpus: DataFrame, spec: GraphSpec, start: str, end: str | None = N
     extra = ["window_start", "window_end"]
     own = assign_windows(light, start, end, every, unit, tcol)
     nb = _neighbours(c, light, spec, by_priority, own, extra, F.col(tcol + SUFFIX) < F.col("window_end"))
-    nb = nb.join(own.select(spec.id_col, *extra), [spec.id_col, "window_start"])
-    return _rows(nb.join(c, spec.id_col), c, spec, [*extra, spec.id_col, tcol])
+    # the window follows from the work's date again: one join
+    works = assign_windows(c, start, end, every, unit, tcol, dates=light)
+    return _rows(nb.drop("window_start").join(works, spec.id_col), c, spec, [*extra, spec.id_col, tcol])

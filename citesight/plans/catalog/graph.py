@@ -222,23 +222,57 @@ def g5t(spark, sf):
     return t.select("id", text("x"), text("graph_x"))
 
 
-@register("g6_rolling_category_topk", W + """, base AS (
-  SELECT w.id, w.topic_name, w.publication_date, w.score FROM works w),
-pruned AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_name, publication_date
-                                                     ORDER BY score DESC, id) AS r FROM base) WHERE r <= 3),
-keys AS (SELECT DISTINCT topic_name, publication_date AS kd FROM pruned),
-cand AS (SELECT k.topic_name, k.kd, p.id AS ref,
+def _rolling_sql(lo: int, hi: int, k: int, corpus: str = "works") -> str:
+    """CTE ``cand``: the k best works of a category dated ``lo`` to ``hi`` days from each of its dates."""
+    return f""", keys AS (SELECT DISTINCT topic_name, publication_date AS kd FROM {corpus}),
+cand AS (SELECT * FROM (SELECT k.topic_name, k.kd, p.id AS ref,
                 CAST(row_number() OVER (PARTITION BY k.topic_name, k.kd ORDER BY p.score DESC, p.id) AS INTEGER) AS rank
-         FROM keys k JOIN pruned p ON p.topic_name = k.topic_name
-          AND p.publication_date > k.kd - 30 AND p.publication_date <= k.kd)
-SELECT b.id, c.rank, c.ref FROM base b JOIN cand c ON c.topic_name = b.topic_name AND c.kd = b.publication_date
-WHERE c.rank <= 3""")
-def g6(spark, sf):
-    r = G.rolling_category_topk(graph_corpus(spark, sf), "topic_name", "publication_date", "score", "emb",
-                                top_k=3, period_days=30)
+         FROM keys k JOIN {corpus} p ON p.topic_name = k.topic_name
+          AND p.publication_date >= k.kd + {lo} AND p.publication_date <= k.kd + {hi}) WHERE rank <= {k})
+"""
+
+
+_G6_ROWS = """SELECT b.id, c.rank, c.ref FROM works b JOIN cand c ON c.topic_name = b.topic_name AND c.kd = b.publication_date"""
+
+
+def _rolled(spark, sf, **window):
+    # this operator reads no citations
+    e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("emb"))
+    r = G.rolling_category_topk(fx.works_alone(spark, sf).join(e, "vec_id"), "topic_name", "publication_date", "score", "emb",
+                                top_k=3, **window)
     return r.select("id", F.posexplode("graph_ids").alias("rank", "ref")).withColumn("rank", F.col("rank") + 1)
 
 
+@register("g6_rolling_category_topk", W + _rolling_sql(-29, 0, 3) + _G6_ROWS)
+def g6(spark, sf):
+    return _rolled(spark, sf, period_days=30)
+
+
+@register("g6_rolling_ahead", W + _rolling_sql(6, 15, 3) + _G6_ROWS)
+def g6a(spark, sf):
+    return _rolled(spark, sf, period_days=10, offset_days=5)
+
+
+SPEC_ROLLING = G.GraphSpec(t_start="1996-01-01", t_end="1999-01-01", category_cols=("topic_name",), top_k=4,
+                           x_cols=("emb", "score"), predicate="cited_by_count >= 1")
+
+
+@register("g6_rolling_table", W + """, corpus AS (
+  SELECT w.id, w.publication_date, w.topic_name, w.score, w.cited_by_count, e.embedding AS emb
+  FROM works w JOIN embeddings e ON e.vec_id = w.vec_id
+  WHERE w.referenced_works IS NOT NULL AND w.publication_date < DATE '1999-01-01' AND w.cited_by_count >= 1)
+""" + _rolling_sql(-59, -15, 4, "corpus") + """, nb AS (SELECT c.topic_name, c.kd, list(ref ORDER BY rank) AS ids,
+  list(p.emb ORDER BY rank) AS fs FROM cand c JOIN corpus p ON p.id = c.ref GROUP BY c.topic_name, c.kd)
+SELECT b.id, array_to_string(ids, ',') AS graph_ids, """ + GX_SQL.format("[emb, [CAST(score AS DOUBLE)]]") + " AS x_md5, "
+          + GX_SQL.format("fs") + """ AS graph_md5, CAST(b.cited_by_count AS DOUBLE) AS y
+FROM corpus b JOIN nb ON nb.topic_name = b.topic_name AND nb.kd = b.publication_date
+WHERE b.publication_date >= DATE '1996-01-01'""")
+def g6t(spark, sf):
+    t = G.rolling_table(graph_corpus(spark, sf), SPEC_ROLLING, period_days=45, offset_days=-60)
+    return t.select("id", F.array_join(F.col("graph_ids").cast("array<string>"), ",").alias("graph_ids"),
+                    vectors_md5("x").alias("x_md5"), vectors_md5(F.flatten("graph_x")).alias("graph_md5"), F.col("y")[0].alias("y"))
+
+
 @register("g7_observed_max_lengths", _G5_NB + """SELECT CAST(max(len(x)) AS INTEGER) AS max_len,
   CAST(max(len(graph_x)) AS INTEGER) AS graph_max_len FROM tbl""")
 def g7(spark, sf):

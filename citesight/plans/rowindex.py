@@ -26,7 +26,7 @@ from citesight.plans.joins import null_safe_join
 #: Most buckets that one group's running sums are cut into.
 MAX_BUCKETS = 4096
 #: A group of so many rows or fewer is never cut.
-SPLIT_ROWS = 10_000
+SPLIT_ROWS = 100_000
 
 
 def pin(df: DataFrame) -> DataFrame:

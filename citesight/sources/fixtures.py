@@ -52,11 +52,7 @@ def citation_fixture_edges(orders: DataFrame) -> DataFrame:
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus table: one row per work (an order), see FIXTURES.md §3."""
-    orders = table(spark, sf_dir, "orders")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    n_vec = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("_n_vec"))
-    n_doc = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("_n_doc"))
-    edges = citation_fixture_edges(orders)
+    edges = citation_fixture_edges(table(spark, sf_dir, "orders"))
     refs = edges.groupBy("id").agg(F.array_sort(F.collect_list("ref")).alias("referenced_works"))
     cites = (edges.groupBy(F.col("ref").alias("id"), F.year("citing_date").alias("y"))
              .agg(F.count(F.lit(1)).alias("n")))
@@ -67,15 +63,25 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.transform("_s", lambda x: x["y"]).alias("counts_by_year_years"),
                       F.transform("_s", lambda x: x["n"]).alias("counts_by_year_counts"),
                       "_cited"))
-    o = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    w = (o.join(refs, o.o_orderkey == refs.id, "left").drop("id")
-         .join(series, o.o_orderkey == series.id, "left").drop("id")
-         .transform(lambda d: with_scalars(with_scalars(d, n_vec), n_doc)))
-    return w.select(
+    w = works_alone(spark, sf_dir).join(refs, "id", "left").join(series, "id", "left")
+    return w.select("id", "publication_date", F.coalesce("_cited", F.lit(0)).cast("bigint").alias("cited_by_count"),
+                    "referenced_works", "counts_by_year_years", "counts_by_year_counts", *WORK_COLS)
+
+
+#: Columns of a work that do not come from citations.
+WORK_COLS = ("topic_name", "subfield_name", "field_name", "type", "field_id", "is_license_safe", "vec_id", "doc_id", "score")
+
+
+def works_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The works without what citations tell: id, date and ``WORK_COLS``."""
+    orders = table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    n_vec = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("_n_vec"))
+    n_doc = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("_n_doc"))
+    o = with_scalars(with_scalars(orders.join(customer, orders.o_custkey == customer.c_custkey), n_vec), n_doc)
+    return o.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderdate").cast("date").alias("publication_date"),
-        F.coalesce("_cited", F.lit(0)).cast("bigint").alias("cited_by_count"),
-        "referenced_works", "counts_by_year_years", "counts_by_year_counts",
         F.col("o_orderpriority").alias("topic_name"),
         F.col("o_orderstatus").alias("subfield_name"),
         F.col("c_mktsegment").alias("field_name"),

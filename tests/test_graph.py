@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from citesight.operators import neighbours as G
@@ -126,3 +127,32 @@ def test_salted_left_join_keeps_unmatched_and_hot_rows(spark):
     want = sorted(tuple(r) for r in left.join(right, "k", "left").collect())
     assert got == want and len(got) == 1000
     assert sum(1 for k, _, w in got if k == 99 and w is None) == 10
+
+
+@pytest.mark.parametrize("period, offset", [(1, -1), (7, -7), (5, -12), (4, 0), (6, 3), (30, -30), (3, -2)])
+def test_rolling_topk_by_blocks_equals_brute_force(spark, period, offset):
+    import datetime
+    import random
+    rng = random.Random(period * 31 + offset)
+    start = datetime.date(1969, 12, 20)  # days on both sides of the epoch
+    rows = [(i, rng.choice("abc"), start + datetime.timedelta(days=rng.choice([rng.randint(0, 40), 17])),
+             rng.choice([None, 1.0, 2.0, rng.random()]), [float(i)]) for i in range(150)]
+    rows += [(1000, None, start, 1.0, [0.0]), (1001, "a", None, 1.0, [0.0])]
+    df = spark.createDataFrame(rows, "id long, c string, d date, s double, f array<double>")
+    got = {r.id: r.graph_ids for r in G.rolling_category_topk(df, "c", "d", "s", "f", 3, period, offset).collect()}
+    want = {}
+    for i, c, d, _, _ in rows:
+        if c and d:
+            near = sorted(((-x[3] if x[3] is not None else 9), x[0]) for x in rows if x[1] == c and x[2] is not None
+                          and offset < (x[2] - d).days <= offset + period)[:3]
+            if near:
+                want[i] = [n for _, n in near]
+    assert got == want
+
+
+def test_rolling_topk_joins_blocks_not_candidates(spark):
+    import re
+    df = spark.range(300).selectExpr("id", "'a' as c", "cast(id % 90 as int) as _day", "id * 0.5 as s")
+    text = G.rolling_lists(df, "c", "s", "id", 3, 30, -30)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in text.splitlines() if re.search(r"\bJoin\b", x)]
+    assert len(joins) == 1 and "_b#" in joins[0]  # one row per (category, block) on either side
