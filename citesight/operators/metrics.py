@@ -11,14 +11,17 @@ pair) records and reuse the binary machinery grouped by class.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from citesight.functions.columns import col, with_scalars
 from citesight.plans.joins import null_safe_join
-from citesight.plans.rowindex import cumulative_sums, exact_quantiles, pin, with_next
+from citesight.plans.rowindex import cumulative_sums, pin, with_next
+from citesight.plans.selection import quantiles
 
 
 def _g(group_cols) -> list[str]:
@@ -35,15 +38,25 @@ def nan_guard(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Drop rows where any listed value is NaN (or null)."""
     cond = F.lit(True)
     for c in cols:
-        cond = cond & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        cond = cond & _present(df, c)
     return df.where(cond)
 
 
+def _present(df: DataFrame, c: str) -> Column:
+    """Neither null nor NaN; for a list: neither is, nor any of its entries."""
+    if isinstance(df.schema[c].dataType, ArrayType):
+        return F.col(c).isNotNull() & F.forall(F.col(c).cast("array<double>"), lambda v: v.isNotNull() & ~F.isnan(v))
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+
+
 def nan_report(df: DataFrame, cols: Sequence[str], group_cols=None) -> DataFrame:
-    """Rows and NaN count per column."""
+    """Rows and NaN count per column (a list counts when an entry is NaN)."""
+    def nan(c):
+        if isinstance(df.schema[c].dataType, ArrayType):
+            return F.exists(F.col(c).cast("array<double>"), F.isnan)
+        return F.isnan(F.col(c).cast("double"))
     return df.groupBy(*_g(group_cols)).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(F.isnan(F.col(c).cast("double"))).alias(f"{c}_nan") for c in cols])
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(nan(c)).alias(f"{c}_nan") for c in cols])
 
 
 def mae(df: DataFrame, y="y", p="pred", group_cols=None) -> DataFrame:
@@ -74,9 +87,9 @@ def softmax(logits) -> Column:
 
 
 def argmax_class(probs) -> Column:
-    """Index of the first maximum (0-based)."""
-    p = col(probs)
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    """Index of the first maximum (0-based) among the scores that are numbers; null without one."""
+    p = F.transform(col(probs), lambda v: F.when(~F.isnan(v.cast("double")), v))
+    return F.nullif(F.array_position(p, F.array_max(p)) - 1, F.lit(-1)).cast("int")
 
 
 # ----------------------------------------------------------------- binary rank metrics
@@ -263,9 +276,10 @@ def best_threshold(df: DataFrame, y="y", score="prob", group_cols=None,
 
 # ----------------------------------------------------------------- multi-class
 def class_records(df: DataFrame, probs="probs", y="y", group_cols=None) -> DataFrame:
-    """One record per (row, class): (class, score = p_class, label = y == class)."""
+    """One record per (row, class): (class, score = p_class, label = y == class); rows without a label
+    or with a score that is no number are guarded out (E1)."""
     g = _g(group_cols)
-    return df.select(*g, F.col(y).alias("_y"), F.posexplode(probs).alias("cls", "score")).select(
+    return nan_guard(df, [y, probs]).select(*g, F.col(y).alias("_y"), F.posexplode(probs).alias("cls", "score")).select(
         *g, "cls", "score", (F.col("_y") == F.col("cls")).cast("int").alias("label"))
 
 
@@ -286,25 +300,26 @@ def roc_auc_ovo(df: DataFrame, probs="probs", y="y", group_cols=None, weighted:
     """One-vs-one AUC over class pairs present in y; both directions averaged,
     pairs weighted by their share of rows (or plain mean)."""
     g = _g(group_cols)
-    classes = df.select(*g, F.col(y).cast("int").alias("b")).distinct()  # bounded by the class count
-    # each row of class a meets every other class b of its probability vector that occurs in y
-    rows = df.select(*g, F.col(y).cast("int").alias("a"), F.col(probs).alias("_p"),
-                     F.explode(F.sequence(F.lit(0), F.size(probs) - 1)).alias("b"))
-    pairs = rows.join(F.broadcast(classes), [*g, "b"], "left_semi").where(F.col("a") != F.col("b"))
-    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    df = nan_guard(df, [y, probs])
+    own = F.col(y).cast("int")
+    # the classes that occur in a group: bounded by the class count, carried as one array
+    seen = df.groupBy(*g).agg(F.collect_set(own).alias("_classes"))
+    rows = null_safe_join(df.select(*g, own.alias("a"), F.col(probs).alias("_p")), seen, g) if g else \
+        with_scalars(df.select(own.alias("a"), F.col(probs).alias("_p")), seen)
+    # each row of class a meets every other class b that occurs, with the two scores of the pair only;
     # direction d scores the pair with p[d]; the row is positive when its class is d
-    rec = pairs.select(*g, lo.alias("lo"), hi.alias("hi"), "a", "b", "_p").select(
-        *g, "lo", "hi", F.explode(F.array(
-            F.struct(F.col("a").alias("d"), F.get(F.col("_p"), F.col("a")).alias("score"), F.lit(1).alias("label")),
-            F.struct(F.col("b").alias("d"), F.get(F.col("_p"), F.col("b")).alias("score"), F.lit(0).alias("label"))
-        )).alias("r")).select(*g, "lo", "hi", "r.*")
+    others = F.transform(F.filter("_classes", lambda b: (b != F.col("a")) & (b < F.size("_p"))), lambda b: F.array(
+        F.struct(b.alias("b"), F.col("a").alias("d"), F.get("_p", F.col("a")).alias("score"), F.lit(1).alias("label")),
+        F.struct(b.alias("b"), b.alias("d"), F.get("_p", b).alias("score"), F.lit(0).alias("label"))))
+    rec = rows.select(*g, "a", F.explode(F.flatten(others)).alias("r")).select(
+        *g, F.least("a", "r.b").alias("lo"), F.greatest("a", "r.b").alias("hi"), "r.d", "r.score", "r.label")
     auc = roc_auc(rec, "label", "score", [*g, "lo", "hi", "d"])
     pair = auc.groupBy(*g, "lo", "hi").agg(F.avg("roc_auc").alias("pair_auc"))
     n_cls = df.groupBy(*g, F.col(y).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     tot = n_cls.groupBy(*g).agg(F.sum("n").alias("total"))
-    pr = (pair.join(n_cls.withColumnRenamed("c", "lo").withColumnRenamed("n", "n_lo"), [*g, "lo"])
-          .join(n_cls.withColumnRenamed("c", "hi").withColumnRenamed("n", "n_hi"), [*g, "hi"]))
-    pr = pr.join(F.broadcast(tot), g) if g else with_scalars(pr, tot)
+    pr = null_safe_join(pair, n_cls.withColumnsRenamed({"c": "lo", "n": "n_lo"}), [*g, "lo"])
+    pr = null_safe_join(pr, n_cls.withColumnsRenamed({"c": "hi", "n": "n_hi"}), [*g, "hi"])
+    pr = null_safe_join(pr, tot, g) if g else with_scalars(pr, tot)
     prev = (F.col("n_lo") + F.col("n_hi")) / F.col("total")
     if weighted:
         return pr.groupBy(*g).agg((F.sum(F.col("pair_auc") * prev) / F.sum(prev)).alias("roc_auc_ovo"))
@@ -317,7 +332,7 @@ def ap_multiclass(df: DataFrame, probs="probs", y="y", group_cols=None) -> tuple
     rec = class_records(df, probs, y, g)
     per = average_precision(rec, "label", "score", [*g, "cls"])
     sup = rec.groupBy(*g, "cls").agg(F.sum("label").alias("support"))
-    per = per.join(sup, [*g, "cls"])
+    per = null_safe_join(per, sup, [*g, "cls"])
     summary = per.groupBy(*g).agg(
         (F.sum(F.col("average_precision") * F.col("support")) / F.sum("support")).alias("ap_weighted"),
         F.avg("average_precision").alias("ap_macro"))
@@ -327,7 +342,7 @@ def ap_multiclass(df: DataFrame, probs="probs", y="y", group_cols=None) -> tuple
 def confusion_table(df: DataFrame, y="y", pred="pred", group_cols=None) -> DataFrame:
     """Counts per (true class, predicted class)."""
     g = _g(group_cols)
-    return df.groupBy(*g, F.col(y).cast("int").alias("y"), F.col(pred).cast("int").alias("pred")).agg(
+    return nan_guard(df, [y, pred]).groupBy(*g, F.col(y).cast("int").alias("y"), F.col(pred).cast("int").alias("pred")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -339,9 +354,11 @@ def per_class_scores(df: DataFrame, y="y", pred="pred", group_cols=None) -> Data
                                                      F.sum(F.when(F.col("y") == F.col("pred"), F.col("n"))
                                                            .otherwise(0)).alias("tp"))
     p = ct.groupBy(*g, F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    j = t.join(p, [*g, "cls"], "full")
-    j = j.select(*g, "cls", F.coalesce("support", F.lit(0)).alias("support"),
-                 F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("predicted", F.lit(0)).alias("predicted"))
+    # a class may be missing on either side: add up instead of joining
+    none = F.lit(0).cast("long")
+    both = t.select(*g, "cls", "support", "tp", none.alias("predicted")).unionByName(
+        p.select(*g, "cls", none.alias("support"), none.alias("tp"), "predicted"))
+    j = both.groupBy(*g, "cls").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")])
     return j.select(*g, "cls", "support", "tp", "predicted",
                     _div0(F.col("tp"), F.col("predicted")).alias("precision"),
                     _div0(F.col("tp"), F.col("support")).alias("recall"),
@@ -367,24 +384,21 @@ def _normalised(a: Column) -> Column:
     return F.transform(a, lambda v: v / (s + F.lit(1e-14)))
 
 
-def _cdf(a: Column) -> Column:
-    # running sums of the (normalised) array
-    return F.transform(a, lambda v, i: F.aggregate(F.slice(a, 1, i + 1), F.lit(0.0), lambda acc, x: acc + x))
-
-
 def one_hot(y, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == col(y), 1.0).otherwise(0.0))
 
 
 def cdf_distance(a, b, p: int = 1) -> Column:
-    """Per row: p-norm of the difference of the two normalised CDFs."""
-    ca, cb = _cdf(_normalised(col(a))), _cdf(_normalised(col(b)))
-    d = F.zip_with(ca, cb, lambda u, v: u - v)
-    if p == 1:
-        return F.aggregate(d, F.lit(0.0), lambda acc, x: acc + F.abs(x))
-    if p == 2:
-        return F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.pow(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + F.pow(F.abs(x), p)), 1.0 / p)
+    """Per row: p-norm of the difference of the two normalised CDFs, in one pass over the entries:
+    the running sum of the differences is the difference of the CDFs. Null where an entry is NaN."""
+    gaps = F.zip_with(_normalised(col(a)), _normalised(col(b)), lambda u, v: u - v)
+    def power(x):
+        return F.abs(x) if p == 1 else x * x if p == 2 else F.pow(F.abs(x), p)
+    start = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("sum"))
+    total = F.aggregate(gaps, start, lambda acc, x: F.struct(
+        (acc["at"] + x).alias("at"), (acc["sum"] + power(acc["at"] + x)).alias("sum")), lambda acc: acc["sum"])
+    total = F.when(~F.isnan(total), total)
+    return total if p == 1 else F.sqrt(total) if p == 2 else F.pow(total, 1.0 / p)
 
 
 def wasserstein(df: DataFrame, probs="probs", target="target", group_cols=None) -> DataFrame:
@@ -398,9 +412,10 @@ def energy_distance(df: DataFrame, probs="probs", target="target", group_cols=No
 
 
 def row_entropy(probs) -> Column:
-    """Entropy of the normalised distribution, 0 ln 0 = 0."""
+    """Entropy of the normalised distribution, 0 ln 0 = 0; null where an entry is NaN."""
     p = _normalised(col(probs))
-    return F.aggregate(p, F.lit(0.0), lambda acc, v: acc - F.when(v > 0, v * F.log(v)).otherwise(0.0))
+    h = F.aggregate(p, F.lit(0.0), lambda acc, v: acc - F.when(v > 0, v * F.log(v)).otherwise(0.0))
+    return F.when(~F.isnan(h), h)
 
 
 def norm_entropy(df: DataFrame, probs="probs", group_cols=None) -> DataFrame:
@@ -412,39 +427,78 @@ def norm_entropy(df: DataFrame, probs="probs", group_cols=None) -> DataFrame:
 
 
 # ----------------------------------------------------------------- tables behind plots
+def _numbers(df: DataFrame, value: str, log_scale: bool) -> DataFrame:
+    """``value`` as double (``ln(v + 1)`` of it), without null and NaN."""
+    v = F.col(value).cast("double")
+    df = df.withColumn(value, F.log1p(v) if log_scale else v)
+    return df.where(F.col(value).isNotNull() & ~F.isnan(value))
+
+
+def auto_bins(rng: Column, n: Column, iqr: Column) -> Column:
+    """Number of bins of numpy's ``auto`` rule."""
+    count = n.cast("double")
+    sturges = rng / (F.log2(count) + 1.0)
+    fd = 2.0 * iqr * F.pow(count, -1.0 / 3.0)
+    width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
+    return F.when(rng > 0, F.greatest(F.ceil(F.try_divide(rng, width)), F.lit(1))).otherwise(F.lit(1)).cast("int")
+
+
+def density_curve(df: DataFrame, value: str, group_cols=None, log_scale: bool = False, points: int = 200,
+                  cells: int = 1024) -> DataFrame:
+    """Gaussian kernel density as a table (x, density), ``points`` places between min and max.
+
+    Scott's bandwidth, ``std * n ** -0.2``. The values are counted in ``cells`` equal cells per group
+    (one aggregate after the moments); the curve adds the kernel of each cell's middle, weighted by its
+    count, so its cost does not follow the rows. A group of fewer than two different values has no
+    curve. ``log_scale``: of ``ln(v + 1)``."""
+    g = _g(group_cols)
+    clean = _numbers(df, value, log_scale)
+    v = F.col(value)
+    st = clean.groupBy(*g).agg(F.min(v).alias("_min"), F.max(v).alias("_max"), F.count(F.lit(1)).alias("_n"),
+                               F.stddev_samp(v).alias("_sd")).where("_max > _min")
+    st = pin(st.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2)))
+    j = null_safe_join(clean, st, g) if g else with_scalars(clean, st).where("_max IS NOT NULL")
+    width = (F.col("_max") - F.col("_min")) / cells
+    cell = F.least(F.floor((v - F.col("_min")) / width), F.lit(cells - 1))
+    counts = j.groupBy(*g, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy(*g).agg(F.collect_list(F.struct("cell", "n")).alias("_cells"))  # at most `cells` entries
+    held = null_safe_join(held, st, g) if g else with_scalars(held, st).where("_max IS NOT NULL")
+    middle = F.transform(F.array_sort("_cells"), lambda c: F.struct(
+        (F.col("_min") + (c["cell"] + 0.5) * width).alias("m"), c["n"].alias("n")))
+    held = held.withColumn("_cells", middle)
+    x = F.col("_min") + F.col("_i") * (F.col("_max") - F.col("_min")) / (points - 1)
+    grid = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_i")).withColumn("x", x)
+    bell = F.aggregate("_cells", F.lit(0.0), lambda acc, c: acc + c["n"] * F.exp(
+        -0.5 * (F.col("x") - c["m"]) * (F.col("x") - c["m"]) / (F.col("_bw") * F.col("_bw"))))
+    return grid.select(*g, F.col("_i").alias("point"), "x",
+                       (bell / (F.col("_n") * F.col("_bw") * (2 * math.pi) ** 0.5)).alias("density"))
+
+
 def value_histogram(df: DataFrame, value: str, bins: int | str = "auto", group_cols=None,
                     log_scale: bool = False) -> DataFrame:
     """Histogram table (bin, lo, hi, count) with equal-width bins between min and max.
 
-    ``bins="auto"``: the smaller width of Sturges and Freedman-Diaconis (exact
-    quartiles by position), as numpy does; only global (ungrouped) for auto.
+    ``bins="auto"``: the smaller width of Sturges and Freedman-Diaconis (exact quartiles of each
+    group), as numpy does.
     ``log_scale``: the histogram of ``ln(v + 1)``.
     """
     g = _g(group_cols)
-    if log_scale:  # histogram of ln(v + 1)
-        df = df.withColumn(value, F.log1p(F.col(value).cast("double")))
-    v = F.col(value).cast("double")
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(v))
+    clean = _numbers(df, value, log_scale)
+    v = F.col(value)
     st = clean.groupBy(*g).agg(F.min(v).alias("_min"), F.max(v).alias("_max"), F.count(F.lit(1)).alias("_n"))
     if bins == "auto":
-        if g:
-            raise ValueError("auto bins are global")
-        q = exact_quantiles(clean, value, [0.25, 0.75]).select((F.col("q1") - F.col("q0")).alias("_iqr"))
-        st = with_scalars(st, q)
-        rng = F.col("_max") - F.col("_min")
-        sturges = rng / (F.log2(F.col("_n").cast("double")) + 1.0)
-        fd = 2.0 * F.col("_iqr") * F.pow(F.col("_n").cast("double"), -1.0 / 3.0)
-        width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
-        nb = F.when(rng > 0, F.greatest(F.ceil(rng / width), F.lit(1))).otherwise(F.lit(1))
-        st = st.withColumn("_nb", nb.cast("int"))
+        q = quantiles(clean, value, [0.25, 0.75], g).select(*g, (F.col("q1") - F.col("q0")).alias("_iqr"))
+        st = null_safe_join(st, q, g) if g else with_scalars(st, q)
+        st = st.withColumn("_nb", auto_bins(F.col("_max") - F.col("_min"), F.col("_n"), F.col("_iqr"))).drop("_iqr")
     else:
         st = st.withColumn("_nb", F.lit(int(bins)))
-    j = clean.join(F.broadcast(st), g) if g else with_scalars(clean, st)
+    st = pin(st)
+    j = null_safe_join(clean, st, g) if g else with_scalars(clean, st)
     rng = F.col("_max") - F.col("_min")
     b = F.when(rng > 0, F.least(F.floor((v - F.col("_min")) / rng * F.col("_nb")), F.col("_nb") - 1)).otherwise(0)
     counts = j.groupBy(*g, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     allb = st.select(*g, "_min", "_max", "_nb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("bin"))
-    out = allb.join(counts, [*g, "bin"], "left")
+    out = null_safe_join(allb, counts, [*g, "bin"], "left")
     w = (F.col("_max") - F.col("_min")) / F.col("_nb")
     return out.select(*g, "bin", (F.col("_min") + w * F.col("bin")).alias("lo"),
                       (F.col("_min") + w * (F.col("bin") + 1)).alias("hi"),
@@ -453,16 +507,19 @@ def value_histogram(df: DataFrame, value: str, bins: int | str = "auto", group_c
 
 def prob_histogram_by_class(df: DataFrame, y="y", score="prob", n_bins: int = 40, group_cols=None) -> DataFrame:
     """``n_bins`` equal bins of the score between its min and max, counts per class,
-    with each class's share of rows in percent."""
+    with each class's share of rows in percent. Rows without a score (NaN, null) are left out (E1)."""
     g = _g(group_cols)
+    df = nan_guard(df, [score])
     s = F.col(score).cast("double")
-    st = df.groupBy(*g).agg(F.min(s).alias("_min"), F.max(s).alias("_max"), F.count(F.lit(1)).alias("_n"))
-    j = df.join(F.broadcast(st), g) if g else with_scalars(df, st)
+    st = pin(df.groupBy(*g).agg(F.min(s).alias("_min"), F.max(s).alias("_max"), F.count(F.lit(1)).alias("_n")))
+    j = null_safe_join(df, st, g) if g else with_scalars(df, st)
     rng = F.col("_max") - F.col("_min")
     b = F.when(rng > 0, F.least(F.floor((s - F.col("_min")) / rng * n_bins), F.lit(n_bins - 1))).otherwise(0)
-    c = j.groupBy(*g, F.col(y).alias("cls"), b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    share = j.groupBy(*g, F.col(y).alias("cls")).agg((F.count(F.lit(1)) * 100.0 / F.first("_n")).alias("class_pct"))
-    return c.join(share, [*g, "cls"])
+    c = j.groupBy(*g, F.col(y).alias("cls"), b.cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"), F.first("_n").alias("_n"))
+    # shares from the counts, one row per bin
+    per = Window.partitionBy(*g, "cls")
+    return c.withColumn("class_pct", F.sum("count").over(per) * 100.0 / F.col("_n")).drop("_n")
 
 
 def residuals(df: DataFrame, y="y", p="pred", sigma="sigma") -> DataFrame:

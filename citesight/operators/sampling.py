@@ -13,11 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citesight.plans.joins import split_hot_join
-from citesight.plans.rowindex import with_row_index
+from citesight.plans.joins import null_safe_join, split_hot_join
+from citesight.plans.rowindex import pin, with_row_index
+from citesight.plans.selection import first_rows
 from citesight.functions.columns import with_scalars
 
 _U52 = float(2 ** 52)
+#: Drawn keys up to this number are broadcast to find their rows.
+BROADCAST_DRAWS = 1_000_000
 
 
 def _digest(*cols, seed: int = 0):
@@ -31,26 +34,36 @@ def _uniform(*cols, seed: int = 0):
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
-    """B1: exactly ``min(n, rows)`` rows without replacement: the first ``n`` positions in hash order."""
-    ix = with_row_index(df.withColumn("_h", _digest(key, seed=seed)), ["_h", key], "_i")
-    return ix.where(F.col("_i") < n).drop("_h", "_i")
+    """B1: exactly ``min(n, rows)`` rows without replacement: the first ``n`` in hash order, selected by
+    counting (``plans.selection``): nothing but those rows is exchanged."""
+    return first_rows(df, [_digest(key, seed=seed), key], n)
 
 
 def head_n(df: DataFrame, n: int, order_cols: Sequence = ("id",)) -> DataFrame:
-    """B2: first ``n`` rows by ``order_cols``."""
-    return with_row_index(df, order_cols, "_i").where(F.col("_i") < n).drop("_i")
+    """B2: first ``n`` rows by ``order_cols``, selected by counting."""
+    return first_rows(df, order_cols, n)
+
+
+def _drawn(df: DataFrame, keys: Sequence[str], draws: DataFrame) -> DataFrame:
+    """The rows at the drawn positions ``_pos`` of the order ``keys`` (which name a row).
+
+    Only the keys are ordered and numbered; the rows themselves meet the drawn keys, which are broadcast
+    up to a counted bound. A row drawn very often is salted."""
+    ix = with_row_index(df.select(*keys), keys, "_pos")
+    picked = pin(split_hot_join(draws, ix, "_pos").drop("_pos"))
+    rows = null_safe_join(df, F.broadcast(picked.select(*keys).distinct()), keys, "left_semi") \
+        if picked.count() <= BROADCAST_DRAWS else df
+    met = null_safe_join(picked, rows, keys)
+    return met.select("draw", *df.columns)
 
 
 def sample_uniform_replace(df: DataFrame, n: int, seed: int = 0, order_cols: Sequence = ("id",)) -> DataFrame:
     """``n`` uniform draws with replacement: draw i picks position
-    ``floor(u_i * rows)`` of the ordered table (equi-join on the position)."""
-    spark = df.sparkSession
-    ix = with_row_index(df, order_cols, "_pos", total_name="_rows")
-    total = ix.agg(F.max("_rows").alias("_rows"))  # read off the pinned index, no pass over the input
-    ix = ix.drop("_rows")
-    draws = with_scalars(spark.range(n).withColumnRenamed("id", "draw"), total)
+    ``floor(u_i * rows)`` of the ordered table. ``order_cols`` must name a row."""
+    total = df.agg(F.count(F.lit(1)).alias("_rows"))
+    draws = with_scalars(df.sparkSession.range(n).withColumnRenamed("id", "draw"), total).where("_rows > 0")
     draws = draws.select("draw", F.floor(_uniform(F.col("draw"), seed=seed) * F.col("_rows")).cast("long").alias("_pos"))
-    return draws.join(ix, "_pos").drop("_pos")
+    return _drawn(df, list(order_cols), draws)
 
 
 def inverse_freq_weights(df: DataFrame, col: str, n_bins: int = 100, out_bin: str = "bin",
@@ -77,8 +90,8 @@ def sample_weighted_replace(binned: DataFrame, n: int | None = None, seed: int =
     (weights constant within a bin, as B4 makes them). Default ``n`` = rows.
 
     A draw picks a bin from the cumulative bin masses (table bounded by the
-    bin count), then a uniform position inside the bin, joined on the
-    row's global position (bins are contiguous in (bin, key) order).
+    bin count), then a uniform position inside the bin; bins are contiguous in
+    (bin, key) order, of which only these two columns are numbered.
     """
     spark = binned.sparkSession
     bins = binned.groupBy(bin_col).agg(F.count(F.lit(1)).alias("_cnt"), F.first(weight_col).alias("_w"))
@@ -100,6 +113,4 @@ def sample_weighted_replace(binned: DataFrame, n: int | None = None, seed: int =
     b = F.broadcast(bins.select(bin_col, "_cnt", "_mlo", "_mtop", "_start"))
     d = draws.join(b, (F.col("_u1") >= F.col("_mlo")) & (F.col("_u1") < F.col("_mtop")))
     d = d.select("draw", (F.col("_start") + F.floor(F.col("_u2") * F.col("_cnt"))).cast("long").alias("_pos"))
-    ix = with_row_index(binned, [bin_col, key], "_pos")
-    # a row alone in its bin is drawn as often as a full bin: its draws are salted
-    return split_hot_join(d, ix, "_pos").drop("_pos")
+    return _drawn(binned, [bin_col, key], d)

@@ -143,26 +143,33 @@ def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFram
     """K5: masked mean of token vectors per row (pad excluded, denominator clamped at 1e-9:
     a row without real tokens gets the zero vector).
 
+    A row's mean follows from its token list: rows that share an id or have none keep their own.
+
     ``vectors``: (token_id, vec array<float>). The mean is ``Summarizer.mean``
-    (a JVM aggregate with partial aggregation), grouped by row id. ``vocab``
+    (a JVM aggregate with partial aggregation), grouped by a digest of the list. ``vocab``
     (token_id, count) names the frequent tokens for the skew split.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    t = tokens.select(id_col, F.explode(tokens_col).alias("token_id")).where(F.col("token_id") != pad)
-    # repeated words of a document carry one vector with a weight (grouping stays in the
-    # document's partition)
-    t = t.groupBy(id_col, "token_id").agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    rows = tokens.select(id_col, tokens_col).withColumn("_key", F.md5(F.array_join(tokens_col, ",", "-").cast("binary")))
+    lists = rows.groupBy("_key").agg(F.first(tokens_col).alias("_t"), F.count(F.lit(1)).alias("_rows"))
+    # repeated words of a list carry one vector with a weight (grouping stays in the list's partition)
+    t = lists.select("_key", F.explode("_t").alias("token_id")).where(F.col("token_id") != pad)
+    t = t.groupBy("_key", "token_id").agg(F.count(F.lit(1)).cast("double").alias("_w"))
     v = vectors.select("token_id", array_to_vector("vec").alias("v"))
     if vectors.count() * (dim * 8 + ENTRY_BYTES) <= broadcast_bytes:
-        # counted bytes (vectors are doubles by now): tokens stay in their document's partition, so
-        # the per-document mean needs no shuffle of vectors
+        # counted bytes (vectors are doubles by now): tokens stay in their list's partition, so
+        # the mean needs no shuffle of vectors
         j = t.join(F.broadcast(v), "token_id")
     else:
         hot = hot_from_counts(vocab, "token_id") if vocab is not None else None
         j = split_hot_join(t, v, "token_id", hot=hot)
-    m = j.groupBy(id_col).agg(Summarizer.mean(F.col("v"), F.col("_w")).alias("m"))
-    m = m.select(id_col, vector_to_array("m", "float64").alias("mean_vec"))
+    m = j.groupBy("_key").agg(Summarizer.mean(F.col("v"), F.col("_w")).alias("m"))
+    m = m.select("_key", vector_to_array("m", "float64").alias("mean_vec"))
     zero = F.array_repeat(F.lit(0.0).cast("double"), dim)
-    return tokens.select(id_col).join(m, id_col, "left").select(
-        id_col, F.coalesce("mean_vec", zero).alias("mean_vec"))
+    means = lists.select("_key", "_rows").join(m, "_key", "left").select("_key", "_rows", F.coalesce("mean_vec", zero).alias("mean_vec"))
+    # a list that many rows hold is salted; a null list has the key of null
+    met = split_hot_join(rows.select(id_col, F.coalesce("_key", F.lit("")).alias("_key")),
+                         means.select(F.coalesce("_key", F.lit("")).alias("_key"), "mean_vec"), "_key",
+                         hot=hot_from_counts(means.select(F.coalesce("_key", F.lit("")).alias("_key"), "_rows"), "_key", "_rows"))
+    return met.select(id_col, "mean_vec")

@@ -159,12 +159,12 @@ def s8(spark, sf):
 
 
 @register("s9_export_predictions", fx.with_views("scored_windows") + """SELECT make_date(w, 1, 1) AS window_start,
-  count(*) AS rows FROM scored_windows GROUP BY w""")
+  id, y, prob FROM scored_windows""")
 def s9(spark, sf):
     p = fx.scored_windows(spark, sf).withColumn("window_start", F.make_date("w", F.lit(1), F.lit(1)))
     path = S.export_predictions(p, S.scratch_path(spark, "pred"))
     r = spark.read.parquet(path)
-    return r.groupBy(F.col("window_start").cast("date").alias("window_start")).agg(F.count(F.lit(1)).alias("rows"))
+    return r.select(F.col("window_start").cast("date").alias("window_start"), "id", "y", "prob")
 
 
 # ---------------------------------------------------------------- sampling (B)
@@ -271,3 +271,35 @@ def d5(spark, sf):
     d = D.describe_columns(w, ["score", "cited_by_count", "field_id"], "publication_date", "1996-01-01", "2000-01-01")
     return d.select("column", "count", "null_count", "nan_count", r6("mean").alias("mean"), r6("std").alias("std"), "min",
                     r6("p25").alias("p25"), r6("p50").alias("p50"), r6("p75").alias("p75"), "max")
+
+
+_REPORT = """SELECT '{c}' AS "column", 'statistic' AS item, k AS label, v AS value, CASE k WHEN 'min' THEN mn WHEN 'max' THEN mx END AS text FROM (
+  SELECT unnest(['count', 'null_count', 'nan_count', 'mean', 'std', 'min', 'p25', 'p50', 'p75', 'max']) AS k, unnest(vs) AS v, mn, mx FROM (
+    SELECT [CAST(count({c}) AS DOUBLE), CAST(count_if({c} IS NULL) AS DOUBLE), 0, avg({n}), stddev_samp({n}), min({n}), quantile_cont({n}, 0.25),
+            quantile_cont({n}, 0.5), quantile_cont({n}, 0.75), max({n})] AS vs, {t} FROM works))"""
+_REPORT_BUCKETS = """SELECT 'cited_by_count' AS "column", item, label, CASE item WHEN 'count' THEN count
+    WHEN 'proportion' THEN round_even(count * 100.0 / sum(count) OVER (PARTITION BY item), 1)
+    ELSE CASE WHEN count = 0 THEN CAST('nan' AS DOUBLE) ELSE sum(count) OVER (PARTITION BY item) / (count(*) OVER (PARTITION BY item) * count) END
+  END AS value, CAST(NULL AS VARCHAR) AS text FROM cnt, (SELECT unnest(['count', 'proportion', 'weight']) AS item)"""
+
+
+@register("d6_describe_report", _BK + 'SELECT "column", item, label, round(value, 6) AS value, text FROM (' + " UNION ALL ".join([
+    _REPORT.format(c="cited_by_count", n="CAST(cited_by_count AS DOUBLE)", t="min(cited_by_count)::VARCHAR AS mn, max(cited_by_count)::VARCHAR AS mx"),
+    _REPORT.format(c="publication_date", n="CAST(publication_date - DATE '1970-01-01' AS DOUBLE)",
+                   t="min(publication_date)::VARCHAR AS mn, max(publication_date)::VARCHAR AS mx"),
+    _REPORT.format(c="topic_name", n="CAST(NULL AS DOUBLE)", t="min(topic_name) AS mn, max(topic_name) AS mx"),
+    _REPORT.format(c="is_license_safe", n="CAST(is_license_safe::INT AS DOUBLE)",
+                   t="min(is_license_safe)::VARCHAR AS mn, max(is_license_safe)::VARCHAR AS mx"), _REPORT_BUCKETS]) + ")")
+def d6(spark, sf):
+    from citesight.functions.columns import r6
+    d = D.describe_report(fx.works(spark, sf), ["cited_by_count", "publication_date", "topic_name", "is_license_safe"], BUCKETS)
+    return d.select("column", "item", "label", r6("value").alias("value"), "text")
+
+
+@register("d4_describe_column_grouped", W + """SELECT topic_name, count(score) AS count, round(avg(score), 6) AS mean, min(score) AS min,
+  round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.5), 6) AS p50,
+  round(quantile_cont(score, 0.75), 6) AS p75, max(score) AS max FROM works GROUP BY topic_name""")
+def d4g(spark, sf):
+    from citesight.functions.columns import r6
+    d = D.describe_column(fx.works(spark, sf), "score", group_cols=["topic_name"])
+    return d.select("topic_name", "count", r6("mean").alias("mean"), "min", *[r6(p).alias(p) for p in ("p25", "p50", "p75")], "max")

@@ -167,6 +167,25 @@ def e12(spark, sf):
     return fx.scored_multi(spark, sf).select("id", E.argmax_class("probs").alias("pred"))
 
 
+def _multi_nan(spark, sf):
+    # every seventh row has no score for its third class
+    m = fx.scored_multi(spark, sf)
+    return m.withColumn("probs", F.transform("probs", lambda v, i: F.when(
+        (i == 2) & (F.col("id") % 7 == 0), F.lit(float("nan"))).otherwise(v)))
+
+
+@register("e12_argmax_nan", SM + """, m AS (SELECT id, list_transform(range(0, len(probs)),
+  lambda i: CASE WHEN i = 2 AND id % 7 = 0 THEN -1.0 ELSE probs[i + 1] END) AS p FROM scored_multi)
+SELECT id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred FROM m""")
+def e12n(spark, sf):
+    return _multi_nan(spark, sf).select("id", E.argmax_class("probs").alias("pred"))
+
+
+@register("e13_one_hot_mae_nan", _REC + "SELECT round(avg(abs(label - score)), 6) AS mae FROM rec WHERE id % 7 <> 0")
+def e13n(spark, sf):
+    return _round_all(E.one_hot_mae(_multi_nan(spark, sf)))
+
+
 @register("e13_one_hot_mae", _REC + "SELECT round(avg(abs(label - score)), 6) AS mae FROM rec")
 def e13(spark, sf):
     return _round_all(E.one_hot_mae(fx.scored_multi(spark, sf)))
@@ -298,6 +317,49 @@ def e23(spark, sf):
     return _round_all(E.value_histogram(fx.regressed(spark, sf), "y", "auto"))
 
 
+@register("e23_value_histogram_grouped", RG + """, v AS (SELECT id % 5 AS g, ln(y + 1) AS y FROM regressed),
+st AS (SELECT g, min(y) AS mn, max(y) AS mx, count(*) AS n, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr FROM v GROUP BY g),
+nb AS (SELECT *, greatest(ceil((mx - mn) / (CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END)), 1) AS k
+       FROM (SELECT *, (mx - mn) / (log2(n) + 1.0) AS sturges, 2.0 * iqr * pow(n, -1.0 / 3.0) AS fd FROM st)),
+c AS (SELECT g, CAST(least(floor((y - mn) / (mx - mn) * k), k - 1) AS INTEGER) AS bin, count(*) AS cnt FROM v JOIN nb USING (g) GROUP BY ALL),
+allb AS (SELECT g, CAST(unnest(range(0, CAST(k AS BIGINT))) AS INTEGER) AS bin, mn, mx, k FROM nb)
+SELECT g, bin, round(mn + (mx - mn) / k * bin, 6) AS lo, round(mn + (mx - mn) / k * (bin + 1), 6) AS hi,
+       CAST(coalesce(cnt, 0) AS BIGINT) AS count FROM allb LEFT JOIN c USING (g, bin)""")
+def e23g(spark, sf):
+    d = fx.regressed(spark, sf).select((F.col("id") % 5).alias("g"), "y")
+    return _round_all(E.value_histogram(d, "y", "auto", ["g"], log_scale=True))
+
+
+_KDE = """, st AS (SELECT g, min(v) AS mn, max(v) AS mx, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS bw FROM v GROUP BY g),
+cl AS (SELECT g, mn + (least(floor((v - mn) / ((mx - mn) / 1024)), 1023) + 0.5) * ((mx - mn) / 1024) AS m, count(*) AS c
+       FROM v JOIN st USING (g) GROUP BY 1, 2),
+gr AS (SELECT st.*, CAST(i AS INTEGER) AS point, mn + i * (mx - mn) / 199 AS x FROM st, range(0, 200) t(i))
+SELECT gr.g, point, round(any_value(x), 4) AS x,
+  round(sum(c * exp(-0.5 * (x - m) * (x - m) / (bw * bw))) / any_value(n * bw * sqrt(2 * pi())), 6) AS density
+FROM gr JOIN cl ON cl.g = gr.g GROUP BY gr.g, point"""
+
+
+@register("e23_density_curve", fx.with_views("scored_windows") + ", v AS (SELECT y AS g, prob AS v FROM scored_windows)" + _KDE)
+def e23d(spark, sf):
+    d = E.density_curve(fx.scored_windows(spark, sf).select(F.col("y").alias("g"), "prob"), "prob", ["g"])
+    return d.select("g", "point", F.round("x", 4).alias("x"), r6("density").alias("density"))
+
+
+@register("e23_density_curve_log", RG + ", v AS (SELECT id % 3 AS g, ln(y + 1) AS v FROM regressed)" + _KDE)
+def e23l(spark, sf):
+    d = E.density_curve(fx.regressed(spark, sf).select((F.col("id") % 3).alias("g"), "y"), "y", ["g"], log_scale=True)
+    return d.select("g", "point", F.round("x", 4).alias("x"), r6("density").alias("density"))
+
+
+@register("e24_prob_histogram_nan", _NAN + """, sg AS (SELECT * FROM sn WHERE NOT isnan(prob)),
+st AS (SELECT min(prob) AS mn, max(prob) AS mx, count(*) AS n FROM sg),
+b AS (SELECT y AS cls, CAST(least(floor((prob - mn) / (mx - mn) * 40), 39) AS INTEGER) AS bin, n FROM sg, st)
+SELECT cls, bin, count(*) AS count, round(sum(count(*)) OVER (PARTITION BY cls) * 100.0 / any_value(n), 6) AS class_pct
+FROM b GROUP BY cls, bin""")
+def e24n(spark, sf):
+    return _round_all(E.prob_histogram_by_class(_with_nan(spark, sf)))
+
+
 @register("e24_prob_histogram_by_class", SW + """, st AS (SELECT min(prob) AS mn, max(prob) AS mx, count(*) AS n FROM scored_windows),
 b AS (SELECT y AS cls, CAST(CASE WHEN mx - mn > 0 THEN least(floor((prob - mn) / (mx - mn) * 40), 39) ELSE 0 END AS INTEGER) AS bin, n
       FROM scored_windows, st)

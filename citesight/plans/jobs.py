@@ -16,6 +16,7 @@ from citesight.operators import model as M
 from citesight.operators import neighbours as G
 from citesight.operators import tokens as K
 from citesight.operators.losses import hetero_mae
+from citesight.plans.joins import null_safe_join
 from citesight.sources.io import ordered_chunks, stage_table
 
 
@@ -103,30 +104,41 @@ def formatted_tokens(table: DataFrame, max_len: int, graph_max_len: int, theta:
 def _joined(parts: Sequence[DataFrame], g: list[str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, g, "left")
+        out = null_safe_join(out, p, g, "left")
     return out
 
 
+def _guarded(df: DataFrame, g: list[str], cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """E1 once for a whole report: the rows in which ``cols`` hold numbers, and per group how many did
+    (``examples``) and did not (``nan_rows``)."""
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & E._present(df, c)
+    counts = df.groupBy(*g).agg(F.count_if(ok).alias("examples"), F.count_if(~ok).alias("nan_rows"))
+    return df.where(ok), counts
+
+
 def regression_report(df: DataFrame, group_cols: Sequence[str], y="y", p="pred") -> DataFrame:
-    """Per group: examples, MAE, WAPE; rows with a NaN or null on either side are left out."""
+    """Per group: examples, MAE, WAPE; rows with a NaN or null on either side are left out and counted."""
     g = list(group_cols)
-    df = E.nan_guard(df, [y, p])
-    return _joined([df.groupBy(*g).agg(F.count(F.lit(1)).alias("examples")), E.mae(df, y, p, g), E.wape(df, y, p, g)], g)
+    df, counts = _guarded(df, g, [y, p])
+    return _joined([counts, E.mae(df, y, p, g), E.wape(df, y, p, g)], g)
 
 
 def heteroscedastic_report(df: DataFrame, group_cols: Sequence[str], y="y", p="pred", sigma="sigma") -> DataFrame:
     """The regression report with mean sigma, 3-sigma capture and the sigma-scaled error."""
     g = list(group_cols)
-    df = E.nan_guard(df, [y, p, sigma])
-    return _joined([regression_report(df, g, y, p), E.sigma_capture(df, y, p, sigma, g), hetero_mae(df, y, p, sigma, g)], g)
+    df, counts = _guarded(df, g, [y, p, sigma])
+    return _joined([counts, regression_report(df, g, y, p).drop("examples", "nan_rows"), E.sigma_capture(df, y, p, sigma, g), hetero_mae(df, y, p, sigma, g)], g)
 
 
 def classification_report(df: DataFrame, group_cols: Sequence[str], y="y", probs="probs") -> DataFrame:
     """Per group: examples, one-hot MAE, accuracies, weighted and macro F1, precision and recall,
     one-versus-one AUC and average precision."""
     g = list(group_cols)
+    df, counts = _guarded(df, g, [y, probs])
     df = df.withColumn("pred", E.argmax_class(probs))
-    return _joined([df.groupBy(*g).agg(F.count(F.lit(1)).alias("examples")), E.one_hot_mae(df, probs, y, g),
+    return _joined([counts, E.one_hot_mae(df, probs, y, g),
                     E.multiclass_summary(df, y, "pred", g), E.roc_auc_ovo(df, probs, y, g),
                     E.ap_multiclass(df, probs, y, g)[1]], g)
 
@@ -134,9 +146,9 @@ def classification_report(df: DataFrame, group_cols: Sequence[str], y="y", probs
 def ordinal_report(df: DataFrame, group_cols: Sequence[str], n_classes: int, y="y", probs="probs") -> DataFrame:
     """The classification report with distribution distances to the true class and the entropy."""
     g = list(group_cols)
-    t = df.withColumn("_target", E.one_hot(y, n_classes))
+    t = _guarded(df, g, [y, probs])[0].withColumn("_target", E.one_hot(y, n_classes))
     return _joined([classification_report(df, g, y, probs), E.wasserstein(t, probs, "_target", g),
-                    E.energy_distance(t, probs, "_target", g), E.norm_entropy(df, probs, g)], g)
+                    E.energy_distance(t, probs, "_target", g), E.norm_entropy(t, probs, g)], g)
 
 
 def windowed_evaluation(corpus: DataFrame, spec: G.GraphSpec, model, start: str, end: str | None = None, every: int = 1,
