@@ -42,14 +42,18 @@ c AS (SELECT d.rid, doc_id, host, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-             len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+             len(w) < 50 AS f1, 100 * coalesce(r.n, 0) > 50 * len(w) AS f2
       FROM d LEFT JOIN l USING (rid) LEFT JOIN r USING (rid)),
-h AS (SELECT host, count(*) AS docs, sum(base_failed::INT) AS failed FROM c GROUP BY host),
-p AS (SELECT avg(failed / docs) AS m, var_pop(failed / docs) AS v FROM h),
-q AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) ELSE 1e6 END AS s FROM p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (failed + m * s) / (docs + s) <= 0.5 AS kept
-FROM c JOIN h USING (host), q
+h AS (SELECT host, count(*) AS docs, sum(f1::INT) AS n1, sum(f2::INT) AS n2 FROM c GROUP BY host),
+p AS (SELECT avg(n1 / docs) AS m1, var_pop(n1 / docs) AS v1, avg(n2 / docs) AS m2, var_pop(n2 / docs) AS v2 FROM h),
+q AS (SELECT m1, CASE WHEN v1 > 0 THEN greatest(m1 * (1 - m1) / v1 - 1, 0) ELSE 1e6 END AS s1,
+             m2, CASE WHEN v2 > 0 THEN greatest(m2 * (1 - m2) / v2 - 1, 0) ELSE 1e6 END AS s2 FROM p),
+k AS (SELECT host, round((n1 + m1 * s1) / (docs + s1), 9) > round(least(m1 + 3 * sqrt(m1 * (1 - m1) / (s1 + 1)), 0.5), 9)
+          OR round((n2 + m2 * s2) / (docs + s2), 9) > round(least(m2 + 3 * sqrt(m2 * (1 - m2) / (s2 + 1)), 0.5), 9) AS rejected
+      FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
+       NOT (f1 OR f2) AND NOT rejected AS kept
+FROM c JOIN k USING (host)
 """
 
 
