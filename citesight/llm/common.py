@@ -27,6 +27,12 @@ def columns(names) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: Arrow functions find columns by name, and a dot in a
+    name would be read as a field."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 

@@ -12,9 +12,15 @@ collected and broadcast to the scoring tasks.
 
 Training takes labels with a document only: at most ``sample_rows`` of them,
 those of smallest id hash, so their number does not grow with the table. Their features
-are made where the texts lie; one task then runs the learner over the bounded
-stream of feature lists. Scoring is one pass over all whole texts, in slices
-of bounded size; only ids are shuffled, to find the labels with a document.
+are made where the texts lie; one task then streams the bounded sample through
+the learner ``PASSES`` times, in the order of the hash (Spark sorts the passes,
+and spills, so the task holds the model alone). Strong L1 makes the model
+cautious, so its bias is calibrated: in the first pass every row is scored
+before it is learned, and from the scores of its second half the cut with the
+best recall less false positive rate is moved to score 0.5. With fewer than
+``LEAST`` rows of a kind there the bias stays. Scoring is one pass over all
+whole texts, in slices of bounded size; only ids are shuffled, to find the
+labels with a document.
 
 Cases: null and empty texts have no features and score the bias; a document
 labelled twice takes its larger label; labels without a document or without a
@@ -33,12 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citesight.llm.common import columns, fresh
+from citesight.llm.common import columns, fresh, plain
 from citesight.llm.hashing import bounded, joined, mix, slice_hashes
 
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.6, 1.0, 1.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 PAIR_VALUE = 0.3
+PASSES = 5
+#: Toxic and clean rows that calibration needs.
+LEAST = 20
 #: At most so many labelled rows train the model.
 SAMPLE_ROWS = 16_000
 
@@ -67,13 +76,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), places
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column("text").to_pylist()]
-
-
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches):
-        doc, place = features(_texts(batch))
+        doc, place = features([t or "" for t in batch.column("text").to_pylist()])
         keys = np.unique((doc << BITS) | place)
         ends = np.searchsorted(keys >> BITS, np.arange(batch.num_rows + 1))
         yield pa.RecordBatch.from_arrays(
@@ -98,30 +103,49 @@ class Ftrl:
         shrunk = np.sign(z) * np.maximum(np.abs(z) - self.l1, 0.0)
         return -shrunk / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
 
-    def learn(self, at: np.ndarray, value: np.ndarray, y: int) -> None:
+    def learn(self, at: np.ndarray, value: np.ndarray, y: int) -> float:
+        """Learn one row; its log odds as they were before."""
         w = self.weights(at)
-        g = (1.0 / (1.0 + np.exp(-np.clip(w @ value, -30, 30))) - y) * value
+        odds = float(w @ value)
+        g = (1.0 / (1.0 + np.exp(-np.clip(odds, -30, 30))) - y) * value
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
+        return odds
+
+
+def calibration(odds: np.ndarray, toxic: np.ndarray, least: int = LEAST) -> float:
+    """The log odds from which calling a row toxic gains most (recall less false positive rate).
+
+    Midway to the next lower score; among equal gains the highest cut. 0 without enough rows."""
+    bad, good = np.sort(odds[toxic == 1]), np.sort(odds[toxic != 1])
+    if min(len(bad), len(good)) < least:
+        return 0.0
+    cuts = np.unique(odds)
+    gain = (1 - np.searchsorted(bad, cuts) / len(bad)) - (1 - np.searchsorted(good, cuts) / len(good))
+    best = len(cuts) - 1 - int(np.argmax(gain[::-1]))
+    return float(cuts[best] + cuts[max(best - 1, 0)]) / 2
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model, bias, seen = Ftrl((1 << BITS) + 1), 1 << BITS, False
+    model, bias, before = Ftrl((1 << BITS) + 1), 1 << BITS, []
     for batch in batches:
         lists = batch.column("places")
         places, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-        for a, b, toxic in zip([0, *ends], ends, batch.column("toxic").to_pylist()):
-            seen = True
+        for a, b, toxic, nr in zip([0, *ends], ends, batch.column("toxic").to_pylist(), batch.column("pass").to_pylist()):
             at = np.append(places[a:b], bias)
-            model.learn(at, values(at), toxic)
-    if seen:
+            odds = model.learn(at, values(at), toxic)
+            if nr == 0:
+                before.append((odds, toxic))  # at most the sample
+    if before:
+        late = np.array(before[len(before) // 2:])
         w = model.weights(np.arange(bias + 1))
+        w[bias] -= calibration(late[:, 0], late[:, 1])
         held = np.union1d(np.flatnonzero(w), [bias])
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(w[held])], ["place", "weight"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> pd.DataFrame:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, passes: int = PASSES) -> pd.DataFrame:
     """(place, weight) of the non-zero weights, the bias at place ``2**BITS``; empty without labels."""
     sample = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
               .join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -129,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
               .withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(sample_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("turn", "toxic", "text")
     made = rows.mapInArrow(_feature_rows, "turn long, toxic int, places array<int>")
-    return (made.repartition(1).sortWithinPartitions("turn", "places")
+    again = made.repartition(1).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    return (again.sortWithinPartitions("pass", "turn", "places")
             .mapInArrow(_learn, "place long, weight double").toPandas())
 
 
@@ -138,21 +163,24 @@ def score(docs: DataFrame, model: pd.DataFrame, keep: list[str], name: str = "sc
     sc = docs.sparkSession.sparkContext
     weights = sc.broadcast((model["place"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)))
 
+    cols = list(dict.fromkeys([*keep, "text"]))
+    rows, text = plain(docs.select(*columns(cols))), f"c{cols.index('text')}"
+    kept = rows.columns[:len(keep)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, weight = weights.value
         dense = np.zeros((1 << BITS) + 1)
         dense[place] = weight * values(place)
-        for batch in bounded(batches):
-            doc, at = features(_texts(batch))
+        for batch in bounded(batches, text):
+            doc, at = features([t or "" for t in batch.column(text).to_pylist()])
             live = np.flatnonzero(dense[at])
             once = np.unique((doc[live] << BITS) | at[live])
             total = np.bincount(once >> BITS, dense[once & ((1 << BITS) - 1)], batch.num_rows) + dense[1 << BITS]
             scores = 1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))) if len(place) else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores)], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(scores)], [*kept, "score"])
 
-    rows = docs.select(*columns(dict.fromkeys([*keep, "text"])))
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name in keep], T.StructField(name, T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    schema = T.StructType([*rows.schema.fields[:len(keep)], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).toDF(*keep, name)
 
 
 def held_out(doc_id) -> F.Column:
