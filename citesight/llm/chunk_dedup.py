@@ -318,13 +318,13 @@ def deduplicate(docs: DataFrame, min_run: int = MIN_RUN, added: tuple[str, str,
     """``docs`` with repeated passages cut out of ``text``; ``added`` names columns for the bytes
     that a text had, the bytes removed and the runs removed."""
     names = added or tuple(fresh(docs, c) for c in ("n_bytes", "n_removed", "n_spans"))
-    rid, name = fresh(docs, "rid"), fresh(docs, "found")
-    rows = with_rid(docs, rid)
-    found = repeats(rows.select(F.col(rid).alias("rid"), "text"), min_run, broadcast_rows)
-    found = found.select(F.col("rid").alias(rid), F.struct("cuts", "own", "seeds").alias(name))
-    met = rows.join(found, rid, "left").drop(rid)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
-    return met.mapInArrow(_cut(docs.columns, names, name), schema)
+    # plain names beside the text: an Arrow function takes no dotted ones
+    inner = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    rows = with_rid(inner)
+    found = repeats(rows.select("rid", "text"), min_run, broadcast_rows)
+    met = rows.join(found.select("rid", F.struct("cuts", "own", "seeds").alias("found")), "rid", "left").drop("rid")
+    schema = T.StructType([*inner.schema.fields, *[T.StructField(n, T.LongType()) for n in ("n0", "n1", "n2")]])
+    return met.mapInArrow(_cut(inner.columns, ("n0", "n1", "n2"), "found"), schema).toDF(*docs.columns, *names)
 
 
 def keep_first(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:

@@ -23,7 +23,7 @@ PASSAGE = " ".join(f"word{i * 37 % 101}x{i}" for i in range(70))
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "lost and found"), (4, "Same Text here"), (4, "Same Text here"),
        (5, "Same Text here"), (6, PASSAGE), (7, "intro words " + PASSAGE + " outro"), (None, PASSAGE),
        (8, "é " * 300), (9, "ab" * 40_000), (10, " ".join(["again and again"] * 3_000)), (2**60, "x")]
-CLASHING = ("rid", "parts", "score", "place", "w", "row", "key", "fp", "n_words", "spans")
+CLASHING = ("rid", "parts", "score", "place", "w", "row", "key", "fp", "n_words", "spans", "a.b")
 
 
 def rows_of(df, *cols):
