@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citesight.plans.rowindex import with_row_index
+from citesight.plans.selection import first_rows
 from citesight.session import ensure_checkpoint_dir
 
 
@@ -67,8 +68,8 @@ def written_counts(spark: SparkSession, path: str, part: str = "part") -> DataFr
 
 
 def dry_run_head(df: DataFrame, n: int = 500, order_cols: Sequence = ("id",)) -> DataFrame:
-    """The first ``n`` rows by ``order_cols``, by global position."""
-    return with_row_index(df, order_cols, "_idx").where(F.col("_idx") < n).drop("_idx")
+    """The first ``n`` rows by ``order_cols``, selected by counting (``plans.selection``)."""
+    return first_rows(df, order_cols, n)
 
 
 def json_sink(df: DataFrame, path: str, mode: str = "overwrite") -> str:
