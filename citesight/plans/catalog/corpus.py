@@ -132,6 +132,27 @@ def s5(spark, sf):
     return S.written_counts(spark, path)
 
 
+@register("s4_sized_chunks", _IDX + """, ch AS (SELECT idx, CAST(least(floor(idx / greatest(ceil(n / 7), 1)), 6) AS INTEGER) AS part FROM ix),
+fl AS (SELECT part, idx, floor((idx - min(idx) OVER (PARTITION BY part)) / 500) AS f FROM ch)
+SELECT part, count(*) AS rows, min(idx) AS first, max(idx) AS last, FALSE AS rewritten FROM fl GROUP BY part, f""")
+def s4s(spark, sf):
+    from citesight.sources import staging as ST
+    works = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("topic_name"))
+    c = S.ordered_chunks(works, ["id"], 7, keep_index=True)
+    path = S.scratch_path(spark, "sized")
+    ST.write_sized_chunks(c, path, 500)
+    again = ST.write_sized_chunks(c, path, 500)
+    return ST.manifest(spark, path).select("part", "rows", "first", "last", F.lit(again).alias("rewritten"))
+
+
+@register("s8_stage_once", "SELECT o_orderkey AS id, o_totalprice AS score, FALSE AS first_reused, TRUE AS second_reused FROM orders WHERE o_orderstatus = 'F'")
+def s8o(spark, sf):
+    from citesight.sources import staging as ST
+    t = fx.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
+    one, two = ST.stage_once(t, auto_remove=True), ST.stage_once(t)
+    return two.frame.select("*", F.lit(one.reused).alias("first_reused"), F.lit(two.reused).alias("second_reused"))
+
+
 @register("s6_dry_run_head", W + "SELECT id, publication_date FROM works ORDER BY id LIMIT 50")
 def s6(spark, sf):
     return S.dry_run_head(fx.works(spark, sf).select("id", "publication_date"), 50)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from citesight.plans.rowindex import with_row_index
 from citesight.plans.selection import first_rows
 from citesight.session import ensure_checkpoint_dir
+from citesight.sources.staging import footer_counts
 
 
 def scan_corpus(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -63,8 +64,8 @@ def write_chunks(df: DataFrame, path: str, part: str = "part", compression: str
 
 
 def written_counts(spark: SparkSession, path: str, part: str = "part") -> DataFrame:
-    """Rows per written chunk (re-scan, metadata-light count)."""
-    return spark.read.parquet(path).groupBy(part).agg(F.count(F.lit(1)).alias("rows"))
+    """Rows per written chunk, from the files' footers."""
+    return footer_counts(spark, path, part)
 
 
 def dry_run_head(df: DataFrame, n: int = 500, order_cols: Sequence = ("id",)) -> DataFrame:
