@@ -103,3 +103,30 @@ def test_sample_n_reproducible(spark):
     a = sorted(r.id for r in B.sample_n(df.repartition(3), 50, seed=1).collect())
     b = sorted(r.id for r in B.sample_n(df.repartition(11), 50, seed=1).collect())
     assert a == b and len(a) == 50
+
+
+def test_contains_any_equals_each_needle_alone(spark):
+    import random
+    rng = random.Random(12)
+    bits = C.FOREIGN_MARKERS + C.BOILERPLATE_PHRASES + ["x", "d", "e", "e ", "ké", "日", " ", "]", "^", "-", "\\", "😀"]
+    rows = [("".join(rng.choice(bits) if rng.random() < 0.3 else rng.choice("abc .") for _ in range(rng.randint(0, 12))),) for _ in range(400)]
+    rows += [(None,), ("",), ("]",), ("a-b",), ("de",), ("de ",)]
+    df = spark.createDataFrame(rows, "t string")
+    for needles in (C.FOREIGN_MARKERS, C.BOILERPLATE_PHRASES, ["]", "^", "-", "\\"], ["😀", "é", "日本", "日"], [], [""]):
+        got = df.select("t", C.contains_any("t", needles).alias("hit")).collect()
+        for r in got:
+            want = any(n in r.t for n in needles) if r.t is not None else None
+            assert bool(r.hit) == bool(want), (needles, r)
+
+
+def test_bounds_of_all_columns_in_one_pass_equal_one_by_one(spark):
+    rows = [(i, "word " * (i % 9) + ("." if i % 3 else ""), "other " * (i % 5) + ("." if i % 4 else "x"), "en") for i in range(200)]
+    rows += [(999, "w " * 900 + ".", None, "en"), (1000, None, "o" * 500 + ".", "en")]
+    df = spark.createDataFrame(rows, "id int, a string, b string, language string")
+    for la, lb in ((4, 5), (5, 4), (3, 3), (5, 5), (1, 4)):
+        one = C.clean_column(C.clean_column(df, "a", 5, la), "b", 5, lb)
+        both = C.clean_text(df, [C.CleanSpec("a", la, 5), C.CleanSpec("b", lb, 5)])
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, both.collect()))
+    from citesight.operators.clean import _bounded
+    plan = _bounded(df, [("a", 1, True), ("b", 1, True)])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
