@@ -159,6 +159,37 @@ def ordinal_report(spark, sf):
     return _rounded(J.ordinal_report(d, ["w"], fx.CLASSES), *_CLASS_COLS, "wasserstein", "energy", "norm_entropy")
 
 
+def _dated_lines(spark, sf):
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"))
+    return fx.regressed(spark, sf).withColumn("k", F.floor(F.col("id") / 8)).join(o, "k")
+
+
+@register("job_sliding_regression", fx.with_views("regressed") + """, win AS (
+  SELECT CAST(DATE '1995-01-01' + to_months(CAST(24 * k AS INTEGER)) AS DATE) AS s FROM range(0, 100) t(k)),
+r AS (SELECT g.*, s FROM regressed g JOIN orders o ON o.o_orderkey = g.id // 8
+      JOIN win ON CAST(o.o_orderdate AS DATE) >= s AND CAST(o.o_orderdate AS DATE) < s + to_months(24))
+SELECT s AS window_start, count(*) AS examples, CAST(0 AS BIGINT) AS nan_rows, round(avg(abs(y - pred)), 6) AS mae,
+  round(100 * sum(abs(y - pred)) / sum(y), 6) AS wape, round(avg(sigma), 6) AS sigma_mean,
+  round(avg(CAST(y <= pred + 3 * sigma AND y >= pred - 3 * sigma AS INTEGER)), 6) AS capture_3sd,
+  round(avg(CASE WHEN sigma > 0 THEN abs(y - pred) / sigma + ln(sigma) END), 6) AS hetero_mae FROM r GROUP BY s""")
+def sliding_regression(spark, sf):
+    r = J.sliding_report(_dated_lines(spark, sf), J.heteroscedastic_report, "1995-01-01", every=2)
+    return r.select("window_start", "examples", "nan_rows", *[r6(c).alias(c) for c in (
+        "mae", "wape", "sigma_mean", "capture_3sd", "hetero_mae")])
+
+
+@register("job_sliding_ordinal", _CLASS.format(more=""", round(any_value(wasserstein), 6) AS wasserstein,
+  round(any_value(energy), 6) AS energy, round(any_value(norm_entropy), 6) AS norm_entropy""").replace(
+    "id % 3 AS w", "CAST(DATE '2000-01-01' + to_months(CAST(6 * ((id % 700) // 183) AS INTEGER)) AS DATE) AS w")
+    .replace("SELECT s.w,", "SELECT s.w AS window_start,"))
+def sliding_ordinal(spark, sf):
+    # a date for each vector: half years in steps of days
+    m = fx.scored_multi(spark, sf).withColumn("d", F.expr(
+        "add_months(DATE '2000-01-01', cast(6 * floor((id % 700) / 183) as int)) + cast(id % 28 as int)"))
+    r = J.sliding_report(m, J.ordinal_report, "2000-01-01", every=6, unit="month", n_classes=fx.CLASSES)
+    return r.select("window_start", "examples", *[r6(c).alias(c) for c in (*_CLASS_COLS, "wasserstein", "energy", "norm_entropy")])
+
+
 # ---------------------------------------------------------------- windowed evaluation
 @register("job_windowed_evaluation")
 def windowed_evaluation(spark, sf):

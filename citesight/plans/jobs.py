@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -151,6 +151,13 @@ def ordinal_report(df: DataFrame, group_cols: Sequence[str], n_classes: int, y="
                     E.energy_distance(t, probs, "_target", g), E.norm_entropy(t, probs, g)], g)
 
 
+def sliding_report(df: DataFrame, report: Callable[..., DataFrame], start: str, end: str | None = None, every: int = 1,
+                   unit: str = "year", date_col: str = "d", **columns) -> DataFrame:
+    """E29 for the trackers of classes, ordinal classes and numbers: one of the reports above per window
+    ``[start + i * every unit, ...)``, all windows in one plan. ``columns`` go to the report."""
+    return report(E.assign_windows(df, start, end, every, unit, date_col), ["window_start"], **columns)
+
+
 def windowed_evaluation(corpus: DataFrame, spec: G.GraphSpec, model, start: str, end: str | None = None, every: int = 1,
                         unit: str = "year", theta: float = 2) -> DataFrame:
     """Neighbourhoods of every window (G8), scored by one model (M2), evaluated per window."""
