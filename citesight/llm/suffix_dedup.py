@@ -18,7 +18,8 @@ move it many times over, so only anchored suffixes are sorted:
    over prefix polynomial hashes. Common extensions of neighbours to the right
    of the anchor, and hashes of the bytes to its left, say for each offset
    which contexts hold the same string. Each such string is compared byte by
-   byte with the first of its class, so collisions cannot remove anything.
+   byte with the first of its class, so no collision in this step removes
+   anything.
 4. The repeated runs return to the anchors, are joined per text and cut out.
 
 A hash with more than ``HOT_CONTEXTS`` distinct contexts is not gathered in
@@ -27,6 +28,10 @@ map-side combine. Joins on anchor hashes and contexts salt hot keys by their
 counts. Texts are handled in blocks, so memory does not grow with their
 length beyond the text itself.
 
+Only step 3 compares bytes. That two contexts are equal as a whole (step 2, all
+exact copies) rests on two independent 64-bit hashes, of the anchor's bytes and
+of the context, and the spread strings of hot hashes on a 128-bit digest.
+
 Cases: null texts are empty; texts shorter than LENGTH lose nothing; repeated
 rows lose all strings of LENGTH bytes; matches never cross texts and are
 judged on the input; an empty table gives no rows.
