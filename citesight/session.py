@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -57,6 +58,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that jobs run from any folder.
+
+    Spark hands the zip to every executor, also to one that joins later."""
+    sc = spark.sparkContext
+    if getattr(sc, "_citesight_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):  # not when the package itself came as a zip
+        path = os.path.join(tempfile.mkdtemp(prefix="citesight-package-"), "citesight.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(here):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.join("citesight", os.path.relpath(full, here)))
+        sc.addPyFile(path)
+    sc._citesight_shipped = True
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
