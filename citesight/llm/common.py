@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citesight.plans.joins import hot_from_counts, split_hot_join
-from citesight.session import ensure_checkpoint_dir
+from citesight.session import ensure_checkpoint_dir, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -19,6 +19,7 @@ BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +31,7 @@ def columns(names) -> list[Column]:
 def plain(df: DataFrame) -> DataFrame:
     """``df`` with its columns named c0, c1, ...: Arrow functions find columns by name, and a dot in a
     name would be read as a field."""
+    ship_package(df.sparkSession)
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from citesight.llm.hashing import bounded
+from citesight.session import ship_package
 
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -174,6 +175,7 @@ def scan(text: str) -> tuple:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_tags, permissive) per document."""
+    ship_package(docs.sparkSession)
     schema = StructType([docs.schema["doc_id"], *[StructField(n, t) for n, t in (
         ("n_words", LongType()), ("n_base", LongType()), ("first_word", LongType()), ("last_word", LongType()),
         ("base_labels", StringType()), ("labels", StringType()), ("score", DoubleType()), ("n_tags", LongType()),

@@ -54,7 +54,7 @@ from citesight.functions.columns import with_scalars
 from citesight.llm.common import BROADCAST_ROWS, join_by_counts, stage
 from citesight.plans.joins import hot_keys, split_hot_join
 from citesight.plans.rowindex import cumulative_sums, with_row_index
-from citesight.session import shuffle_partitions
+from citesight.session import ship_package, shuffle_partitions
 
 LANES = ("a", "b", "c", "d")
 LOW = (1 << 32) - 1
@@ -348,6 +348,7 @@ def prefix_trie(conversations: DataFrame, bound: int = BOUND, segment: int = SEG
 def trie(turns: DataFrame, convs: DataFrame, bound: int = BOUND, segment: int = SEGMENT,
          min_rows: int = HOT_TURNS) -> DataFrame:
     """The trie of (conv_id, place, digest, n_bytes) and (conv_id, n_turns), see ``prefix_trie``."""
+    ship_package(convs.sparkSession)
     convs = stage(convs, "trie-lengths")
     groups, steps = paths(turns, convs, min_rows)
     zero = F.lit(0).cast("long")

@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from citesight.llm.common import columns, fresh, plain
 from citesight.llm.hashing import bounded, joined, mix, slice_hashes
+from citesight.session import ship_package
 
 BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
@@ -147,6 +148,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, passes: int = PASSES) -> pd.DataFrame:
     """(place, weight) of the non-zero weights, the bias at place ``2**BITS``; empty without labels."""
+    ship_package(docs.sparkSession)
     sample = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
               .join(docs.select("doc_id"), "doc_id", "left_semi")
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from citesight.functions.columns import with_scalars
 from citesight.llm.common import stage
-from citesight.session import shuffle_partitions
+from citesight.session import ship_package, shuffle_partitions
 
 DIM, SCALE, K, ROUNDS = 64, 1024, 8, 10
 BLOCK, BITS = 512, 4
@@ -210,6 +210,7 @@ def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dim: int = DIM
             block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every whole vector."""
     spark = vectors.sparkSession
+    ship_package(spark)
     ints = integers(vectors, dim, scale)
     key = F.sha2(F.concat(F.lit("3:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     first = ints.withColumn("key", key).orderBy("key", "v").limit(k).collect()  # k rows
