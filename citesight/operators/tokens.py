@@ -10,7 +10,9 @@ is the salted join: frequent words (Zipf) are spread over salts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 
@@ -18,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesight.plans.joins import hot_from_counts, split_hot_join
-from citesight.plans.rowindex import with_row_index
+from citesight.functions.columns import with_scalars
+from citesight.plans.rowindex import pin, with_row_index
 from citesight.session import shuffle_partitions
 
 # fixed values: reserved ids
@@ -28,6 +31,10 @@ SPLIT_PATTERN = "[^\\p{L}\\p{N}]+"
 #: Largest tables that are broadcast, by their counted bytes in memory.
 BROADCAST_VOCAB_BYTES = 256 << 20
 BROADCAST_VECTOR_BYTES = 512 << 20
+#: A word of share p of the corpus weighs ``a / (a + p)`` in the default encoder.
+WORD_SMOOTHING = 1e-3
+#: Rounds of power iteration for the component that the encoder takes out.
+POWER_STEPS = 8
 #: Bytes a hash-map entry takes besides its values.
 ENTRY_BYTES = 48
 
@@ -99,38 +106,139 @@ def assemble_text(df: DataFrame, cols: Sequence[str], out: str = "to_embed", bos
         out, F.concat(F.lit(bos), F.concat_ws(eos + bos, *[F.col(c) for c in cols]), F.lit(eos)))
 
 
-def embed_hashed(df: DataFrame, text_col: str, out: str | None = None, dim: int = 64) -> DataFrame:
-    """K4: signed feature hashing of the words into ``dim`` places, L2-normalised; built-in functions only.
+def _word_sums(keyed: DataFrame, text_col: str, dim: int, weights: DataFrame | None = None,
+               broadcast_bytes: int = BROADCAST_VOCAB_BYTES) -> DataFrame:
+    """(_key, _n, p, s): per distinct text, with the number of its rows, the sum of its words' signs at
+    each of ``dim`` places, times the words' weights if given (a word without one weighs 1).
 
-    A word's place and sign come from its MD5. Each distinct text is worked out once (words are
-    summed per text and place, map-side first); its vector returns by a join that salts texts held
-    by many rows. A null text, or one without words, has the zero vector.
+    A word's place and sign come from its MD5. A text without words has one row without a place. Words stay
+    in their text's partition where the weights are broadcast; beyond the byte bound frequent words are salted.
     """
-    out = out or f"{text_col}_embedding"
-    keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     texts = keyed.groupBy("_key").agg(F.first(text_col, ignorenulls=True).alias("_text"), F.count(F.lit(1)).alias("_n"))
+    toks = texts.select("_key", "_n", F.explode_outer(words("_text")).alias("w"))
+    weight = F.lit(1.0)
+    if weights is not None:
+        size = weights.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0  # one number
+        named = weights.withColumnRenamed("token", "w")
+        if size <= broadcast_bytes:
+            toks = toks.join(F.broadcast(named.select("w", "weight")), "w", "left")
+        else:
+            toks = split_hot_join(toks, named.select("w", "weight"), "w", "left", hot=hot_from_counts(named, "w"))
+        weight = F.coalesce("weight", F.lit(1.0))
     digest = F.md5(F.col("w").cast("binary"))
     place = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim).cast("int")
     sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
-    sums = (texts.select("_key", "_n", F.explode_outer(words("_text")).alias("w"))
-            .select("_key", "_n", place.alias("p"), sign.alias("s"))
+    return (toks.select("_key", "_n", place.alias("p"), (sign * weight).alias("s"))
             .groupBy("_key", "_n", "p").agg(F.sum(F.when(F.col("p").isNotNull(), F.col("s"))).alias("s")))
-    rows = sums.groupBy("_key", "_n").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "s")))).alias("m"),
-        F.sqrt(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0))).alias("norm"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
-        F.try_element_at("m", i), F.lit(0.0)) / F.greatest("norm", F.lit(1e-9)))
-    vectors = rows.select("_key", "_n", vec.alias(out))
+
+
+def _text_key(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def _places(dim: int, value: Callable[[Column], Column]) -> Column:
+    """The array of ``value(i)`` over the places; ``m`` holds the sums by place."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
+
+
+def _by_place() -> Column:
+    return F.map_from_entries(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "s")))).alias("m")
+
+
+def _attach(keyed: DataFrame, vectors: DataFrame, out: str) -> DataFrame:
+    """Each row with its text's vector; texts held by many rows are salted."""
     met = split_hot_join(keyed, vectors.select("_key", out), "_key", "left", hot=hot_from_counts(vectors, "_key", "_n"))
     return met.drop("_key")
 
 
+def embed_hashed(df: DataFrame, text_col: str, out: str | None = None, dim: int = 64) -> DataFrame:
+    """K4 without a fitted model: signed feature hashing of the words into ``dim`` places, L2-normalised;
+    built-in functions only. Each distinct text is worked out once. A null text, or one without words, has
+    the zero vector.
+    """
+    out = out or f"{text_col}_embedding"
+    keyed = df.withColumn("_key", _text_key(text_col))
+    rows = _word_sums(keyed, text_col, dim).groupBy("_key", "_n").agg(
+        _by_place(), F.sqrt(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0))).alias("norm"))
+    vec = _places(dim, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest("norm", F.lit(1e-9)))
+    return _attach(keyed, rows.select("_key", "_n", vec.alias(out)), out)
+
+
+@dataclass(frozen=True)
+class TextEncoder:
+    """A fitted encoder: ``weights`` (token, count, weight), and the unit vector ``component`` that the
+    corpus' texts share most (all zeros for a corpus without words)."""
+
+    weights: DataFrame
+    component: list[float]
+
+    @property
+    def dim(self) -> int:
+        return len(self.component)
+
+
+def fit_encoder(df: DataFrame, text_col: str, dim: int = 64, smoothing: float = WORD_SMOOTHING,
+                steps: int = POWER_STEPS) -> TextEncoder:
+    """K4: fit the default encoder on a corpus: frequency-weighted word vectors and their first component.
+
+    A word that makes up the share ``p`` of all words weighs ``smoothing / (smoothing + p)``. A text is the
+    normalised weighted sum of its words' signed places. The component is ``steps`` rounds of power iteration
+    on the second moments of all rows' vectors, from the all-equal unit vector: a round is one aggregate of
+    ``dim`` sums over the staged vectors, and only these ``dim`` numbers reach the driver.
+    """
+    counts = (df.select(F.explode(words(text_col)).alias("token"))
+              .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
+    share = F.col("count") / F.col("_total")
+    weights = pin(with_scalars(counts, counts.agg(F.sum("count").alias("_total"))).select(
+        "token", "count", (F.lit(smoothing) / (F.lit(smoothing) + share)).alias("weight")))
+    keyed = df.select(text_col).withColumn("_key", _text_key(text_col))
+    sums = _word_sums(keyed, text_col, dim, weights).where(F.col("p").isNotNull())
+    rows = sums.groupBy("_key", "_n").agg(_by_place(), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
+    rows = pin(rows.where("norm > 1e-9").select("_n", _places(
+        dim, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("v")))
+    u = [dim ** -0.5] * dim
+    for _ in range(steps):
+        dot = F.aggregate(F.zip_with("v", F.lit(u), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        moments = (rows.select((F.col("_n") * dot).alias("_d"), F.posexplode("v").alias("p", "x"))
+                   .groupBy("p").agg(F.sum(F.col("_d") * F.col("x")).alias("x")))
+        got = dict(moments.collect())  # dim numbers
+        norm = math.sqrt(math.fsum(x * x for x in got.values()))
+        u = [got.get(i, 0.0) / norm if norm > 0 else 0.0 for i in range(dim)]
+    return TextEncoder(weights, u)
+
+
+def embed_weighted(df: DataFrame, text_col: str, out: str | None = None, encoder: TextEncoder | None = None,
+                   dim: int = 64) -> DataFrame:
+    """K4 default: the text's frequency-weighted word vector without the corpus' first component, L2-normalised.
+
+    ``encoder`` comes from ``fit_encoder``; without one it is fitted on ``df``. Words that the fitted corpus
+    lacks weigh 1. A null text, one without words, and one that is nothing but the component has the zero vector.
+    """
+    out = out or f"{text_col}_embedding"
+    encoder = encoder or fit_encoder(df, text_col, dim)
+    u = F.lit(encoder.component)
+    keyed = df.withColumn("_key", _text_key(text_col))
+    sums = _word_sums(keyed, text_col, encoder.dim, encoder.weights)
+    zero = F.lit(0.0)
+    rows = sums.groupBy("_key", "_n").agg(
+        _by_place(), F.greatest(F.sqrt(F.coalesce(F.sum(F.col("s") * F.col("s")), zero)), F.lit(1e-9)).alias("norm"),
+        F.coalesce(F.sum(F.col("s") * F.get(u, F.col("p"))), zero).alias("along"))
+    # of a unit vector v the part across u is v - (v.u) u, of squared length 1 - (v.u)^2
+    rows = rows.withColumn("c", F.col("along") / F.col("norm"))
+    rows = rows.withColumn("rest", F.when((F.col("norm") > 1e-9) & (1 - F.col("c") * F.col("c") > 1e-9),
+                                          F.sqrt(1 - F.col("c") * F.col("c"))))
+    vec = _places(encoder.dim, lambda i: F.coalesce(
+        (F.coalesce(F.try_element_at("m", i), zero) / F.col("norm") - F.col("c") * F.get(u, i)) / F.col("rest"), zero))
+    return _attach(keyed, rows.select("_key", "_n", vec.alias(out)), out)
+
+
 def embed_batch(df: DataFrame, text_col: str, out: str | None = None, encoder_factory: Callable | None = None,
-                dim: int = 64, batch_size: int = 256) -> DataFrame:
-    """K4: a fixed-width vector per text. Without a model of the caller's, ``embed_hashed``; a model
-    (``encoder_factory()`` returns ``texts -> vectors``) runs in Arrow batches, one per worker."""
+                dim: int = 64, batch_size: int = 256, encoder: TextEncoder | None = None) -> DataFrame:
+    """K4: a fixed-width vector per text. Without a model of the caller's, ``embed_weighted``, fitted on ``df``
+    or with the fitted ``encoder``; a model (``encoder_factory()`` returns ``texts -> vectors``) runs in Arrow
+    batches, one per worker."""
     if encoder_factory is None:
-        return embed_hashed(df, text_col, out, dim)
+        return embed_weighted(df, text_col, out, encoder, dim)
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, FloatType
     udf = predict_batch_udf(encoder_factory, return_type=ArrayType(FloatType()), batch_size=batch_size)

@@ -138,7 +138,43 @@ def k3(spark, sf):
     return d.select("doc_id", F.md5("to_embed").alias("to_embed_md5"))
 
 
-@register("k4_embed_batch", f"""WITH w AS (SELECT doc_id, unnest({_SPLIT.replace('text', "'<s>' || text || '</s>'")}) AS token
+def _k4_sql(dim: int = 64, steps: int = K.POWER_STEPS, a: float = K.WORD_SMOOTHING) -> str:
+    """Weighted hashed words per document, ``steps`` rounds of power iteration written out, the component taken out."""
+    rounds = ""
+    for t in range(steps):
+        rounds += f""",
+d{t} AS (SELECT v.doc_id, sum(v.x * u.x) AS dot FROM v JOIN u{t} u USING (dim) GROUP BY v.doc_id),
+m{t} AS (SELECT v.dim, sum(v.x * d.dot) AS x FROM v JOIN d{t} d USING (doc_id) GROUP BY v.dim),
+u{t + 1} AS MATERIALIZED (SELECT r.dim, coalesce(m.x, 0) / (SELECT sqrt(sum(x * x)) FROM m{t}) AS x
+  FROM u{t} r LEFT JOIN m{t} m USING (dim))"""
+    return f"""WITH w AS MATERIALIZED (SELECT doc_id, unnest({_SPLIT.replace('text', "'<s>' || text || '</s>'")}) AS token
+  FROM documents WHERE text IS NOT NULL),
+vc AS (SELECT token, count(*) AS n FROM w GROUP BY token),
+wt AS (SELECT token, {a} / ({a} + n / (SELECT sum(n) FROM vc)) AS weight,
+  CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {dim} AS dim,
+  CASE WHEN substr(md5(token), 9, 1) < '8' THEN 1 ELSE -1 END AS sign FROM vc),
+h AS (SELECT w.doc_id, wt.dim, sum(wt.sign * wt.weight) AS s FROM w JOIN wt USING (token) GROUP BY w.doc_id, wt.dim),
+n AS (SELECT doc_id, sqrt(sum(s * s)) AS norm FROM h GROUP BY doc_id),
+v AS MATERIALIZED (SELECT h.doc_id, h.dim, h.s / n.norm AS x FROM h JOIN n USING (doc_id) WHERE n.norm > 1e-9),
+u0 AS (SELECT range AS dim, 1 / sqrt({dim}) AS x FROM range(0, {dim})){rounds},
+c AS (SELECT v.doc_id, sum(v.x * u.x) AS c FROM v JOIN u{steps} u USING (dim) GROUP BY v.doc_id)
+SELECT d.doc_id, CAST(u.dim AS INTEGER) AS dim, round(CASE WHEN c.c IS NULL OR 1 - c.c * c.c <= 1e-9 THEN 0
+  ELSE (coalesce(v.x, 0) - c.c * u.x) / sqrt(1 - c.c * c.c) END, 6) AS value
+FROM documents d CROSS JOIN u{steps} u LEFT JOIN v ON v.doc_id = d.doc_id AND v.dim = u.dim
+LEFT JOIN c ON c.doc_id = d.doc_id WHERE d.text IS NOT NULL"""
+
+
+def _embedding_rows(e):
+    return e.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select("doc_id", "dim", r6("value").alias("value"))
+
+
+@register("k4_embed_batch", _k4_sql())
+def k4(spark, sf):
+    d = K.assemble_text(fx.documents(spark, sf), ["text"])
+    return _embedding_rows(K.embed_batch(d, "to_embed", "embedding", dim=64))
+
+
+@register("k4_embed_hashed", f"""WITH w AS (SELECT doc_id, unnest({_SPLIT.replace('text', "'<s>' || text || '</s>'")}) AS token
   FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 64 AS dim,
              CASE WHEN substr(md5(token), 9, 1) < '8' THEN 1 ELSE -1 END AS s FROM w),
@@ -147,10 +183,9 @@ n AS (SELECT doc_id, sqrt(sum(s * s)) AS nrm FROM v GROUP BY doc_id)
 SELECT d.doc_id, CAST(r.dim AS INTEGER) AS dim, round(coalesce(v.s, 0) / greatest(coalesce(n.nrm, 0), 1e-9), 6) AS value
 FROM documents d CROSS JOIN range(0, 64) r(dim) LEFT JOIN v ON v.doc_id = d.doc_id AND v.dim = r.dim
 LEFT JOIN n ON n.doc_id = d.doc_id WHERE d.text IS NOT NULL""")
-def k4(spark, sf):
+def k4_hashed(spark, sf):
     d = K.assemble_text(fx.documents(spark, sf), ["text"])
-    e = K.embed_batch(d, "to_embed", "embedding", dim=64)
-    return e.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select("doc_id", "dim", r6("value").alias("value"))
+    return _embedding_rows(K.embed_hashed(d, "to_embed", "embedding", dim=64))
 
 
 def token_vectors(spark, sf, vocab):

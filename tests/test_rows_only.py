@@ -1,8 +1,12 @@
 """Operators without a SQL oracle, checked by brute force on small inputs."""
 
+import hashlib
 import math
+import re
 from collections import Counter
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from citesight.operators import model as M
@@ -67,6 +71,88 @@ def test_embed_batch_shape_and_norm(spark):
     assert all(v == 0.0 for v in e[3])
 
 
+def encode(texts, dim, fitted=None, steps=K.POWER_STEPS, a=K.WORD_SMOOTHING):
+    """Plain version of the default encoder: vectors of ``texts`` with the encoder fitted on ``fitted``."""
+    def bag(t):
+        return Counter(w for w in re.split("[^a-z0-9]+", (t or "").lower()) if w)
+
+    def vector(t):
+        v = [0.0] * dim
+        for w, n in bag(t).items():
+            d = hashlib.md5(w.encode()).hexdigest()
+            v[int(d[:8], 16) % dim] += n * (1 if d[8] < "8" else -1) * a / (a + counts[w] / total)
+        norm = math.sqrt(sum(x * x for x in v))
+        return [x / norm for x in v] if norm > 1e-9 else v
+
+    def dot(x, y):
+        return sum(i * j for i, j in zip(x, y))
+    fitted = texts if fitted is None else fitted
+    counts = sum((bag(t) for t in fitted), Counter())
+    total = max(sum(counts.values()), 1)
+    u = [dim ** -0.5] * dim
+    for _ in range(steps):
+        vs = [vector(t) for t in fitted]
+        m = [sum(dot(v, u) * v[i] for v in vs) for i in range(dim)]
+        norm = math.sqrt(dot(m, m))
+        u = [x / norm if norm else 0.0 for x in m]
+    out = []
+    for v in map(vector, texts):
+        c = dot(v, u)
+        out.append([(x - c * y) / math.sqrt(1 - c * c) if any(v) and 1 - c * c > 1e-9 else 0.0 for x, y in zip(v, u)])
+    return out
+
+
+CORPUS = ["the cat and the dog", "the dog and a bird", "the the the", None, "", "--", "a bird sings and the cat sleeps",
+          "the cat and the dog", "rare words only here"]
+
+
+def test_default_encoder_against_brute_force(spark):
+    df = spark.createDataFrame(list(enumerate(CORPUS)), "id long, t string")
+    new = ["unseen words and the cat", None, "dog"]
+    other = spark.createDataFrame(list(enumerate(new)), "id long, t string")
+    enc = K.fit_encoder(df, "t", dim=8)
+    for frame, texts in ((df, CORPUS), (other, new)):
+        got = {r.id: r.e for r in K.embed_batch(frame, "t", "e", encoder=enc).collect()}
+        assert len(got) == len(texts)
+        for i, want in enumerate(encode(texts, 8, CORPUS)):
+            assert all(math.isclose(x, y, abs_tol=1e-6) for x, y in zip(got[i], want)), (i, got[i], want)
+    again = {r.id: r.e for r in K.embed_batch(other.repartition(3), "t", "e", encoder=K.fit_encoder(df.repartition(5), "t", dim=8)).collect()}
+    assert all(math.isclose(x, y, abs_tol=1e-9) for i, e in again.items() for x, y in zip(e, {r.id: r.e for r in K.embed_batch(
+        other, "t", "e", encoder=enc).collect()}[i]))
+
+
+def test_default_encoder_spreads_frequent_words_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(CORPUS)), "id long, t string")
+    want = {r.id: r.e for r in K.embed_weighted(df, "t", "e", dim=8).collect()}
+    plain = K._word_sums
+    monkeypatch.setattr(K, "_word_sums", lambda *a: plain(*a, broadcast_bytes=0))
+    got = {r.id: r.e for r in K.embed_weighted(df, "t", "e", dim=8).collect()}
+    assert all(math.isclose(x, y, abs_tol=1e-9) for i in want for x, y in zip(got[i], want[i])) and len(got) == len(want)
+
+
+def test_default_encoder_of_a_corpus_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "id long, t string")
+    assert [r.e for r in K.embed_batch(df, "t", "e", dim=4).collect()] == [[0.0] * 4] * 2
+    assert K.embed_batch(df.where("id > 2"), "t", "e", dim=4).collect() == []
+
+
+def test_default_encoder_finds_thinned_copies_better_than_hashing(spark):
+    docs = (spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+            .dropDuplicates(["text"]).select("doc_id", "text"))
+    # a copy keeps about a tenth of the words, chosen by word and document
+    thin = docs.select("doc_id", F.array_join(F.filter(K.words("text"), lambda w: F.pmod(
+        F.xxhash64(w, F.col("doc_id")), F.lit(10)) == 0), " ").alias("text"))
+
+    def found(embed):
+        own, copies = ({r.doc_id: np.array(r.e) for r in embed(d).collect()} for d in (docs, thin))
+        ids = sorted(own)
+        near = np.argmax(np.stack([copies[i] for i in ids]) @ np.stack([own[i] for i in ids]).T, axis=1)
+        return float(np.mean(near == np.arange(len(ids))))
+    enc = K.fit_encoder(docs, "text")
+    hashed, weighted = found(lambda d: K.embed_hashed(d, "text", "e")), found(lambda d: K.embed_batch(d, "text", "e", encoder=enc))
+    assert weighted > hashed, (weighted, hashed)
+
+
 def test_mean_pool_matches_brute_force(spark):
     toks = spark.createDataFrame([(1, [1, 5, 5, 0]), (2, [0, 0])], "id long, toks array<long>")
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (5, [3.0, 2.0])], "token_id long, vec array<float>")
