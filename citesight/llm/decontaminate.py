@@ -10,9 +10,13 @@ shared window. A hit is extended to the whole window on both sides and
 compared word by word, so hash collisions cost a comparison and change
 nothing. Windows of short items are joined on the hash of the whole window.
 
-The distinct windows are counted; up to ``broadcast_rows`` of them are
-broadcast at a time, further ones in blocks. Text is never shuffled: what
-leaves a scan task is one row per document and one per verified hit.
+The distinct windows are counted, rows and bytes; as many as fit
+``broadcast_rows`` and ``broadcast_bytes`` are broadcast at a time, further
+ones in blocks of even shares (by a hash of the whole window, so a
+fingerprint that many windows share is spread too). The item ids of one
+window are kept in parts of about ``ITEMS_PER_PART``, so no row grows with
+the benchmark. Text is never shuffled: what leaves a scan task is one row
+per document and one per verified hit.
 
 Cases: null or wordless texts have no words, no hits and are clean; an empty
 benchmark leaves all documents clean; repeated document rows each get their
@@ -31,6 +35,10 @@ from citesight.llm.common import BROADCAST_ROWS, ascii_lower, drop_rows, fresh,
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 8
+ITEMS_PER_PART = 10_000
+BROADCAST_BYTES = 256 << 20
+#: Bytes a window's row and an element of its lists take besides their characters.
+ROW_BYTES, ELEMENT_BYTES = 96, 24
 PLACE_BITS = 28
 PLACE = (1 << PLACE_BITS) - 1
 
@@ -81,7 +89,11 @@ def _wholes(w: Column, size: int) -> Column:
 
 
 def windows(items: DataFrame, window: int = 13) -> DataFrame:
-    """Distinct windows: (mark, back, win, items); ``back`` words lie before the fingerprint."""
+    """Distinct windows: (mark, back, win, items); ``back`` words lie before the fingerprint.
+
+    A window of very many items has several rows, each with a part of the ids.
+    """
+    parts = max(1, -(-items.count() // ITEMS_PER_PART))  # one number
     base = items.select("item_id", words(F.col("text")).alias("w"))
     long = _fingerprints(base.where(F.size("w") >= window), window).select(
         "item_id", "w", F.posexplode("mins").alias("start", "v"))
@@ -92,12 +104,14 @@ def windows(items: DataFrame, window: int = 13) -> DataFrame:
     marks = F.coalesce(*[F.when(F.size("w") == n, _whole(F.col("w"), F.lit(0), n)) for n in range(1, window)])
     short = short.select("item_id", F.shiftright(marks, PLACE_BITS).alias("mark"),
                          F.lit(0).alias("back"), F.col("w").alias("win"))
-    return (long.unionByName(short).groupBy("mark", "back", "win")
-            .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")
+    return (long.unionByName(short).groupBy("mark", "back", "win", part)
+            .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")).drop("part"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share: int = 20,
-                  broadcast_rows: int = BROADCAST_ROWS, key: str | None = None) -> DataFrame:
+                  broadcast_rows: int = BROADCAST_ROWS, key: str | None = None,
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: its words, hit words, items and verdict.
 
     Contaminated: a word is hit and ``min_share`` times the hits reach the words. ``key`` names a
@@ -106,9 +120,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share
     if window < GRAM:
         raise ValueError(f"window must be at least {GRAM}")
     wins = stage(windows(items, window), "decontamination-windows")
-    info = wins.agg(F.count(F.lit(1)).alias("n"), F.collect_set(
+    row_bytes = sum(F.octet_length(F.array_join(c, "")) + F.size(c) * ELEMENT_BYTES for c in ("win", "items")) + ROW_BYTES
+    info = wins.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes"), F.collect_set(
         F.when(F.size("win") < window, F.size("win"))).alias("short")).first()  # at most window - 1 sizes
-    blocks = max(1, -(-info["n"] // broadcast_rows))
+    blocks = max(1, -(-info["n"] // broadcast_rows), -(-info["bytes"] // broadcast_bytes))
     base = docs.select("doc_id", F.col(key).alias("row") if key else F.xxhash64("text").alias("row"),
                        words(F.col("text")).alias("w"))
     marked = _fingerprints(base, window)
@@ -120,7 +135,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share
         own = [F.array(F.lit(None).cast("long"))] if b == 0 else []
         rows = marked.select("doc_id", "row", "w", F.explode(F.concat(*own, *lists)).alias("v"))
         rows = rows.withColumn("mark", F.shiftright("v", PLACE_BITS))
-        part = wins.where(F.pmod("mark", F.lit(blocks)) == b) if blocks > 1 else wins
+        part = wins.where(F.pmod(F.xxhash64("mark", "back", "win", "items"), F.lit(blocks)) == b) if blocks > 1 else wins
         start = (F.col("v").bitwiseAND(F.lit(PLACE)) - F.col("back")).cast("int")
         hit = F.when(F.col("win").isNotNull() & (start >= 0) & (start + F.size("win") <= F.size("w")),
                      F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(F.size("win"), F.lit(0))) == F.col("win"))

@@ -48,6 +48,17 @@ def test_against_brute_force(spark, bound):
     assert rows_of(got) == brute(TEXTS, ITEMS)
 
 
+def test_blocks_by_bytes_and_items_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(D, "ITEMS_PER_PART", 2)
+    many = ITEMS + [(100 + i, " ".join(f"t{k}" for k in range(6, 22 - i % 3))) for i in range(9)] + [(200, "same TEXT")]
+    items = spark.createDataFrame(many, "item_id long, text string")
+    wins = D.windows(items)
+    assert wins.groupBy("mark", "back", "win").count().where("count > 1").count() > 0
+    want = brute(TEXTS, many)
+    for size in (D.BROADCAST_BYTES, 4000):
+        assert rows_of(D.contamination(docs_of(spark, TEXTS, CLASHING), items, broadcast_bytes=size)) == want
+
+
 def test_whole_small_table(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.collect()])
