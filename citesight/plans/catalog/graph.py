@@ -279,8 +279,8 @@ def g7(spark, sf):
     return G.observed_max_lengths(g5_table(spark, sf))
 
 
-_G8 = W + """, win AS (SELECT make_date(y, 1, 1) AS window_start, make_date(y + 1, 1, 1) AS window_end
-        FROM (SELECT unnest(range(1990, 2030)) AS y)),
+_G8_RANKED = W + """, win AS (SELECT make_date(y, 1, 1) AS window_start, make_date(y + 1, 1, 1) AS window_end
+        FROM (SELECT unnest(range({first}, 2030)) AS y)),
 corpus AS (
   SELECT w.id, w.publication_date, w.referenced_works, w.topic_name, w.subfield_name, w.score, w.cited_by_count,
          e.embedding AS emb
@@ -294,7 +294,8 @@ e2 AS (SELECT e.id, e.window_start, e.ref, c.score AS s, c.emb AS f,
        FROM edges e JOIN corpus c ON c.id = e.ref
        WHERE c.publication_date < e.window_end AND (e.topic_name = c.topic_name OR e.subfield_name = c.subfield_name)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id, window_start ORDER BY priority, s, ref) AS rank FROM e2)
-SELECT window_start, id, CAST(count(*) AS INTEGER) AS n_neighbours, string_agg(CAST(ref AS VARCHAR), ',' ORDER BY rank) AS graph_ids,
+"""
+_G8 = _G8_RANKED.format(first=1990) + """SELECT window_start, id, CAST(count(*) AS INTEGER) AS n_neighbours, string_agg(CAST(ref AS VARCHAR), ',' ORDER BY rank) AS graph_ids,
   """ + GX_SQL.format("list(f ORDER BY rank)") + """ AS graph_md5
 FROM ranked WHERE rank <= 3 GROUP BY window_start, id"""
 
@@ -414,8 +415,9 @@ def l10(spark, sf):
                     F.array_join(y.cast("array<string>"), ",").alias("y"))
 
 
-# ------------------------------------------------------------------ models (M), rows-only
+# ------------------------------------------------------------------ models (M)
 from citesight.operators import model as M  # noqa: E402
+from citesight.plans.catalog import sqlgen as Q  # noqa: E402
 from citesight.sources import io as S  # noqa: E402
 from citesight.functions.columns import with_scalars
 
@@ -424,6 +426,37 @@ SPEC_TRAIN = G.GraphSpec(t_start="1996-01-01", t_end="1999-01-01", top_k=3,
 SPEC_VAL = G.GraphSpec(t_start="1999-01-01", t_end="2000-01-01", top_k=3,
                        predicate="cited_by_count >= 1 AND size(referenced_works) >= 5")
 
+#: Features of a row of a neighbourhood table: own vector, then the mean of the neighbours'.
+FEATURES_SQL = """list_concat(list_transform({x}, lambda v: CAST(v AS DOUBLE)), list_transform(range(1, len({x}) + 1),
+    lambda i: list_sum(list_transform({g}, lambda n: CAST(n[i] AS DOUBLE))) / len({g})))"""
+
+
+def labelled_sql(t_start: str, t_end: str) -> str:
+    """A query of (id, y, w, f): the labelled, weighted rows of a window with their features."""
+    table = _GC.format(pred=" AND w.cited_by_count >= 1 AND len(w.referenced_works) >= 5",
+                       tstart=f" WHERE publication_date >= DATE '{t_start}'").replace("2000-01-01", t_end)
+    return table + f""", ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, s, ref) AS rank FROM e2 WHERE cat_match),
+nb AS (SELECT id, list(f ORDER BY rank) AS g FROM ranked WHERE rank <= 3 GROUP BY id),
+lab AS (SELECT t.id, CAST(t.cited_by_count > 2 AS DOUBLE) AS y, {FEATURES_SQL.format(x='t.emb', g='nb.g')} AS f
+        FROM targets t JOIN nb ON nb.id = t.id),
+cls AS (SELECT y, count(*) AS c FROM lab GROUP BY y)
+SELECT id, lab.y, f, CAST((SELECT sum(c) FROM cls) AS DOUBLE) / ((SELECT count(*) FROM cls) * c) AS w FROM lab JOIN cls USING (y)"""
+
+
+def rewindow_sql(first: int) -> str:
+    """A query of (window_start, id, y, f): the labelled rows of each year from ``first``."""
+    return _G8_RANKED.format(first=first) + f""", nb AS (
+  SELECT window_start, id, list(f ORDER BY rank) AS g FROM ranked WHERE rank <= 3 GROUP BY window_start, id)
+SELECT window_start, id, CAST(t.cited_by_count > 2 AS DOUBLE) AS y, {FEATURES_SQL.format(x='t.emb', g='nb.g')} AS f
+FROM targets t JOIN nb USING (window_start, id)"""
+
+
+NEWTON_STEPS = 8
+FIT_SQL = ("WITH RECURSIVE train AS MATERIALIZED (" + labelled_sql("1996-01-01", "1999-01-01") + "),\n"
+           + Q.newton_sql("train", NEWTON_STEPS, 0.01))
+PROB_SQL = "1 / (1 + exp(-list_dot_product(list_concat([CAST(1.0 AS DOUBLE)], f), b)))"
+
 
 def _labelled(spark, sf, spec):
     t = G.neighbourhood_table(graph_corpus(spark, sf), spec)
@@ -436,18 +469,23 @@ def _labelled(spark, sf, spec):
     return S.stage_table(t.join(F.broadcast(w), "label"))
 
 
-@register("m1_train_window")
+@register("m1_train_window", FIT_SQL + f"""
+SELECT y AS label, count(*) AS examples, round(avg(prob), 6) AS mean_prob FROM (
+  SELECT y, {PROB_SQL} AS prob FROM train, fitted) GROUP BY y""")
 def m1(spark, sf):
     train = _labelled(spark, sf, SPEC_TRAIN)
-    model = M.train_window(train)
-    scored = M.score_batch(model, train, keep=("id", "label"))
-    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("examples"), F.avg("prob").alias("mean_prob"))
+    scored = M.score_batch(M.train_newton(train, steps=NEWTON_STEPS), train, keep=("id", "label"))
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("examples"), r6(F.avg("prob")).alias("mean_prob"))
 
 
-@register("m2_score_batch")
+@register("m2_score_batch", FIT_SQL + f""",
+val AS (""" + labelled_sql("1999-01-01", "2000-01-01") + f""")
+SELECT id, label, round(prob, 6) AS prob, CAST(prob > 0.5 AS INTEGER) AS pred FROM (
+  SELECT id, y AS label, {PROB_SQL} AS prob FROM val, fitted)""")
 def m2(spark, sf):
-    model = M.train_window(_labelled(spark, sf, SPEC_TRAIN))
-    return M.score_batch(model, _labelled(spark, sf, SPEC_VAL), keep=("id", "label"))
+    model = M.train_newton(_labelled(spark, sf, SPEC_TRAIN), steps=NEWTON_STEPS)
+    scored = M.score_batch(model, _labelled(spark, sf, SPEC_VAL), keep=("id", "label"))
+    return scored.withColumn("prob", r6("prob"))
 
 
 _M3 = _GC.format(pred=" AND w.cited_by_count >= 1 AND len(w.referenced_works) >= 5",

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from citesight.functions.columns import r6
 from citesight.operators import clean as C
+from citesight.operators import model as M
 from citesight.operators import neighbours as G
 from citesight.plans import jobs as J
 from citesight.plans.catalog import graph, scoring, text
+from citesight.plans.catalog import sqlgen as Q
 from citesight.plans.registry import register
 from citesight.sources import fixtures as fx
 
@@ -191,10 +193,17 @@ def sliding_ordinal(spark, sf):
 
 
 # ---------------------------------------------------------------- windowed evaluation
-@register("job_windowed_evaluation")
+_EVAL = graph.FIT_SQL + """,
+tbl AS (""" + graph.rewindow_sql(1999) + f"""),
+sw AS (SELECT window_start, y, {graph.PROB_SQL} AS prob FROM tbl, fitted),
+""" + Q.binary_wide_sql("sw", ["window_start"]) + ",\n" + Q.metric_rows_sql(["window_start"])
+
+
+@register("job_windowed_evaluation", _EVAL + f"""
+SELECT window_start, {scoring.PIVOT}, max(examples) AS examples, CAST(0 AS DOUBLE) AS nan_scores FROM (
+  SELECT m.window_start, m.metric, m.score, m.weight AS examples FROM mrows m) GROUP BY window_start""")
 def windowed_evaluation(spark, sf):
-    from citesight.operators import model as M
     corpus = graph.graph_corpus(spark, sf)
-    model = M.train_window(graph._labelled(spark, sf, graph.SPEC_TRAIN))
+    model = M.train_newton(graph._labelled(spark, sf, graph.SPEC_TRAIN), steps=graph.NEWTON_STEPS)
     spec = G.GraphSpec(top_k=3, predicate="cited_by_count >= 1 AND size(referenced_works) >= 5")
     return J.windowed_evaluation(corpus, spec, model, "1999-01-01")

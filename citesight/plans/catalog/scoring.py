@@ -399,10 +399,11 @@ def e27(spark, sf):
     return E.aggregate_metrics(rows.where(~F.col("metric").isin("examples", "nan_scores")))
 
 
-_PIV = ", ".join(f'round(max(CASE WHEN metric = \'{m}\' THEN score END), 6) AS "{m}"' for m in Q.BINARY_METRICS)
+#: The metric rows of a group as columns.
+PIVOT = ", ".join(f'round(max(CASE WHEN metric = \'{m}\' THEN score END), 6) AS "{m}"' for m in Q.BINARY_METRICS)
 
 
-@register("e28_metric_report", _WIDE_W + f"""SELECT w, {_PIV}, max(examples) AS examples,
+@register("e28_metric_report", _WIDE_W + f"""SELECT w, {PIVOT}, max(examples) AS examples,
   (SELECT CAST(count_if(isnan(prob)) AS DOUBLE) FROM sn WHERE sn.w = q.w) AS nan_scores FROM (
   SELECT m.w, m.metric, sum(m.score * m.weight) / sum(m.weight) AS score, any_value(wd.examples) AS examples
   FROM mrows m JOIN wide wd ON wd.w = m.w GROUP BY m.w, m.metric) q GROUP BY w""")
@@ -420,7 +421,7 @@ sw AS (SELECT s.*, win.window_start FROM scored_windows s JOIN win ON s.d >= win
 """ + Q.binary_wide_sql("sw", ["window_start"]) + ",\n" + Q.metric_rows_sql(["window_start"]) + "\n"
 
 
-@register("e29_sliding_eval", _WIN + f"""SELECT window_start, {_PIV}, max(examples) AS examples,
+@register("e29_sliding_eval", _WIN + f"""SELECT window_start, {PIVOT}, max(examples) AS examples,
   CAST(0 AS DOUBLE) AS nan_scores FROM (
   SELECT m.window_start, m.metric, sum(m.score * m.weight) / sum(m.weight) AS score, any_value(wd.examples) AS examples
   FROM mrows m JOIN wide wd ON wd.window_start = m.window_start GROUP BY m.window_start, m.metric) GROUP BY window_start""")

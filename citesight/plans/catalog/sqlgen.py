@@ -104,3 +104,27 @@ def metric_rows_sql(g) -> str:
         f"SELECT {_pre(g)}'{m}' AS metric, CAST(\"{m}\" AS DOUBLE) AS score, examples AS weight FROM wide"
         for m in BINARY_METRICS)
     return f"mrows AS ({unions})"
+
+
+def newton_sql(src: str, steps: int, reg: float) -> str:
+    """CTEs (for WITH RECURSIVE) ending in ``fitted``, one list ``b`` of intercept and weights: ``steps`` Newton steps of
+    the penalised weighted logistic regression on ``src`` (f: list, y, w), each system solved by elimination."""
+    parts = [f"nf AS MATERIALIZED (SELECT list_concat([CAST(1.0 AS DOUBLE)], f) AS f, y, w FROM {src})",
+             "nw AS (SELECT sum(w) AS tot, max(len(f)) AS d FROM nf)",
+             "ni AS (SELECT unnest(range(1, d + 1)) AS i FROM nw)",
+             "b0 AS (SELECT list_transform(range(0, d), lambda i: CAST(0.0 AS DOUBLE)) AS b FROM nw)"]
+    for t in range(steps):
+        parts.append(f"""p{t} AS MATERIALIZED (SELECT f, w, y, 1 / (1 + exp(-list_dot_product(f, b))) AS p FROM nf, b{t}),
+h{t} AS MATERIALIZED (SELECT x.i, z.i AS j, sum(w * p * (1 - p) * f[x.i] * f[z.i]) AS v FROM p{t}, ni x, ni z WHERE x.i <= z.i GROUP BY x.i, z.i),
+g{t} AS (SELECT i, sum(w * (y - p) * f[i]) AS v FROM p{t}, ni GROUP BY i),
+r{t} AS (SELECT i, list(v / tot + CASE WHEN i = j AND i > 1 THEN {reg} ELSE 0 END ORDER BY j) AS r
+  FROM (SELECT i, j, v FROM h{t} UNION ALL SELECT j, i, v FROM h{t} WHERE i <> j), nw GROUP BY i),
+m{t} AS (SELECT list(list_append(r, g{t}.v / tot - CASE WHEN r{t}.i > 1 THEN {reg} * b[r{t}.i] ELSE 0 END) ORDER BY r{t}.i) AS m
+  FROM r{t} JOIN g{t} ON g{t}.i = r{t}.i, nw, b{t}),
+e{t} AS (SELECT CAST(1 AS BIGINT) AS k, m, list_transform(m[1], lambda v: v / m[1][1]) AS top FROM m{t}
+  UNION ALL SELECT k + 1, m, list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1]) FROM (
+    SELECT k, list_transform(m, lambda r, i: CASE WHEN i = k THEN top ELSE list_transform(r, lambda v, j: v - r[k] * top[j]) END) AS m
+    FROM e{t} WHERE k <= len(m))),
+b{t + 1} AS (SELECT list_transform(b, lambda v, i: v + m[i][len(m) + 1]) AS b FROM e{t}, b{t} WHERE k = len(m) + 1)""")
+    parts.append(f"fitted AS (SELECT b FROM b{steps})")
+    return ",\n".join(parts)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -174,6 +175,56 @@ def test_model_train_score_save_load(spark, tmp_path):
     assert s == s2 and path.endswith("/run/3")
 
 
+def _newton_rows(n=400):
+    """Overlapping classes, weights, and rows that take no part."""
+    import random
+    rng, rows = random.Random(3), []
+    for i in range(n):
+        a, b, c = (rng.gauss(0, 1) for _ in range(3))
+        rows.append((i, [a, b], [[c, 0.0], [0.0, c]], float(a - b + c + rng.gauss(0, 1) > 0), rng.choice([0.5, 2.0])))
+    return rows + [(n, None, [[0.0, 0.0]], 1.0, 1.0), (n + 1, [0.0, 0.0], [[0.0, 0.0]], None, 1.0)]
+
+
+_NEWTON_SCHEMA = "id long, x array<double>, graph_x array<array<double>>, label double, weight double"
+
+
+def test_newton_reaches_the_minimum_for_any_partitioning(spark):
+    rows = _newton_rows()
+    m, again = (M.train_newton(spark.createDataFrame(rows, _NEWTON_SCHEMA).repartition(p)) for p in (1, 7))
+    assert m.last_step < 1e-9 and np.allclose(m.weights, again.weights, rtol=0, atol=1e-12)
+    # the gradient, worked out row by row, vanishes there
+    grad, total = [0.0] * 5, 0.0
+    for _, x, g, y, w in rows[:-2]:
+        f = [1.0, *x, g[0][0] / 2, g[1][1] / 2]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(f, (m.intercept, *m.weights)))))
+        total += w
+        grad = [s + w * (p - y) * v for s, v in zip(grad, f)]
+    grad = [s / total + (0.01 * b if i else 0) for i, (s, b) in enumerate(zip(grad, (m.intercept, *m.weights)))]
+    assert max(map(abs, grad)) < 1e-12
+
+
+def test_newton_agrees_with_lbfgs_without_penalty(spark):
+    t = spark.createDataFrame(_newton_rows()[:-2], _NEWTON_SCHEMA).withColumn("graph_x", F.expr("slice(graph_x, 1, 1)"))
+    t = t.withColumn("x", F.expr("slice(x, 1, 1)")).withColumn("graph_x", F.expr("transform(graph_x, g -> slice(g, 1, 1))"))
+    a = {r.id: r.prob for r in M.score_batch(M.train_newton(t, reg=0.0), t).collect()}
+    b = {r.id: r.prob for r in M.score_batch(M.train_window(t, reg=0.0, max_iter=200), t).collect()}
+    assert max(abs(a[i] - b[i]) for i in a) < 1e-3
+
+
+def test_newton_saved_empty_and_refused(spark, tmp_path):
+    t = spark.createDataFrame(_newton_rows(), _NEWTON_SCHEMA)
+    m = M.train_newton(t, weight=None, steps=3)
+    M.save_model(m, str(tmp_path), "run", 1)
+    assert M.load_model(str(tmp_path), "run", 1, M.NewtonModel) == m
+    nothing = M.train_newton(t.where("id < 0"))
+    assert nothing == M.NewtonModel(0.0, (), 0.0)
+    assert {r.prob for r in M.score_batch(nothing, t).collect()} == {0.5, None}
+    with pytest.raises(ValueError, match="2 to 4"):
+        M.train_newton(t.unionByName(spark.createDataFrame([(-1, [1.0], [[1.0]], 1.0, 1.0)], _NEWTON_SCHEMA)))
+    with pytest.raises(ValueError, match="NaN"):
+        M.train_newton(t.unionByName(spark.createDataFrame([(-1, [math.nan, 1.0], [[1.0, 1.0]], 1.0, 1.0)], _NEWTON_SCHEMA)))
+
+
 def test_tokenise_with_caller_tokenizer(spark):
     df = spark.createDataFrame([(1, "ab c"), (2, None)], "id long, t string")
 
