@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from citesight.plans.joins import null_safe_join, split_hot_join
 from citesight.plans.rowindex import pin, with_row_index
-from citesight.plans.selection import first_rows
+from citesight.plans.selection import cells_with, first_rows
 from citesight.functions.columns import with_scalars
 
 _U52 = float(2 ** 52)
@@ -47,9 +47,10 @@ def head_n(df: DataFrame, n: int, order_cols: Sequence = ("id",)) -> DataFrame:
 def _drawn(df: DataFrame, keys: Sequence[str], draws: DataFrame) -> DataFrame:
     """The rows at the drawn positions ``_pos`` of the order ``keys`` (which name a row).
 
-    Only the keys are ordered and numbered; the rows themselves meet the drawn keys, which are broadcast
-    up to a counted bound. A row drawn very often is salted."""
-    ix = with_row_index(df.select(*keys), keys, "_pos")
+    Only keys are ordered and numbered, of few draws only those near a draw (``plans.selection``); the rows
+    themselves meet the drawn keys, which are broadcast up to a counted bound. A row drawn very often is salted."""
+    near, draws = cells_with(df.select(*keys), keys, draws, "_pos")
+    ix = with_row_index(near, keys, "_pos")
     picked = pin(split_hot_join(draws, ix, "_pos").drop("_pos"))
     rows = null_safe_join(df, F.broadcast(picked.select(*keys).distinct()), keys, "left_semi") \
         if picked.count() <= BROADCAST_DRAWS else df

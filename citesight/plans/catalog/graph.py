@@ -364,9 +364,10 @@ def l7(spark, sf):
     return w.select("id", F.posexplode("m").alias("pos", "mask"))
 
 
-@register("l8_neighbour_pad_mask", _G5_NB + """, m AS (SELECT id, len(graph_x) AS n FROM tbl)
-SELECT id, CAST(p AS INTEGER) AS pos, CAST(p < least(n, 3) AS INTEGER) AS mask, CASE WHEN p < n THEN 1 ELSE 0 END AS real_vec
-FROM m, (SELECT unnest(range(0, 3)) AS p)""")
+@register("l8_neighbour_pad_mask", _G5_NB + """, m AS (SELECT id, graph_x, len(graph_x) AS n FROM tbl)
+SELECT id, CAST(p AS INTEGER) AS pos, CAST(p < least(n, 3) AS INTEGER) AS mask, CASE WHEN p < n THEN 1 ELSE 0 END AS real_vec,
+  """ + GX_SQL.format("[CASE WHEN p < n THEN graph_x[p + 1] ELSE list_transform(range(0, 64), lambda i: CAST(0 AS FLOAT)) END]")
+          + """ AS vec_md5 FROM m, (SELECT unnest(range(0, 3)) AS p)""")
 def l8(spark, sf):
     t = g5_table(spark, sf)
     gx, mask = L.neighbour_pad_mask("graph_x", top_k=3, graph_max_len=3, dim=64)
@@ -374,7 +375,7 @@ def l8(spark, sf):
     z = t.select("id", F.posexplode(F.arrays_zip("gx", "mask")).alias("pos", "s"))
     return z.select("id", "pos", F.col("s.mask").alias("mask"),
                     F.when(F.aggregate(F.col("s.gx"), F.lit(0.0), lambda a, v: a + F.abs(v)) > 0, 1)
-                    .otherwise(0).alias("real_vec"))
+                    .otherwise(0).alias("real_vec"), vectors_md5(F.col("s.gx")).alias("vec_md5"))
 
 
 _SPAN = W + """, s AS (SELECT id, referenced_works AS l, len(referenced_works) AS n,

@@ -1,9 +1,10 @@
 """Selection by rank without a global sort.
 
 * ``first_rows``: the first ``n`` rows of a total order.
+* ``cells_with``: the cells of a total order that hold any of some positions.
 * ``quantiles``: exact quantiles of many ranks in many groups.
 
-Both narrow an interval by counting. ``first_rows`` takes pivots from a small
+All narrow an interval by counting. ``first_rows`` takes pivots from a small
 sample, counts the rows between them (map-side combine: a few hundred numbers
 in all) and goes on inside the interval that holds the n-th row, until it is
 short enough to sort; a hundred times fewer rows each round. ``quantiles``
@@ -24,6 +25,8 @@ from citesight.plans.joins import null_safe_join
 from citesight.plans.rowindex import cumulative_sums, pin, with_row_index
 
 PIVOTS, SAMPLE, SHORT = 255, 4_000, 10_000
+#: Pivots of ``cells_with``.
+CELL_PIVOTS = 1_023
 
 
 def _pivots(inside: DataFrame, rows: int, count: int) -> DataFrame:
@@ -40,11 +43,16 @@ def _pivots(inside: DataFrame, rows: int, count: int) -> DataFrame:
         share *= 8
 
 
+def _below(ascending: str, value: str, count: int) -> Column:
+    """How many of at most ``count`` ``ascending`` entries are less than ``value``, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(count.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(
+        (at + s <= F.size(ascending)) & (F.get(ascending, at + s - 1) < F.col(value)), at + s).otherwise(at))
+
+
 def _slot(count: int) -> Column:
     """Where ``_key`` lies among the ascending ``_p``: 2i between pivots i - 1 and i, 2i + 1 on pivot i."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(count.bit_length()))])
-    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(
-        (at + s <= F.size("_p")) & (F.get("_p", at + s - 1) < F.col("_key")), at + s).otherwise(at))
+    below = _below("_p", "_key", count)
     on = F.coalesce(F.get("_p", below) == F.col("_key"), F.lit(False))
     return F.when(on, below * 2 + 1).otherwise(below * 2)
 
@@ -99,6 +107,43 @@ def first_rows(df: DataFrame, order_cols: Sequence, n: int, pivots: int = PIVOTS
     return out
 
 
+def cells_with(df: DataFrame, keys: Sequence[str], wanted: DataFrame, pos: str, pivots: int = CELL_PIVOTS,
+               short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` in those cells of the order ``keys`` that hold a position of ``wanted`` (column ``pos``,
+    counted from 0), and ``wanted`` with its positions counted among these rows alone.
+
+    The order is cut at sampled pivots and the rows of a cell are counted where they lie (at most
+    ``2 * pivots + 1`` numbers), so a later sort moves the cells in question only. A short table, or more positions
+    than cells, are given back as they are. ``keys`` must name a row; ``wanted`` is read three times.
+    """
+    rows = df.count()
+    if rows <= short or wanted.count() > 2 * pivots:
+        return df, wanted
+    keyed = df.withColumn("_key", F.struct(*keys))
+    p = _pivots(keyed, rows, pivots)
+    slots = with_scalars(keyed, p).select(*df.columns, _slot(pivots).alias("_slot"))
+    counts = sorted((r["_slot"], r["count"]) for r in slots.groupBy("_slot").count().collect())
+    ends, total = [], 0  # the last position of each cell
+    for _, n in counts:
+        total += n
+        ends.append(total - 1)
+    spark = df.sparkSession
+    placed = with_scalars(wanted, spark.createDataFrame([(ends,)], "_ends array<long>"))
+    placed = placed.select(*wanted.columns, _below("_ends", pos, len(ends)).alias("_cell"))
+    hit = {r["_cell"] for r in placed.select("_cell").distinct().collect()}
+    less, left_out = [], 0  # rows left out before each cell
+    for cell, (_, n) in enumerate(counts):
+        less.append(left_out)
+        left_out += 0 if cell in hit else n
+    kept = [False] * (2 * pivots + 1)
+    for cell in hit:
+        kept[counts[cell][0]] = True
+    near = with_scalars(slots, spark.createDataFrame([(kept,)], "_kept array<boolean>"))
+    moved = with_scalars(placed, spark.createDataFrame([(less,)], "_less array<long>"))
+    moved = moved.withColumn(pos, F.col(pos) - F.get("_less", F.col("_cell"))).select(*wanted.columns)
+    return near.where(F.get("_kept", F.col("_slot"))).select(*df.columns), moved
+
+
 def quantiles(df: DataFrame, col: str, qs: Sequence[float], group_cols: Sequence[str] = (),
               interpolation: str = "linear", accuracy: int = 1_000, whole: int = 10_000) -> DataFrame:
     """(group..., q0, q1, ...): exact quantiles by position of each group's values; NaN and null left out.

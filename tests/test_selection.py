@@ -12,7 +12,7 @@ from citesight.operators import metrics as E
 from citesight.operators import sampling as B
 from citesight.operators import tokens as K
 from citesight.plans import jobs as J
-from citesight.plans.selection import first_rows, quantiles
+from citesight.plans.selection import cells_with, first_rows, quantiles
 from conftest import SF001
 
 
@@ -52,6 +52,28 @@ def test_heads_exchange_no_full_table(spark):
     assert B.sample_n(df.withColumnRenamed("l_orderkey", "id").dropDuplicates(["id"]), 20, seed=1).count() == 20
 
 
+@pytest.mark.parametrize("at", [[0], [1299, 1299, 0], [640, 655, 655, 641], list(range(0, 1300, 130))])
+def test_cells_with_positions_keep_the_rows_drawn(spark, at):
+    rng = random.Random(5)
+    rows = [(None if i < 30 else i // 40, i) for i in range(1300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "a int, b int").repartition(6)
+    wanted = spark.createDataFrame(list(enumerate(at)), "draw int, p long")
+    near, moved = cells_with(df, ["a", "b"], wanted, "p", pivots=63, short=20)
+    kept = sorted((tuple(r) for r in near.collect()), key=order)
+    full = sorted(rows, key=order)
+    assert [kept[r.p] for r in moved.orderBy("draw").collect()] == [full[p] for p in at]
+    assert len(kept) <= len(set(at)) * 100  # 1300 / 63 rows a cell, with room for uneven pivots
+    assert cells_with(df, ["a", "b"], wanted, "p", short=1300)[0] is df  # a short table as it is
+
+
+def test_draws_do_not_depend_on_the_cells(spark, monkeypatch):
+    df = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("id"), (F.col("id") % 3).alias("v"))
+    a = {(r.draw, r.id, r.v) for r in B.sample_uniform_replace(df, 50, seed=2).collect()}
+    monkeypatch.setattr(B, "cells_with", lambda d, keys, draws, pos: (d, draws))
+    assert len(a) == 50 and a == {(r.draw, r.id, r.v) for r in B.sample_uniform_replace(df, 50, seed=2).collect()}
+
+
 def test_draws_number_keys_only(spark):
     df = spark.range(200).selectExpr("id", "repeat('x', 100) as wide")
     out = B.sample_uniform_replace(df, 50, seed=2)
