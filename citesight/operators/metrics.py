@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from citesight.functions.columns import col, with_scalars
+from citesight.functions.columns import once, col, with_scalars
 from citesight.plans.joins import null_safe_join
 from citesight.plans.rowindex import cumulative_sums, pin, with_next
 from citesight.plans.selection import quantiles
@@ -79,17 +79,19 @@ def sigma_capture(df: DataFrame, y="y", p="pred", sigma="sigma", group_cols=None
 
 def softmax(logits) -> Column:
     """E5: softmax of a logit array."""
-    x = col(logits)
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / s)
+    def shares(e):
+        return once(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda s: F.transform(e, lambda v: v / s))
+
+    def powers(x):
+        return once(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp(v - m)))
+    return once(col(logits), lambda x: once(powers(x), shares))
 
 
 def argmax_class(probs) -> Column:
     """Index of the first maximum (0-based) among the scores that are numbers; null without one."""
     p = F.transform(col(probs), lambda v: F.when(~F.isnan(v.cast("double")), v))
-    return F.nullif(F.array_position(p, F.array_max(p)) - 1, F.lit(-1)).cast("int")
+    at = once(p, lambda q: F.array_position(q, F.array_max(q)) - 1)
+    return once(at, lambda i: F.when(i != -1, i)).cast("int")
 
 
 # ----------------------------------------------------------------- binary rank metrics

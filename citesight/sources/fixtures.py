@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from citesight.functions.columns import with_scalars
+from citesight.functions.columns import once, with_scalars
 
 # Fixed values of the synthetic citation rule: order k cites order k - d for
 # each d below when that order is strictly older. One equi-join on the unique
@@ -122,13 +122,15 @@ def scored_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     # class c gathers the magnitudes of all entries whose index ends in c
     size = F.transform("embedding", lambda v: F.abs(v).cast("double"))
-    e = e.select(F.col("vec_id").alias("id"), F.col("label").alias("y"), size.alias("m"))
-    folded = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda c: F.aggregate(
-        F.filter("m", lambda v, i: i % CLASSES == c), F.lit(0.0), lambda a, v: a + v))
-    e = e.select("id", "y", folded.alias("e"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
-    return e.select("id", "y", total.alias("t"), "e").select(
-        "id", "y", F.transform("e", lambda v: v / F.col("t")).alias("probs"))
+
+    def folded(m):
+        return F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda c: F.aggregate(
+            F.filter(m, lambda v, i: i % CLASSES == c), F.lit(0.0), lambda a, v: a + v))
+
+    def shares(s):
+        return once(F.aggregate(s, F.lit(0.0), lambda a, v: a + v), lambda t: F.transform(s, lambda v: v / t))
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("y"),
+                    once(once(size, folded), shares).alias("probs"))
 
 
 def regressed(spark: SparkSession, sf_dir: str) -> DataFrame:
