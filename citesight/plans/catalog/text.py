@@ -229,7 +229,7 @@ def stream_transform(d):
   ({_L1}) IS NULL AS text_is_null FROM documents""")
 def stream_clean(spark, sf):
     schema = fx.table(spark, sf, "documents").schema
-    src = ST.parquet_stream(spark, sf, schema, glob="documents.parquet")
+    src = ST.parquet_stream(spark, f"{sf}/documents.parquet", schema)  # a file, or a folder of files
     sink, ck = S.scratch_path(spark, "stream-sink"), S.scratch_path(spark, "stream-ckpt")
     ST.run_to_parquet(src, stream_transform, sink, ck)
-    return spark.read.parquet(sink)
+    return spark.read.schema(stream_transform(src).schema).parquet(sink)

@@ -48,6 +48,9 @@ class Folder:
     def has(self, name: str = "") -> bool:
         return self._fs.exists(self._at(f"{self.path}/{name}" if name else self.path))
 
+    def is_file(self) -> bool:
+        return self.has() and self._fs.getFileStatus(self._at(self.path)).isFile()
+
     def names(self) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))] if self.has() else []
 

@@ -12,13 +12,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citesight.sources.staging import Folder
+
 
 def parquet_stream(spark: SparkSession, folder: str, schema, glob: str = "*.par*",
                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """The rows of a folder's files (names by ``glob``), or of one file."""
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    # a stream takes a folder or a pattern: one file goes in as the pattern that only it meets
+    return r.parquet(f"{folder[:-1]}[{folder[-1]}]" if Folder(spark, folder).is_file() else folder)
 
 
 def run_to_parquet(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: str,

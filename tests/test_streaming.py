@@ -25,3 +25,17 @@ def test_stream_cleaning_equals_batch(spark, tmp_path):
     # a restart from the checkpoint finds nothing new and writes nothing twice
     ST.run_to_parquet(ST.parquet_stream(spark, src, df.schema), transform, sink, ck)
     assert spark.read.parquet(sink).count() == 30
+
+
+def test_clean_documents_of_a_file_a_folder_and_no_rows(spark, tmp_path):
+    from citesight.plans.catalog.text import stream_clean
+    rows = [(i, f"Text {i} copyright." if i % 3 == 0 else f"plain text {i}.", "en") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name, some in (("folder", df.repartition(3)), ("none", df.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    want = sorted((i, "en", i % 3 == 0) for i in range(30))
+    for name, rows in (("folder", want), ("file", want), ("none", [])):
+        assert sorted(map(tuple, stream_clean(spark, f"{tmp_path}/{name}").collect())) == rows
