@@ -6,14 +6,16 @@ DuckDB ``WITH`` clause (used by the SQL oracle). The two must agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from citesight.functions.columns import once, with_scalars
 
 # Fixed values of the synthetic citation rule: order k cites order k - d for
-# each d below when that order is strictly older. One equi-join on the unique
-# order key per offset: no pairs within a customer, no hot key.
+# each d below when that order is strictly older. One key per offset: no pairs
+# within a customer, no hot key.
 CITATION_OFFSETS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
+#: Keys of a block of works that is searched for citations at a time.
+KEY_BLOCK = 2_048
 
 #: Classes of the scored multi-class fixture.
 CLASSES = 10
@@ -34,36 +36,62 @@ def keyed(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return table(spark, sf_dir, name).repartition(shuffle_partitions(spark), key)
 
 
-def citation_fixture_edges(orders: DataFrame) -> DataFrame:
-    """(id, ref, citing_date): the synthetic citation graph of the orders table."""
-    o = orders.select(F.col("o_orderkey").alias("id"),
-                      F.col("o_orderdate").cast("date").alias("d"))
-    cand = o.select("id", "d", F.explode(F.array(*[F.lit(x) for x in CITATION_OFFSETS])).alias("off"))
-    cand = cand.select("id", "d", (F.col("id") - F.col("off")).alias("ref"))
+def citations_by_work(orders: DataFrame) -> DataFrame:
+    """(id, referenced_works, counts_by_year_years, counts_by_year_counts, _cited) of the synthetic citation graph
+    of the orders table; null lists and 0 where there is nothing.
+
+    A work's references and citers lie within the largest offset of its key, so works are dealt by blocks of keys,
+    those near a block's ends to the neighbouring block too, and each offset is a range frame of one key: the
+    edges are never exchanged. Rows of one key are all met, as by a join.
+    """
+    o = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"))
     # every third work also cites the oldest one: a hub that holds far more than a fair share of edges
     hub = o.agg(F.min(F.struct("d", "id"))["id"].alias("hub"))
-    third = with_scalars(o.where(F.col("id") % 3 == 0), hub)
-    third = third.where(~(F.col("id") - F.col("hub")).isin(*CITATION_OFFSETS))
-    cand = cand.unionByName(third.select("id", "d", F.col("hub").alias("ref")))
-    tgt = o.select(F.col("id").alias("ref"), F.col("d").alias("ref_d"))
-    return (cand.join(tgt, "ref").where(F.col("ref_d") < F.col("d"))
-            .select("id", "ref", F.col("d").alias("citing_date")))
+    days = with_scalars(o, hub).where(F.col("id") == F.col("hub")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    days = days.agg(F.collect_list(F.struct("d", "n")).alias("hub_days"))  # no more than the calendar has
+    known = with_scalars(with_scalars(o, hub), days)
+    cites_hub = (F.col("id") % 3 == 0) & ~(F.col("id") - F.col("hub")).isin(*CITATION_OFFSETS)
+    older = F.filter("hub_days", lambda x: x["d"] < F.col("d"))
+    n_hub = F.aggregate(older, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    hub_years = known.where(cites_hub).groupBy(F.year("d").alias("y")).agg(F.sum(n_hub).alias("n")).where("n > 0")
+    hub_years = hub_years.agg(F.collect_list(F.struct("y", "n")).alias("hub_years"))  # no more than the calendar has
+
+    inside, reach = F.pmod(F.col("id"), F.lit(KEY_BLOCK)), max(CITATION_OFFSETS)
+    block = F.col("id") - inside
+    copies = F.filter(F.array(block, F.when(inside < reach, block - KEY_BLOCK),
+                              F.when(inside >= KEY_BLOCK - reach, block + KEY_BLOCK)), lambda b: b.isNotNull())
+    near = o.where("id IS NOT NULL").select("id", "d", F.posexplode(copies).alias("_copy", "_block"))
+    by_key = Window.partitionBy("_block").orderBy("id")
+
+    def at(k):
+        return F.collect_list("d").over(by_key.rangeBetween(k, k))
+    met = near.select("id", "d", "_copy", "_block", *[at(-k).alias(f"_r{k}") for k in CITATION_OFFSETS],
+                      *[at(k).alias(f"_c{k}") for k in CITATION_OFFSETS]).where("_copy = 0")
+    refs = [F.array_repeat(F.col("id") - k, F.size(F.filter(f"_r{k}", lambda r: r < F.col("d")))) for k in CITATION_OFFSETS]
+    years = [F.transform(F.filter(f"_c{k}", lambda c: c > F.col("d")), lambda c: F.year(c)) for k in CITATION_OFFSETS]
+    met = with_scalars(with_scalars(met, hub), days)
+    refs.append(F.when(cites_hub, F.array_repeat("hub", n_hub.cast("int"))).otherwise(F.array().cast("array<long>")))
+    # a key's rows share a block: no exchange
+    per = met.select("id", "_block", F.concat(*refs).alias("r"), F.concat(*years).alias("y")).groupBy("_block", "id").agg(
+        F.array_sort(F.flatten(F.collect_list("r"))).alias("r"), F.array_sort(F.flatten(F.collect_list("y"))).alias("y"))
+    per = with_scalars(with_scalars(per, hub), hub_years)
+    more = F.when(F.col("id") == F.col("hub"), F.col("hub_years")).otherwise(F.array().cast("array<struct<y:int,n:bigint>>"))
+    per = per.select("id", "r", "y", more.alias("more"))
+    all_years = F.array_sort(F.array_union("y", F.transform("more", lambda x: x["y"])))
+    series = F.transform(all_years, lambda y: F.struct(y.alias("y"), F.aggregate(
+        F.filter("more", lambda x: x["y"] == y), F.size(F.filter("y", lambda v: v == y)).cast("long"),
+        lambda a, x: a + x["n"]).alias("n")))
+    per = per.select("id", "r", series.alias("s"))
+    cited, cites = F.size("s") > 0, F.size("r") > 0
+    return per.select("id", F.when(cites, F.col("r")).alias("referenced_works"),
+                      F.when(cited, F.transform("s", lambda x: x["y"])).alias("counts_by_year_years"),
+                      F.when(cited, F.transform("s", lambda x: x["n"])).alias("counts_by_year_counts"),
+                      F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("_cited"))
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus table: one row per work (an order), see FIXTURES.md §3."""
-    edges = citation_fixture_edges(table(spark, sf_dir, "orders"))
-    refs = edges.groupBy("id").agg(F.array_sort(F.collect_list("ref")).alias("referenced_works"))
-    cites = (edges.groupBy(F.col("ref").alias("id"), F.year("citing_date").alias("y"))
-             .agg(F.count(F.lit(1)).alias("n")))
-    series = (cites.groupBy("id")
-              .agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("_s"),
-                   F.sum("n").alias("_cited"))
-              .select("id",
-                      F.transform("_s", lambda x: x["y"]).alias("counts_by_year_years"),
-                      F.transform("_s", lambda x: x["n"]).alias("counts_by_year_counts"),
-                      "_cited"))
-    w = works_alone(spark, sf_dir).join(refs, "id", "left").join(series, "id", "left")
+    w = works_alone(spark, sf_dir).join(citations_by_work(table(spark, sf_dir, "orders")), "id", "left")
     return w.select("id", "publication_date", F.coalesce("_cited", F.lit(0)).cast("bigint").alias("cited_by_count"),
                     "referenced_works", "counts_by_year_years", "counts_by_year_counts", *WORK_COLS)
 

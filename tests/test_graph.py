@@ -156,3 +156,42 @@ def test_rolling_topk_joins_blocks_not_candidates(spark):
     text = G.rolling_lists(df, "c", "s", "id", 3, 30, -30)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in text.splitlines() if re.search(r"\bJoin\b", x)]
     assert len(joins) == 1 and "_b#" in joins[0]  # one row per (category, block) on either side
+
+
+def test_works_cite_across_blocks_keys_and_nulls_without_exchanging_edges(spark):
+    # repeated, negative, sparse and missing keys, missing dates, the ends of the key blocks
+    import random
+    import tempfile
+    from collections import Counter, defaultdict
+    from citesight.sources import fixtures as fx
+    r, path = random.Random(5), tempfile.mkdtemp(prefix="citesight-test-")
+    keys = [r.choice([r.randrange(-2200, -1900), r.randrange(0, 250), r.randrange(2000, 2150), r.randrange(10**12), None]) for _ in range(1200)]
+    orders = [(k, 1, None if r.random() < .05 else d(1990) + dt.timedelta(days=r.randrange(2000)), "a", "F", 1.0) for k in keys]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string, o_orderstatus string, "
+                          "o_totalprice double").repartition(5).write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(1, "m", 1)], "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{path}/customer.parquet")
+    for t in ("embeddings", "documents"):
+        spark.range(3).write.parquet(f"{path}/{t}.parquet")
+    day = defaultdict(list)
+    for o in orders:
+        day[o[0]].append(o[2])
+    hub = min(((o[2] is not None, o[2] or d(1), o[0] is not None, o[0] or 0) for o in orders))
+    hub = hub[3] if hub[2] else None
+    refs, years = defaultdict(list), defaultdict(Counter)
+    for k, _, when, *_ in orders:
+        if k is None or when is None:
+            continue
+        cited = [k - x for x in fx.CITATION_OFFSETS]
+        if hub is not None and k % 3 == 0 and k - hub not in fx.CITATION_OFFSETS:
+            cited.append(hub)
+        for ref in cited:
+            for other in day.get(ref, ()):
+                if other is not None and other < when:
+                    refs[k].append(ref)
+                    years[ref][when.year] += 1
+    w = fx.works(spark, path)
+    got = Counter((x.id, tuple(x.referenced_works or ()), tuple(zip(x.counts_by_year_years or (), x.counts_by_year_counts or ())),
+                   x.cited_by_count) for x in w.collect())
+    assert got == Counter((k, tuple(sorted(refs[k])), tuple(sorted(years[k].items())), sum(years[k].values())) for k in keys)
+    plan = fx.citations_by_work(fx.table(spark, path, "orders"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(_block") == 1
