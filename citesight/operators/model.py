@@ -105,11 +105,11 @@ def _newton_sums(beta: list[float]):
 
 
 def train_newton(table: DataFrame, label: str = "label", weight: str | None = "weight", steps: int = 8,
-                 reg: float = 0.01) -> NewtonModel:
+                 reg: float = 0.01, staged: bool = False) -> NewtonModel:
     """M1: weighted logistic regression by ``steps`` Newton steps from zero weights.
 
     Minimises ``sum(w * log loss) / sum(w) + reg / 2 * |weights|^2`` (the intercept is free). A step reads
-    the staged features once; each task sends the sums of its rows, (features + 1) * (features + 2) numbers
+    the features once, which are staged first unless the caller says that ``table`` is ``staged``; each task sends the sums of its rows, (features + 1) * (features + 2) numbers
     whatever the rows, the executors add them up and the driver solves one system of that size. Rows
     without label, weight (NaN counts as none) or features take no part; no rows give zero weights. A feature
     vector of another width, or a feature that is NaN or infinite, is an error. ``last_step`` of the model tells how far it has
@@ -117,8 +117,9 @@ def train_newton(table: DataFrame, label: str = "label", weight: str | None = "w
     """
     import numpy as np
     ship_package(table.sparkSession)
-    rows = stage_table(table.select(feature_array().alias("x"), F.col(label).cast("double").alias("y"),
-                                    (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).dropna())
+    rows = table.select(feature_array().alias("x"), F.col(label).cast("double").alias("y"),
+                                    (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).dropna()
+    rows = rows if staged else stage_table(rows)
     known = rows.agg(F.min(F.size("x")).alias("lo"), F.max(F.size("x")).alias("hi"), F.sum("w").alias("w")).first()
     if known["hi"] is None:
         return NewtonModel(0.0, (), 0.0)

@@ -459,23 +459,25 @@ FIT_SQL = ("WITH RECURSIVE train AS MATERIALIZED (" + labelled_sql("1996-01-01",
 PROB_SQL = "1 / (1 + exp(-list_dot_product(list_concat([CAST(1.0 AS DOUBLE)], f), b)))"
 
 
-def _labelled(spark, sf, spec):
-    t = G.neighbourhood_table(graph_corpus(spark, sf), spec)
-    t = t.withColumn("label", L.label_threshold(F.col("y")[0], 2).cast("double"))
+def _labelled(corpus, spec):
+    """(id, label, weight, x, graph_x) of a window's rows, staged once in the shared folder: class counts and the
+    optimizer's passes read it, not the join plan. The neighbours' mean stands for the neighbours, whose mean it is."""
+    t = G.neighbourhood_table(corpus, spec)
+    t = S.stage_table(t.select("id", L.label_threshold(F.col("y")[0], 2).cast("double").alias("label"), "x",
+                               F.array(M.neighbour_mean()).alias("graph_x")))
     # class-balance weights: total / (classes * class count), one grouped count joined back
     cnt = t.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
     tot = cnt.agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_k"))
     w = with_scalars(cnt, tot).select("label", (F.col("_t") / (F.col("_k") * F.col("_c"))).alias("weight"))
-    # staged in the shared folder: the optimizer's passes read it, not the join plan
-    return S.stage_table(t.join(F.broadcast(w), "label"))
+    return t.join(F.broadcast(S.stage_table(w)), "label")  # a row per class
 
 
 @register("m1_train_window", FIT_SQL + f"""
 SELECT y AS label, count(*) AS examples, round(avg(prob), 6) AS mean_prob FROM (
   SELECT y, {PROB_SQL} AS prob FROM train, fitted) GROUP BY y""")
 def m1(spark, sf):
-    train = _labelled(spark, sf, SPEC_TRAIN)
-    scored = M.score_batch(M.train_newton(train, steps=NEWTON_STEPS), train, keep=("id", "label"))
+    train = _labelled(graph_corpus(spark, sf), SPEC_TRAIN)
+    scored = M.score_batch(M.train_newton(train, steps=NEWTON_STEPS, staged=True), train, keep=("id", "label"))
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("examples"), r6(F.avg("prob")).alias("mean_prob"))
 
 
@@ -484,8 +486,9 @@ val AS (""" + labelled_sql("1999-01-01", "2000-01-01") + f""")
 SELECT id, label, round(prob, 6) AS prob, CAST(prob > 0.5 AS INTEGER) AS pred FROM (
   SELECT id, y AS label, {PROB_SQL} AS prob FROM val, fitted)""")
 def m2(spark, sf):
-    model = M.train_newton(_labelled(spark, sf, SPEC_TRAIN), steps=NEWTON_STEPS)
-    scored = M.score_batch(model, _labelled(spark, sf, SPEC_VAL), keep=("id", "label"))
+    corpus = graph_corpus(spark, sf)
+    model = M.train_newton(_labelled(corpus, SPEC_TRAIN), steps=NEWTON_STEPS, staged=True)
+    scored = M.score_batch(model, _labelled(corpus, SPEC_VAL), keep=("id", "label"))
     return scored.withColumn("prob", r6("prob"))
 
 
@@ -497,10 +500,11 @@ _M3 = _GC.format(pred=" AND w.cited_by_count >= 1 AND len(w.referenced_works) >=
 FROM e2 WHERE cat_match""")
 def m3(spark, sf):
     # a loaded model gives every row of the next window exactly the score of the fitted one
-    model = M.train_window(_labelled(spark, sf, SPEC_TRAIN))
+    corpus = graph_corpus(spark, sf)
+    model = M.train_window(_labelled(corpus, SPEC_TRAIN))
     root = S.scratch_path(spark, "models")
     M.save_model(model, root, "run0", 1)
-    val = _labelled(spark, sf, SPEC_VAL)
+    val = _labelled(corpus, SPEC_VAL)
     a = M.score_batch(model, val, keep=("id",))
     b = M.score_batch(M.load_model(root, "run0", 1), val, keep=("id",)).select("id", F.col("prob").alias("again"))
     return a.join(b, "id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prob") == F.col("again")).alias("equal_scores"))

@@ -204,6 +204,6 @@ SELECT window_start, {scoring.PIVOT}, max(examples) AS examples, CAST(0 AS DOUBL
   SELECT m.window_start, m.metric, m.score, m.weight AS examples FROM mrows m) GROUP BY window_start""")
 def windowed_evaluation(spark, sf):
     corpus = graph.graph_corpus(spark, sf)
-    model = M.train_newton(graph._labelled(spark, sf, graph.SPEC_TRAIN), steps=graph.NEWTON_STEPS)
+    model = M.train_newton(graph._labelled(corpus, graph.SPEC_TRAIN), steps=graph.NEWTON_STEPS, staged=True)
     spec = G.GraphSpec(top_k=3, predicate="cited_by_count >= 1 AND size(referenced_works) >= 5")
     return J.windowed_evaluation(corpus, spec, model, "1999-01-01")
