@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesight.session import ensure_checkpoint_dir
+from citesight.session import ensure_checkpoint_dir, shuffle_partitions
 
 #: Plan nodes and functions that run code which the plan's text does not show.
 OPAQUE = re.compile(r"Python|Pandas|Arrow|LocalRelation|LogicalRDD|ExternalRDD|ScalaUDF|MapPartitions")
@@ -118,8 +118,9 @@ def write_sized_chunks(chunks: DataFrame, path: str, rows_per_file: int, part: s
                        compression: str = "zstd", level: int = 1) -> bool:
     """S4 with files of bounded size: each chunk in files of ``rows_per_file`` rows, the last one shorter.
 
-    ``chunks`` comes from ``ordered_chunks(..., keep_index=True)``. Each file is one task's work: the
-    rows go to the task that their position names, so no chunk has more files than its rows need. A
+    ``chunks`` comes from ``ordered_chunks(..., keep_index=True)``. A task writes a run of whole files: the
+    rows go to the task that their file's number names, sorted by position, and the writer begins a file
+    every ``rows_per_file`` rows, so no chunk has more files than its rows need. A
     manifest beside the chunks holds the run's fingerprint and, per file, rows, bytes and the range of
     positions; a rerun on the same rows finds it and writes nothing (False).
     """
@@ -134,9 +135,11 @@ def write_sized_chunks(chunks: DataFrame, path: str, rows_per_file: int, part: s
     for number, start, n in plan:
         place = F.when(F.col(part) == number, F.lit(files) + F.floor((F.col(idx) - start) / rows_per_file)).otherwise(place)
         files += -(-n // rows_per_file)
-    (chunks.withColumn("_file", place.cast("int")).repartitionById(max(files, 1), F.col("_file"))
-     .sortWithinPartitions(part, idx).drop("_file").write.partitionBy(part).option("compression", compression)
-     .option("parquet.compression.codec.zstd.level", str(level)).parquet(path))
+    run = -(-max(files, 1) // shuffle_partitions(spark)) if files > shuffle_partitions(spark) else 1  # files of a task
+    task = F.floor(place / run).cast("int")
+    (chunks.withColumn("_task", task).repartitionById(-(-max(files, 1) // run), F.col("_task"))
+     .sortWithinPartitions(part, idx).drop("_task").write.partitionBy(part).option("compression", compression)
+     .option("maxRecordsPerFile", rows_per_file).option("parquet.compression.codec.zstd.level", str(level)).parquet(path))
     seen = spark.read.parquet(path).groupBy(part, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
     seen = seen.agg(F.count(F.lit(1)).alias("rows"), F.min(idx).alias("first"), F.max(idx).alias("last"))
     seen.coalesce(1).write.parquet(f"{path}/_manifest/run={name or uuid.uuid4().hex}")

@@ -64,3 +64,16 @@ def test_sized_chunks_manifest_and_footers(spark):
     plan = T._footers(spark, out, "part")._jdf.queryExecution().executedPlan().toString()
     assert "PushedAggregation: [COUNT(*)]" in plan and "PushedGroupBy: [part]" in plan
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(103))
+
+
+def test_a_task_writes_many_sized_files(spark):
+    src, out = folder() + "/in", folder() + "/out"
+    spark.range(0, 1030, 1, 5).write.parquet(src)
+    chunks = S.ordered_chunks(spark.read.parquet(src), ["id"], 4, keep_index=True)  # 258, 258, 258 and 256 rows
+    assert T.write_sized_chunks(chunks, out, 10)
+    rows = sorted(T.manifest(spark, out).select("part", "first", "last", "rows").collect())
+    assert [r.rows for r in rows] == ([10] * 25 + [8]) * 3 + [10] * 25 + [6]
+    assert [r.first for r in rows] == [258 * p + 10 * i for p in range(4) for i in range(26)]
+    assert all(r.last - r.first == r.rows - 1 for r in rows)
+    tasks = {f.split("-")[1] for p in range(4) for f in os.listdir(f"{out}/part={p}") if f.endswith(".parquet")}
+    assert len(tasks) <= 8  # the session's shuffle partitions; 104 files had 104 tasks
