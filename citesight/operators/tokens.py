@@ -30,7 +30,7 @@ SPECIALS = ["<pad>", "<bos>", "<eos>", "<unk>"]
 SPLIT_PATTERN = "[^\\p{L}\\p{N}]+"
 #: Largest tables that are broadcast, by their counted bytes in memory.
 BROADCAST_VOCAB_BYTES = 256 << 20
-BROADCAST_VECTOR_BYTES = 512 << 20
+BROADCAST_VECTOR_BYTES = 64 << 20
 #: A word of share p of the corpus weighs ``a / (a + p)`` in the default encoder.
 WORD_SMOOTHING = 1e-3
 #: Rounds of power iteration for the component that the encoder takes out.
@@ -247,13 +247,15 @@ def embed_batch(df: DataFrame, text_col: str, out: str | None = None, encoder_fa
 
 def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame, dim: int,
               pad: int = PAD, vocab: DataFrame | None = None,
-              broadcast_bytes: int = BROADCAST_VECTOR_BYTES) -> DataFrame:
+              broadcast_bytes: int = BROADCAST_VECTOR_BYTES,
+              slot: Callable[[Column], Column] | None = None) -> DataFrame:
     """K5: masked mean of token vectors per row (pad excluded, denominator clamped at 1e-9:
     a row without real tokens gets the zero vector).
 
     A row's mean follows from its token list: rows that share an id or have none keep their own.
 
-    ``vectors``: (token_id, vec array<float>). The mean is ``Summarizer.mean``
+    ``vectors``: (token_id, vec array<float>), where ``slot`` is given by the number that it makes of a token's
+    id: a table that many tokens share stays as small as it is. The mean is ``Summarizer.mean``
     (a JVM aggregate with partial aggregation), grouped by a digest of the list. ``vocab``
     (token_id, count) names the frequent tokens for the skew split.
     """
@@ -263,6 +265,9 @@ def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFram
     lists = rows.groupBy("_key").agg(F.first(tokens_col).alias("_t"), F.count(F.lit(1)).alias("_rows"))
     # repeated words of a list carry one vector with a weight (grouping stays in the list's partition)
     t = lists.select("_key", F.explode("_t").alias("token_id")).where(F.col("token_id") != pad)
+    if slot is not None:
+        t = t.withColumn("token_id", slot(F.col("token_id")))
+        vocab = None  # its counts are the words', not the slots'
     t = t.groupBy("_key", "token_id").agg(F.count(F.lit(1)).cast("double").alias("_w"))
     v = vectors.select("token_id", array_to_vector("vec").alias("v"))
     if vectors.count() * (dim * 8 + ENTRY_BYTES) <= broadcast_bytes:

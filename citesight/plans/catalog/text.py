@@ -188,14 +188,12 @@ def k4_hashed(spark, sf):
     return _embedding_rows(K.embed_hashed(d, "to_embed", "embedding", dim=64))
 
 
-def token_vectors(spark, sf, vocab):
-    """Token id -> vector of ``embeddings`` row ``token_id % rows`` (the token vector table of K5)."""
+def token_vectors(spark, sf):
+    """The token vector table of K5 and a token's row in it: ``embeddings`` row ``token_id % rows``."""
     e = fx.table(spark, sf, "embeddings")
     n = e.agg(F.count(F.lit(1)).alias("_n"))
-    v = vocab.select("token_id")
-    specials = spark.createDataFrame([(i,) for i in range(len(K.SPECIALS))], "token_id long")
-    ids = with_scalars(v.unionByName(specials), n)
-    return ids.join(e, (F.col("token_id") % F.col("_n")) == e.vec_id).select("token_id", F.col("embedding").alias("vec"))
+    return (e.select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec")),
+            lambda token: token % n.scalar())
 
 
 @register("k5_mean_pool", _VOCAB + """, n AS (SELECT count(*) AS n FROM embeddings),
@@ -206,7 +204,8 @@ SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS value FROM dims
 def k5(spark, sf):
     v = _vocab(spark, sf)
     t = _tokens(spark, sf, v)
-    m = K.mean_pool(t, "doc_id", "text_tokens", token_vectors(spark, sf, v), dim=64, vocab=v)
+    vectors, slot = token_vectors(spark, sf)
+    m = K.mean_pool(t, "doc_id", "text_tokens", vectors, dim=64, slot=slot)
     return m.select("doc_id", F.posexplode("mean_vec").alias("dim", "value")).select(
         "doc_id", "dim", F.round("value", 6).alias("value"))
 
@@ -214,7 +213,6 @@ def k5(spark, sf):
 # ---------------------------------------------------------------- streaming
 from citesight.sources import io as S  # noqa: E402
 from citesight.streaming import stream as ST  # noqa: E402
-from citesight.functions.columns import with_scalars
 
 
 def stream_transform(d):

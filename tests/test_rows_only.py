@@ -259,3 +259,23 @@ def test_length_feature_rejects_other_types(spark):
     df = spark.createDataFrame([(1, 2.0)], "id long, v double")
     with pytest.raises(TypeError):
         P.length_feature(df, ["v"])
+
+
+def test_mean_pool_of_shared_vectors(spark):
+    # three vectors for seven tokens: the pad is left out by its token, not by its slot
+    toks = spark.createDataFrame([(1, [1, 3, 4, 6, 0]), (2, [0, 0]), (3, [5, 5, 2])], "id long, toks array<long>")
+    vec = spark.createDataFrame([(0, [3.0, 0.0]), (1, [0.0, 6.0]), (2, [1.0, 1.0])], "token_id long, vec array<float>")
+    for bound in (0, K.BROADCAST_VECTOR_BYTES):
+        got = {r.id: r.mean_vec for r in K.mean_pool(toks, "id", "toks", vec, 2, broadcast_bytes=bound, slot=lambda t: t % 3).collect()}
+        assert got == {1: [1.5, 3.0], 2: [0.0, 0.0], 3: [1.0, 1.0]}
+
+
+def test_pooled_vectors_are_read_as_many_as_there_are(spark):
+    # the table that K5 broadcasts has a row per vector, not per word of the corpus
+    import tempfile
+    from citesight.plans.catalog.text import token_vectors
+    path = tempfile.mkdtemp(prefix="citesight-test-")
+    spark.createDataFrame([(i, [float(i)] * 2) for i in range(3)], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    vectors, slot = token_vectors(spark, path)
+    assert vectors.count() == 3
+    assert [r.s for r in spark.range(7).select("id", slot(F.col("id")).alias("s")).orderBy("id").collect()] == [0, 1, 2, 0, 1, 2, 0]
