@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesight.plans.joins import hot_from_counts, split_hot_join
-from citesight.functions.columns import with_scalars
+from citesight.functions.columns import once
 from citesight.plans.rowindex import pin, with_row_index
 from citesight.session import shuffle_partitions
 
@@ -31,6 +31,7 @@ SPLIT_PATTERN = "[^\\p{L}\\p{N}]+"
 #: Largest tables that are broadcast, by their counted bytes in memory.
 BROADCAST_VOCAB_BYTES = 256 << 20
 BROADCAST_VECTOR_BYTES = 64 << 20
+BROADCAST_WORD_BYTES = 64 << 20
 #: A word of share p of the corpus weighs ``a / (a + p)`` in the default encoder.
 WORD_SMOOTHING = 1e-3
 #: Rounds of power iteration for the component that the encoder takes out.
@@ -106,43 +107,84 @@ def assemble_text(df: DataFrame, cols: Sequence[str], out: str = "to_embed", bos
         out, F.concat(F.lit(bos), F.concat_ws(eos + bos, *[F.col(c) for c in cols]), F.lit(eos)))
 
 
+def _place_and_sign(word: Column, dim: int) -> tuple[Column, Column]:
+    """A word's place among ``dim`` and its sign, both from its MD5; null for no word."""
+    digest = F.md5(word.cast("binary"))
+    return ((F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim).cast("int"),
+            F.when(word.isNotNull(), F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)))
+
+
+def _split_words(text: str) -> Column:
+    """The pieces that ``words`` filters: empty ones stay, so that a text has at least one."""
+    return F.split(F.lower(F.col(text)), SPLIT_PATTERN)
+
+
+def _by_frequency(weights: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent words, by powers of two of their counts as far as ``most_bytes`` of memory hold them,
+    and the others (none where all fit)."""
+    power = F.floor(F.log2("count"))
+    sizes = weights.groupBy(power.alias("b")).agg(F.sum(F.octet_length("token") + ENTRY_BYTES).alias("bytes")).collect()  # a row per bit
+    least, left = 64, most_bytes
+    for b, size in sorted(sizes, reverse=True):
+        if size > left:
+            return weights.where(power >= least), weights.where(power < least)
+        least, left = b, left - size
+    return weights, None
+
+
 def _word_sums(keyed: DataFrame, text_col: str, dim: int, weights: DataFrame | None = None,
-               broadcast_bytes: int = BROADCAST_VOCAB_BYTES) -> DataFrame:
+               broadcast_bytes: int = BROADCAST_WORD_BYTES) -> DataFrame:
     """(_key, _n, p, s): per distinct text, with the number of its rows, the sum of its words' signs at
     each of ``dim`` places, times the words' weights if given (a word without one weighs 1).
 
-    A word's place and sign come from its MD5. A text without words has one row without a place. Words stay
-    in their text's partition where the weights are broadcast; beyond the byte bound frequent words are salted.
+    A weighted word's place and sign are worked out once, not for every occurrence. A text without words has
+    one row without a place. The weights of the frequent words are broadcast, within the byte bound, and their
+    occurrences stay in their text's partition; only the words that were not met there, once per text, go to
+    the other weights, salted where they are frequent all the same.
     """
     texts = keyed.groupBy("_key").agg(F.first(text_col, ignorenulls=True).alias("_text"), F.count(F.lit(1)).alias("_n"))
-    toks = texts.select("_key", "_n", F.explode_outer(words("_text")).alias("w"))
-    weight = F.lit(1.0)
-    if weights is not None:
-        size = weights.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0  # one number
-        named = weights.withColumnRenamed("token", "w")
-        if size <= broadcast_bytes:
-            toks = toks.join(F.broadcast(named.select("w", "weight")), "w", "left")
-        else:
-            toks = split_hot_join(toks, named.select("w", "weight"), "w", "left", hot=hot_from_counts(named, "w"))
-        weight = F.coalesce("weight", F.lit(1.0))
-    digest = F.md5(F.col("w").cast("binary"))
-    place = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
-    return (toks.select("_key", "_n", place.alias("p"), (sign * weight).alias("s"))
-            .groupBy("_key", "_n", "p").agg(F.sum(F.when(F.col("p").isNotNull(), F.col("s"))).alias("s")))
+    toks = texts.select("_key", "_n", F.explode_outer(_split_words("_text")).alias("w")).withColumn("w", F.nullif("w", F.lit("")))
+    place, sign = _place_and_sign(F.col("w"), dim)
+    if weights is None:
+        return toks.select("_key", "_n", place.alias("p"), sign.alias("s")).groupBy("_key", "_n", "p").agg(F.sum("s").alias("s"))
+
+    def known(part: DataFrame) -> DataFrame:
+        return part.withColumnRenamed("token", "w").select("w", place.alias("_p"), (sign * F.col("weight")).alias("_s"))
+    common, rare = _by_frequency(weights, broadcast_bytes)
+    toks = toks.join(F.broadcast(known(common)), "w", "left")
+    if rare is None:
+        toks = toks.select("_key", "_n", F.coalesce("_p", place).alias("p"), F.coalesce("_s", sign).alias("s"))
+        return toks.groupBy("_key", "_n", "p").agg(F.sum("s").alias("s"))
+    met = pin(toks.groupBy("_key", "_n", F.col("_p").alias("p"), F.when(F.col("_p").isNull(), F.col("w")).alias("w")).agg(
+        F.sum("_s").alias("s"), F.count(F.lit(1)).alias("_times")))
+    others = split_hot_join(met.where("w IS NOT NULL").select("_key", "_n", "w", "_times"), known(rare), "w", "left",
+                            hot=hot_from_counts(rare.withColumnRenamed("token", "w"), "w"))
+    others = others.select("_key", "_n", F.coalesce("_p", place).alias("p"), (F.coalesce("_s", sign) * F.col("_times")).alias("s"))
+    both = met.where("w IS NULL").select("_key", "_n", "p", "s").unionByName(others)
+    return (both.repartition(shuffle_partitions(keyed.sparkSession), "_key")
+            .groupBy("_key", "_n", "p").agg(F.sum("s").alias("s")))
+
+
+def _text_vectors(keyed: DataFrame, text_col: str, dim: int, weights: DataFrame | None = None) -> DataFrame:
+    """(_key, _n, v): per distinct text the sums of ``_word_sums`` as a vector of length 1, or of zeros where
+    there is nothing to sum. Staged, as every user reads it more than once."""
+    sums = _word_sums(keyed, text_col, dim) if weights is None else _word_sums(keyed, text_col, dim, weights)
+    rows = sums.groupBy("_key", "_n").agg(
+        F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "s"))).alias("m"),
+        F.sqrt(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0))).alias("norm"))
+    at = F.sequence(F.lit(0), F.lit(dim - 1))
+    # the map is built once per text, not per place
+    unit = once(F.map_from_entries("m"), lambda m: F.transform(
+        at, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)) / F.col("norm")))
+    return pin(rows.select("_key", "_n", F.when(F.col("norm") > 1e-9, unit).otherwise(F.array_repeat(F.lit(0.0), dim)).alias("v")))
 
 
 def _text_key(text_col: str) -> Column:
-    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
-def _places(dim: int, value: Callable[[Column], Column]) -> Column:
-    """The array of ``value(i)`` over the places; ``m`` holds the sums by place."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
 
-
-def _by_place() -> Column:
-    return F.map_from_entries(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "s")))).alias("m")
+def _dot(u: Sequence[float]) -> Column:
+    return F.aggregate(F.zip_with("v", F.lit(list(u)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
 
 def _attach(keyed: DataFrame, vectors: DataFrame, out: str) -> DataFrame:
@@ -158,10 +200,7 @@ def embed_hashed(df: DataFrame, text_col: str, out: str | None = None, dim: int
     """
     out = out or f"{text_col}_embedding"
     keyed = df.withColumn("_key", _text_key(text_col))
-    rows = _word_sums(keyed, text_col, dim).groupBy("_key", "_n").agg(
-        _by_place(), F.sqrt(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0))).alias("norm"))
-    vec = _places(dim, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest("norm", F.lit(1e-9)))
-    return _attach(keyed, rows.select("_key", "_n", vec.alias(out)), out)
+    return _attach(keyed, _text_vectors(keyed, text_col, dim).withColumnRenamed("v", out), out)
 
 
 @dataclass(frozen=True)
@@ -177,6 +216,33 @@ class TextEncoder:
         return len(self.component)
 
 
+def _word_weights(df: DataFrame, text_col: str, smoothing: float) -> DataFrame:
+    counts = pin(df.select(F.explode(_split_words(text_col)).alias("token")).where("token <> ''")
+                 .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
+    total = counts.agg(F.sum("count")).first()[0]  # one number
+    share = F.col("count") / F.lit(total)
+    return counts.select("token", "count", (F.lit(smoothing) / (F.lit(smoothing) + share)).alias("weight"))
+
+
+def _first_component(rows: DataFrame, dim: int, steps: int) -> list[float]:
+    u = [dim ** -0.5] * dim
+    for _ in range(steps):
+        # the product with u is worked out once per text, not per place
+        along = once(F.col("_n") * _dot(u), lambda d: F.transform("v", lambda x: d * x))
+        moments = rows.select(F.posexplode(along).alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x"))
+        got = dict(moments.collect())  # dim numbers
+        norm = math.sqrt(math.fsum(x * x for x in got.values()))
+        u = [got.get(i, 0.0) / norm if norm > 0 else 0.0 for i in range(dim)]
+    return u
+
+
+def _fit(keyed: DataFrame, text_col: str, dim: int, smoothing: float, steps: int) -> tuple[TextEncoder, DataFrame]:
+    """The encoder, and the staged vectors of the texts that it was fitted on."""
+    weights = _word_weights(keyed, text_col, smoothing)
+    rows = _text_vectors(keyed, text_col, dim, weights)
+    return TextEncoder(weights, _first_component(rows, dim, steps)), rows
+
+
 def fit_encoder(df: DataFrame, text_col: str, dim: int = 64, smoothing: float = WORD_SMOOTHING,
                 steps: int = POWER_STEPS) -> TextEncoder:
     """K4: fit the default encoder on a corpus: frequency-weighted word vectors and their first component.
@@ -186,49 +252,28 @@ def fit_encoder(df: DataFrame, text_col: str, dim: int = 64, smoothing: float =
     on the second moments of all rows' vectors, from the all-equal unit vector: a round is one aggregate of
     ``dim`` sums over the staged vectors, and only these ``dim`` numbers reach the driver.
     """
-    counts = (df.select(F.explode(words(text_col)).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    share = F.col("count") / F.col("_total")
-    weights = pin(with_scalars(counts, counts.agg(F.sum("count").alias("_total"))).select(
-        "token", "count", (F.lit(smoothing) / (F.lit(smoothing) + share)).alias("weight")))
-    keyed = df.select(text_col).withColumn("_key", _text_key(text_col))
-    sums = _word_sums(keyed, text_col, dim, weights).where(F.col("p").isNotNull())
-    rows = sums.groupBy("_key", "_n").agg(_by_place(), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    rows = pin(rows.where("norm > 1e-9").select("_n", _places(
-        dim, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("v")))
-    u = [dim ** -0.5] * dim
-    for _ in range(steps):
-        dot = F.aggregate(F.zip_with("v", F.lit(u), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        moments = (rows.select((F.col("_n") * dot).alias("_d"), F.posexplode("v").alias("p", "x"))
-                   .groupBy("p").agg(F.sum(F.col("_d") * F.col("x")).alias("x")))
-        got = dict(moments.collect())  # dim numbers
-        norm = math.sqrt(math.fsum(x * x for x in got.values()))
-        u = [got.get(i, 0.0) / norm if norm > 0 else 0.0 for i in range(dim)]
-    return TextEncoder(weights, u)
+    return _fit(df.select(text_col).withColumn("_key", _text_key(text_col)), text_col, dim, smoothing, steps)[0]
 
 
 def embed_weighted(df: DataFrame, text_col: str, out: str | None = None, encoder: TextEncoder | None = None,
                    dim: int = 64) -> DataFrame:
     """K4 default: the text's frequency-weighted word vector without the corpus' first component, L2-normalised.
 
-    ``encoder`` comes from ``fit_encoder``; without one it is fitted on ``df``. Words that the fitted corpus
-    lacks weigh 1. A null text, one without words, and one that is nothing but the component has the zero vector.
+    ``encoder`` comes from ``fit_encoder``; without one it is fitted on ``df``, whose texts' vectors then serve
+    the fit and the result. Words that the fitted corpus lacks weigh 1. A null text, one without words, and one
+    that is nothing but the component has the zero vector. ``df`` is read up to three times: stage a costly one.
     """
     out = out or f"{text_col}_embedding"
-    encoder = encoder or fit_encoder(df, text_col, dim)
-    u = F.lit(encoder.component)
     keyed = df.withColumn("_key", _text_key(text_col))
-    sums = _word_sums(keyed, text_col, encoder.dim, encoder.weights)
-    zero = F.lit(0.0)
-    rows = sums.groupBy("_key", "_n").agg(
-        _by_place(), F.greatest(F.sqrt(F.coalesce(F.sum(F.col("s") * F.col("s")), zero)), F.lit(1e-9)).alias("norm"),
-        F.coalesce(F.sum(F.col("s") * F.get(u, F.col("p"))), zero).alias("along"))
+    if encoder is None:
+        encoder, rows = _fit(keyed, text_col, dim, WORD_SMOOTHING, POWER_STEPS)
+    else:
+        rows = _text_vectors(keyed, text_col, encoder.dim, encoder.weights)
+    u = F.lit(encoder.component)
+    zero = F.array_repeat(F.lit(0.0), encoder.dim)
     # of a unit vector v the part across u is v - (v.u) u, of squared length 1 - (v.u)^2
-    rows = rows.withColumn("c", F.col("along") / F.col("norm"))
-    rows = rows.withColumn("rest", F.when((F.col("norm") > 1e-9) & (1 - F.col("c") * F.col("c") > 1e-9),
-                                          F.sqrt(1 - F.col("c") * F.col("c"))))
-    vec = _places(encoder.dim, lambda i: F.coalesce(
-        (F.coalesce(F.try_element_at("m", i), zero) / F.col("norm") - F.col("c") * F.get(u, i)) / F.col("rest"), zero))
+    vec = once(_dot(encoder.component), lambda c: F.when(1 - c * c > 1e-9, once(F.sqrt(1 - c * c), lambda rest: F.zip_with(
+        "v", u, lambda x, y: (x - c * y) / rest))).otherwise(zero))
     return _attach(keyed, rows.select("_key", "_n", vec.alias(out)), out)
 
 

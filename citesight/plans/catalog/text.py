@@ -170,7 +170,8 @@ def _embedding_rows(e):
 
 @register("k4_embed_batch", _k4_sql())
 def k4(spark, sf):
-    d = K.assemble_text(fx.documents(spark, sf), ["text"])
+    # the encoder reads its input three times
+    d = S.stage_table(K.assemble_text(fx.documents(spark, sf), ["text"]).select("doc_id", "to_embed"))
     return _embedding_rows(K.embed_batch(d, "to_embed", "embedding", dim=64))
 
 

@@ -131,6 +131,39 @@ def test_default_encoder_spreads_frequent_words_beyond_the_broadcast_bound(spark
     assert all(math.isclose(x, y, abs_tol=1e-9) for i in want for x, y in zip(got[i], want[i])) and len(got) == len(want)
 
 
+def test_default_encoder_sends_only_rare_words_to_a_shuffled_join(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(CORPUS)), "id long, t string")
+    want = {r.id: r.e for r in K.embed_weighted(df, "t", "e", dim=8).collect()}
+    plain, join, sums, sent = K._word_sums, K.split_hot_join, [], []
+
+    def joined(left, right, key, *a, **kw):
+        sent.extend(left.select("w").collect() if key == "w" else [])
+        return join(left, right, key, *a, **kw)
+
+    def summed(*a):
+        sums.append(a)
+        # room for the words found four times or more: the, and
+        return plain(*a, broadcast_bytes=2 * (K.ENTRY_BYTES + 3))
+    monkeypatch.setattr(K, "split_hot_join", joined)
+    monkeypatch.setattr(K, "_word_sums", summed)
+    got = {r.id: r.e for r in K.embed_weighted(df, "t", "e", dim=8).collect()}
+    assert all(math.isclose(x, y, abs_tol=1e-9) for i in want for x, y in zip(got[i], want[i])) and len(got) == len(want)
+    assert len(sums) == 1, "the texts' words are summed once, for the fit and the result"
+    times = Counter(w for t in CORPUS for w in re.findall("[a-z]+", t or ""))
+    rare = [w for t in {t for t in CORPUS if t} for w in set(re.findall("[a-z]+", t)) if times[w] < 4]
+    assert sorted(r.w for r in sent) == sorted(rare)
+
+
+def test_embeddings_of_texts_that_begin_or_end_between_words(spark):
+    texts = ["<s>the cat</s>", " a bird, a cat ", "the cat", "-", "the bird"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r.id: r.e for r in K.embed_batch(df, "t", "e", dim=8).collect()}
+    for i, want in enumerate(encode(texts, 8)):
+        assert all(math.isclose(x, y, abs_tol=1e-6) for x, y in zip(got[i], want)), (i, got[i], want)
+    hashed = {r.id: r.e for r in K.embed_hashed(df, "t", "e", dim=8).collect()}
+    assert all(math.isclose(sum(x * x for x in hashed[i]), float(i != 3)) for i in hashed)
+
+
 def test_default_encoder_of_a_corpus_without_words(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "id long, t string")
     assert [r.e for r in K.embed_batch(df, "t", "e", dim=4).collect()] == [[0.0] * 4] * 2
