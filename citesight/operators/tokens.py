@@ -2,10 +2,12 @@
 
 The vocabulary is a corpus job (split, explode, count with map-side
 combine). Tokenising joins each token to the vocabulary. Documents are
-hash-partitioned by a key of id and text; where the vocabulary's counted bytes
-are under the broadcast bound, exploding, lookup and regrouping stay inside
-that partitioning and tokens are never shuffled. Beyond the bound the lookup
-is the salted join: frequent words (Zipf) are spread over salts.
+hash-partitioned by a key of id and text; exploding, lookup and regrouping
+stay inside that partitioning for all words of a vocabulary under the broadcast
+bound, and beyond it for the most frequent words (Zipf); only the others are
+shuffled, to a salted join. The mean of vectors (K5) is sums by plain
+aggregates, made in one pass over the token lists; a row's sums are shuffled,
+not its tokens.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ PAD, BOS, EOS, UNK = 0, 1, 2, 3
 SPECIALS = ["<pad>", "<bos>", "<eos>", "<unk>"]
 SPLIT_PATTERN = "[^\\p{L}\\p{N}]+"
 #: Largest tables that are broadcast, by their counted bytes in memory.
-BROADCAST_VOCAB_BYTES = 256 << 20
+BROADCAST_VOCAB_BYTES = 32 << 20
 BROADCAST_VECTOR_BYTES = 64 << 20
 BROADCAST_WORD_BYTES = 64 << 20
 #: A word of share p of the corpus weighs ``a / (a + p)`` in the default encoder.
@@ -38,6 +40,8 @@ WORD_SMOOTHING = 1e-3
 POWER_STEPS = 8
 #: Bytes a hash-map entry takes besides its values.
 ENTRY_BYTES = 48
+#: Rows of one id and one list of tokens that a task gives out by itself.
+SAME_ROWS = 10_000
 
 
 def words(text) -> Column:
@@ -48,7 +52,7 @@ def words(text) -> Column:
 
 def build_vocab(df: DataFrame, text_col: str) -> DataFrame:
     """K1: (token, count, token_id) of every word; ids after the reserved ones, by count desc then token."""
-    counts = (df.select(F.explode(words(text_col)).alias("token"))
+    counts = (df.select(F.explode(_split_words(text_col)).alias("token")).where("token <> ''")
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     ix = with_row_index(counts, [F.col("count").desc(), F.col("token").asc()], "_i")
     return ix.select("token", "count", (F.col("_i") + len(SPECIALS)).alias("token_id"))
@@ -67,24 +71,36 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, out: s
     list. Rows without an id, and rows that repeat one, keep their own tokens."""
     out = out or f"{text_col}_tokens"
     n = shuffle_partitions(df.sparkSession)
-    docs = df.withColumn("_key", row_key(id_col, text_col)).repartition(n, "_key")
+    # whether there is a text is noted before the exchange, so that the text itself goes to its tokens alone
+    docs = df.withColumn("_key", F.unhex(F.md5(row_key(id_col, text_col).cast("binary")))).withColumn(
+        "_none", F.col(text_col).isNull()).repartition(n, "_key")
     once = docs.where(F.col(text_col).isNotNull()).select("_key", text_col).dropDuplicates(["_key"])
-    toks = once.select("_key", F.posexplode(words(text_col)).alias("pos", "token"))
+    toks = once.select("_key", F.posexplode(_split_words(text_col)).alias("pos", "token")).where("token <> ''")
     v = vocab.select("token", "token_id")
     size = vocab.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0  # one number
+
+    def found(part: DataFrame, name: str) -> DataFrame:
+        return part.groupBy("_key").agg(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(unk)).cast("long").alias("tid"))).alias(name))
+    lists = []  # each by key, so that the rows' left joins stay in their partitions
     if size <= broadcast_bytes:
-        j = toks.join(F.broadcast(v), "token", "left")
+        lists.append(found(toks.join(F.broadcast(v), "token", "left"), "_t"))
+    elif "count" not in vocab.columns:
+        lists.append(found(split_hot_join(toks, v, "token", how="left"), "_t"))
     else:
-        hot = hot_from_counts(vocab, "token") if "count" in vocab.columns else None
-        j = split_hot_join(toks, v, "token", how="left", hot=hot)
-    ids = j.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(
-        "pos", F.coalesce("token_id", F.lit(unk)).alias("tid")))).alias("_t"))
-    ids = ids.select("_key", F.concat(F.array(F.lit(bos).cast("long")),
-                                      F.transform("_t", lambda s: s["tid"]),
-                                      F.array(F.lit(eos).cast("long"))).alias(out))
-    res = docs.join(ids, "_key", "left").drop("_key")
-    return res.withColumn(out, F.when(F.col(text_col).isNull(), F.array().cast("array<bigint>"))
-                          .otherwise(F.coalesce(F.col(out), F.array(F.lit(bos).cast("long"), F.lit(eos).cast("long")))))
+        times = F.greatest(F.coalesce("count", F.lit(1)), F.lit(1))
+        common, rare = _by_frequency(vocab.select("token", "token_id", times.alias("count")), broadcast_bytes)
+        near = toks.join(F.broadcast(common.select("token", "token_id")), "token", "left")
+        lists.append(found(near if rare is None else near.where("token_id IS NOT NULL"), "_t"))
+        if rare is not None:
+            far = split_hot_join(near.where("token_id IS NULL").select("_key", "pos", "token"), rare.select("token", "token_id"), "token",
+                                 how="left", hot=hot_from_counts(rare, "token"))
+            lists.append(found(far.repartition(n, "_key"), "_far"))
+    res, none = docs, F.array().cast("array<struct<pos:int,tid:bigint>>")
+    for ids in lists:
+        res = res.join(ids, "_key", "left")
+    met = F.concat(*[F.coalesce(c, none) for c in ("_t", "_far")[:len(lists)]])
+    tokens = F.concat(F.array(F.lit(bos).cast("long")), F.transform(F.sort_array(met), lambda s: s["tid"]), F.array(F.lit(eos).cast("long")))
+    return res.withColumn(out, F.when(F.col("_none"), F.array().cast("array<bigint>")).otherwise(tokens)).drop("_key", "_none", "_t", "_far")
 
 
 def tokenise_with(df: DataFrame, text_col: str, tokenizer_factory: Callable, out: str | None = None) -> DataFrame:
@@ -119,11 +135,12 @@ def _split_words(text: str) -> Column:
     return F.split(F.lower(F.col(text)), SPLIT_PATTERN)
 
 
-def _by_frequency(weights: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+def _by_frequency(weights: DataFrame, most_bytes: int, size: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The most frequent words, by powers of two of their counts as far as ``most_bytes`` of memory hold them,
-    and the others (none where all fit)."""
+    and the others (none where all fit). ``size``: an entry's bytes, the word's and the map's by default."""
     power = F.floor(F.log2("count"))
-    sizes = weights.groupBy(power.alias("b")).agg(F.sum(F.octet_length("token") + ENTRY_BYTES).alias("bytes")).collect()  # a row per bit
+    size = F.octet_length("token") + ENTRY_BYTES if size is None else size
+    sizes = weights.groupBy(power.alias("b")).agg(F.sum(size).alias("bytes")).collect()  # a row per bit
     least, left = 64, most_bytes
     for b, size in sorted(sizes, reverse=True):
         if size > left:
@@ -300,34 +317,59 @@ def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFram
     A row's mean follows from its token list: rows that share an id or have none keep their own.
 
     ``vectors``: (token_id, vec array<float>), where ``slot`` is given by the number that it makes of a token's
-    id: a table that many tokens share stays as small as it is. The mean is ``Summarizer.mean``
-    (a JVM aggregate with partial aggregation), grouped by a digest of the list. ``vocab``
-    (token_id, count) names the frequent tokens for the skew split.
+    id: a table that many tokens share stays as small as it is. The mean is a plain sum per place, grouped by id
+    and a digest of the list: a task adds up a row's tokens, and only the sums are exchanged. ``tokens`` is read
+    once where the vectors are broadcast. Beyond the bound the most frequent tokens' vectors are, by the counts of
+    ``vocab`` (token_id, count) or else counted, and ``tokens`` is read again: stage a costly one.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    rows = tokens.select(id_col, tokens_col).withColumn("_key", F.md5(F.array_join(tokens_col, ",", "-").cast("binary")))
-    lists = rows.groupBy("_key").agg(F.first(tokens_col).alias("_t"), F.count(F.lit(1)).alias("_rows"))
-    # repeated words of a list carry one vector with a weight (grouping stays in the list's partition)
-    t = lists.select("_key", F.explode("_t").alias("token_id")).where(F.col("token_id") != pad)
-    if slot is not None:
-        t = t.withColumn("token_id", slot(F.col("token_id")))
-        vocab = None  # its counts are the words', not the slots'
-    t = t.groupBy("_key", "token_id").agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    v = vectors.select("token_id", array_to_vector("vec").alias("v"))
-    if vectors.count() * (dim * 8 + ENTRY_BYTES) <= broadcast_bytes:
-        # counted bytes (vectors are doubles by now): tokens stay in their list's partition, so
-        # the mean needs no shuffle of vectors
-        j = t.join(F.broadcast(v), "token_id")
+    key = F.unhex(F.md5(F.array_join(tokens_col, ",", "-").cast("binary")))  # a null list has the key of null
+    # each row has one entry without a token besides its tokens, by which it is counted
+    entries = F.concat(F.array(F.lit(None).cast("long")), tokens_col)
+    slot = slot or (lambda token: token)
+    # the key in a select of its own: beside the generator it would be worked out for every entry
+    t = tokens.select(F.col(id_col).alias("_id"), key.alias("_key"), entries.alias("_entries"))
+    t = t.select("_id", "_key", F.posexplode_outer("_entries").alias("_at", "_token")).select(
+        "_id", "_key", (F.coalesce("_at", F.lit(0)) == 0).cast("long").alias("_row"),
+        F.when(F.col("_token") != pad, slot(F.col("_token"))).alias("token_id"))
+    v = vectors.where("vec IS NOT NULL").select("token_id", "vec")
+    width = dim * (4 if "float" in dict(vectors.dtypes)["vec"] else 8) + ENTRY_BYTES
+    if vectors.count() * width <= broadcast_bytes:  # counted bytes
+        met = t.join(F.broadcast(v), "token_id", "left").withColumn("_times", F.lit(1))
     else:
-        hot = hot_from_counts(vocab, "token_id") if vocab is not None else None
-        j = split_hot_join(t, v, "token_id", hot=hot)
-    m = j.groupBy("_key").agg(Summarizer.mean(F.col("v"), F.col("_w")).alias("m"))
-    m = m.select("_key", vector_to_array("m", "float64").alias("mean_vec"))
+        met = _meet_many(t, v, vocab, slot, pad, width, broadcast_bytes)
+    sums = pin(met.groupBy("_id", "_key").agg(F.sum("_row").alias("_rows"), F.sum(F.when(F.col("vec").isNotNull(), F.col("_times"))).alias("_n"), *[
+        F.sum(F.get("vec", F.lit(i)).cast("double") * F.col("_times")).alias(f"_s{i}") for i in range(dim)]))  # read by both parts below
     zero = F.array_repeat(F.lit(0.0).cast("double"), dim)
-    means = lists.select("_key", "_rows").join(m, "_key", "left").select("_key", "_rows", F.coalesce("mean_vec", zero).alias("mean_vec"))
-    # a list that many rows hold is salted; a null list has the key of null
-    met = split_hot_join(rows.select(id_col, F.coalesce("_key", F.lit("")).alias("_key")),
-                         means.select(F.coalesce("_key", F.lit("")).alias("_key"), "mean_vec"), "_key",
-                         hot=hot_from_counts(means.select(F.coalesce("_key", F.lit("")).alias("_key"), "_rows"), "_key", "_rows"))
-    return met.select(id_col, "mean_vec")
+    mean = F.when(F.col("_n") > 0, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(dim)])).otherwise(zero)
+    means = sums.select(F.col("_id").alias(id_col), mean.alias("mean_vec"), "_rows")
+
+    def repeated(part: DataFrame, times: Column) -> DataFrame:
+        return part.select("*", F.explode(F.sequence(F.lit(1), times)).alias("_nr"))
+    few = repeated(means.where(F.col("_rows") <= SAME_ROWS), F.col("_rows"))
+    # a list that one id, or none, has very often is given out by many tasks
+    many = repeated(means.where(F.col("_rows") > SAME_ROWS), F.ceil(F.col("_rows") / SAME_ROWS)).withColumnRenamed("_nr", "_part")
+    many = repeated(many.repartition(shuffle_partitions(tokens.sparkSession), "_part"),
+                    F.least(F.lit(SAME_ROWS), F.col("_rows") - (F.col("_part") - 1) * SAME_ROWS))
+    return few.select(id_col, "mean_vec").unionByName(many.select(id_col, "mean_vec"))
+
+
+def _meet_many(t: DataFrame, v: DataFrame, vocab: DataFrame | None, slot: Callable[[Column], Column], pad: int, width: int,
+               broadcast_bytes: int) -> DataFrame:
+    """``mean_pool``'s entries with their vectors (and ``_times``) where these are not all broadcast: the frequent
+    ones are; of the others a row's own go to the row, once each."""
+    if vocab is None:
+        counts = t.where("token_id IS NOT NULL").groupBy("token_id").agg(F.count(F.lit(1)).alias("count"))
+    else:
+        special = vocab.sparkSession.range(len(SPECIALS)).select(F.col("id").alias("token_id"), F.lit(1 << 40).alias("count"))
+        counts = vocab.select("token_id", "count").unionByName(special).where(F.col("token_id") != pad)
+        counts = counts.select(slot(F.col("token_id")).alias("token_id"), "count").groupBy("token_id").agg(F.sum("count").alias("count"))
+    counted = pin(v.join(counts, "token_id", "left").withColumn("count", F.greatest(F.coalesce("count", F.lit(1)), F.lit(1))))
+    common, rare = _by_frequency(counted, broadcast_bytes, F.lit(width))
+    near = t.join(F.broadcast(common.select("token_id", "vec")), "token_id", "left").withColumn("_times", F.lit(1).cast("long"))
+    if rare is None:
+        return near
+    far = near.where("token_id IS NOT NULL AND vec IS NULL").groupBy("_id", "_key", "token_id").agg(F.count(F.lit(1)).alias("_times"))
+    far = split_hot_join(far, rare.select("token_id", "vec"), "token_id", hot=hot_from_counts(rare, "token_id"))
+    # a row's vectors are exchanged as they are: sums are twice as wide, and few tokens of a row would be in one
+    far = far.repartition(shuffle_partitions(t.sparkSession), "_id", "_key")
+    return near.unionByName(far.withColumn("_row", F.lit(0).cast("long")))

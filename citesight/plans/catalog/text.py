@@ -111,11 +111,11 @@ dtok AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN [] ELSE
 
 def _vocab(spark, sf):
     # the whole vocabulary: no size cap, every word keeps its own id
-    return K.build_vocab(fx.documents(spark, sf), "text")
+    return K.build_vocab(fx.spread(spark, sf, "documents", "doc_id"), "text")
 
 
 def _tokens(spark, sf, vocab):
-    return K.tokenise(fx.documents(spark, sf), "doc_id", "text", vocab)
+    return K.tokenise(fx.table(spark, sf, "documents"), "doc_id", "text", vocab)  # it spreads the rows itself
 
 
 @register("k1_build_vocab", _VOCAB + "SELECT token, count, token_id FROM vocab")
@@ -206,7 +206,7 @@ def k5(spark, sf):
     v = _vocab(spark, sf)
     t = _tokens(spark, sf, v)
     vectors, slot = token_vectors(spark, sf)
-    m = K.mean_pool(t, "doc_id", "text_tokens", vectors, dim=64, slot=slot)
+    m = K.mean_pool(t, "doc_id", "text_tokens", vectors, dim=64, vocab=v, slot=slot)
     return m.select("doc_id", F.posexplode("mean_vec").alias("dim", "value")).select(
         "doc_id", "dim", F.round("value", 6).alias("value"))
 

@@ -122,6 +122,12 @@ def works_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """``keyed`` where the table has too few files for a task per core; else as it is read, not exchanged."""
+    t = table(spark, sf_dir, name)
+    return t if len(t.inputFiles()) >= spark.sparkContext.defaultParallelism else keyed(spark, sf_dir, name, key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with ``lang`` exposed as ``language``."""
     return keyed(spark, sf_dir, "documents", "doc_id").withColumnRenamed("lang", "language")

@@ -312,3 +312,39 @@ def test_pooled_vectors_are_read_as_many_as_there_are(spark):
     vectors, slot = token_vectors(spark, path)
     assert vectors.count() == 3
     assert [r.s for r in spark.range(7).select("id", slot(F.col("id")).alias("s")).orderBy("id").collect()] == [0, 1, 2, 0, 1, 2, 0]
+
+
+def test_mean_pool_reads_its_tokens_once(spark):
+    # a costly token frame is not worked out again for its lists, weights and means, nor sorted or sent whole
+    toks = spark.createDataFrame([(i, [1, 2, 2, i % 3]) for i in range(30)] * 2, "id long, toks array<long>")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<long>")
+    def costly(x):
+        seen.add(1)
+        return x
+    vec = spark.createDataFrame([(i, [float(i), 1.0]) for i in (1, 2)] * 2, "token_id long, vec array<float>")  # rows twice
+    got = K.mean_pool(toks.select("id", costly.asNondeterministic()("toks").alias("toks")), "id", "toks", vec, 2).collect()
+    assert len(got) == 60 and seen.value == 60
+    assert all(abs(r.mean_vec[0] - [5 / 3, 6 / 4, 7 / 4][r.id % 3]) < 1e-12 and r.mean_vec[1] == 1.0 for r in got)
+
+
+def test_mean_pool_of_a_list_that_no_id_has_very_often(spark, monkeypatch):
+    monkeypatch.setattr(K, "SAME_ROWS", 4)
+    toks = spark.createDataFrame([(None, [1])] * 11 + [(None, None)] * 5 + [(7, [2, 2])] * 4, "id long, toks array<long>")
+    vec = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "token_id long, vec array<float>")
+    for bound in (0, 60, K.BROADCAST_VECTOR_BYTES):  # shuffled, the most frequent broadcast, broadcast
+        got = sorted(((r.id or 0, r.mean_vec[0]) for r in K.mean_pool(toks, "id", "toks", vec, 1, broadcast_bytes=bound).collect()))
+        assert got == [(0, 0.0)] * 5 + [(0, 1.0)] * 11 + [(7, 2.0)] * 4
+
+
+def test_tokens_of_frequent_and_rare_words(spark):
+    rows = [(i, "often " * (i % 4) + f"Rare{i} often, unheard") for i in range(20)] + [(98, None), (99, " .")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    v = K.build_vocab(df, "t").where("token <> 'unheard'")
+    ids = {r.token: r.token_id for r in v.collect()}
+    whole = {r.id: r.t_tokens for r in K.tokenise(df, "id", "t", v).collect()}
+    for bound in (0, 60):
+        got = {r.id: r.t_tokens for r in K.tokenise(df, "id", "t", v, broadcast_bytes=bound).collect()}
+        assert got == whole
+    assert whole[6] == [1, ids["often"], ids["often"], ids["rare6"], ids["often"], 3, 2] and whole[98] == [] and whole[99] == [1, 2]
