@@ -331,7 +331,10 @@ def mean_pool(tokens: DataFrame, id_col: str, tokens_col: str, vectors: DataFram
     t = t.select("_id", "_key", F.posexplode_outer("_entries").alias("_at", "_token")).select(
         "_id", "_key", (F.coalesce("_at", F.lit(0)) == 0).cast("long").alias("_row"),
         F.when(F.col("_token") != pad, slot(F.col("_token"))).alias("token_id"))
-    v = vectors.where("vec IS NOT NULL").select("token_id", "vec")
+    # a token whose vector is null has none; one of other length, or with null places, is refused
+    odd = (F.size("vec") != dim) | F.exists("vec", lambda x: x.isNull())
+    v = vectors.where("vec IS NOT NULL").select("token_id", F.when(odd, F.raise_error(F.lit(
+        f"a vector has not {dim} numbers")).cast(vectors.schema["vec"].dataType)).otherwise(F.col("vec")).alias("vec"))
     width = dim * (4 if "float" in dict(vectors.dtypes)["vec"] else 8) + ENTRY_BYTES
     if vectors.count() * width <= broadcast_bytes:  # counted bytes
         met = t.join(F.broadcast(v), "token_id", "left").withColumn("_times", F.lit(1))

@@ -348,3 +348,15 @@ def test_tokens_of_frequent_and_rare_words(spark):
         got = {r.id: r.t_tokens for r in K.tokenise(df, "id", "t", v, broadcast_bytes=bound).collect()}
         assert got == whole
     assert whole[6] == [1, ids["often"], ids["often"], ids["rare6"], ids["often"], 3, 2] and whole[98] == [] and whole[99] == [1, 2]
+
+
+def test_mean_pool_of_missing_and_odd_vectors(spark):
+    toks = spark.createDataFrame([(1, [1, 2]), (2, [2])], "id long, toks array<long>")
+    for bound in (0, K.BROADCAST_VECTOR_BYTES):
+        vec = spark.createDataFrame([(1, [3.0, 1.0]), (2, None)], "token_id long, vec array<float>")
+        got = {r.id: r.mean_vec for r in K.mean_pool(toks, "id", "toks", vec, 2, broadcast_bytes=bound).collect()}
+        assert got == {1: [3.0, 1.0], 2: [0.0, 0.0]}
+        for bad in ([1.0], [1.0, None]):
+            with pytest.raises(Exception, match="has not 2 numbers"):
+                odd = spark.createDataFrame([(1, [3.0, 1.0]), (2, bad)], "token_id long, vec array<float>")
+                K.mean_pool(toks, "id", "toks", odd, 2, broadcast_bytes=bound).collect()
